@@ -84,7 +84,7 @@ def extraction_method(confidence: Column, platform: Column, has_text: Column) ->
 # --- Heuristic extraction -------------------------------------------------------------------
 def heuristic_title(text: Column) -> Column:
     labelled = F.regexp_extract(text, r"(?iU)(?:^|\n)\s*(?:event|title)\s*[:\-]\s*([^\n]+)", 1)
-    lines = F.transform(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), T.strip_ws)
+    lines = F.transform(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), T.strip_ws)
     first = F.get(F.filter(lines, lambda s: F.length(s) >= 6), F.lit(0))
     return F.coalesce(T.blank_to_null(F.left(T.strip_ws(labelled), F.lit(200))), F.left(first, F.lit(200)))
 
@@ -131,14 +131,19 @@ def _is_known_community(community: Column, organizer: Column, region: C.Region)
     return T.any_contains(low_c, region.classifier_communities) | T.any_contains(low_o, region.classifier_communities)
 
 
+def _mentions(text: Column, pattern: str) -> Column:
+    """Match ignoring case; letters of any script count as word characters."""
+    return text.rlike(f"(?iU){pattern}")
+
+
 def topics_of(text: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(name)) for name, p in C.TOPIC_PATTERNS]))
+    return F.array_compact(F.array(*[F.when(_mentions(text, p), F.lit(name)) for name, p in C.TOPIC_PATTERNS]))
 
 
 def event_type_of(text: Column) -> Column:
     kind = None
     for name, pattern in C.EVENT_TYPE_PATTERNS:
-        kind = F.when(text.rlike(pattern), name) if kind is None else kind.when(text.rlike(pattern), name)
+        kind = F.when(_mentions(text, pattern), name) if kind is None else kind.when(_mentions(text, pattern), name)
     return kind.otherwise(C.DEFAULT_EVENT_TYPE)
 
 
@@ -151,9 +156,9 @@ def classification(
     return F.struct(
         event_type_of(text).alias("event_type"),
         topics_of(text).alias("topics"),
-        F.when(text.rlike("(?i)student"), F.array(F.lit("developers"), F.lit("students"))).otherwise(developers).alias("audience"),
+        F.when(_mentions(text, "student"), F.array(F.lit("developers"), F.lit("students"))).otherwise(developers).alias("audience"),
         F.lit(False).alias("is_student_friendly"),
-        F.when(text.rlike(rf"(?i)\b{region.key}\b"), 0.95)
+        F.when(_mentions(text, rf"\b{region.key}\b"), 0.95)
         .when(_is_known_community(community, organizer, region), 0.85)
         .otherwise(0.4)
         .alias("local_relevance"),
@@ -175,7 +180,7 @@ def relevance(
     place = F.lower(F.concat_ws(" ", T.blank_to_null(city), T.blank_to_null(address), T.blank_to_null(venue)))
     host = F.lower(F.concat_ws(" ", T.blank_to_null(organizer), T.blank_to_null(community)))
     if region.word_boundary:
-        institution = place.rlike(r"\b(?:" + "|".join(region.institutions) + r")\b")
+        institution = _mentions(place, r"\b(?:" + "|".join(region.institutions) + r")\b")
     else:
         institution = T.any_contains(place, region.institutions)
     on_site = (
