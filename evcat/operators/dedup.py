@@ -79,7 +79,10 @@ def match_catalogue(new: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 # --- Inside a batch -------------------------------------------------------------------------
-def _keep_in_order(group: pd.DataFrame) -> pd.DataFrame:
+_KEEP, _DROP, _WAIT = 1, 0, -1
+
+
+def _settle_in_order(group: pd.DataFrame) -> pd.DataFrame:
     """Settle one title's unbroken run of half days, in arrival order.
 
     Two starts in one half day always reach each other, so a half day holds at most one kept row.
@@ -89,23 +92,23 @@ def _keep_in_order(group: pd.DataFrame) -> pd.DataFrame:
     open_low: dict[int, int] = {}
     open_high: dict[int, int] = {}
     group = group.sort_values("seq")
-    keep = []
+    verdicts = []
     for us, blocked in zip(group["us"], group["blocked"]):
         half = us // _REACH
-        near = [h for h in (half - 1, half, half + 1)]
-        taken = any(h in kept and abs(kept[h] - us) <= _REACH for h in near)
-        unsure = blocked or half in open_low or (
-            open_high.get(half - 1, us - _REACH - 1) >= us - _REACH or open_low.get(half + 1, us + _REACH + 1) <= us + _REACH
+        taken = any(h in kept and abs(kept[h] - us) <= _REACH for h in (half - 1, half, half + 1))
+        unsure = (
+            blocked
+            or half in open_low
+            or open_high.get(half - 1, us - _REACH - 1) >= us - _REACH
+            or open_low.get(half + 1, us + _REACH + 1) <= us + _REACH
         )
-        keep.append(not taken and not unsure)
-        if taken:
-            continue
-        if unsure:
+        verdicts.append(_DROP if taken else _WAIT if unsure else _KEEP)
+        if verdicts[-1] == _WAIT:
             open_low[half] = min(us, open_low.get(half, us))
             open_high[half] = max(us, open_high.get(half, us))
-        else:
+        elif verdicts[-1] == _KEEP:
             kept[half] = us
-    return group.assign(keep=keep)[["title", "us", "seq", "keep"]]
+    return group.assign(verdict=verdicts)[["title", "us", "url", "seq", "verdict"]]
 
 
 def _runs(fronts: DataFrame) -> DataFrame:
@@ -138,44 +141,45 @@ def greedy_keep(rows: DataFrame, pairs: DataFrame, local_rows: int = LOCAL_GROUP
     only at *fronts*, the first open row of a (title, start). A front is blocked while an earlier
     open row has its URL or a longer title within reach. The unblocked part of a title is settled in
     one pass per run of half days, or row by row with set operations where a run has too many
-    fronts for one task. Then everything the newly kept rows suppress is dropped. Rounds needed:
-    about the depth of title containment.
+    fronts for one task. If fronts had to wait, everything the kept rows suppress is dropped and the
+    next round starts. Rounds needed: about the depth of title containment.
     """
     longer = pairs.filter("inner <> outer")
+    nested = not longer.isEmpty()
     open_rows = cut(rows.select("title", "us", "url", "seq"))
+    shared = open_rows.filter("url <> ''").groupBy("url").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared_urls = not shared.isEmpty()
     kept = open_rows.limit(0)
     while not open_rows.isEmpty():
         fronts = open_rows.groupBy("title", "us").agg(F.min_by("url", "seq").alias("url"), F.min("seq").alias("seq"))
-        url_first = open_rows.filter("url <> ''").groupBy("url").agg(F.min("seq").alias("_url_first"))
-        over = _earliest(open_rows, longer, fronts, "_title_first")
-        blocked = (F.coalesce(F.col("_url_first"), F.col("seq")) < F.col("seq")) | (
-            F.coalesce(F.col("_title_first"), F.col("seq")) < F.col("seq")
-        )
-        fronts = (
-            fronts.join(url_first, "url", "left")
-            .join(over, ["title", "us"], "left")
-            .withColumn("blocked", blocked)
-            .select("title", "us", "url", "seq", "blocked")
-        )
-        fronts = cut(_runs(fronts))
+        blocked = F.lit(False)
+        if shared_urls:
+            first = open_rows.filter("url <> ''").groupBy("url").agg(F.min("seq").alias("_url_first"))
+            fronts = fronts.join(first, "url", "left")
+            blocked = blocked | F.coalesce(F.col("_url_first") < F.col("seq"), F.lit(False))
+        if nested:
+            fronts = fronts.join(_earliest(open_rows, longer, fronts, "_title_first"), ["title", "us"], "left")
+            blocked = blocked | F.coalesce(F.col("_title_first") < F.col("seq"), F.lit(False))
+        fronts = cut(_runs(fronts.withColumn("blocked", blocked).select("title", "us", "url", "seq", "blocked")))
         sizes = fronts.groupBy("title", "run").agg(F.count(F.lit(1)).alias("n"))
-        large = sizes.filter(F.col("n") > local_rows).select("title", "run")
-        settled = (
-            fronts.join(large, ["title", "run"], "left_anti")
-            .groupBy("title", "run")
-            .applyInPandas(_keep_in_order, "title string, us bigint, seq bigint, keep boolean")
-            .filter("keep")
-            .select("seq")
+        large = cut(sizes.filter(F.col("n") > local_rows).select("title", "run"))
+        some_large = not large.isEmpty()
+        small = fronts.join(large, ["title", "run"], "left_anti") if some_large else fronts
+        settled = small.groupBy("title", "run").applyInPandas(
+            _settle_in_order, "title string, us bigint, url string, seq bigint, verdict int"
         )
-        if not large.isEmpty():
+        if some_large:
             big = fronts.join(large, ["title", "run"], "left_semi")
             same = big.select(F.col("title").alias("inner"), F.col("title").alias("outer")).distinct()
-            first = _earliest(big, same, big, "_first")
-            settled = settled.unionByName(
-                big.filter("NOT blocked").join(first, ["title", "us"]).filter("_first = seq").select("seq")
-            )
-        newly = cut(fronts.join(settled, "seq", "left_semi").select("title", "us", "url", "seq"))
+            first = big.join(_earliest(big, same, big, "_first"), ["title", "us"])
+            verdict = F.when((F.col("_first") == F.col("seq")) & ~F.col("blocked"), _KEEP).otherwise(_WAIT)
+            settled = settled.unionByName(first.select("title", "us", "url", "seq", verdict.alias("verdict")))
+        settled = cut(settled)
+        newly = settled.filter(F.col("verdict") == _KEEP).drop("verdict")
         kept = kept.unionByName(newly)
+        if settled.filter(F.col("verdict") == _WAIT).isEmpty():
+            # Rows behind a settled front share its title and start, hence its fate.
+            break
         open_rows = cut(drop_followers(open_rows, newly, pairs))
     return kept
 

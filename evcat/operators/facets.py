@@ -15,9 +15,10 @@ from evcat.session import instant
 
 def topics(events: DataFrame, now: datetime, limit: int = 200) -> DataFrame:
     """(name, count), every occurrence counted, most frequent first."""
-    names = events.filter(live(now)).select(T.strip_ws(F.explode("topics")).alias("name"))
+    names = events.filter(live(now)).select(F.explode("topics").alias("name"))
     return (
-        names.filter("name <> ''")
+        names.select(T.strip_ws(F.col("name")).alias("name"))
+        .filter("name <> ''")
         .groupBy("name")
         .agg(F.count(F.lit(1)).alias("count"))
         .orderBy(F.col("count").desc(), F.lower("name"), "name")

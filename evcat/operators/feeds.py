@@ -31,14 +31,14 @@ def _escape(c: Column) -> Column:
     out = F.replace(c, F.lit("\\"), F.lit("\\\\"))
     for char in (";", ","):
         out = F.replace(out, F.lit(char), F.lit("\\" + char))
-    return F.regexp_replace(out, r"\r\n|\n", r"\\\\n")
+    return F.replace(F.replace(out, F.lit("\r\n"), F.lit("\\n")), F.lit("\n"), F.lit("\\n"))
 
 
 def _fold(line: Column) -> Column:
     """Lines of at most 75 octets. Text is viewed as one character per octet, so a break never
     falls inside a multi-byte character."""
     octets = F.decode(F.encode(line, "UTF-8"), "ISO-8859-1")
-    parts = F.regexp_replace(octets, r"(?s)(.{1,74})(?![\x80-\xBF])(?!$)", "$1\r\n ")
+    parts = F.regexp_replace(octets, r"(?s)\G(?=.{75})(.{1,74})(?![\x80-\xBF])", "$1\r\n ")
     return F.decode(F.encode(parts, "ISO-8859-1"), "UTF-8")
 
 

@@ -204,6 +204,10 @@ def refresh_watchlist(sources: DataFrame, events: DataFrame, now: datetime) -> D
     )
 
 
+def _without(members: Column, name: str) -> Column:
+    return F.map_filter(members, lambda k, _: k != name)
+
+
 def set_json_flags(config: Column, flags: dict[str, Column]) -> Column:
     """Set, remove or leave top-level flags of a JSON object.
 
@@ -212,7 +216,7 @@ def set_json_flags(config: Column, flags: dict[str, Column]) -> Column:
     """
     members = F.coalesce(F.from_json(config, "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))
     for name, value in flags.items():
-        without = F.map_filter(members, lambda k, v, n=name: k != n)
+        without = _without(members, name)
         added = F.map_concat(without, F.create_map(F.lit(name), F.parse_json(F.coalesce(T.blank_to_null(value), F.lit("null")))))
         members = F.when(value.isNull(), members).when(value == "", without).otherwise(added)
     return F.to_json(members)

@@ -102,7 +102,8 @@ def first_within(points: DataFrame, probes: DataFrame, radius_seconds: int) -> D
         "probe",
         "reach",
     )
-    rows = pts.unionByName(moved).withColumn("sec", F.expr(f"off div {_SECOND}"))
+    # One exchange serves the running minima and the per-second summary below.
+    rows = pts.unionByName(moved).withColumn("sec", F.expr(f"off div {_SECOND}")).repartition("key", "b", "sec")
 
     inside = Window.partitionBy("key", "b", "sec")
     upto = inside.orderBy("off").rangeBetween(Window.unboundedPreceding, Window.currentRow)

@@ -1,57 +1,82 @@
 """Refresh existing events from their duplicates, only where the new data is better."""
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evcat import config as C
+from evcat.operators.dedup import LOCAL_GROUP_ROWS
 from evcat.session import cut, instant
 
+_SECOND = 1_000_000
+# From this start on a date counts as a placeholder.
+_DEFAULTED_US = int(datetime(C.DEFAULTED_YEAR, 1, 1, tzinfo=timezone.utc).timestamp()) * _SECOND
 FILL_FIELDS = ("description", "short_description", "poster_url", "venue_name", "locality")
 
 
-def _seconds(a: Column, b: Column) -> Column:
-    return F.abs(F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))) / 1_000_000
+def _fold_starts(group: pd.DataFrame) -> pd.DataFrame:
+    """Apply one event's offers in arrival order."""
+    group = group.sort_values("seq")
+    start, published = group["start_us"].iloc[0], group["published_us"].iloc[0]
+    first = start
+    for new in group["new_us"]:
+        near = not pd.isna(published) and abs(start - published) < 120 * _SECOND
+        if new != start and (near or start >= _DEFAULTED_US or abs(start - new) >= 6 * 3600 * _SECOND):
+            start = new
+    return group[["id"]].iloc[: int(start != first)].assign(start_us=start)
 
 
-def _looks_defaulted(start: Column, published: Column) -> Column:
-    near = F.coalesce(_seconds(start, published) < 120, F.lit(False))
-    return near | F.coalesce(F.year(start) >= C.DEFAULTED_YEAR, F.lit(False))
-
-
-def _replaces(start: Column, published: Column, new: Column) -> Column:
-    better = _looks_defaulted(start, published) | (_seconds(start, new) >= 6 * 3600)
-    return (new != start) & better
-
-
-def settle_starts(events: DataFrame, dups: DataFrame) -> DataFrame:
+def settle_starts(events: DataFrame, dups: DataFrame, local_rows: int = LOCAL_GROUP_ROWS) -> DataFrame:
     """(id, start_at) for events whose start is replaced, applying duplicates in arrival order.
 
-    The rule is a chain: each accepted start decides what the next one is compared with. Instead of
-    folding a group in one task, every round finds for all events at once the next duplicate
-    that changes the current start (an aggregate with partial results), until none does. One round
-    per change of the busiest event.
+    The rule is a chain: each accepted start decides what the next one is compared with. Events with
+    few offers are folded in one pass. For events with more offers than one task should hold,
+    every round finds the next offer that changes the current start (an aggregate with partial
+    results), until none does.
     """
-    offers = dups.filter("start_at IS NOT NULL").select(F.col("match").alias("id"), F.col("start_at").alias("new"), "seq")
-    current = events.select("id", "start_at", "published_at").join(offers.select("id").distinct(), "id", "left_semi")
-    current = cut(current.withColumn("seen", F.lit(-1).cast("bigint")))
-    offers = cut(offers)
-    changed = current.limit(0).select("id", "start_at", "seen")
-    while True:
+    offers = dups.filter("start_at IS NOT NULL").select(
+        F.col("match").alias("id"), F.unix_micros(F.col("start_at").cast("timestamp")).alias("new_us"), "seq"
+    )
+    known = events.select(
+        "id",
+        F.unix_micros(F.col("start_at").cast("timestamp")).alias("start_us"),
+        F.unix_micros(F.col("published_at").cast("timestamp")).alias("published_us"),
+    )
+    offers = cut(offers.join(known, "id"))
+    sizes = offers.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    large = cut(sizes.filter(F.col("n") > local_rows).select("id"))
+    some_large = not large.isEmpty()
+    small = offers.join(large, "id", "left_anti") if some_large else offers
+    moved = small.groupBy("id").applyInPandas(_fold_starts, "id string, start_us bigint")
+    if some_large:
+        moved = moved.unionByName(_chase_starts(offers.join(large, "id", "left_semi")))
+    kind = events.schema["start_at"].dataType
+    return moved.select("id", F.timestamp_micros("start_us").cast(kind).alias("start_at"))
+
+
+def _chase_starts(offers: DataFrame) -> DataFrame:
+    """The same for busy events: one change of every event per round."""
+    current = cut(offers.select("id", "start_us", "published_us").distinct().withColumn("seen", F.lit(-1).cast("bigint")))
+    offers = offers.select("id", "new_us", "seq")
+    changed = current.limit(0).select("id", "start_us", "seen")
+    start, new = F.col("start_us"), F.col("new_us")
+    near = F.coalesce(F.abs(start - F.col("published_us")) < 120 * _SECOND, F.lit(False))
+    replaces = (new != start) & (near | (start >= _DEFAULTED_US) | (F.abs(start - new) >= 6 * 3600 * _SECOND))
+    while not current.isEmpty():
         step = (
             offers.join(current, "id")
-            .filter((F.col("seq") > F.col("seen")) & _replaces(F.col("start_at"), F.col("published_at"), F.col("new")))
-            .groupBy("id", "published_at")
-            .agg(F.min(F.struct("seq", "new")).alias("hit"))
-            .select("id", F.col("hit.new").alias("start_at"), "published_at", F.col("hit.seq").alias("seen"))
+            .filter((F.col("seq") > F.col("seen")) & replaces)
+            .groupBy("id", "published_us")
+            .agg(F.min(F.struct("seq", "new_us")).alias("hit"))
+        )
+        current = cut(
+            step.select("id", F.col("hit.new_us").alias("start_us"), "published_us", F.col("hit.seq").alias("seen"))
         )
-        current = cut(step)
-        if current.isEmpty():
-            break
-        changed = changed.unionByName(current.select("id", "start_at", "seen"))
-    return changed.groupBy("id").agg(F.max_by("start_at", "seen").alias("start_at"))
+        changed = changed.unionByName(current.select("id", "start_us", "seen"))
+    return changed.groupBy("id").agg(F.max_by("start_us", "seen").alias("start_us"))
 
 
 def refresh_existing(events: DataFrame, dups: DataFrame, now: datetime) -> DataFrame:

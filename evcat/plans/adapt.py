@@ -140,7 +140,7 @@ SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS name,
   CASE WHEN s_acctbal < 1500 THEN 'blacklisted' WHEN s_acctbal > 8500 THEN 'whitelisted' ELSE 'active' END AS status,
   s_acctbal > 2500 AS watched,
   CASE WHEN s_acctbal > 6000 THEN 6 WHEN s_acctbal > 4000 THEN 0 ELSE 12 END AS crawl_interval_hours,
-  CASE WHEN s_acctbal < 1500 THEN 0.0 WHEN s_acctbal > 5000 THEN 0.9 ELSE 0.7 END AS trust_score,
+  CAST(CASE WHEN s_acctbal < 1500 THEN 0.0 WHEN s_acctbal > 5000 THEN 0.9 ELSE 0.7 END AS DOUBLE) AS trust_score,
   CASE WHEN s_acctbal < 9000 THEN TIMESTAMP '1998-01-01 00:00:00' - INTERVAL (s_nationkey) HOUR END AS last_crawled_at,
   CASE WHEN s_acctbal < 2000 THEN 3 ELSE 0 END AS consecutive_failures, s_acctbal
 FROM supplier
@@ -187,7 +187,7 @@ SELECT CAST(d.doc_id AS VARCHAR) AS id, source AS source_id, CASE WHEN lang <> '
   CASE WHEN quality = 1 THEN '<b>Doc ' || CAST(d.doc_id AS VARCHAR) || '</b>' END AS x_title,
   CASE WHEN quality = 1 THEN source END AS x_community,
   CASE WHEN quality = 1 THEN 'ai' ELSE 'deterministic' END AS extraction_method,
-  CASE WHEN quality = 1 THEN 0.9 ELSE 0.35 END AS extraction_confidence,
+  CAST(CASE WHEN quality = 1 THEN 0.9 ELSE 0.35 END AS DOUBLE) AS extraction_confidence,
   make_timestamp(CAST((883612800 + n_chars) * 1000000 AS BIGINT)) AS seen_at,
   CASE WHEN toxic = 1 THEN 'moderation' WHEN quality = 1 THEN 'published' WHEN quality = 0 THEN 'rejected' ELSE 'pending' END AS pipeline_status
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id

@@ -203,9 +203,8 @@ def score(normalised: DataFrame, now: datetime, region: C.Region = C.Region()) -
     )
     trust = F.col("trust_score")
     out = out.withColumn("completeness", complete)
-    out = out.withColumn(
-        "publish_score", R.publish_score(trust, F.col("confidence"), F.col("relevance"), F.col("completeness"), F.col("relevance"))
-    )
+    weighted = R.publish_score(trust, F.col("confidence"), F.col("relevance"), F.col("completeness"), F.col("relevance"))
+    out = out.withColumn("publish_score", F.when(F.col("route").isNull(), weighted))
     return out.withColumn("publishable", F.coalesce(F.col("publish_score") >= R.publish_threshold(trust), F.lit(False)))
 
 

@@ -388,7 +388,7 @@ def watchlist_refresh(spark, sf_dir):
 
 @query(
     WITH_SRC + "SELECT id, CASE WHEN s_acctbal > 7000 THEN 'whitelisted' WHEN s_acctbal < 1000 THEN 'active' WHEN s_acctbal < 4000 THEN 'blacklisted' ELSE status END AS status, "
-    "CASE WHEN s_acctbal > 7000 THEN 0.95 WHEN s_acctbal < 1000 THEN CASE WHEN trust_score = 0 THEN 0.7 ELSE trust_score END WHEN s_acctbal < 4000 THEN 0.0 ELSE trust_score END AS trust_score, "
+    "CAST(CASE WHEN s_acctbal > 7000 THEN 0.95 WHEN s_acctbal < 1000 THEN CASE WHEN trust_score = 0 THEN 0.7 ELSE trust_score END WHEN s_acctbal < 4000 THEN 0.0 ELSE trust_score END AS DOUBLE) AS trust_score, "
     "CASE WHEN s_acctbal > 7000 OR s_acctbal < 1000 THEN true WHEN s_acctbal < 4000 THEN false ELSE enabled END AS enabled FROM src"
 )
 def source_status_transition(spark, sf_dir):
@@ -400,7 +400,7 @@ def source_status_transition(spark, sf_dir):
 
 @query(
     WITH_SRC + "SELECT name, crawl_interval_hours, trust_score FROM src UNION ALL "
-    "SELECT DISTINCT c_name, 6, 0.7 FROM customer WHERE c_name NOT IN (SELECT name FROM src)"
+    "SELECT DISTINCT c_name, 6, CAST(0.7 AS DOUBLE) FROM customer WHERE c_name NOT IN (SELECT name FROM src)"
 )
 def seed_missing(spark, sf_dir):
     sources = adapt.sources(spark, sf_dir)
@@ -637,7 +637,7 @@ _TOPIC_SQL = (
     f"WHEN regexp_matches(lower(text) || ' ', 'conference|summit|conf{_W}') THEN 'conference' WHEN regexp_matches(lower(text), 'webinar|online session') THEN 'webinar' "
     "WHEN contains(lower(text), 'fest') THEN 'fest' ELSE 'meetup' END AS event_type, "
     "CASE WHEN contains(lower(text), 'student') THEN 'developers|students' ELSE 'developers' END AS audience, "
-    f"CASE WHEN {_word('lucknow')} THEN 0.95 WHEN contains(source, 'src1') THEN 0.85 ELSE 0.4 END AS local_relevance FROM documents"
+    f"CAST(CASE WHEN {_word('lucknow')} THEN 0.95 WHEN contains(source, 'src1') THEN 0.85 ELSE 0.4 END AS DOUBLE) AS local_relevance FROM documents"
 )
 def heuristic_classify(spark, sf_dir):
     region = replace(C.Region(), classifier_communities=("src1",))
@@ -656,7 +656,7 @@ def heuristic_classify(spark, sf_dir):
     "WITH d AS (SELECT doc_id, text, substr(trim(regexp_extract(text, '(?i)(?:^|\\n)\\s*(?:event|title)\\s*[:\\-]\\s*([^\\n]+)', 1), ' \t\r\n'), 1, 200) AS labelled, "
     "list_filter(list_transform(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c]'), lambda s: trim(s, ' \t\r\n')), lambda s: length(s) >= 6)[1] AS line FROM documents), "
     "t AS (SELECT *, coalesce(nullif(labelled, ''), substr(line, 1, 200)) AS title FROM d) "
-    "SELECT doc_id, title, substr(text, 1, 800) AS description, CASE WHEN length(title) >= 6 THEN 0.35 ELSE 0.0 END AS confidence, "
+    "SELECT doc_id, title, substr(text, 1, 800) AS description, CAST(CASE WHEN length(title) >= 6 THEN 0.35 ELSE 0.0 END AS DOUBLE) AS confidence, "
     "NOT coalesce(length(title) >= 6, false) AS not_an_event, coalesce(nullif(regexp_replace(regexp_extract(text, '(https?://\\S+)', 1), '[).,\\]]+$', ''), ''), 'https://docs.example.org/' || doc_id) AS registration_url FROM t"
 )
 def heuristic_extract(spark, sf_dir):
@@ -696,8 +696,8 @@ def relevance(spark, sf_dir):
 
 
 @query(
-    WITH_CAT + "SELECT id, round(least(1.0, (1 + CASE WHEN registration_url IS NULL THEN 0 ELSE 1 END + CASE WHEN end_at IS NULL THEN 0 ELSE 1 END) / 3.0 "
-    "+ CASE WHEN short_description <> '' THEN 0.1 ELSE 0 END + CASE WHEN mode <> '' THEN 0.1 ELSE 0 END + CASE WHEN venue_name <> '' THEN 0.1 ELSE 0 END + 0.1), 6) AS completeness FROM cat"
+    WITH_CAT + "SELECT id, round(CAST(least(1.0, (1 + CASE WHEN registration_url IS NULL THEN 0 ELSE 1 END + CASE WHEN end_at IS NULL THEN 0 ELSE 1 END) / 3.0 "
+    "+ CASE WHEN short_description <> '' THEN 0.1 ELSE 0 END + CASE WHEN mode <> '' THEN 0.1 ELSE 0 END + CASE WHEN venue_name <> '' THEN 0.1 ELSE 0 END + 0.1) AS DOUBLE), 6) AS completeness FROM cat"
 )
 def completeness(spark, sf_dir):
     c = R.completeness(*[F.col(c) for c in ("title", "end_at", "registration_url", "short_description", "mode", "venue_name", "organizer_name")])
@@ -709,7 +709,7 @@ _SCORE_TRUST_SQL = "CASE WHEN is_featured THEN 0.9 WHEN is_free THEN 0.0 ELSE 0.
 
 @query(
     WITH_CAT + f", p AS ({_PLACED_SQL}), r AS (SELECT id, CAST({_SCORE_TRUST_SQL} AS DOUBLE) AS trust, CAST({_REL_SQL} AS DOUBLE) AS rel, CAST({_COMPLETE_SQL} AS DOUBLE) AS com FROM p) "
-    "SELECT id, round(trust * 0.25 + 0.8 * 0.2 + rel * 0.2 + com * 0.15 + rel * 0.15 + 0.05, 6) AS publish_score, "
+    "SELECT id, round(CAST(trust * 0.25 + 0.8 * 0.2 + rel * 0.2 + com * 0.15 + rel * 0.15 + 0.05 AS DOUBLE), 6) AS publish_score, "
     "CAST(CASE WHEN trust >= 0.85 THEN 0.6 ELSE 0.68 END AS DOUBLE) AS threshold FROM r"
 )
 def publish_score(spark, sf_dir):
@@ -1077,7 +1077,7 @@ def submission_gate(spark, sf_dir):
 
 @query(
     f"WITH g AS ({_GATE_SQL}), a AS (SELECT * FROM g WHERE {_REASON_SQL} IN ('unreachable_but_allowed', 'tech_event')) "
-    "SELECT event_url AS base_url, 'Submission: ' || substr(event_url, 1, 100) AS name, CASE WHEN length(page_text) > 4000 THEN 0.7 ELSE 0.6 END AS trust_score, "
+    "SELECT event_url AS base_url, 'Submission: ' || substr(event_url, 1, 100) AS name, CAST(CASE WHEN length(page_text) > 4000 THEN 0.7 ELSE 0.6 END AS DOUBLE) AS trust_score, "
     "length(page_text) > 4000 AS enabled, CASE WHEN length(page_text) > 4000 THEN 'published' ELSE 'no_events' END AS outcome, 24 AS crawl_interval_hours, 'true' AS watch FROM a"
 )
 def submission_flow(spark, sf_dir):
@@ -1117,8 +1117,8 @@ def _routed(spark, sf_dir):
 
 @query(
     _SCORED_SQL + "SELECT CAST(o_orderkey AS VARCHAR) AS external_id, route, CASE WHEN method = 'ai' THEN 'junk_title' WHEN early = 'moderation' THEN 'missing_start_at' "
-    "WHEN route = 'moderation' THEN 'low_confidence' END AS reason, method, round(confidence, 6) AS confidence, CASE WHEN method <> 'ai' THEN rel END AS relevance, "
-    "CASE WHEN method <> 'ai' THEN round(score, 6) END AS publish_score, final_start AS start_at, date_tba FROM f"
+    "WHEN route = 'moderation' THEN 'low_confidence' END AS reason, method, CAST(round(confidence, 6) AS DOUBLE) AS confidence, CAST(CASE WHEN method <> 'ai' THEN rel END AS DOUBLE) AS relevance, "
+    "CAST(CASE WHEN early IS NULL THEN round(score, 6) END AS DOUBLE) AS publish_score, final_start AS start_at, date_tba FROM f"
 )
 def ingest_routes(spark, sf_dir):
     """The whole ingestion flow over one JSON page per order."""
@@ -1127,7 +1127,7 @@ def ingest_routes(spark, sf_dir):
     undated = F.col("route").isin("rejected") | (F.col("reason") == "missing_start_at")
     return out.select(
         "external_id", "route", "reason", F.col("extraction_method").alias("method"), F.round("confidence", 6).alias("confidence"),
-        F.when(hybrid, F.col("relevance")).alias("relevance"), F.when(hybrid, F.round("publish_score", 6)).alias("publish_score"),
+        F.when(hybrid, F.col("relevance")).alias("relevance"), F.round("publish_score", 6).alias("publish_score"),
         F.when(~F.coalesce(undated, F.lit(False)), F.col("start_at")).alias("start_at"), "date_tba",
     )
 
@@ -1239,8 +1239,8 @@ def feed_ics(spark, sf_dir):
 
 
 @query(
-    WITH_CAT + f"SELECT {_URL_SQL} AS url, 'daily' AS change_frequency, 0.8 AS priority, updated_at AS last_modified FROM cat WHERE {LIVE_SQL} UNION ALL "
-    f"SELECT 'http://localhost:3000' || p, f, w, {NOW_SQL} FROM (VALUES ('', 'hourly', 1.0), ('/events', 'hourly', 0.9), ('/calendar', 'daily', 0.8), ('/submit', 'weekly', 0.5), ('/about', 'monthly', 0.5)) t(p, f, w)"
+    WITH_CAT + f"SELECT {_URL_SQL} AS url, 'daily' AS change_frequency, CAST(0.8 AS DOUBLE) AS priority, updated_at AS last_modified FROM cat WHERE {LIVE_SQL} UNION ALL "
+    f"SELECT 'http://localhost:3000' || p, f, CAST(w AS DOUBLE), {NOW_SQL} FROM (VALUES ('', 'hourly', 1.0), ('/events', 'hourly', 0.9), ('/calendar', 'daily', 0.8), ('/submit', 'weekly', 0.5), ('/about', 'monthly', 0.5)) t(p, f, w)"
 )
 def sitemap(spark, sf_dir):
     return feeds.sitemap(adapt.catalogue(spark, sf_dir), NOW)
