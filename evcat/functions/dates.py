@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampType
 
 from evcat import config as C
-from evcat.functions.text import norm
+from evcat.functions.text import blank_to_null, let, norm
 from evcat.session import instant
 
 # Written forms read in the JVM; the rest goes through the residue reader.
@@ -32,19 +32,23 @@ def parse_datetime(c: Column, zone: str = C.DISPLAY_ZONE, now: datetime | None =
     cannot read (and only those) are sent to an Arrow batch reader that accepts partial dates and
     completes them from ``now``.
     """
-    text = F.regexp_replace(F.regexp_replace(F.trim(c), r"\s+", " "), r"(?i)\b(\d{1,2})(?:st|nd|rd|th)\b", "$1")
-    has_offset = text.rlike(_ISO) & text.rlike(_OFFSET)
-    wall = F.coalesce(
-        F.when(text.rlike(_ISO), F.try_to_timestamp(text)),
-        *[F.try_to_timestamp(text, F.lit(f)) for f in _WRITTEN],
-    )
-    read = F.when(has_offset, F.try_to_timestamp(text)).otherwise(F.to_utc_timestamp(wall, zone))
+    tidy = F.regexp_replace(F.regexp_replace(F.trim(c), r"\s+", " "), r"(?i)\b(\d{1,2})(?:st|nd|rd|th)\b", "$1")
+
+    def read(text: Column) -> Column:
+        written = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in _WRITTEN])
+        return (
+            F.when(~text.rlike(_ISO), F.to_utc_timestamp(written, zone))
+            .when(text.rlike(_OFFSET), F.try_to_timestamp(text))
+            .otherwise(F.to_utc_timestamp(F.try_to_timestamp(text), zone))
+        )
+
+    known = let(tidy, read)
     if not residue:
-        return F.when(c != "", read)
+        return known
     if now is None:
         raise ValueError("partial dates are completed from now; pass it")
-    left_over = F.when((c != "") & read.isNull(), c)
-    return F.coalesce(F.when(c != "", read), _residue_reader(zone, now)(left_over))
+    left_over = F.when(known.isNull(), blank_to_null(c))
+    return F.coalesce(known, _residue_reader(zone, now)(left_over))
 
 
 def _residue_reader(zone: str, now: datetime):

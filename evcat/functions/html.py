@@ -104,27 +104,30 @@ def json_ld_images(html: Column) -> Column:
 
 
 def looks_like_image(u: Column) -> Column:
-    low = F.lower(u)
-    return (low != "") & ~low.startswith("data:") & ~T.any_contains(low, C.VIDEO_EXTENSIONS)
+    def usable(low: Column) -> Column:
+        return (low != "") & ~low.startswith("data:") & ~T.any_contains(low, C.VIDEO_EXTENSIONS)
 
+    return T.let(F.lower(u), usable)
 
-def image_score(u: Column) -> Column:
-    low = F.lower(u)
 
+def image_score(u: Column) -> Column:
     def points(cond: Column, n: int) -> Column:
         return F.when(cond, n).otherwise(0)
 
-    raster = F.lit(False)
-    for ext in C.IMAGE_EXTENSIONS:
-        raster = raster | low.endswith(ext)
-    return (
-        F.when(low.startswith("https://"), 5).when(low.startswith("http://"), 2).otherwise(0)
-        + points(T.any_contains(low, C.IMAGE_GOOD_WORDS), 6)
-        + points(T.any_contains(low, C.IMAGE_BIG_SIZES), 4)
-        + points(T.any_contains(low, C.IMAGE_BAD_WORDS), -10)
-        + points(raster, 2)
-        + points(low.endswith(".svg"), -2)
-    )
+    def score(low: Column) -> Column:
+        raster = F.lit(False)
+        for ext in C.IMAGE_EXTENSIONS:
+            raster = raster | low.endswith(ext)
+        return (
+            F.when(low.startswith("https://"), 5).when(low.startswith("http://"), 2).otherwise(0)
+            + points(T.any_contains(low, C.IMAGE_GOOD_WORDS), 6)
+            + points(T.any_contains(low, C.IMAGE_BIG_SIZES), 4)
+            + points(T.any_contains(low, C.IMAGE_BAD_WORDS), -10)
+            + points(raster, 2)
+            + points(low.endswith(".svg"), -2)
+        )
+
+    return T.let(F.lower(u), score)
 
 
 def best_of_images(candidates: Column, page_url: Column) -> Column:
@@ -156,38 +159,42 @@ def extraction_text(page_url: Column, meta: Column, poster: Column, json_ld: Col
 
 def page_kind(url: Column, json_ld: Column, cleaned: Column) -> Column:
     """``detail``, ``listing`` or ``noise``; the first rule that applies decides."""
-    host, path = T.url_authority(url), T.url_path(url)
-
-    def on(name: str) -> Column:
-        return F.contains(host, F.lit(name))
-
-    def has(part: str) -> Column:
-        return F.contains(path, F.lit(part))
-
-    depth = F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
-    return (
-        F.when(json_ld_has_event(json_ld), "detail")
-        .when(on("lu.ma") & (depth == 1) & (F.length(path) > 2), "detail")
-        .when(on("gdg.community.dev") & has("/events/details/"), "detail")
-        .when(on("commudle.com") & has("/events/") & has("/communities/"), "detail")
-        .when(
-            on("unstop.com") & (has("/hackathons/") | has("/competitions/")),
-            F.when(depth >= 3, "detail").otherwise("listing"),
-        )
-        .when(on("meetup.com"), F.when(has("/events/"), "detail").otherwise("listing"))
-        .when(on("gdg.community.dev") | on("community.cncf.io"), "listing")
-        .when(on("commudle.com") & ~has("/events/"), "listing")
-        .when(
-            on("fossunited.org") & path.startswith("/c/"),
-            F.when(depth <= 2, "listing").otherwise("detail"),
+
+    def decide(parts: Column) -> Column:
+        host, path, depth = parts["host"], parts["path"], parts["depth"]
+
+        def on(name: str) -> Column:
+            return F.contains(host, F.lit(name))
+
+        def has(part: str) -> Column:
+            return F.contains(path, F.lit(part))
+
+        return (
+            F.when(json_ld_has_event(json_ld), "detail")
+            .when(on("lu.ma") & (depth == 1) & (F.length(path) > 2), "detail")
+            .when(on("gdg.community.dev") & has("/events/details/"), "detail")
+            .when(on("commudle.com") & has("/events/") & has("/communities/"), "detail")
+            .when(
+                on("unstop.com") & (has("/hackathons/") | has("/competitions/")),
+                F.when(depth >= 3, "detail").otherwise("listing"),
+            )
+            .when(on("meetup.com"), F.when(has("/events/"), "detail").otherwise("listing"))
+            .when(on("gdg.community.dev") | on("community.cncf.io"), "listing")
+            .when(on("commudle.com") & ~has("/events/"), "listing")
+            .when(on("fossunited.org") & path.startswith("/c/"), F.when(depth <= 2, "listing").otherwise("detail"))
+            .when(F.length(T.strip_ws(cleaned)) < 200, "noise")
+            .otherwise("detail")
         )
-        .when(F.length(T.strip_ws(cleaned)) < 200, "noise")
-        .otherwise("detail")
-    )
+
+    def place(path: Column) -> Column:
+        depth = F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
+        return F.struct(T.url_authority(url).alias("host"), path.alias("path"), depth.alias("depth"))
+
+    return T.let(T.let(T.url_path(url), place), decide)
 
 
 def valid_title(title: Column) -> Column:
-    t = T.strip_ws(title)
-    return F.coalesce(
-        F.length(t).between(4, 600) & ~F.lower(t).isin(*C.TITLE_LABELS) & ~t.rlike(C.JUNK_TITLE), F.lit(False)
-    )
+    def valid(t: Column) -> Column:
+        return F.length(t).between(4, 600) & ~F.lower(t).isin(*C.TITLE_LABELS) & ~t.rlike(C.JUNK_TITLE)
+
+    return F.coalesce(T.let(T.strip_ws(title), valid), F.lit(False))

@@ -1,6 +1,8 @@
 """Extraction, classification and scoring rules as column expressions."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,30 +23,33 @@ _EMPTY_JSON = ("", "false", "0", "0.0", "[]", "{}")
 # --- Text gate ------------------------------------------------------------------------------
 def garbage_reason(text: Column) -> Column:
     """``too_short``, ``error_page``, ``js_soup``, ``no_event_signal`` or null for usable text."""
-    t = T.strip_ws(text)
-    low = F.lower(t)
-    noise = F.lit(0)
-    for marker in C.NOISE_MARKERS:
-        noise = noise + F.contains(t, F.lit(marker)).cast("int")
-    letters = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
-    vocabulary = F.array(*[F.lit(w) for w in C.EVENT_WORDS])
-    has_word = F.arrays_overlap(F.split(low, r"(?U)[\s\x1c-\x1f]+"), vocabulary)
-    return (
-        F.when(F.length(t) < 200, "too_short")
-        .when(T.any_contains(F.left(low, F.lit(500)), C.ERROR_SIGNALS), "error_page")
-        .when((noise >= 4) & (letters < 300), "js_soup")
-        .when(~has_word & (F.length(t) < 600), "no_event_signal")
-    )
+
+    def judge(view: Column) -> Column:
+        t, low, top = view["t"], view["low"], view["top"]
+        noise = F.lit(0)
+        for marker in C.NOISE_MARKERS:
+            noise = noise + F.contains(t, F.lit(marker)).cast("int")
+        letters = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
+        vocabulary = F.array(*[F.lit(w) for w in C.EVENT_WORDS])
+        has_word = F.arrays_overlap(F.split(low, f"[{T.WS}]+"), vocabulary)
+        return (
+            F.when(F.length(t) < 200, "too_short")
+            .when(T.any_contains(top, C.ERROR_SIGNALS), "error_page")
+            .when((noise >= 4) & (letters < 300), "js_soup")
+            .when((F.length(t) < 600) & ~has_word, "no_event_signal")
+        )
+
+    def lowered(t: Column) -> Column:
+        return T.let(F.lower(t), lambda low: F.struct(t.alias("t"), low.alias("low"), F.left(low, F.lit(500)).alias("top")))
+
+    return T.let(T.let(T.strip_ws(text), lowered), judge)
 
 
 def needs_external_lookup(text: Column) -> Column:
     """Long script-heavy text without any date word. The word "am" sits in almost any text, so
     this is rarely true; the rule is kept as defined."""
-    return (
-        ~T.any_contains(F.lower(text), C.DATE_WORDS)
-        & (F.length(text) > 2000)
-        & T.any_contains(text, C.SOUP_MARKERS)
-    )
+    soup = (F.length(text) > 2000) & T.any_contains(text, C.SOUP_MARKERS)
+    return soup & T.let(F.lower(text), lambda low: ~T.any_contains(low, C.DATE_WORDS))
 
 
 # --- Deterministic parse --------------------------------------------------------------------
@@ -83,35 +88,47 @@ def extraction_method(confidence: Column, platform: Column, has_text: Column) ->
 
 # --- Heuristic extraction -------------------------------------------------------------------
 def heuristic_title(text: Column) -> Column:
-    labelled = F.regexp_extract(text, r"(?iU)(?:^|\n)\s*(?:event|title)\s*[:\-]\s*([^\n]+)", 1)
+    """A line labelled event or title, else the first line of six or more characters."""
+    labelled = F.regexp_extract(text, rf"(?i)(?:^|\n)[{T.WS}]*(?:event|title)[{T.WS}]*[:\-][{T.WS}]*([^\n]+)", 1)
     lines = F.transform(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), T.strip_ws)
     first = F.get(F.filter(lines, lambda s: F.length(s) >= 6), F.lit(0))
-    return F.coalesce(T.blank_to_null(F.left(T.strip_ws(labelled), F.lit(200))), F.left(first, F.lit(200)))
+    found = T.let(F.left(T.strip_ws(labelled), F.lit(200)), lambda t: F.when(t != "", t))
+    return F.coalesce(found, F.left(first, F.lit(200)))
 
 
 def heuristic_registration(text: Column, page_url: Column) -> Column:
     """First URL that mentions a registration word, else the first URL, else the page itself."""
-    urls = F.regexp_extract_all(text, F.lit(r"(?U)(https?://\S+)"), F.lit(1))
-    hinted = F.filter(urls, lambda u: T.any_contains(F.lower(u), C.REGISTER_WORDS))
-    chosen = F.coalesce(F.get(hinted, F.lit(0)), F.get(urls, F.lit(0)))
-    return T.first_filled(F.regexp_replace(chosen, r"[).,\]]+$", ""), page_url)
+
+    def choose(urls: Column) -> Column:
+        hinted = F.filter(urls, lambda u: T.let(F.lower(u), lambda low: T.any_contains(low, C.REGISTER_WORDS)))
+        return F.regexp_replace(F.coalesce(F.get(hinted, F.lit(0)), F.get(urls, F.lit(0))), r"[).,\]]+$", "")
+
+    urls = F.regexp_extract_all(text, F.lit(f"(https?://[^{T.WS}]+)"), F.lit(1))
+    chosen = F.when(F.contains(text, F.lit("http")), T.let(urls, choose))
+    return T.let(chosen, lambda u: F.when(F.coalesce(u, F.lit("")) != "", u).otherwise(page_url))
 
 
 def heuristic_extraction(text: Column, page_url: Column, region: C.Region = C.Region()) -> Column:
     """Struct with what can be read from plain text without a model."""
-    title = heuristic_title(text)
-    is_event = F.coalesce(F.length(title) >= 6, F.lit(False))
-    return F.struct(
-        title.alias("title"),
-        T.blank_to_null(F.left(text, F.lit(800))).alias("description"),
-        F.when(text.rlike(rf"(?iU)\b{region.key}\b"), F.lit(region.city)).alias("city"),
-        heuristic_registration(text, page_url).alias("registration_url"),
-        F.lit("unknown").alias("price_type"),
-        F.lit(True).alias("is_free"),
-        F.lit(False).alias("is_student_friendly"),
-        F.when(is_event, 0.35).otherwise(0.0).alias("confidence"),
-        (~is_event).alias("not_an_event"),
-    )
+
+    def read(t: Column) -> Column:
+        return T.let(heuristic_title(t), lambda title: fill(t, title))
+
+    def fill(t: Column, title: Column) -> Column:
+        is_event = F.coalesce(F.length(title) >= 6, F.lit(False))
+        return F.struct(
+            title.alias("title"),
+            T.blank_to_null(F.left(t, F.lit(800))).alias("description"),
+            F.when(is_mentioned(t, C.Words(whole=(region.key,))), F.lit(region.city)).alias("city"),
+            heuristic_registration(t, page_url).alias("registration_url"),
+            F.lit("unknown").alias("price_type"),
+            F.lit(True).alias("is_free"),
+            F.lit(False).alias("is_student_friendly"),
+            F.when(is_event, 0.35).otherwise(0.0).alias("confidence"),
+            (~is_event).alias("not_an_event"),
+        )
+
+    return T.let(text, read)
 
 
 def rubric_confidence(title: Column, start_at: Column, has_time: Column, place: Column, not_an_event: Column) -> Column:
@@ -127,43 +144,56 @@ def rubric_confidence(title: Column, start_at: Column, has_time: Column, place:
 
 # --- Heuristic classification ---------------------------------------------------------------
 def _is_known_community(community: Column, organizer: Column, region: C.Region) -> Column:
-    low_c, low_o = F.lower(F.coalesce(community, F.lit(""))), F.lower(F.coalesce(organizer, F.lit("")))
-    return T.any_contains(low_c, region.classifier_communities) | T.any_contains(low_o, region.classifier_communities)
+    names = F.lower(F.concat(F.coalesce(community, F.lit("")), F.lit("\n"), F.coalesce(organizer, F.lit(""))))
+    return T.let(names, lambda low: T.any_contains(low, region.classifier_communities))
+
+
+def _mentions(low: Column, words: Column, kind: C.Words) -> Column:
+    """``low`` is lower-cased text, ``words`` its ``spaced_words``."""
+    markers = [f" {w} " for w in kind.whole] + [f"{w} " for w in kind.ending]
+    found = T.any_contains(words, markers) | T.any_contains(low, kind.within)
+    if kind.pattern:
+        # Looked for only where its first letters occur.
+        start = re.match(r"(?:\\b)?(\w+)", kind.pattern).group(1)
+        found = found | (F.contains(low, F.lit(start)) & low.rlike(f"(?U){kind.pattern}"))
+    return found
 
 
-def _mentions(text: Column, pattern: str) -> Column:
-    """Match ignoring case; letters of any script count as word characters."""
-    return text.rlike(f"(?iU){pattern}")
+def is_mentioned(text: Column, kind: C.Words) -> Column:
+    return T.let(F.lower(text), lambda low: T.let(T.spaced_words(low), lambda words: _mentions(low, words, kind)))
 
 
-def topics_of(text: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(_mentions(text, p), F.lit(name)) for name, p in C.TOPIC_PATTERNS]))
+def topics_of(low: Column, words: Column) -> Column:
+    return F.array_compact(F.array(*[F.when(_mentions(low, words, k), F.lit(name)) for name, k in C.TOPIC_WORDS.items()]))
 
 
-def event_type_of(text: Column) -> Column:
-    kind = None
-    for name, pattern in C.EVENT_TYPE_PATTERNS:
-        kind = F.when(_mentions(text, pattern), name) if kind is None else kind.when(_mentions(text, pattern), name)
-    return kind.otherwise(C.DEFAULT_EVENT_TYPE)
+def event_type_of(low: Column, words: Column) -> Column:
+    kinds = [F.when(_mentions(low, words, k), F.lit(name)) for name, k in C.EVENT_TYPE_WORDS.items()]
+    return F.coalesce(*kinds, F.lit(C.DEFAULT_EVENT_TYPE))
 
 
 def classification(
     title: Column, description: Column, organizer: Column, community: Column, region: C.Region = C.Region()
 ) -> Column:
     """Struct of event type, topics, audience, student flag, local relevance and confidence."""
-    text = F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.coalesce(description, F.lit("")))
     developers = F.array(F.lit("developers"))
-    return F.struct(
-        event_type_of(text).alias("event_type"),
-        topics_of(text).alias("topics"),
-        F.when(_mentions(text, "student"), F.array(F.lit("developers"), F.lit("students"))).otherwise(developers).alias("audience"),
-        F.lit(False).alias("is_student_friendly"),
-        F.when(_mentions(text, rf"\b{region.key}\b"), 0.95)
-        .when(_is_known_community(community, organizer, region), 0.85)
-        .otherwise(0.4)
-        .alias("local_relevance"),
-        F.lit(0.4).alias("confidence"),
-    )
+
+    def judge(low: Column, words: Column) -> Column:
+        students = F.contains(low, F.lit("student"))
+        return F.struct(
+            event_type_of(low, words).alias("event_type"),
+            topics_of(low, words).alias("topics"),
+            F.when(students, F.array(F.lit("developers"), F.lit("students"))).otherwise(developers).alias("audience"),
+            F.lit(False).alias("is_student_friendly"),
+            F.when(_mentions(low, words, C.Words(whole=(region.key,))), 0.95)
+            .when(_is_known_community(community, organizer, region), 0.85)
+            .otherwise(0.4)
+            .alias("local_relevance"),
+            F.lit(0.4).alias("confidence"),
+        )
+
+    text = F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.coalesce(description, F.lit(""))))
+    return T.let(text, lambda low: T.let(T.spaced_words(low), lambda words: judge(low, words)))
 
 
 # --- Scores ---------------------------------------------------------------------------------
@@ -177,24 +207,29 @@ def relevance(
     region: C.Region = C.Region(),
 ) -> Column:
     m = F.lower(F.coalesce(mode, F.lit("")))
-    place = F.lower(F.concat_ws(" ", T.blank_to_null(city), T.blank_to_null(address), T.blank_to_null(venue)))
-    host = F.lower(F.concat_ws(" ", T.blank_to_null(organizer), T.blank_to_null(community)))
-    if region.word_boundary:
-        institution = _mentions(place, r"\b(?:" + "|".join(region.institutions) + r")\b")
-    else:
-        institution = T.any_contains(place, region.institutions)
-    on_site = (
-        F.when(F.contains(place, F.lit(region.key)), 1.0)
-        .when(T.any_contains(place, region.localities), 0.95)
-        .when(institution, 0.90)
-        .otherwise(0.1)
-    )
-    remote = (
-        F.when(T.any_contains(host, region.communities), 0.90)
-        .when(F.contains(host, F.lit(region.key)), 0.85)
-        .otherwise(0.50)
-    )
-    return F.when(m.isin("offline", ""), on_site).when(m.isin("online", "hybrid"), remote).otherwise(0.3)
+    where = F.lower(F.concat_ws(" ", T.blank_to_null(city), T.blank_to_null(address), T.blank_to_null(venue)))
+    who = F.lower(F.concat_ws(" ", T.blank_to_null(organizer), T.blank_to_null(community)))
+
+    def on_site(place: Column) -> Column:
+        if region.word_boundary:
+            institution = T.any_contains(T.spaced_words(place), [f" {i} " for i in region.institutions])
+        else:
+            institution = T.any_contains(place, region.institutions)
+        return (
+            F.when(F.contains(place, F.lit(region.key)), 1.0)
+            .when(T.any_contains(place, region.localities), 0.95)
+            .when(institution, 0.90)
+            .otherwise(0.1)
+        )
+
+    def remote(host: Column) -> Column:
+        return (
+            F.when(T.any_contains(host, region.communities), 0.90)
+            .when(F.contains(host, F.lit(region.key)), 0.85)
+            .otherwise(0.50)
+        )
+
+    return F.when(m.isin("offline", ""), T.let(where, on_site)).when(m.isin("online", "hybrid"), T.let(who, remote)).otherwise(0.3)
 
 
 def completeness(

@@ -6,6 +6,8 @@ rule is sequential: a row is compared with the rows *kept* before it, in arrival
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,33 +84,35 @@ def match_catalogue(new: DataFrame, existing: DataFrame) -> DataFrame:
 _KEEP, _DROP, _WAIT = 1, 0, -1
 
 
-def _settle_in_order(group: pd.DataFrame) -> pd.DataFrame:
-    """Settle one title's unbroken run of half days, in arrival order.
+def _settle_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Settle each title's unbroken runs of half days in arrival order.
 
-    Two starts in one half day always reach each other, so a half day holds at most one kept row.
-    Rows that wait for another title or URL stay open, and so do rows that could follow them.
+    Rows come sorted by title, run and arrival, so only the state of the current run is held: its
+    kept and its open starts per half day. Two starts in one half day always reach each other, so a
+    half day holds at most one kept row. Rows that wait for another title or URL stay open, and
+    so do rows that could follow them.
     """
-    kept: dict[int, int] = {}
-    open_low: dict[int, int] = {}
-    open_high: dict[int, int] = {}
-    group = group.sort_values("seq")
-    verdicts = []
-    for us, blocked in zip(group["us"], group["blocked"]):
-        half = us // _REACH
-        taken = any(h in kept and abs(kept[h] - us) <= _REACH for h in (half - 1, half, half + 1))
-        unsure = (
-            blocked
-            or half in open_low
-            or open_high.get(half - 1, us - _REACH - 1) >= us - _REACH
-            or open_low.get(half + 1, us + _REACH + 1) <= us + _REACH
-        )
-        verdicts.append(_DROP if taken else _WAIT if unsure else _KEEP)
-        if verdicts[-1] == _WAIT:
-            open_low[half] = min(us, open_low.get(half, us))
-            open_high[half] = max(us, open_high.get(half, us))
-        elif verdicts[-1] == _KEEP:
-            kept[half] = us
-    return group.assign(verdict=verdicts)[["title", "us", "url", "seq", "verdict"]]
+    current, kept, open_low, open_high = None, {}, {}, {}
+    for batch in batches:
+        verdicts = []
+        for title, run, us, blocked in zip(batch["title"], batch["run"], batch["us"], batch["blocked"]):
+            if (title, run) != current:
+                current, kept, open_low, open_high = (title, run), {}, {}, {}
+            half = us // _REACH
+            taken = any(h in kept and abs(kept[h] - us) <= _REACH for h in (half - 1, half, half + 1))
+            unsure = (
+                blocked
+                or half in open_low
+                or open_high.get(half - 1, us - _REACH - 1) >= us - _REACH
+                or open_low.get(half + 1, us + _REACH + 1) <= us + _REACH
+            )
+            verdicts.append(_DROP if taken else _WAIT if unsure else _KEEP)
+            if verdicts[-1] == _WAIT:
+                open_low[half] = min(us, open_low.get(half, us))
+                open_high[half] = max(us, open_high.get(half, us))
+            elif verdicts[-1] == _KEEP:
+                kept[half] = us
+        yield batch[["title", "us", "url", "seq"]].assign(verdict=verdicts)
 
 
 def _runs(fronts: DataFrame) -> DataFrame:
@@ -165,8 +169,10 @@ def greedy_keep(rows: DataFrame, pairs: DataFrame, local_rows: int = LOCAL_GROUP
         large = cut(sizes.filter(F.col("n") > local_rows).select("title", "run"))
         some_large = not large.isEmpty()
         small = fronts.join(large, ["title", "run"], "left_anti") if some_large else fronts
-        settled = small.groupBy("title", "run").applyInPandas(
-            _settle_in_order, "title string, us bigint, url string, seq bigint, verdict int"
+        settled = (
+            small.repartition("title", "run")
+            .sortWithinPartitions("title", "run", "seq")
+            .mapInPandas(_settle_in_order, "title string, us bigint, url string, seq bigint, verdict int")
         )
         if some_large:
             big = fronts.join(large, ["title", "run"], "left_semi")

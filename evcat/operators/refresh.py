@@ -1,6 +1,7 @@
 """Refresh existing events from their duplicates, only where the new data is better."""
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime, timezone
 
 import pandas as pd
@@ -17,16 +18,24 @@ _DEFAULTED_US = int(datetime(C.DEFAULTED_YEAR, 1, 1, tzinfo=timezone.utc).timest
 FILL_FIELDS = ("description", "short_description", "poster_url", "venue_name", "locality")
 
 
-def _fold_starts(group: pd.DataFrame) -> pd.DataFrame:
-    """Apply one event's offers in arrival order."""
-    group = group.sort_values("seq")
-    start, published = group["start_us"].iloc[0], group["published_us"].iloc[0]
-    first = start
-    for new in group["new_us"]:
-        near = not pd.isna(published) and abs(start - published) < 120 * _SECOND
-        if new != start and (near or start >= _DEFAULTED_US or abs(start - new) >= 6 * 3600 * _SECOND):
-            start = new
-    return group[["id"]].iloc[: int(start != first)].assign(start_us=start)
+def _fold_starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Apply offers to events in arrival order; rows come sorted by event and arrival.
+
+    Every accepted change is a row, the last one of an event counts.
+    """
+    current, start = None, 0
+    for batch in batches:
+        changes = []
+        for id_, seq, first, published, new in zip(
+            batch["id"], batch["seq"], batch["start_us"], batch["published_us"], batch["new_us"]
+        ):
+            if id_ != current:
+                current, start = id_, first
+            near = published == published and abs(start - published) < 120 * _SECOND
+            if new != start and (near or start >= _DEFAULTED_US or abs(start - new) >= 6 * 3600 * _SECOND):
+                start = new
+                changes.append((id_, start, seq))
+        yield pd.DataFrame(changes, columns=["id", "start_us", "seen"])
 
 
 def settle_starts(events: DataFrame, dups: DataFrame, local_rows: int = LOCAL_GROUP_ROWS) -> DataFrame:
@@ -50,15 +59,18 @@ def settle_starts(events: DataFrame, dups: DataFrame, local_rows: int = LOCAL_GR
     large = cut(sizes.filter(F.col("n") > local_rows).select("id"))
     some_large = not large.isEmpty()
     small = offers.join(large, "id", "left_anti") if some_large else offers
-    moved = small.groupBy("id").applyInPandas(_fold_starts, "id string, start_us bigint")
+    changes = (
+        small.repartition("id").sortWithinPartitions("id", "seq").mapInPandas(_fold_starts, "id string, start_us bigint, seen bigint")
+    )
     if some_large:
-        moved = moved.unionByName(_chase_starts(offers.join(large, "id", "left_semi")))
+        changes = changes.unionByName(_chase_starts(offers.join(large, "id", "left_semi")))
+    moved = changes.groupBy("id").agg(F.max_by("start_us", "seen").alias("start_us"))
     kind = events.schema["start_at"].dataType
     return moved.select("id", F.timestamp_micros("start_us").cast(kind).alias("start_at"))
 
 
 def _chase_starts(offers: DataFrame) -> DataFrame:
-    """The same for busy events: one change of every event per round."""
+    """All changes of busy events, one change of every event per round."""
     current = cut(offers.select("id", "start_us", "published_us").distinct().withColumn("seen", F.lit(-1).cast("bigint")))
     offers = offers.select("id", "new_us", "seq")
     changed = current.limit(0).select("id", "start_us", "seen")
@@ -76,7 +88,7 @@ def _chase_starts(offers: DataFrame) -> DataFrame:
             step.select("id", F.col("hit.new_us").alias("start_us"), "published_us", F.col("hit.seq").alias("seen"))
         )
         changed = changed.unionByName(current.select("id", "start_us", "seen"))
-    return changed.groupBy("id").agg(F.max_by("start_us", "seen").alias("start_us"))
+    return changed
 
 
 def refresh_existing(events: DataFrame, dups: DataFrame, now: datetime) -> DataFrame:

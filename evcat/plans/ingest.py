@@ -64,15 +64,8 @@ def parse(raw: DataFrame, region: C.Region = C.Region(), extractions: DataFrame
     first = R.parse_confidence(
         F.col("p_title"), F.col("p_canonical_url"), F.col("p_start_at"), F.col("p_mode"), F.col("p_description")
     )
-    text = F.coalesce(T.blank_to_null(F.col("cleaned_text")), T.clean_text(F.col("raw_payload_json"), C.MAX_EXTRACTION_CHARS))
-    page = F.coalesce(F.col("p_canonical_url"), F.col("page_url"))
     out = out.withColumns(
-        {
-            "kind": H.page_kind(F.col("page_url"), F.col("json_ld"), F.col("cleaned_text")),
-            "first_confidence": first,
-            "garbage": R.garbage_reason(text),
-            "heuristic": R.heuristic_extraction(text, page, region),
-        }
+        {"kind": H.page_kind(F.col("page_url"), F.col("json_ld"), F.col("cleaned_text")), "first_confidence": first}
     )
     has_text = F.coalesce(F.col("cleaned_text") != "", F.lit(False))
     out = out.withColumn(
@@ -81,6 +74,12 @@ def parse(raw: DataFrame, region: C.Region = C.Region(), extractions: DataFrame
             R.extraction_method(F.col("first_confidence"), F.col("platform"), has_text)
         ),
     )
+    # The text is only looked at where the rules ask for extraction.
+    text = F.coalesce(T.blank_to_null(F.col("cleaned_text")), T.clean_text(F.col("raw_payload_json"), C.MAX_EXTRACTION_CHARS))
+    out = out.withColumn("_text", F.when(F.col("extraction_method") == "ai", text))
+    page = F.coalesce(F.col("p_canonical_url"), F.col("page_url"))
+    heuristic = R.heuristic_extraction(F.col("_text"), page, region)
+    out = out.withColumn("heuristic", F.when(F.col("_text").isNotNull(), heuristic))
     return merge_extraction(out, extractions, region)
 
 
@@ -112,7 +111,7 @@ def merge_extraction(parsed: DataFrame, extractions: DataFrame | None, region: C
     no_topics = F.array().cast("array<string>")
     asked = F.col("extraction_method") == "ai"
     # Heuristics stand in for a model; the text gate guards model results only.
-    not_event = F.when(has_model, m_not | F.col("garbage").isNotNull()).otherwise(h["not_an_event"])
+    not_event = F.when(has_model, m_not | R.garbage_reason(F.col("_text")).isNotNull()).otherwise(h["not_an_event"])
     use = asked & ~not_event
     heuristic = {"title": h["title"], "description": h["description"], "city": h["city"], "registration_url": h["registration_url"]}
 
