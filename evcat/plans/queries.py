@@ -1210,7 +1210,7 @@ def search_index_lookup(spark, sf_dir):
 def search_stemmed(spark, sf_dir):
     """Stemmed full-text search over all documents (the stemmer has no SQL counterpart)."""
     docs = adapt.read_spread(spark, sf_dir, "documents")
-    return docs.filter(search.matches_all(stem.terms(F.col("text")), stem.query_terms("areas others"))).select("doc_id")
+    return docs.filter(search.matches_all(stem.terms(F.col("text")), stem.query_terms("onings reed"))).select("doc_id")
 
 
 # --- Feeds ----------------------------------------------------------------------------------

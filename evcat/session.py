@@ -64,6 +64,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# A broadcast table is held by every executor; rows here are narrow (keys and a few short fields).
+BROADCAST_ROWS = 1_000_000
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a frame has at most ``rows`` rows; reads no further than that."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint for a frame whose size was checked; above the bound it joins by shuffle."""
+    return F.broadcast(df) if is_small(df, rows) else df
+
+
 def instant(at: datetime) -> Column:
     """Literal for a point in time, taken as UTC when naive.
 
