@@ -30,10 +30,9 @@ def _half_days(us: str) -> str:
 # --- Against the catalogue ------------------------------------------------------------------
 def match_by_url(new: DataFrame, existing: DataFrame) -> DataFrame:
     """(url, match): the first catalogue row, by created_at and id, with the same URL."""
-    first = existing.groupBy(F.col("canonical_url").alias("url")).agg(
-        F.min(F.struct("created_at", "id")).alias("match")
-    )
-    return new.select("url").filter("url <> ''").distinct().join(first, "url").select("url", F.col("match.id").alias("match"))
+    wanted = new.select("url").filter("url <> ''").distinct()
+    known = existing.select(F.col("canonical_url").alias("url"), "created_at", "id").join(wanted, "url", "left_semi")
+    return known.groupBy("url").agg(F.min(F.struct("created_at", "id")).alias("match")).select("url", F.col("match.id").alias("match"))
 
 
 def match_by_title(new: DataFrame, existing: DataFrame) -> DataFrame:
@@ -59,8 +58,8 @@ def match_by_title(new: DataFrame, existing: DataFrame) -> DataFrame:
 
 def match_whole_title(new: DataFrame, existing: DataFrame) -> DataFrame:
     """(title, match) for rows without a start: equal titles, ignoring case."""
-    first = existing.groupBy(F.lower("title").alias("title")).agg(F.min(F.struct("created_at", "id")).alias("match"))
-    return new.select("title").distinct().join(first, "title").select("title", F.col("match.id").alias("match"))
+    known = existing.select(F.lower("title").alias("title"), "created_at", "id").join(new.select("title").distinct(), "title", "left_semi")
+    return known.groupBy("title").agg(F.min(F.struct("created_at", "id")).alias("match")).select("title", F.col("match.id").alias("match"))
 
 
 def match_catalogue(new: DataFrame, existing: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from evcat import config as C
 from evcat.functions import text as T
 from evcat.operators import tables
-from evcat.session import instant
+from evcat.session import cut, instant
 
 _EXTRACTED = "title STRING, canonical_url STRING, registration_url STRING, community_name STRING, organizer_name STRING"
 _PAYLOAD = "title STRING, page_url STRING, url STRING"
@@ -68,17 +68,19 @@ def pending(items: DataFrame, raw_events: DataFrame) -> DataFrame:
 def event_queue(raw_events: DataFrame, items: DataFrame, limit: int = 50) -> DataFrame:
     """Raw events still in the flow, newest first, with the reason of those in moderation.
 
-    The top rows are found first on narrow columns; only they are parsed and joined. Among several
+    Only the top rows are parsed, and only their moderation rows are read. Among several
     moderation rows of one raw event the last by created_at, id counts.
     """
-    top = (
+    top = cut(
         raw_events.filter(F.col("pipeline_status").isin(*C.QUEUE_STATUSES))
         .orderBy(F.col("seen_at").desc_nulls_first(), "id")
         .limit(limit)
     )
     rows = _parsed(top)
+    ids = top.select(F.col("id").alias("entity_id"))
     reasons = (
         items.filter("entity_type = 'raw_event'")
+        .join(F.broadcast(ids), "entity_id", "left_semi")  # at most ``limit`` rows
         .groupBy(F.col("entity_id").alias("id"))
         .agg(F.max_by("reason", F.struct("created_at", F.col("id"))).alias("_reason"))
     )

@@ -91,6 +91,12 @@ def _chase_starts(offers: DataFrame) -> DataFrame:
     return changed
 
 
+def refresh_touched(events: DataFrame, dups: DataFrame, now: datetime) -> DataFrame:
+    """Only the events that have duplicates, refreshed: what a log of changes needs."""
+    touched = dups.select(F.col("match").alias("id")).distinct()
+    return refresh_existing(events.join(touched, "id", "left_semi"), dups, now)
+
+
 def refresh_existing(events: DataFrame, dups: DataFrame, now: datetime) -> DataFrame:
     """All events, those with better duplicate data updated; adds ``refreshed``.
 

@@ -9,7 +9,7 @@ _SIZES = (32, 16, 8, 4, 2, 1)
 
 def _grams(c: Column, size: int) -> Column:
     starts = F.sequence(F.lit(1), F.length(c) - (size - 1))
-    cut = F.array_distinct(F.transform(starts, lambda i: F.substring(c, i, F.lit(size))))
+    cut = F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(c, i, F.lit(size)))))
     return F.when(F.length(c) >= size, cut)
 
 
@@ -18,22 +18,26 @@ def contained_titles(inner: DataFrame, outer: DataFrame) -> DataFrame:
 
     Both frames have one column ``title``. An inner title is looked up by one of its fragments:
     the longest fragment size it has room for, and of those the one found in the fewest outer
-    titles. Outer titles offer all their fragments. A fragment common to many titles is therefore
+    titles. Outer titles offer all their fragments (as hashes). A fragment common to many titles is therefore
     chosen only when the inner title has nothing rarer, and every candidate is checked.
     """
     ins = inner.select(F.col("title").alias("inner")).filter("inner <> ''").distinct()
     outs = outer.select(F.col("title").alias("outer")).filter("outer <> ''").distinct()
-    size = F.lit(_SIZES[-1])
+    outs = outs.withColumn("outer_id", F.xxhash64("outer"))
+    size = F.lit(0)
     for s in reversed(_SIZES):
         size = F.when(F.length("inner") >= s, F.lit(s)).otherwise(size)
-    by_size = None
-    for s in _SIZES:
-        grams = F.when(size == s, _grams(F.col("inner"), s))
-        by_size = grams if by_size is None else F.coalesce(by_size, grams)
-    inner_grams = ins.select("inner", F.explode(by_size).alias("gram"))
-    sizes = [_grams(F.col("outer"), s) for s in _SIZES]
-    every = F.flatten(F.array_compact(F.array(*sizes)))
-    outer_grams = outs.select("outer", F.explode(every).alias("gram"))
+    sized = ins.withColumn("size", size)
+    # At most one row per fragment size; sizes no inner title uses are not spelled out.
+    used = [row["size"] for row in sized.select("size").distinct().collect()]
+    sizes = [s for s in _SIZES if s in used]
+    if not sizes:
+        return sized.select("inner", F.col("inner").alias("outer"))
+    own = F.coalesce(*[F.when(F.col("size") == s, _grams(F.col("inner"), s)) for s in sizes])
+    inner_grams = sized.select("inner", F.explode(own).alias("gram"))
+    every = F.flatten(F.array_compact(F.array(*[_grams(F.col("outer"), s) for s in sizes])))
+    # Only numbers are exploded; the text is looked up again for the few candidates.
+    outer_grams = outs.select("outer_id", F.explode(every).alias("gram"))
 
     spread = outer_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = (
@@ -44,4 +48,5 @@ def contained_titles(inner: DataFrame, outer: DataFrame) -> DataFrame:
         .filter("pick.n > 0")
         .select("inner", F.col("pick.gram").alias("gram"))
     )
-    return rarest.join(outer_grams, "gram").filter(F.contains("outer", "inner")).select("inner", "outer")
+    candidates = rarest.join(outer_grams, "gram").select("inner", "outer_id")
+    return candidates.join(outs, "outer_id").filter(F.contains("outer", "inner")).select("inner", "outer").distinct()

@@ -18,7 +18,7 @@ from evcat.functions import rules as R
 from evcat.functions import text as T
 from evcat.operators import dedup, moderation, refresh, search, slugs, tables
 from evcat.operators.ordered import add_row_number
-from evcat.session import cut, instant
+from evcat.session import broadcast_if_small, cut, instant, is_small
 from evcat.sources import pages as P
 
 _TEXT_FIELDS = (
@@ -29,12 +29,17 @@ _TEXT_FIELDS = (
 
 @dataclass(frozen=True)
 class IngestResult:
-    """New versions of the tables and the rows to append."""
+    """New versions of the tables, and the rows to add where tables are kept as logs.
+
+    ``raw_events`` and ``events`` are whole new versions; ``raw_updates`` and ``event_updates`` are
+    the rows that differ from before (new events and refreshed ones).
+    """
 
     routed: DataFrame
     raw_events: DataFrame
+    raw_updates: DataFrame
     events: DataFrame
-    new_events: DataFrame
+    event_updates: DataFrame
     moderation: DataFrame
     runs: DataFrame
     snapshots: DataFrame
@@ -335,9 +340,10 @@ def routed_rows(
     region: C.Region = C.Region(),
     extractions: DataFrame | None = None,
     residue: bool = True,
+    only: DataFrame | None = None,
 ) -> DataFrame:
     """Pages to routed raw events, without change detection."""
-    return route(scored_rows(pages, sources, now, region, extractions, residue), events)
+    return route(scored_rows(pages, sources, now, region, extractions, residue, only), events)
 
 
 def scored_rows(
@@ -347,10 +353,22 @@ def scored_rows(
     region: C.Region = C.Region(),
     extractions: DataFrame | None = None,
     residue: bool = True,
+    only: DataFrame | None = None,
 ) -> DataFrame:
-    about = sources.select(F.col("id").alias("source_id"), "platform", "base_url", "trust_score")
-    placed = pages.join(about.select("source_id", "platform"), "source_id")
-    raw = identify(P.raw_events_of(placed)).join(about, "source_id")
+    """Pages to scored raw events; ``only`` restricts them to (source_id, url, fetched_at) keys.
+
+    Page bodies are not shuffled for a join when it can be helped: sources and keys are broadcast
+    if their checked size allows. Otherwise keys are applied after extraction, whose rows are
+    a fraction of the bodies.
+    """
+    about = broadcast_if_small(sources.select(F.col("id").alias("source_id"), "platform", "base_url", "trust_score"))
+    late = only is not None and not is_small(only)
+    if only is not None and not late:
+        pages = pages.join(F.broadcast(only), ["source_id", "url", "fetched_at"], "left_semi")
+    raw = identify(P.raw_events_of(pages.join(about, "source_id")))
+    if late:
+        raw = raw.join(only.withColumnRenamed("url", "page_url"), ["source_id", "page_url", "fetched_at"], "left_semi")
+    raw = raw.join(about, "source_id")
     scored = score(normalise(parse(raw, region, extractions), now, region, residue), now, region)
     used_up = [c for c in scored.columns if c.startswith(("p_", "m_", "_"))]
     return cut(scored.drop("payload", "heuristic", "cleaned_text", "json_ld", *used_up))
@@ -370,22 +388,24 @@ def ingest(
     """One ingestion run. Inputs are tables, outputs the rows to append and the new versions."""
     prints = cut(P.changed_prints(P.fingerprints(pages), snapshots, sources))
     keys = prints.select("source_id", "url", "fetched_at").distinct()
-    changed = pages.join(keys, ["source_id", "url", "fetched_at"], "left_semi")
-    routed = cut(routed_rows(changed, sources, events, now, region, extractions, residue))
+    routed = cut(routed_rows(pages, sources, events, now, region, extractions, residue, keys))
     fresh = cut(new_events(routed, events, now, region))
     dups = routed.filter("route = 'duplicate'").select(
         "match", "seq", "start_at", "end_at", *refresh.FILL_FIELDS
     )
     columns = [c for c in events.columns if c in fresh.columns]
-    catalogue = refresh.refresh_existing(events.select(*columns).unionByName(fresh.select(*columns)), dups, now)
+    both = events.select(*columns).unionByName(fresh.select(*columns))
+    refreshed = refresh.refresh_touched(both, dups, now).filter("refreshed").drop("refreshed")
+    changes = cut(refreshed.unionByName(tables.delete(fresh.select(*columns), refreshed)))
     page_counts = prints.groupBy("source_id").agg(F.count(F.lit(1)).cast("int").alias("pages_fetched"))
     queued = routed.filter("route = 'moderation'")
     updates = raw_event_rows(routed, now)
     return IngestResult(
         routed=routed,
         raw_events=tables.upsert(raw_events, updates, ["source_id", "external_id"], ["seen_at", "id"], keep=["id"]),
-        events=catalogue,
-        new_events=fresh,
+        raw_updates=updates,
+        events=tables.delete(events.select(*columns), changes).unionByName(changes),
+        event_updates=changes,
         moderation=moderation.queue_rows(queued, F.col("reason"), now),
         runs=crawl_counters(routed, page_counts, now),
         snapshots=P.snapshot_rows(prints),

@@ -51,16 +51,16 @@ SHORT = "id, title, start_at, date_tba, mode, locality"
 
 # --- Listings -------------------------------------------------------------------------------
 _LISTING = cat.CatalogueQuery(
-    start_date=date(1997, 6, 1), end_date=date(1999, 12, 31), mode="offline", locality="nation_3", community="build",
-    topic="BUILDING", is_free=False, page=2, limit=20,
+    start_date=date(1996, 6, 1), end_date=date(2000, 12, 31), mode="offline", locality="nation_3", community="build",
+    topic="BUILDING", is_free=False, page=2, limit=5,
 )
 _LISTING_SQL = (
-    f"{LIVE_SQL} AND start_at >= TIMESTAMP '1997-06-01' AND start_at < TIMESTAMP '2000-01-01' AND mode = 'offline' "
+    f"{LIVE_SQL} AND start_at >= TIMESTAMP '1996-06-01' AND start_at < TIMESTAMP '2001-01-01' AND mode = 'offline' "
     "AND lower(locality) = 'nation_3' AND community_name ILIKE '%build%' AND list_contains(topics, 'BUILDING') AND NOT is_free"
 )
 
 
-@query(WITH_CAT + f"SELECT {SHORT} FROM cat WHERE {_LISTING_SQL} ORDER BY date_tba, start_at, id LIMIT 20 OFFSET 20")
+@query(WITH_CAT + f"SELECT {SHORT} FROM cat WHERE {_LISTING_SQL} ORDER BY date_tba, start_at, id LIMIT 5 OFFSET 5")
 def listing_page(spark, sf_dir):
     return _short(cat.page(cat.search(adapt.catalogue(spark, sf_dir), _LISTING, NOW), _LISTING))
 
@@ -146,13 +146,13 @@ def calendar_events(spark, sf_dir):
 
 
 @query(
-    WITH_CAT + f", pg AS (SELECT * FROM cat WHERE {LIVE_SQL} ORDER BY date_tba, start_at, id LIMIT 200) "
-    f"SELECT {SHORT} FROM pg WHERE start_at >= {NOW_SQL}"
+    WITH_CAT + f", pg AS (SELECT * FROM cat WHERE {LIVE_SQL.replace('1998', '1995')} ORDER BY date_tba, start_at, id LIMIT 200) "
+    f"SELECT {SHORT} FROM pg WHERE start_at >= TIMESTAMP '1995-01-03'"
 )
 def calendar_page(spark, sf_dir):
     q = cat.CatalogueQuery(limit=200)
-    page = cat.page(cat.search(adapt.catalogue(spark, sf_dir), q, NOW), q)
-    return _short(cat.upcoming_of_page(page, NOW))
+    page = cat.page(cat.search(adapt.catalogue(spark, sf_dir), q, datetime(1995, 1, 1)), q)
+    return _short(cat.upcoming_of_page(page, datetime(1995, 1, 3)))
 
 
 @query(

@@ -134,10 +134,8 @@ def ingest_pages(
         result = ingest(
             batch, sources, before["events"], before["raw_events"], before["snapshots"], now(n), region, residue=residue
         )
-        changed = result.events.join(result.new_events.select("id", F.lit(True).alias("_new")), "id", "left")
-        store.add("events", changed.filter("refreshed OR _new").drop("refreshed", "_new"), n)
-        touched = result.routed.select("id").distinct()
-        store.add("raw_events", result.raw_events.join(touched, "id", "left_semi"), n)
+        store.add("events", result.event_updates, n)
+        store.add("raw_events", result.raw_updates, n)
         store.add("moderation", result.moderation, n)
         store.add("runs", result.runs, n)
         # Last, so that a batch that failed half-way reads its pages again.
