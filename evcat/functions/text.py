@@ -46,11 +46,13 @@ def spaced_words(low: Column) -> Column:
 
 
 def any_contains(c: Column, words: Sequence[str]) -> Column:
-    """True when the text contains one of a fixed list of words; null text counts as empty."""
-    found = F.lit(False)
-    for word in words:
-        found = found | F.contains(c, F.lit(word))
-    return F.coalesce(found, F.lit(False))
+    """True when the text contains one of a fixed list of words; null text counts as empty.
+
+    One pass over the text for all words.
+    """
+    if not words:
+        return F.lit(False)
+    return F.coalesce(c.rlike("|".join(rf"\Q{word}\E" for word in words)), F.lit(False))
 
 
 def strip_html(c: Column) -> Column:

@@ -39,7 +39,7 @@ def _fold(line: Column) -> Column:
     falls inside a multi-byte character."""
     octets = F.decode(F.encode(line, "UTF-8"), "ISO-8859-1")
     parts = F.regexp_replace(octets, r"(?s)\G(?=.{75})(.{1,74})(?![\x80-\xBF])", "$1\r\n ")
-    return F.decode(F.encode(parts, "ISO-8859-1"), "UTF-8")
+    return F.when(F.octet_length(line) <= 74, line).otherwise(F.decode(F.encode(parts, "ISO-8859-1"), "UTF-8"))
 
 
 def ics_event(site: C.Site = _SITE) -> Column:
@@ -53,7 +53,7 @@ def ics_event(site: C.Site = _SITE) -> Column:
     organizer = T.first_filled(F.col("community_name"), F.col("organizer_name"))
 
     def prop(name: str, value: Column) -> Column:
-        return _fold(F.concat(F.lit(name + ":"), value))  # null value, no line
+        return T.let(F.concat(F.lit(name + ":"), value), _fold)  # null value, no line
 
     lines = F.array_compact(
         F.array(

@@ -14,7 +14,7 @@ def one(spark, **kw):
 
 def test_calendar_file(spark):
     df = one(
-        spark, short_description="Läuft\; a, b\\c " + "ü" * 60, registration_url="https://r/" + "x" * 80, venue_name="V", address="A",
+        spark, short_description="Läuft; a, b\\c " + "ü" * 60, registration_url="https://r/" + "x" * 80, venue_name="V", address="A",
         community_name="C", end_at=datetime(2026, 5, 3, 12),
     )
     lines = "\r\n".join(r.value for r in feeds.ics_feed(df, NOW).collect()).split("\r\n")
@@ -22,7 +22,7 @@ def test_calendar_file(spark):
     assert max(len(line.encode()) for line in lines) <= 75
     whole = "\r\n".join(lines).replace("\r\n ", "")
     assert "DTSTART:20260503T100000Z\r\nDTEND:20260503T120000Z\r\nUID:s@event-catalogue" in whole
-    assert "DESCRIPTION:Läuft\; a\\, b\\\\c " + "ü" * 60 + "\\n\\nRegister: https://r/" + "x" * 80 in whole
+    assert r"DESCRIPTION:Läuft\; a\, b\\c " + "ü" * 60 + r"\n\nRegister: https://r/" + "x" * 80 in whole
     assert "LOCATION:V\\, A\r\nORGANIZER:C\r\nURL:https://e/1" in whole
 
 
