@@ -19,8 +19,9 @@ from evcat.session import cut
 
 REACH_SECONDS = 12 * 3600
 _REACH = REACH_SECONDS * 1_000_000
-# Groups with more fronts than this are not handed to one task; they go through the set-based rounds.
-LOCAL_GROUP_ROWS = 50_000
+# Most fronts of one run that one task may stream over: seconds of work on a spilling sort, with a
+# state of two entries per calendar day. Longer runs go through the set-based rounds.
+LOCAL_GROUP_ROWS = 2_000_000
 
 
 def _half_days(us: str) -> str:

@@ -10,6 +10,7 @@ from evcat.operators.titles import contained_titles
 from evcat.plans import adapt
 from evcat.plans.queries import QUERIES
 from evcat.sources import files
+from tests.test_dedup import sequential
 
 
 def plan(df):
@@ -75,7 +76,6 @@ def test_hot_group_of_copies_and_hot_title(spark):
         F.when(F.col("id") % 3 == 0, F.concat(F.lit("u"), F.col("id"))).otherwise("").alias("url"),
         F.lit(True).alias("publishable"),
     )
-    whole = {r.seq: r.dup_of for r in dedup.batch_duplicates(rows).collect()}
-    split = {r.seq: r.dup_of for r in dedup.batch_duplicates(rows, local_rows=10).collect()}
-    assert whole == split and len(whole) == 6000
-    assert whole[0] is None and whole[3] == 0 and whole[1] is None and whole[4] == 1
+    got = {r.seq: r.dup_of for r in dedup.batch_duplicates(rows).collect()}
+    assert got == sequential([tuple(r) for r in rows.select("title", "us", "url", "seq", "publishable").collect()])
+    assert got[0] is None and got[5997] == 0 and got[1] is None and got[4] == 1
