@@ -365,7 +365,7 @@ def scored_rows(
     late = only is not None and not is_small(only)
     if only is not None and not late:
         pages = pages.join(F.broadcast(only), ["source_id", "url", "fetched_at"], "left_semi")
-    raw = identify(P.raw_events_of(pages.join(about, "source_id")))
+    raw = identify(P.raw_events_of(pages.join(about, "source_id"), P.adapters_in_use(sources)))
     if late:
         raw = raw.join(only.withColumnRenamed("url", "page_url"), ["source_id", "page_url", "fetched_at"], "left_semi")
     raw = raw.join(about, "source_id")

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evcat import config as C
@@ -96,13 +96,29 @@ def register_adapter(platform: str, adapter: Adapter) -> None:
     ADAPTERS[platform] = adapter
 
 
-def raw_events_of(pages: DataFrame) -> DataFrame:
-    """Read each page with the adapter of its ``platform``; unknown platforms use the generic one."""
-    named = [p for p in ADAPTERS if p != "generic"]
-    platform = F.coalesce("platform", F.lit("generic"))
-    out = generic_adapter(pages.filter(~platform.isin(*named))).select(*RAW_COLUMNS)
-    for name in named:
-        out = out.unionByName(ADAPTERS[name](pages.filter(platform == name)).select(*RAW_COLUMNS))
+def adapter_name(platform: Column) -> Column:
+    """Name of the adapter that reads a platform; unknown platforms use the generic one."""
+    return F.when(platform.isin(*ADAPTERS), platform).otherwise("generic")
+
+
+def adapters_in_use(sources: DataFrame) -> list[str]:
+    """At most one name per registered adapter."""
+    return [r[0] for r in sources.select(adapter_name(F.col("platform"))).distinct().collect()]
+
+
+def raw_events_of(pages: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """Read each page with the adapter of its ``platform``.
+
+    ``names`` lists the adapters in use: every adapter reads the pages once, so one that no source
+    needs costs nothing.
+    """
+    parts = [
+        ADAPTERS[name](pages.filter(adapter_name(F.col("platform")) == name)).select(*RAW_COLUMNS)
+        for name in (names or list(ADAPTERS))
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 
