@@ -206,7 +206,7 @@ def drop_followers(open_rows: DataFrame, newly: DataFrame, pairs: DataFrame) ->
 
 
 def batch_duplicates(rows: DataFrame, local_rows: int = LOCAL_GROUP_ROWS) -> DataFrame:
-    """Add ``dup_of`` to a batch with (title, us, url, seq, publishable).
+    """Add ``dup_of`` to a batch with (title, us, url, seq, publishable); title and us are given.
 
     Only publishable rows can be kept and so suppress others; any row can be a duplicate. A row
     that is neither becomes a candidate for moderation.
