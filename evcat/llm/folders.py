@@ -4,6 +4,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from evcat.session import configure, work_dir
 
@@ -23,3 +24,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+BROADCAST_BYTES = 32 << 20
+
+
+def broadcast_if_bytes(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint for a written table whose values were measured; a larger one joins by shuffle."""
+    width = sum((F.coalesce(F.octet_length(F.col(name).cast("string")), F.lit(0)) for name in df.columns), F.lit(16 * len(df.columns)))
+    size = df.agg(F.sum(width)).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evcat.llm import token_counts, token_ids
+from evcat.llm import language, mixing, quality, token_counts, token_ids
 from evcat.llm.folders import new_folder, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,6 +16,11 @@ SQL: dict[str, str] = {}
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+def remainder(by: int):
+    """crc32 of the id as text, modulo ``by``; null for a null id."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(by))
+
+
 def query(sql: str | None = None):
     def register(fn):
         QUERIES[fn.__name__] = fn
@@ -38,3 +43,35 @@ def op2_token_ids(spark, sf_dir):
 def op4_token_counts(spark, sf_dir):
     counted = read(spark, sf_dir).select("doc_id", token_counts.count_tokens(F.col("text"), public_tokenizers.path("byte_bpe_50k.json")).alias("c"))
     return counted.select("doc_id", "c.n_words", "c.n_tokens")
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS size FROM documents),
+    s AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1.0::DOUBLE AS w FROM d GROUP BY source),
+    r AS (SELECT *, source_size * 3 AS cap, coalesce(sum(source_size * 3) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+        sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS onward, sum(source_size) OVER () AS total
+        FROM s WINDOW o AS (ORDER BY source_size * 3 / w, source NULLS LAST)),
+    t AS (SELECT source, source_size, least(cap::DOUBLE, w * max((total - before)::DOUBLE / onward) OVER ()) AS target FROM r),
+    u AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+        ('0x' || substr(md5('{mixing.SEED}:' || doc_id), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS draw FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+    SELECT doc_id, size, source_size, target, (size * (floor(rate)::BIGINT + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM u"""
+)
+def op5_mix(spark, sf_dir):
+    docs = read(spark, sf_dir).select("doc_id", "text", "source")
+    mixed = mixing.mix_sources(docs, F.regexp_count("text", F.lit(WORD)))
+    return mixed.select("doc.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query()
+def op6_quality(spark, sf_dir):
+    judged = read(spark, sf_dir).select("doc_id", quality.quality(F.col("text")).alias("q"))
+    return judged.select("doc_id", "q.*")
+
+
+@query()
+def op7_language(spark, sf_dir):
+    docs = read(spark, sf_dir).select("doc_id", "text", "lang")
+    held_out = F.coalesce(remainder(4) == 2, F.lit(False))
+    dictionaries = language.learn(docs.filter(~held_out))
+    named = docs.select("doc_id", held_out.alias("held_out"), language.identify(F.col("text"), dictionaries).alias("l"))
+    return named.select("doc_id", "held_out", F.col("l.lang").alias("lang_pred"), "l.score", "l.rejected")
