@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evcat.llm import language, mixing, quality, token_counts, token_ids
+from evcat.llm import language, mixing, quality, token_counts, token_ids, winnow
 from evcat.llm.folders import new_folder, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,28 @@ def op7_language(spark, sf_dir):
     dictionaries = language.learn(docs.filter(~held_out))
     named = docs.select("doc_id", held_out.alias("held_out"), language.identify(F.col("text"), dictionaries).alias("l"))
     return named.select("doc_id", "held_out", F.col("l.lang").alias("lang_pred"), "l.score", "l.rejected")
+
+
+ALNUM = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    f"""WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all({_LOWERED}, '{ALNUM}') AS w FROM documents),
+    b AS (SELECT item_id, regexp_extract_all({_LOWERED}, '{ALNUM}') AS w FROM benchmark),
+    iw AS (SELECT DISTINCT item_id, least(len(w), 13) AS m, array_to_string(w[i : i + least(len(w), 13) - 1], ' ') AS span
+        FROM (SELECT *, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i FROM b WHERE len(w) > 0)),
+    dw AS (SELECT doc_id, i, m, array_to_string(w[i : i + m - 1], ' ') AS span
+        FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM iw) WHERE len(w) >= m)),
+    h AS (SELECT DISTINCT doc_id, i, m, item_id FROM dw JOIN iw USING (m, span)),
+    c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM h) GROUP BY doc_id),
+    n AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+        FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
+    SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)"""
+)
+def op10_decontaminate(spark, sf_dir):
+    docs = read(spark, sf_dir).select("doc_id", "text")
+    found = winnow.contamination(docs, read(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc.doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), digest.alias("items_sha256"), "contaminated")
