@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evcat.llm import language, mixing, quality, token_counts, token_ids, winnow
+from evcat.llm import jaccard, language, mixing, quality, repeats, token_counts, token_ids, winnow
 from evcat.llm.folders import new_folder, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,29 @@ def op10_decontaminate(spark, sf_dir):
     found = winnow.contamination(docs, read(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256)
     return found.select("doc.doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), digest.alias("items_sha256"), "contaminated")
+
+
+@query(
+    f"""WITH d AS MATERIALIZED (SELECT doc_id, coalesce(regexp_extract_all(text, '{WORD}'), []) AS w FROM documents),
+    s AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS h FROM (SELECT *, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+    g AS (SELECT DISTINCT s.doc_id, unnest(range(i, i + 50)) AS p FROM s JOIN (SELECT h, min(doc_id) AS first FROM s GROUP BY h) f ON s.h = f.h AND f.first < s.doc_id),
+    k AS (SELECT d.doc_id, u.p, d.w[u.p] AS word FROM d, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS p) u ANTI JOIN g ON g.doc_id = d.doc_id AND g.p = u.p),
+    t AS (SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY p) AS kept FROM k GROUP BY doc_id)
+    SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n_kept, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)"""
+)
+def op1_repeats(spark, sf_dir):
+    return repeats.remove_repeats(read(spark, sf_dir).select("doc_id", "text"))
+
+
+@query(
+    f"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all({_LOWERED}, '{WORD}') AS w FROM documents),
+    s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+    n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    l AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id JOIN n nx ON nx.doc_id = x.doc_id
+        JOIN n ny ON ny.doc_id = y.doc_id GROUP BY x.doc_id, y.doc_id, nx.n, ny.n HAVING 100 * count(*) >= 75 * (nx.n + ny.n - count(*))),
+    r AS (SELECT doc_id, doc_id AS reached FROM d UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reached)
+    SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reached) AS component_id FROM d JOIN r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id"""
+)
+def op8_jaccard(spark, sf_dir):
+    return jaccard.similar_groups(read(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")

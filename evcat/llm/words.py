@@ -6,7 +6,10 @@ import types
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 
 # Separators of the two word definitions: ASCII blanks, and everything ASCII that is no letter or digit.
 UPPER, LOWER = bytes(range(65, 91)), bytes(range(97, 123))
@@ -63,3 +66,48 @@ def struct_array(fields: dict[str, tuple[list, pa.DataType]]) -> pa.StructArray:
     """Struct column from named lists."""
     arrays = [pa.array(values, type=kind) for values, kind in fields.values()]
     return pa.StructArray.from_arrays(arrays, names=list(fields))
+
+
+def slices(batch: pa.RecordBatch, column: int, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about ``max_bytes`` of one text column, so that arrays over all words of a piece stay small."""
+    start = held = 0
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
+    for i, size in enumerate(sizes):
+        if i > start and held + size > max_bytes:
+            yield batch.slice(start, i - start)
+            start = i
+            held = 0
+        held += size
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
+def hashed(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of all texts, and where each text starts (one more entry for the end)."""
+    cache = worker_object(("word_hash",), lambda: WordCache(xxhash.xxh3_64_intdigest))
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
+    return np.fromiter((cache[w] for x in texts for w in x), np.uint64, int(bounds[-1])), bounds
+
+
+def mixed(values: np.ndarray) -> np.ndarray:
+    """Finalised 64-bit hashes: every bit depends on all bits."""
+    values = (values ^ (values >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    values = (values ^ (values >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return values ^ (values >> np.uint64(33))
+
+
+class Rolling:
+    """Hashes of any stretches of a sequence of word hashes."""
+
+    def __init__(self, hashes: np.ndarray, base: int):
+        powers = np.full(len(hashes) + 1, base, np.uint64)
+        inverse = np.full(len(hashes) + 1, pow(base, -1, 1 << 64), np.uint64)
+        powers[0] = inverse[0] = 1
+        self.powers = np.cumprod(powers)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * np.cumprod(inverse)[:-1], dtype=np.uint64)])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mixed((self.sums[ends] - self.sums[starts]) * self.powers[ends])
+
+
+FIRST_BASE, SECOND_BASE = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
