@@ -134,12 +134,16 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.parts = W.WordCache(self._encode)
         self.words = W.WordCache(self._word)
 
     def _encode(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
+        if word.isalpha() and word.islower():  # one piece for the merges: nothing to normalise or to cut
+            ids = [t.id for t in self.model.tokenize(word.decode())]
+        else:
+            ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
         return np.array(ids, f"<u{self.width}").tobytes()
 
     def _word(self, word: bytes) -> bytes:

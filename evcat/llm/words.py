@@ -34,16 +34,24 @@ def alnum_words(text: bytes | None) -> list[bytes]:
 
 
 class WordCache(dict):
-    """Value of each word, computed on first use. Starts afresh when full, so memory stays bounded."""
+    """Value of each word, computed on first use.
 
-    def __init__(self, make: Callable[[bytes], Any], limit: int = 1_000_000):
+    Memory stays bounded: when ``limit`` words are held they become the old generation, from which words still in use move
+    over, and the generation before is dropped.
+    """
+
+    def __init__(self, make: Callable[[bytes], Any], limit: int = 300_000):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, word: bytes) -> Any:
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        value = self[word] = self.make(word)
+        value = self.old.get(word)
+        if value is None:
+            value = self.make(word)
+        self[word] = value
         return value
 
 
