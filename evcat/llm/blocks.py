@@ -5,7 +5,10 @@ of its keys to each key range and gets one packed answer back. A task holds one
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,3 +53,32 @@ def cut_at(values: np.ndarray, bits: int, ranges: int) -> np.ndarray:
     """Positions that cut ascending ``bits``-bit numbers into key ranges (``ranges`` + 1 entries)."""
     edges = [-(-(r << bits) // ranges) for r in range(ranges)]
     return np.concatenate([np.searchsorted(values, np.array(edges, np.uint64)), [len(values)]])
+
+
+def boxed(docs: DataFrame, blocks: int) -> DataFrame:
+    """Rows (block, box) for a frame with a ``block`` column: the rows of a block that one task read, compressed as one value."""
+    fields = [c for c in docs.columns if c != "block"]
+
+    def pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in batches:
+            place = batch.column("block").to_numpy()
+            order = np.argsort(place, kind="stable")
+            cuts = np.flatnonzero(np.diff(place[order], prepend=-1))
+            rows = batch.select(fields)
+            names, boxes = [], []
+            for a, b in zip(cuts, [*cuts[1:], len(order)]):
+                part, sink = rows.take(pa.array(order[a:b])), pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema, options=options) as out:
+                    out.write_batch(part)
+                names.append(int(place[order[a]]))
+                boxes.append(sink.getvalue().to_pybytes())
+            if names:
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(boxes, pa.binary())], names=["block", "box"])
+
+    return docs.mapInArrow(pack_rows, "block int, box binary")
+
+
+def unboxed(table: pa.Table) -> list[pa.RecordBatch]:
+    """The rows of a block again, one batch per box."""
+    return [batch for box in table.column("box") for batch in pa.ipc.open_stream(pa.py_buffer(box.as_py()))]

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evcat.llm import jaccard, language, mixing, quality, repeats, token_counts, token_ids, winnow
+from evcat.llm import jaccard, language, mixing, ppm, quality, repeats, token_counts, token_ids, winnow
 from evcat.llm.folders import new_folder, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,8 @@ def op1_repeats(spark, sf_dir):
 )
 def op8_jaccard(spark, sf_dir):
     return jaccard.similar_groups(read(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
+@query()
+def op3_lm_scores(spark, sf_dir):
+    return ppm.lm_scores(read(spark, sf_dir).select("doc_id", "text"), remainder(7) == 2)
