@@ -22,7 +22,7 @@ from evcat.llm import blocks as B
 from evcat.llm import words as W
 from evcat.llm.folders import written
 
-ORDER = 4
+ORDER = 5
 END = 0xFF  # never part of UTF-8; ends a text and fills the context before it
 END_WORD = xxhash.xxh3_64_intdigest(b"")  # no word is empty
 SHARDS = 256

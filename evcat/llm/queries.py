@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evcat.llm import jaccard, language, mixing, ppm, quality, repeats, token_counts, token_ids, winnow
+from evcat.llm import jaccard, language, licenses, mixing, ppm, quality, repeats, token_counts, token_ids, winnow
 from evcat.llm.folders import new_folder, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,9 @@ def op8_jaccard(spark, sf_dir):
 @query()
 def op3_lm_scores(spark, sf_dir):
     return ppm.lm_scores(read(spark, sf_dir).select("doc_id", "text"), remainder(7) == 2)
+
+
+@query()
+def op9_licenses(spark, sf_dir):
+    found = read(spark, sf_dir).select("doc_id", licenses.scan(F.col("text")).alias("l"))
+    return found.select("doc_id", *[F.col(f"l.{c}") for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")])
