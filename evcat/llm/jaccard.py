@@ -250,15 +250,8 @@ def _long_links(sets: DataFrame) -> DataFrame:
     return inner.union(outer)
 
 
-def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
-    """Per row: doc_id, key (hash of the text), n_shingles, component_id.
-
-    Words are lower-cased (A-Z) ``[^\\x20\\x09-\\x0D]+``; a set holds the distinct ``size``-word n-grams, a shorter text is one n-gram as a
-    whole. Sets with a Jaccard similarity of at least 75 % are linked; component_id is the smallest id that links lead to. Null
-    and empty texts have an empty set and stand alone. Null ids take part in links but are never the smallest, so a group
-    of null ids only, or a null id without a word, has a null component_id. Rows with equal ids are rows of their own. Sets are
-    told apart by 64-bit hashes. The empty table gives an empty result.
-    """
+def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """Rows (doc_id, key, n, root) of all documents; root names the group, null for an empty set."""
     text = F.col(f"`{text_col}`")
     total = B.text_bytes(docs, text_col)
     ranges, bits = B.block_count(total), max(16, total.bit_length() + 3)
@@ -270,7 +263,42 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     sets = rows.filter("members IS NOT NULL").groupBy("sid").agg(*[F.first(c).alias(c) for c in ("n", "n_single", "n_short", "members", "bitmap")])
     sets = written(sets, "distinct-sets")
     roots = components(_short_links(sets).union(_long_links(sets))).withColumnsRenamed({"node": "sid"})
-    labelled = cut(rows.filter("n > 0").select("doc_id", "key", "sid", "n").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")).drop("sid"))
-    smallest = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    grouped = labelled.join(smallest, "root").select("doc_id", "key", F.col("n").alias("n_shingles"), "component_id")
-    return grouped.union(rows.filter("n = 0").select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    linked = rows.filter("n > 0").select("doc_id", "key", "sid", "n").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")).drop("sid")
+    empty = rows.filter("n = 0").select("doc_id", "key", "n", F.lit(None).cast("bigint").alias("root"))
+    return cut(linked.union(empty))
+
+
+def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
+    """Per row: doc_id, key (hash of the text), n_shingles, component_id.
+
+    Words are lower-cased (A-Z) ``[^\\x20\\x09-\\x0D]+``; a set holds the distinct ``size``-word n-grams, a shorter text is one n-gram as a
+    whole. Sets with a Jaccard similarity of at least 75 % are linked; component_id is the smallest id that links lead to. Null
+    and empty texts have an empty set and stand alone. Null ids take part in links but are never the smallest, so a group
+    of null ids only, or a null id without a word, has a null component_id. Rows with equal ids are rows of their own. Sets are
+    told apart by 64-bit hashes. Other columns are ignored. The empty table gives an empty result.
+    """
+    rows = _grouped(docs, id_col, text_col, size)
+    smallest = rows.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    joined = rows.join(smallest, "root", "left").withColumn("component_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    return joined.select("doc_id", "key", F.col("n").alias("n_shingles"), "component_id")
+
+
+def first_of_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each group of similar documents does, all columns unchanged.
+
+    The smallest id stays (null ids last, equal ids by the hash of the text). Of rows with the same id and the same text one
+    stays. Texts without a word belong to no group and stay, repeated rows among them too.
+    """
+    rows = _grouped(docs, id_col, text_col, size)
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")
+    kept = rows.filter("root IS NOT NULL").groupBy("root").agg(F.min(order).alias("kept")).select("kept.doc_id", "kept.key")
+    same = rows.filter("root IS NOT NULL").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("rows"))
+    kept = kept.join(same, kept["doc_id"].eqNullSafe(same["doc_id"]) & (kept["key"] == same["key"])).select(kept["doc_id"], kept["key"], "rows")
+    alone = rows.filter("root IS NULL").select("doc_id", "key", F.lit(1).cast("bigint").alias("rows")).distinct()
+    stay = written(kept.union(alone), "kept").toDF("_id", "_key", "_rows")
+    text = docs[f"`{text_col}`"]
+    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"), docs[f"`{id_col}`"].cast("bigint").alias("id"), F.xxhash64(text).alias("key"))
+    match = F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
+    once = packed.join(broadcast_if_bytes(stay.filter("_rows = 1")), match, "left_semi").select("doc.*")
+    repeated = packed.join(broadcast_if_bytes(stay.filter("_rows > 1")), match, "left_semi").dropDuplicates(["id", "key"])
+    return once.unionByName(repeated.select("doc.*"))
