@@ -28,9 +28,9 @@ class Band:
 
 
 #: Short texts compress badly whatever they say, so the lower limit falls with length. Below the first band nothing is judged.
-WHOLE_BANDS = (Band(200, 0.40, 0.95), Band(400, 0.35, 0.90), Band(800, 0.30, 0.85), Band(1_600, 0.25, 0.80), Band(6_400, 0.20, 0.75))
+WHOLE_BANDS = (Band(200, 0.40, 0.95), Band(400, 0.35, 0.88), Band(800, 0.30, 0.78), Band(1_600, 0.25, 0.72), Band(6_400, 0.20, 0.70))
 CHUNK_BYTES = 4_096
-CHUNK_BAND = Band(CHUNK_BYTES, 0.20, 0.85)
+CHUNK_BAND = Band(CHUNK_BYTES, 0.20, 0.72)
 MAX_BAD_CHUNKS = 0.25
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)

@@ -65,7 +65,7 @@ def kept_hashes(df: DataFrame, lengths: list[int]) -> DataFrame:
             df = _folded(df, "gram", f"fp_{m}", WINDOW - GRAM + 1, lambda a, b: F.least(a, b))
         else:
             df = _folded(df, "hashes", f"whole_{m}", m, lambda a, b: F.xxhash64(a, b))
-            df = df.withColumn(f"fp_{m}", F.transform(f"whole_{m}", lambda x, m=m: F.xxhash64(x, F.lit(m))))
+            df = df.withColumn(f"fp_{m}", F.transform(f"whole_{m}", lambda x: F.xxhash64(x, F.lit(m))))
     return df.select(*keep)
 
 
