@@ -1,19 +1,17 @@
 """Date expressions. ``now`` is always passed in, so a run can be repeated."""
 from __future__ import annotations
 
-from collections.abc import Iterator
 from datetime import datetime
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import TimestampType
 
 from evcat import config as C
-from evcat.functions.text import blank_to_null, let, norm
+from evcat.functions import text as T
+from evcat.functions.text import let, norm
 from evcat.session import instant
 
-# Written forms read in the JVM; the rest goes through the residue reader.
+# Written forms that are read as they stand.
 _ISO = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)?\s?(?:Z|[+-]\d{2}:\d{2})?$"
 _OFFSET = r"(?:Z|[+-]\d{2}:\d{2})$"
 _WRITTEN = (
@@ -25,57 +23,106 @@ _WRITTEN = (
 )
 
 
-def parse_datetime(c: Column, zone: str = C.DISPLAY_ZONE, now: datetime | None = None, residue: bool = False) -> Column:
+# Month names and day names as written, and words between the parts of a date.
+_MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+_MONTH = r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+_DAY_NAME = r"\b(?:mon|tues?|wed(?:nes)?|thu(?:rs?)?|fri|sat(?:ur)?|sun)(?:day)?\b"
+_FILLERS = r"\b(?:at|on|of|and)\b"
+_CLOCK = r"\b(\d{1,2}):(\d{2})(?::(\d{2}))?(?:\.\d{1,6})? ?(am|pm)?\b ?(z\b|utc\b|gmt\b|[+-]\d{2}:?\d{2}\b)?"
+
+
+def parse_datetime(c: Column, zone: str = C.DISPLAY_ZONE, now: datetime | None = None) -> Column:
     """Read a free-form date; no zone means ``zone``; unreadable means null. Result is UTC.
 
-    ISO forms and common written forms are built-in expressions. With ``residue`` the values they
-    cannot read (and only those) are sent to an Arrow batch reader that accepts partial dates and
-    completes them from ``now``.
+    ISO forms and common written forms come first. With ``now`` also looser ones are read: day names, hours without minutes, any
+    order of clock and date, numeric dates (month first where both readings are possible), and partial dates, whose missing
+    year, month or day is that of ``now`` (the last day of a shorter month).
     """
     tidy = F.regexp_replace(F.regexp_replace(F.trim(c), r"\s+", " "), r"(?i)\b(\d{1,2})(?:st|nd|rd|th)\b", "$1")
 
     def read(text: Column) -> Column:
         written = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in _WRITTEN])
-        return (
+        known = (
             F.when(~text.rlike(_ISO), F.to_utc_timestamp(written, zone))
             .when(text.rlike(_OFFSET), F.try_to_timestamp(text))
             .otherwise(F.to_utc_timestamp(F.try_to_timestamp(text), zone))
         )
+        return known if now is None else F.coalesce(known, T.let(_loose_text(text), lambda t: _loose_date(t, zone, now)))
+
+    return let(tidy, read)
+
+
+def _loose_text(text: Column) -> Column:
+    """Lower case, without day names, fillers and commas; every clock as h:mm."""
+    out = F.lower(text)
+    for pattern, by in (
+        (r"\b([ap])\.m\.?", "$1m"), (r"\b(\d{1,2}) ?(am|pm)\b", "$1:00 $2"), (r":(\d{2}):00 (am|pm)", ":$1 $2"), (r"(\d{4}-\d{1,2}-\d{1,2})t(?=\d)", "$1 "),
+        (_DAY_NAME, " "), (_FILLERS, " "), (r"\bist\b", " "), (r",|(?<=[a-z])\.|[()]", " "), (r"\s+", " "),
+    ):
+        out = F.regexp_replace(out, pattern, by)
+    return F.trim(out)
+
+
+def _number(text: Column, pattern: str, group: int) -> Column:
+    """A matched group as a number; null without a match."""
+    found = F.regexp_extract(text, pattern, group)
+    return F.when(found != "", found.cast("int"))
+
+
+def _loose_date(text: Column, zone: str, now: datetime) -> Column:
+    """Date from lower-case text of one date in any of the forms, and at most one clock."""
+    day_text = F.trim(F.regexp_replace(F.regexp_replace(text, _CLOCK, " "), r"\s+", " "))
+    clock = F.regexp_extract(text, _CLOCK, 0)
+    half, offset = F.regexp_extract(text, _CLOCK, 4), F.regexp_extract(text, _CLOCK, 5)
+    raw_hour = _number(text, _CLOCK, 1)
+    hour = F.when(half == "", raw_hour).when(raw_hour.between(1, 12), raw_hour % 12 + F.when(half == "pm", 12).otherwise(0))
+
+    def month(t: Column, pattern: str, group: int) -> Column:
+        place = F.array_position(F.array(*[F.lit(m) for m in _MONTHS]), F.left(F.regexp_extract(t, pattern, group), F.lit(3)))
+        return F.when(place > 0, place.cast("int"))
+
+    def full_year(t: Column, pattern: str, group: int) -> Column:
+        """Four digits, or two within fifty years of now."""
+        year = _number(t, pattern, group)
+        century = now.year - now.year % 100
+        near = year + century
+        near = F.when(near >= now.year + 50, near - 100).when(near < now.year - 50, near + 100).otherwise(near)
+        return F.when(F.length(F.regexp_extract(t, pattern, group)) > 2, year).otherwise(near)
+
+    iso, day_first = r"^(\d{4})[-/. ](\d{1,2})[-/. ](\d{1,2})$", rf"^(\d{{1,2}})[- ]?{_MONTH}(?:[- ]?'?(\d{{4}}|\d{{2}}))?$"
+    month_first, numeric = rf"^{_MONTH} ?(\d{{1,2}})(?: (\d{{4}}))?$", r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})$"
+    month_year, year_only = rf"^{_MONTH}(?:[- ](\d{{4}}))?$", r"^(\d{4})$"
+
+    def parts(t: Column) -> Column:
+        a, b = _number(t, numeric, 1), _number(t, numeric, 2)
+        american = a <= 12
+        this = lambda n: F.lit(n).cast("int")
+        part = lambda y, m, d, exact: F.struct(y.alias("y"), m.alias("m"), d.alias("d"), F.lit(exact).alias("exact"))
+        return (
+            F.when(t.rlike(iso), part(_number(t, iso, 1), _number(t, iso, 2), _number(t, iso, 3), True))
+            .when(t.rlike(numeric), part(full_year(t, numeric, 3), F.when(american, a).otherwise(b), F.when(american, b).otherwise(a), True))
+            .when(t.rlike(day_first), part(F.coalesce(full_year(t, day_first, 3), this(now.year)), month(t, day_first, 2), _number(t, day_first, 1), True))
+            .when(t.rlike(month_first), part(F.coalesce(_number(t, month_first, 3), this(now.year)), month(t, month_first, 1), _number(t, month_first, 2), True))
+            .when(t.rlike(month_year), part(F.coalesce(_number(t, month_year, 2), this(now.year)), month(t, month_year, 1), this(now.day), False))
+            .when(t.rlike(year_only), part(_number(t, year_only, 1), this(now.month), this(now.day), False))
+            .when((t == "") & (clock != ""), part(this(now.year), this(now.month), this(now.day), False))
+        )
 
-    known = let(tidy, read)
-    if not residue:
-        return known
-    if now is None:
-        raise ValueError("partial dates are completed from now; pass it")
-    left_over = F.when(known.isNull(), blank_to_null(c))
-    return F.coalesce(known, _residue_reader(zone, now)(left_over))
-
-
-def _residue_reader(zone: str, now: datetime):
-    default = now.replace(hour=0, minute=0, second=0, microsecond=0, tzinfo=None)
-
-    @F.pandas_udf(TimestampType())
-    def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from zoneinfo import ZoneInfo
-
-        from dateutil import parser
-
-        home = ZoneInfo(zone)
-
-        def one(value: str | None):
-            if value is None:
-                return pd.NaT
-            try:
-                at = parser.parse(value, default=default)
-                at = at if at.tzinfo else at.replace(tzinfo=home)
-                return pd.Timestamp(at.astimezone(ZoneInfo("UTC")).replace(tzinfo=None))
-            except (ValueError, OverflowError):
-                return pd.NaT
-
-        for values in batches:
-            yield pd.to_datetime(values.map(one, na_action=None))
-
-    return read
+    def moment(p: Column) -> Column:
+        last = F.day(F.last_day(F.try_make_timestamp(p["y"], p["m"], F.lit(1), F.lit(0), F.lit(0), F.lit(0)).cast("date")))
+        day = F.when(p["exact"], p["d"]).otherwise(F.least(p["d"], last))
+        second = F.coalesce(_number(text, _CLOCK, 3), F.lit(0))
+        local = F.try_make_timestamp(
+            p["y"], p["m"], day, F.when(clock == "", F.lit(0)).otherwise(hour), F.coalesce(_number(text, _CLOCK, 2), F.lit(0)), second
+        )
+        minutes = F.when(
+            offset.rlike(r"^[+-]"),
+            F.concat(F.left(offset, F.lit(1)), F.lit("1")).cast("int") * (F.substring(offset, 2, 2).cast("int") * 60 + F.right(offset, F.lit(2)).cast("int")),
+        ).otherwise(0)
+        return F.when(offset == "", F.to_utc_timestamp(local, zone)).otherwise(local - F.make_interval(mins=minutes))
+
+    more_clocks = F.size(F.regexp_extract_all(text, F.lit(_CLOCK), 0)) > 1
+    return F.when(~more_clocks, T.let(T.let(day_text, parts), moment))
 
 
 def half_day_label(c: Column) -> Column:

@@ -145,14 +145,22 @@ def best_image(html: Column, page_url: Column) -> Column:
     return best_of_images(F.concat(json_ld_images(html), meta_images(html)), page_url)
 
 
+def _json_string(value: Column) -> Column:
+    """A string as JSON text; null as null."""
+    wrapped = F.to_json(F.struct(value.alias("v")))
+    return F.when(value.isNotNull(), F.substr(wrapped, F.lit(6), F.length(wrapped) - 6))
+
+
+def _json_object(members: dict[str, Column]) -> Column:
+    """JSON object of the non-null members (JSON text each), with a blank after every colon and comma."""
+    given = [F.when(v.isNotNull(), F.concat(F.lit(f'"{k}": '), v)) for k, v in members.items()]
+    return F.concat(F.lit("{"), F.concat_ws(", ", *given), F.lit("}"))
+
+
 def extraction_text(page_url: Column, meta: Column, poster: Column, json_ld: Column, visible: Column) -> Column:
     """JSON metadata line (when there is any) above the visible text, cut to the extraction limit."""
-    block = F.to_json(
-        F.struct(
-            page_url.alias("page_url"),
-            F.struct(meta.alias("meta_description"), poster.alias("poster_url"), json_ld.alias("json_ld")).alias("metadata"),
-        )
-    )
+    metadata = _json_object({"meta_description": _json_string(meta), "poster_url": _json_string(poster), "json_ld": _json_string(json_ld)})
+    block = _json_object({"page_url": _json_string(page_url), "metadata": metadata})
     has_meta = meta.isNotNull() | poster.isNotNull() | json_ld.isNotNull()
     return F.left(F.when(has_meta, F.concat_ws("\n\n", block, visible)).otherwise(visible), F.lit(C.MAX_EXTRACTION_CHARS))
 

@@ -64,7 +64,7 @@ def match_whole_title(new: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def match_catalogue(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """Add ``match``: id of the catalogue event a row duplicates, URL before title."""
+    """Add ``match``, id of the catalogue event a row duplicates, URL before title, and ``by_url``."""
     by_url = match_by_url(new, existing).withColumnRenamed("match", "_by_url")
     by_title = match_by_title(new, existing).withColumnRenamed("match", "_by_title")
     dateless = new.filter("us IS NULL")
@@ -75,7 +75,8 @@ def match_catalogue(new: DataFrame, existing: DataFrame) -> DataFrame:
         .join(by_title, ["title", "us"], "left")
         .join(by_whole, ["title", "_no_start"], "left")
     )
-    return out.withColumn("match", F.coalesce("_by_url", "_by_title", "_by_whole")).drop(
+    out = out.withColumns({"match": F.coalesce("_by_url", "_by_title", "_by_whole"), "by_url": F.col("_by_url").isNotNull()})
+    return out.drop(
         "_by_url", "_by_title", "_by_whole", "_no_start"
     )
 

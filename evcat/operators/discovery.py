@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from evcat import config as C
 from evcat.functions import rules as R
 from evcat.functions import text as T
+from evcat.operators import tables
 
 
 def urls_of(texts: DataFrame, text: str, order: str) -> DataFrame:
@@ -49,17 +50,23 @@ def gate(submissions: DataFrame, answers: DataFrame, verdicts: DataFrame | None
     """Add ``ok`` and ``reason`` to event submissions.
 
     ``answers`` has (event_url, status_code, page_text): what a light fetch returned, status 0 when
-    it failed. ``verdicts`` has (event_url, is_tech_event, confidence). No verdict lets the
-    submission pass.
+    it failed. ``verdicts`` has (event_url, is_tech_event, confidence), of which the most confident per URL
+    counts. No verdict lets the submission pass.
     """
-    out = submissions.join(answers, "event_url", "left")
+    # Page texts are judged where they are; only the findings are joined. Of several answers for one URL the last counts.
+    text = F.coalesce("page_text", F.lit(""))
+    seen = answers.select(
+        "event_url", "status_code", R.dead_page(F.col("status_code"), F.col("page_text")).alias("_dead"), (text == "").alias("_blank")
+    )
+    out = submissions.join(tables.last_per_key(seen, "event_url"), "event_url", "left")
     if verdicts is None:
         out = out.withColumns({"is_tech_event": F.lit(None).cast("boolean"), "confidence": F.lit(None).cast("double")})
     else:
-        out = out.join(verdicts, "event_url", "left")
+        judged = tables.last_per_key(verdicts.select("event_url", "is_tech_event", "confidence"), "event_url", ("confidence",))
+        out = out.join(judged, "event_url", "left")
     valid = T.is_event_url(F.col("event_url"))
-    dead = R.dead_page(F.col("status_code"), F.col("page_text"))
-    unreachable = (F.coalesce("status_code", F.lit(0)) == 0) & (F.coalesce("page_text", F.lit("")) == "")
+    dead = F.col("_dead")
+    unreachable = (F.coalesce("status_code", F.lit(0)) == 0) & F.coalesce("_blank", F.lit(True))
     passes = R.event_gate(F.col("is_tech_event"), F.col("confidence"))
     reason = (
         F.when(~valid, "invalid_url")

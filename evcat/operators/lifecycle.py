@@ -59,9 +59,13 @@ def due_sources(sources: DataFrame, now: datetime) -> DataFrame:
     )
 
 
-def set_source_status(sources: DataFrame, changes: DataFrame) -> DataFrame:
-    """Apply (id, status) changes; unknown statuses are rejected by leaving the source unchanged."""
-    news = changes.filter(F.col("status").isin(*C.SOURCE_STATUSES)).select("id", F.col("status").alias("_new"))
+def set_source_status(sources: DataFrame, changes: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
+    """Apply (id, status) changes; unknown statuses are rejected by leaving the source unchanged.
+
+    Of several known statuses for one source the last by ``order`` (columns of ``changes``) counts.
+    """
+    known = changes.filter(F.col("status").isin(*C.SOURCE_STATUSES)).select("id", "status", *order)
+    news = tables.last_per_key(known, "id", order).select("id", F.col("status").alias("_new"))
     new, trust = F.col("_new"), F.col("trust_score")
     trusted = (
         F.when(new == "whitelisted", 0.95)
@@ -223,14 +227,18 @@ def set_json_flags(config: Column, flags: dict[str, Column]) -> Column:
 
 
 # --- Re-extraction --------------------------------------------------------------------------
-def rescrape(events: DataFrame, extractions: DataFrame, now: datetime, region: C.Region = C.Region()) -> DataFrame:
+def rescrape(
+    events: DataFrame, extractions: DataFrame, now: datetime, region: C.Region = C.Region(), order: tuple[str, ...] = ()
+) -> DataFrame:
     """Merge fresh extraction results (``id`` + extraction fields) into events; adds ``rescraped``.
 
+    Of several results for one event the last by ``order`` (columns of ``extractions``) counts. Dates are read as in ingestion.
+
     Results that are no event or below 0.3 confidence change nothing. A found start counts only
     before 2050, a title only when longer than five characters; the event is classified anew.
     """
     fields = ("title", "description", "start_at", "end_at", "venue_name", "locality", "registration_url", "mode")
-    fresh = extractions.select(
+    fresh = tables.last_per_key(extractions, "id", order).select(
         "id",
         (~F.coalesce("not_an_event", F.lit(False)) & (F.coalesce("confidence", F.lit(0.0)) >= 0.3)).alias("_use"),
         *[F.col(f).alias(f"_{f}") for f in fields],
@@ -239,7 +247,7 @@ def rescrape(events: DataFrame, extractions: DataFrame, now: datetime, region: C
     use = F.coalesce("_use", F.lit(False))
 
     def typed(c: str) -> Column:
-        return parse_datetime(F.col(f"_{c}")).cast(events.schema[c].dataType)
+        return parse_datetime(F.col(f"_{c}"), region.zone, now).cast(events.schema[c].dataType)
 
     new = {f: T.blank_to_null(F.col(f"_{f}")) for f in ("description", "venue_name", "locality", "registration_url", "mode")}
     new["title"] = F.when(F.length("_title") > 5, F.col("_title"))
@@ -263,14 +271,16 @@ def rescrape(events: DataFrame, extractions: DataFrame, now: datetime, region: C
     return merged.select(*events.columns, "rescraped", "fields_found")
 
 
-def repair_bad_dates(events: DataFrame, extractions: DataFrame, now: datetime, region: C.Region = C.Region()) -> DataFrame:
+def repair_bad_dates(
+    events: DataFrame, extractions: DataFrame, now: datetime, region: C.Region = C.Region(), order: tuple[str, ...] = ()
+) -> DataFrame:
     """Events with placeholder dates after re-extraction, each with its ``verdict``.
 
     ``fixed`` has a real date now, ``deleted`` was updated but still has none, ``skipped`` had
     nothing usable. Drop the deleted ones from the catalogue with ``tables.delete``.
     """
     bad = events.filter(F.col("start_at") > instant(_JUNK))
-    done = rescrape(bad, extractions, now, region)
+    done = rescrape(bad, extractions, now, region, order)
     verdict = (
         F.when(~F.col("fields_found"), "skipped").when(F.year("start_at") < C.JUNK_YEAR, "fixed").otherwise("deleted")
     )

@@ -13,9 +13,14 @@ from pyspark.sql import functions as F
 from evcat.session import cut
 
 
+ROWS_PER_SLICE = 1_000_000
+
+
 def _sliced(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(slices, *keys, *order)
+    # Written down first: ranging samples its input, which would otherwise be computed twice.
+    rows = cut(df)
+    slices = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS_PER_SLICE))
+    ranged = rows.repartitionByRange(slices, *keys, *order)
     # The slice number is only stable once written down.
     return cut(ranged.withColumn("_slice", F.spark_partition_id()))
 
@@ -60,6 +65,41 @@ def add_previous(df: DataFrame, keys: list[str], order: list[str], value: str, n
     return out.withColumn(name, carried).drop("_slice", "_carry", "_first")
 
 
+def add_running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """Sum of ``value`` over the rows up to and with this one, among the rows with the same keys; order values are distinct."""
+    rows = _sliced(df, keys, order)
+    upto = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = rows.withColumn(name, F.sum(value).over(upto))
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carry = (
+        rows.groupBy(*keys, "_slice")
+        .agg(F.sum(value).alias("_n"))
+        .withColumn("_carry", F.sum("_n").over(before))
+        .filter("_carry IS NOT NULL")
+        .drop("_n")
+    )
+    out = _join_carry(local, carry, keys)
+    return out.withColumn(name, F.col(name) + F.coalesce(F.col("_carry"), F.lit(0))).drop("_slice", "_carry")
+
+
+def add_last_given(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """Last non-null ``value`` at or before each row, among the rows with the same keys; order values are distinct."""
+    rows = _sliced(df, keys, order)
+    upto = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = rows.withColumn(name, F.last(value, ignorenulls=True).over(upto))
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    given = F.when(F.col(value).isNotNull(), F.struct(*order))
+    carry = (
+        rows.groupBy(*keys, "_slice")
+        .agg(F.max_by(value, given).alias("_last"))
+        .withColumn("_carry", F.last("_last", ignorenulls=True).over(before))
+        .filter("_carry IS NOT NULL")
+        .drop("_last")
+    )
+    out = _join_carry(local, carry, keys)
+    return out.withColumn(name, F.coalesce(F.col(name), F.col("_carry"))).drop("_slice", "_carry")
+
+
 _SECOND = 1_000_000
 
 

@@ -14,6 +14,19 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return picked.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
 
 
+def last_per_key(df: DataFrame, key: str, order: Sequence[str] = ()) -> DataFrame:
+    """One row per key for edits that come as a table: the last by ``order``, then by the values themselves, so that the
+    physical order of rows decides nothing."""
+    rest = [c for c in df.columns if c != key]
+    if not rest:
+        return df.distinct()
+    return latest_per_key(df, [key], [*order, *[c for c in rest if c not in order and sortable(df, c)]] or rest)
+
+
+def sortable(df: DataFrame, name: str) -> bool:
+    return not df.schema[name].dataType.simpleString().startswith(("map", "variant"))
+
+
 def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], order: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Replace rows with equal keys and add the rest; a null in the last key always adds.
 
@@ -48,13 +61,15 @@ def patch(
     key: str = "id",
     guard: Column | None = None,
     stamp: dict[str, Column] | None = None,
+    order: Sequence[str] = (),
 ) -> DataFrame:
     """Apply per-row patches: null leaves a field unchanged, fields outside ``fields`` are ignored.
 
-    ``guard`` restricts which rows accept a patch; ``stamp`` sets columns on every patched row.
+    Of several patches for one key the last by ``order`` (columns of ``patches``) counts. ``guard`` restricts which rows accept a patch; ``stamp`` sets columns on every patched row.
     """
     given = [f for f in fields if f in patches.columns]
-    news = patches.select(key, F.lit(True).alias("_hit"), *[F.col(f).alias(f"_new_{f}") for f in given])
+    only = last_per_key(patches.select(key, *given, *[c for c in order if c not in given]), key, order)
+    news = only.select(key, F.lit(True).alias("_hit"), *[F.col(f).alias(f"_new_{f}") for f in given])
     joined = target.join(news, key, "left")
     hit = F.coalesce(F.col("_hit"), F.lit(False))
     if guard is not None:

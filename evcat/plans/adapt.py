@@ -20,18 +20,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """For heavy work per row: a table with fewer splits than cores is spread over all of them.
-
-    Tables of many files have splits enough and are not shuffled.
-    """
-    scan, cores = read(spark, sf_dir, name), spark.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
-def _orders(spark: SparkSession, sf_dir: str, reader=read) -> DataFrame:
-    orders = reader(spark, sf_dir, "orders")
-    customer, nation = (read(spark, sf_dir, t) for t in ("customer", "nation"))
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, customer, nation = (read(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
     return orders.join(customer, orders["o_custkey"] == customer["c_custkey"]).join(
         nation, customer["c_nationkey"] == nation["n_nationkey"]
     )
@@ -159,8 +149,8 @@ FROM supplier
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as raw events: payload title and URL; labels give a model title and the status."""
-    docs, labels = read_spread(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
-    payload = F.to_json(F.struct(F.left("text", F.lit(200)).alias("title"), F.concat(F.lit("https://docs.example.org/"), F.col("doc_id").cast("string")).alias("url")))
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    payload = F.to_json(F.struct(F.col("text").alias("title"), F.concat(F.lit("https://docs.example.org/"), F.col("doc_id").cast("string")).alias("url")))
     extracted = F.to_json(F.struct(F.concat(F.lit("<b>Doc "), F.col("doc_id").cast("string"), F.lit("</b>")).alias("title"), F.col("source").alias("community_name")))
     return docs.join(labels, "doc_id", "left").select(
         F.col("doc_id").cast("string").alias("id"),
@@ -193,7 +183,7 @@ def moderation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RAW_SQL = """
 SELECT CAST(d.doc_id AS VARCHAR) AS id, source AS source_id, CASE WHEN lang <> 'en' THEN CAST(d.doc_id AS VARCHAR) END AS external_id,
-  substr(text, 1, 200) AS p_title, 'https://docs.example.org/' || CAST(d.doc_id AS VARCHAR) AS p_url,
+  text AS p_title, 'https://docs.example.org/' || CAST(d.doc_id AS VARCHAR) AS p_url,
   CASE WHEN quality = 1 THEN '<b>Doc ' || CAST(d.doc_id AS VARCHAR) || '</b>' END AS x_title,
   CASE WHEN quality = 1 THEN source END AS x_community,
   CASE WHEN quality = 1 THEN 'ai' ELSE 'deterministic' END AS extraction_method,
@@ -212,7 +202,7 @@ FROM labels
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages_of(read_spread(spark, sf_dir, "pages"))
+    return pages_of(read(spark, sf_dir, "pages"))
 
 
 def pages_of(table: DataFrame) -> DataFrame:
@@ -254,7 +244,7 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array("c_mktsegment", "o_orderpriority").alias("topics"),
     )
     body = F.concat(F.lit('{"results":['), F.to_json(event), F.lit(',"stray"]}'))
-    return _orders(spark, sf_dir, read_spread).select(
+    return _orders(spark, sf_dir).select(
         F.col("n_name").alias("source_id"),
         F.concat(F.lit("https://events.example.org/list/"), F.col("o_orderkey").cast("string")).alias("url"),
         body.alias("html_or_json"),

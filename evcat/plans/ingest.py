@@ -62,7 +62,7 @@ def parse(raw: DataFrame, region: C.Region = C.Region(), extractions: DataFrame
     """Deterministic parse, then extraction or classification where the rules ask for it.
 
     ``raw`` has ``RAW_COLUMNS``, id, platform and base_url. ``extractions`` holds precomputed model
-    results per raw event; rows without one use the heuristic reader.
+    results per raw event, of several the most confident; rows without one use the heuristic reader.
     """
     fields = R.parse_payload(F.col("payload"))
     out = raw.withColumns({f"p_{k}": v for k, v in fields.items()})
@@ -102,7 +102,7 @@ def merge_extraction(parsed: DataFrame, extractions: DataFrame | None, region: C
         m_topics = m_audience = F.lit(None).cast("array<string>")
         m_free = m_student = F.lit(None).cast("boolean")
     else:
-        renamed = extractions.select(
+        renamed = tables.last_per_key(extractions, "raw_event_id", ("confidence",)).select(
             F.col("raw_event_id").alias("id"), F.lit(True).alias("_has"),
             *[F.col(c).alias(f"m_{c}") for c in extractions.columns if c != "raw_event_id"],
         )
@@ -152,15 +152,15 @@ def merge_extraction(parsed: DataFrame, extractions: DataFrame | None, region: C
     ).drop("_class")
 
 
-def normalise(parsed: DataFrame, now: datetime, region: C.Region = C.Region(), residue: bool = True) -> DataFrame:
+def normalise(parsed: DataFrame, now: datetime, region: C.Region = C.Region()) -> DataFrame:
     """Places, dates, text and URLs in their catalogue form."""
     url = T.absolute_url(F.coalesce(T.blank_to_null(F.col("canonical_url")), "page_url"), F.col("base_url"))
     out = parsed.withColumns(
         {
             "city": T.normalize_city(F.col("city"), region),
             "locality": T.normalize_locality(F.col("locality")),
-            "start_at": D.parse_datetime(F.col("start_at"), region.zone, now, residue),
-            "end_at": D.parse_datetime(F.col("end_at"), region.zone, now, residue),
+            "start_at": D.parse_datetime(F.col("start_at"), region.zone, now),
+            "end_at": D.parse_datetime(F.col("end_at"), region.zone, now),
             "description": T.blank_to_null(T.clean_text(F.col("description"))),
             "canonical_url": url,
         }
@@ -233,7 +233,12 @@ def route(scored: DataFrame, events: DataFrame, local_rows: int = dedup.LOCAL_GR
     fresh = dedup.batch_duplicates(matched.filter("match IS NULL"), local_rows)
     owners = fresh.filter("dup_of IS NULL").select(F.col("seq").alias("dup_of"), F.col("event_id").alias("_owner"))
     inside = fresh.join(owners, "dup_of", "left").select("row_key", "event_id", "seq", F.col("_owner").alias("match"))
-    verdicts = matched.filter("match IS NOT NULL").select("row_key", "event_id", "seq", "match").unionByName(inside)
+    # The URL comes first over catalogue and batch: a title match in the catalogue yields to a row kept before with the same URL.
+    kept = fresh.filter("dup_of IS NULL AND publishable AND url <> ''").groupBy("url").agg(F.min(F.struct("seq", "event_id")).alias("_kept"))
+    outside = matched.filter("match IS NOT NULL").join(kept, "url", "left")
+    same_url = ~F.col("by_url") & F.coalesce(F.col("_kept.seq") < F.col("seq"), F.lit(False))
+    outside = outside.withColumn("match", F.when(same_url, F.col("_kept.event_id")).otherwise(F.col("match")))
+    verdicts = outside.select("row_key", "event_id", "seq", "match").unionByName(inside)
     joined = scored.join(verdicts, "row_key", "left")
     undecided = F.col("route").isNull()
     final = F.when(~undecided, F.col("route")).when(F.col("match").isNotNull(), "duplicate").when(F.col("publishable"), "published").otherwise("moderation")
@@ -289,9 +294,13 @@ def new_events(routed: DataFrame, events: DataFrame, now: datetime, region: C.Re
     return search.with_search_tokens(built)
 
 
+OCCURRENCE = ("fetched_at", "place", "row_key")
+
+
 def raw_event_rows(routed: DataFrame, now: datetime) -> DataFrame:
+    """Raw-event rows; of several occurrences of one external id in the run the last one fetched."""
     extracted = F.to_json(F.struct(*_TEXT_FIELDS[:2], *_TEXT_FIELDS[4:], "canonical_url", "topics", "start_at", "end_at"))
-    return routed.select(
+    rows = routed.select(
         "id",
         "source_id",
         "external_id",
@@ -303,7 +312,9 @@ def raw_event_rows(routed: DataFrame, now: datetime) -> DataFrame:
         instant(now).cast("timestamp").alias("seen_at"),
         F.lit(False).alias("processed"),
         F.col("route").alias("pipeline_status"),
+        *OCCURRENCE,
     )
+    return tables.latest_per_key(rows, ["id"], OCCURRENCE).drop(*OCCURRENCE)
 
 
 def crawl_counters(routed: DataFrame, page_counts: DataFrame, now: datetime) -> DataFrame:
@@ -339,11 +350,10 @@ def routed_rows(
     now: datetime,
     region: C.Region = C.Region(),
     extractions: DataFrame | None = None,
-    residue: bool = True,
     only: DataFrame | None = None,
 ) -> DataFrame:
     """Pages to routed raw events, without change detection."""
-    return route(scored_rows(pages, sources, now, region, extractions, residue, only), events)
+    return route(scored_rows(pages, sources, now, region, extractions, only), events)
 
 
 def scored_rows(
@@ -352,7 +362,6 @@ def scored_rows(
     now: datetime,
     region: C.Region = C.Region(),
     extractions: DataFrame | None = None,
-    residue: bool = True,
     only: DataFrame | None = None,
 ) -> DataFrame:
     """Pages to scored raw events; ``only`` restricts them to (source_id, url, fetched_at) keys.
@@ -369,7 +378,7 @@ def scored_rows(
     if late:
         raw = raw.join(only.withColumnRenamed("url", "page_url"), ["source_id", "page_url", "fetched_at"], "left_semi")
     raw = raw.join(about, "source_id")
-    scored = score(normalise(parse(raw, region, extractions), now, region, residue), now, region)
+    scored = score(normalise(parse(raw, region, extractions), now, region), now, region)
     used_up = [c for c in scored.columns if c.startswith(("p_", "m_", "_"))]
     return cut(scored.drop("payload", "heuristic", "cleaned_text", "json_ld", *used_up))
 
@@ -383,12 +392,12 @@ def ingest(
     now: datetime,
     region: C.Region = C.Region(),
     extractions: DataFrame | None = None,
-    residue: bool = True,
 ) -> IngestResult:
     """One ingestion run. Inputs are tables, outputs the rows to append and the new versions."""
-    prints = cut(P.changed_prints(P.fingerprints(pages), snapshots, sources))
+    # Bodies are read once for their hashes; everything after works on the written hashes.
+    prints = cut(P.changed_prints(cut(P.fingerprints(pages)), snapshots, sources))
     keys = prints.select("source_id", "url", "fetched_at").distinct()
-    routed = cut(routed_rows(pages, sources, events, now, region, extractions, residue, keys))
+    routed = cut(routed_rows(pages, sources, events, now, region, extractions, keys))
     fresh = cut(new_events(routed, events, now, region))
     dups = routed.filter("route = 'duplicate'").select(
         "match", "seq", "start_at", "end_at", *refresh.FILL_FIELDS

@@ -314,11 +314,11 @@ def queue_remove(spark, sf_dir):
 @query(
     f"WITH m AS ({adapt.MODERATION_SQL}) SELECT m.id, CASE WHEN d.doc_id IS NULL THEN m.status WHEN lang = 'en' THEN 'approved' ELSE 'rejected' END AS status, "
     f"CASE WHEN d.doc_id IS NOT NULL THEN {NOW_SQL} END AS resolved_at FROM m LEFT JOIN "
-    "(SELECT * FROM documents WHERE source IN ('src1', 'src2', 'src3')) d ON m.entity_id = CAST(d.doc_id AS VARCHAR)"
+    "(SELECT * FROM documents WHERE lang <> 'es') d ON m.entity_id = CAST(d.doc_id AS VARCHAR)"
 )
 def moderation_resolve(spark, sf_dir):
-    docs = adapt.read_spread(spark, sf_dir, "documents").filter(F.col("source").isin("src1", "src2", "src3"))
-    decisions = docs.select(
+    # Spanish entries stay undecided.
+    decisions = adapt.read(spark, sf_dir, "documents").filter("lang <> 'es'").select(
         F.concat(F.lit("m"), F.col("doc_id").cast("string")).alias("id"),
         F.when(F.col("lang") == "en", "approved").otherwise("rejected").alias("status"),
     )
@@ -469,7 +469,7 @@ _CLEAN_SQL = "trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\
 )
 def clean_pages(spark, sf_dir):
     html = F.col("html")
-    return adapt.read_spread(spark, sf_dir, "pages").select(
+    return adapt.read(spark, sf_dir, "pages").select(
         "page_id",
         F.length(T.collapse_whitespace(T.strip_html(html))).alias("n_chars"),
         T.clean_text(html).alias("cleaned"),
@@ -483,17 +483,21 @@ _ORIGIN_SQL = "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]+)', 1)"
 
 
 @query(
-    f"SELECT page_id, {_STRIP_SQL.format('url')} AS stripped, {_ORIGIN_SQL} AS origin, "
+    f"SELECT page_id, place, {_STRIP_SQL.format('url')} AS stripped, {_ORIGIN_SQL} AS origin, "
     f"{_STRIP_SQL.format(_ORIGIN_SQL + chr(124) * 2 + 'href')} AS joined, 'https:' || {_STRIP_SQL.format('substr(url, strpos(url, chr(47)))')} AS protocol_relative "
-    "FROM (SELECT *, regexp_extract(html, 'href=\"([^\"]*)\"', 1) || '?fbclid=1&x=2' AS href FROM pages)"
+    "FROM (SELECT page_id, url, CAST(generate_subscripts(hrefs, 1) - 1 AS INTEGER) AS place, unnest(hrefs) || '?fbclid=1&x=2' AS href "
+    "FROM (SELECT *, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS hrefs FROM pages))"
 )
 def url_normalise(spark, sf_dir):
-    pages = adapt.read_spread(spark, sf_dir, "pages")
-    href = F.concat(F.regexp_extract("html", 'href="([^"]*)"', 1), F.lit("?fbclid=1&x=2"))
+    """Every link of every page."""
+    pages = adapt.read(spark, sf_dir, "pages")
+    links = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("place", "link"))
+    href = F.concat("link", F.lit("?fbclid=1&x=2"))
     origin = T.url_origin(F.col("url"))
     bare = F.expr("substr(url, instr(url, '/'))")
-    return pages.select(
+    return links.select(
         "page_id",
+        "place",
         T.strip_tracking(F.col("url")).alias("stripped"),
         origin.alias("origin"),
         T.absolute_url(href, F.concat(origin, F.lit("/"))).alias("joined"),
@@ -508,7 +512,7 @@ def url_normalise(spark, sf_dir):
 )
 def page_kind(spark, sf_dir):
     html, url = F.col("html"), F.col("url")
-    return adapt.read_spread(spark, sf_dir, "pages").select(
+    return adapt.read(spark, sf_dir, "pages").select(
         "page_id",
         H.page_kind(url, H.json_ld_text(html), T.clean_text(html, C.MAX_EXTRACTION_CHARS)).alias("kind"),
         T.url_authority(url).alias("host"),
@@ -524,7 +528,7 @@ _URL_TEXT_SQL = (
 
 
 def _url_texts(spark, sf_dir):
-    return adapt.read_spread(spark, sf_dir, "pages").select(
+    return adapt.read(spark, sf_dir, "pages").select(
         "page_id",
         F.concat(
             F.lit("see "), "url", F.lit(", ("), T.url_origin(F.col("url")), F.lit("/events/) and https://lu.ma/e"),
@@ -578,7 +582,7 @@ _WRAPPED_PAGE = (
 )
 def page_metadata(spark, sf_dir):
     spark_expr = F.expr(_WRAPPED_PAGE.replace("\\", "\\\\"))
-    pages = adapt.read_spread(spark, sf_dir, "pages").select("page_id", "url", spark_expr.alias("html"))
+    pages = adapt.read(spark, sf_dir, "pages").select("page_id", "url", spark_expr.alias("html"))
     html, url = F.col("html"), F.col("url")
     return pages.select(
         "page_id",
@@ -610,7 +614,7 @@ _GARBAGE_SQL = (
 )
 def garbage_filter(spark, sf_dir):
     text = F.col("text")
-    return adapt.read_spread(spark, sf_dir, "documents").select(
+    return adapt.read(spark, sf_dir, "documents").select(
         "doc_id", R.garbage_reason(text).alias("reason"), R.needs_external_lookup(text).alias("lookup")
     )
 
@@ -641,7 +645,7 @@ _TOPIC_SQL = (
 )
 def heuristic_classify(spark, sf_dir):
     region = replace(C.Region(), classifier_communities=("src1",))
-    docs = adapt.read_spread(spark, sf_dir, "documents")
+    docs = adapt.read(spark, sf_dir, "documents")
     verdict = R.classification(F.lit(None).cast("string"), F.col("text"), F.col("source"), F.lit(None).cast("string"), region)
     return docs.select("doc_id", verdict.alias("c")).select(
         "doc_id",
@@ -660,7 +664,7 @@ def heuristic_classify(spark, sf_dir):
     "NOT coalesce(length(title) >= 6, false) AS not_an_event, coalesce(nullif(regexp_replace(regexp_extract(text, '(https?://\\S+)', 1), '[).,\\]]+$', ''), ''), 'https://docs.example.org/' || doc_id) AS registration_url FROM t"
 )
 def heuristic_extract(spark, sf_dir):
-    docs = adapt.read_spread(spark, sf_dir, "documents")
+    docs = adapt.read(spark, sf_dir, "documents")
     page = F.concat(F.lit("https://docs.example.org/"), F.col("doc_id").cast("string"))
     return docs.select("doc_id", R.heuristic_extraction(F.col("text"), page).alias("x")).select(
         "doc_id", "x.title", "x.description", "x.confidence", "x.not_an_event", "x.registration_url"
@@ -769,7 +773,7 @@ def dedup_window(spark, sf_dir):
     f"SELECT page_id, first_value(page_id) OVER (PARTITION BY {_STRIP_SQL.format('url')} ORDER BY page_id) AS match FROM pages"
 )
 def dedup_url(spark, sf_dir):
-    pages = adapt.read_spread(spark, sf_dir, "pages").select("page_id", T.strip_tracking(F.col("url")).alias("url"))
+    pages = adapt.read(spark, sf_dir, "pages").select("page_id", T.strip_tracking(F.col("url")).alias("url"))
     existing = pages.select(F.col("url").alias("canonical_url"), F.col("page_id").alias("created_at"), F.col("page_id").alias("id"))
     return pages.join(dedup.match_by_url(pages, existing), "url").select("page_id", "match")
 
@@ -890,7 +894,7 @@ def refresh_start_chain(spark, sf_dir):
 )
 def changed_pages(spark, sf_dir):
     """Documents as repeated fetches of one URL per source and language, over stored first versions."""
-    docs = adapt.read_spread(spark, sf_dir, "documents")
+    docs = adapt.read(spark, sf_dir, "documents")
     pages = docs.select(
         F.col("source").alias("source_id"), F.col("lang").alias("url"), F.col("text").alias("html_or_json"),
         F.timestamp_seconds(F.col("doc_id")).alias("fetched_at"),
@@ -1189,27 +1193,27 @@ _WORDS_SQL = "regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')"
 
 @query(f"SELECT doc_id FROM documents WHERE list_contains({_WORDS_SQL}, 'tion') AND list_contains({_WORDS_SQL}, 'erin')")
 def search_all_terms(spark, sf_dir):
-    docs = adapt.read_spread(spark, sf_dir, "documents")
+    docs = adapt.read(spark, sf_dir, "documents")
     tokens = stem.terms(F.col("text"), stemmed=False)
     return docs.filter(search.matches_all(tokens, stem.query_terms("Erin and tion", stemmed=False))).select("doc_id")
 
 
 @query(f"SELECT term, count(*) AS docs FROM (SELECT DISTINCT doc_id, unnest({_WORDS_SQL}) AS term FROM documents) WHERE term <> '' AND term NOT IN ({', '.join(repr(w) for w in C.STOP_WORDS)}) GROUP BY 1")
 def search_index_terms(spark, sf_dir):
-    docs = adapt.read_spread(spark, sf_dir, "documents").select("doc_id", stem.terms(F.col("text"), stemmed=False).alias("search_tokens"))
+    docs = adapt.read(spark, sf_dir, "documents").select("doc_id", stem.terms(F.col("text"), stemmed=False).alias("search_tokens"))
     return search.build_index(docs, "doc_id").groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
 
 
 @query(f"SELECT doc_id AS doc FROM documents WHERE list_contains({_WORDS_SQL}, 'que') AND list_contains({_WORDS_SQL}, 'les')")
 def search_index_lookup(spark, sf_dir):
-    docs = adapt.read_spread(spark, sf_dir, "documents").select("doc_id", stem.terms(F.col("text"), stemmed=False).alias("search_tokens"))
+    docs = adapt.read(spark, sf_dir, "documents").select("doc_id", stem.terms(F.col("text"), stemmed=False).alias("search_tokens"))
     return search.lookup(search.build_index(docs, "doc_id"), stem.query_terms("que les", stemmed=False))
 
 
 @query()
 def search_stemmed(spark, sf_dir):
     """Stemmed full-text search over all documents (the stemmer has no SQL counterpart)."""
-    docs = adapt.read_spread(spark, sf_dir, "documents")
+    docs = adapt.read(spark, sf_dir, "documents")
     return docs.filter(search.matches_all(stem.terms(F.col("text")), stem.query_terms("onings reed"))).select("doc_id")
 
 

@@ -74,6 +74,9 @@ def static_adapter(pages: DataFrame) -> DataFrame:
     )
     objects = items.filter(F.schema_of_variant("_item").startswith("OBJECT")).withColumn("raw_payload_json", F.to_json("_item"))
     parsed = objects.withColumn("payload", F.from_json("raw_payload_json", R.PAYLOAD_SCHEMA))
+    # An explicit null is a value of its own here; the schema reader cannot tell it from an absent member.
+    nulled = F.col("payload.is_free").isNull() & F.array_contains(F.json_object_keys("raw_payload_json"), "is_free")
+    parsed = parsed.withColumn("payload", F.col("payload").withField("is_free", F.when(nulled, "null").otherwise(F.col("payload.is_free"))))
     # Payload values that are JSON lists or objects stay JSON text in their column.
     return parsed.select(
         "source_id",

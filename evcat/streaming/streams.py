@@ -122,7 +122,6 @@ def ingest_pages(
     checkpoint: str,
     now: Callable[[int], datetime],
     region: C.Region = C.Region(),
-    residue: bool = True,
 ) -> StreamingQuery:
     """Ingest arriving pages batch by batch; a batch sees the catalogue of the batches before it.
 
@@ -132,7 +131,7 @@ def ingest_pages(
     def one(batch: DataFrame, n: int) -> None:
         before = {name: store.current(name, before=n) for name in ("events", "raw_events", "snapshots")}
         result = ingest(
-            batch, sources, before["events"], before["raw_events"], before["snapshots"], now(n), region, residue=residue
+            batch, sources, before["events"], before["raw_events"], before["snapshots"], now(n), region
         )
         store.add("events", result.event_updates, n)
         store.add("raw_events", result.raw_updates, n)
