@@ -124,17 +124,17 @@ def _place(doc_id: int, words: list[bytes], pos: np.ndarray, first: np.ndarray,
 def _settle(docs: DataFrame, span: int, node: int) -> DataFrame:
     """Second reading: documents without shared nodes are finished, the others list covered starts and windows to look up."""
     schema = (
-        "doc_id bigint, key bigint, text string, n_words bigint, n_removed bigint, kept_sha256 string, "
+        "doc_id bigint, text binary, n_words bigint, n_removed bigint, kept_sha256 string, "
         "settled array<int>, asked array<int>, hash1 array<bigint>, hash2 array<bigint>"
     )
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.slices(batch, 2):
+            for part in W.slices(batch, 1, 2 << 20):
                 out: list[tuple] = []
-                ids, found = part.column(0).to_pylist(), part.column(3)
-                for i, text in enumerate(W.utf8(part.column(2))):
-                    words = W.blank_words(text)
+                ids, found = part.column(0).to_pylist(), part.column(2)
+                for i, zipped in enumerate(part.column(1).to_pylist()):
+                    words = W.blank_words(W.unzipped(zipped))
                     if not found[i].is_valid:
                         out.append((None, len(words), *_kept(words, None), None, None, None, None))
                         continue
@@ -142,15 +142,15 @@ def _settle(docs: DataFrame, span: int, node: int) -> DataFrame:
                     column = {f: shared.field(f).to_numpy(zero_copy_only=False) for f in ("pos", "first", "joined_in", "joined_out")}
                     start, end = paths(column["pos"], column["joined_in"], column["joined_out"], node)
                     settled, asked, hash1, hash2 = _place(ids[i], words, column["pos"], column["first"], start, end, span, node)
-                    out.append((text, len(words), None, None, settled.astype(np.int32), asked.astype(np.int32), hash1, hash2))
+                    out.append((zipped, len(words), None, None, settled.astype(np.int32), asked.astype(np.int32), hash1, hash2))
                 text, n, gone, sha, settled, asked, hash1, hash2 = zip(*out)
                 numbers, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0), part.column(1), pa.array(text, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()),
+                        part.column(0), pa.array(text, pa.binary()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()),
                         pa.array(sha, pa.string()), pa.array(settled, numbers), pa.array(asked, numbers), pa.array(hash1, longs), pa.array(hash2, longs),
                     ],
-                    names=["doc_id", "key", "text", "n_words", "n_removed", "kept_sha256", "settled", "asked", "hash1", "hash2"],
+                    names=["doc_id", "text", "n_words", "n_removed", "kept_sha256", "settled", "asked", "hash1", "hash2"],
                 )
 
     return docs.mapInArrow(rows, schema)
@@ -161,8 +161,8 @@ def _remover(span: int):
 
     def removed(texts: pa.Array, settled: pa.Array, looked_up: pa.Array) -> pa.Array:
         out: dict[str, list] = {name: [] for name in fields}
-        for text, known, more in zip(W.utf8(texts), settled, looked_up):
-            words = W.blank_words(text)
+        for text, known, more in zip(texts.to_pylist(), settled, looked_up):
+            words = W.blank_words(W.unzipped(text))
             lists = [x.values.to_numpy(zero_copy_only=False) for x in (known, more) if x.is_valid]
             starts = np.concatenate([np.zeros(0, np.int64), *lists]).astype(np.int64)
             gone, sha = _kept(words, _mask(len(words), starts, starts + span) if len(starts) else None)
@@ -195,18 +195,18 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     # Second reading of the texts, with the shared nodes of each document beside it.
     lists = written(lists, "node-lists").withColumnsRenamed({"doc_id": "_id", "key": "_key"})
-    beside = source.join(lists, (F.col("doc_id") == F.col("_id")) & (F.col("key") == F.col("_key")), "left").select("doc_id", "key", "text", "nodes")
-    half = written(_settle(beside, span, node), "half")
+    packed = source.withColumn("text", W.zipped(F.col("text")))
+    beside = packed.join(lists, (F.col("doc_id") == F.col("_id")) & (F.col("key") == F.col("_key")), "left").select("doc_id", "text", "nodes")
+    half = written(_settle(beside, span, node).withColumn("row", F.monotonically_increasing_id()), "half")
 
-    # Windows over the ends of paths.
-    asked = half.filter("text IS NOT NULL").select("doc_id", "key", F.explode(F.arrays_zip("asked", "hash1", "hash2")).alias("w"))
-    asked = asked.select("doc_id", "key", "w.asked", "w.hash1", "w.hash2")
+    # Windows over the ends of paths. Their first documents are a table, so that a window of very many documents can be split in the join.
+    asked = half.filter("text IS NOT NULL").select("doc_id", "row", F.explode(F.arrays_zip("asked", "hash1", "hash2")).alias("w"))
+    asked = asked.select("doc_id", "row", "w.asked", "w.hash1", "w.hash2")
     firsts = asked.groupBy("hash1", "hash2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
-    later = asked.join(firsts, ["hash1", "hash2"]).filter("first < doc_id")
-    found = later.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_set("asked").alias("looked_up"))
+    later = asked.join(written(firsts, "first-documents"), ["hash1", "hash2"]).filter("first < doc_id")
+    found = later.groupBy("row").agg(F.collect_set("asked").alias("looked_up"))
 
     done = half.filter("text IS NULL").select("doc_id", "n_words", "n_removed", "kept_sha256")
-    open_ = half.filter("text IS NOT NULL").select("doc_id", "key", "text", "settled")
-    rest = open_.join(found, (F.col("doc_id") == F.col("_id")) & (F.col("key") == F.col("_key")), "left")
+    rest = half.filter("text IS NOT NULL").select("row", "doc_id", "text", "settled").join(found, "row", "left")
     cleaned = rest.select("doc_id", _remover(span)("text", "settled", "looked_up").alias("r")).select("doc_id", "r.*")
     return done.unionByName(cleaned)

@@ -10,6 +10,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 # Separators of the two word definitions: ASCII blanks, and everything ASCII that is no letter or digit.
 UPPER, LOWER = bytes(range(65, 91)), bytes(range(97, 123))
@@ -119,3 +122,17 @@ class Rolling:
 
 
 FIRST_BASE, SECOND_BASE = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
+
+
+def zipped(text: Column) -> Column:
+    """Compressed texts, for rows that must be shuffled with their whole text; null stays null."""
+
+    def shrink(texts: pa.Array) -> pa.Array:
+        compressor = zstandard.ZstdCompressor(level=1)
+        return pa.array([None if t is None else compressor.compress(t) for t in utf8(texts)], pa.binary())
+
+    return F.arrow_udf(shrink, "binary")(text)
+
+
+def unzipped(data: bytes | None) -> bytes | None:
+    return None if data is None else zstandard.ZstdDecompressor().decompress(data)
