@@ -274,3 +274,9 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("").alias("canonical_url"),
         F.col("ts").alias("created_at"),
     )
+
+
+def candidates_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as duplicate candidates (title, us); pending ones have no start."""
+    start = F.when(F.col("o_orderstatus") != "P", F.unix_micros(F.col("o_orderdate").cast("timestamp")))
+    return _orders(spark, sf_dir).select(F.lower(F.concat("c_mktsegment", F.lit(" "), "o_orderpriority")).alias("title"), start.alias("us"))

@@ -19,7 +19,7 @@ from evcat.operators import dedup, discovery, facets, feeds, lifecycle, moderati
 from evcat.operators.titles import contained_titles
 from evcat.plans import adapt
 from evcat.plans import ingest as ing
-from evcat.session import work_dir, zoneless
+from evcat.session import cut, work_dir, zoneless
 from evcat.sources import files
 from evcat.sources import pages as pg
 from evcat.streaming import streams
@@ -394,8 +394,10 @@ def watchlist_refresh(spark, sf_dir):
 def source_status_transition(spark, sf_dir):
     sources, balance = adapt.sources(spark, sf_dir), F.col("s_acctbal")
     wanted = F.when(balance > 7000, "whitelisted").when(balance < 1000, "active").when(balance < 4000, "blacklisted").otherwise("paused")
-    changes = adapt.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), wanted.alias("status"))
-    return lifecycle.set_source_status(sources, changes).select("id", "status", "trust_score", "enabled")
+    changes = adapt.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), wanted.alias("status"), F.lit(2).alias("seq"))
+    # An earlier change of every source is overruled.
+    changes = changes.unionByName(changes.withColumns({"status": F.when(F.col("status") != "paused", F.lit("whitelisted")), "seq": F.lit(1)}))
+    return lifecycle.set_source_status(sources, changes, ("seq",)).select("id", "status", "trust_score", "enabled")
 
 
 @query(
@@ -831,6 +833,18 @@ def unique_slugs_gaps(spark, sf_dir):
     return slugs.assign_slugs(new, existing).select("seq", "slug")
 
 
+@query(
+    "WITH b AS (SELECT regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', '-', 'g') AS base, o_orderkey AS seq FROM orders) "
+    "SELECT seq, base || CASE WHEN k = 1 THEN '' WHEN k < 20 THEN '-' || CAST(k - 1 AS VARCHAR) ELSE '-' || CAST(k AS VARCHAR) END AS slug FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY seq) AS k FROM b)"
+)
+def unique_slugs_far(spark, sf_dir):
+    """Slugs that end in a date or a huge number leave wide gaps, which cost nothing."""
+    new = adapt.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), T.slugify(F.col("o_orderpriority")).alias("base_slug"))
+    ends = F.explode(F.array(*[F.lit(e) for e in ("-19", "-20260515", "-9999999999", "-123456789012345678", "-99999999999999999999999")])).alias("end")
+    existing = new.select("base_slug").distinct().select("base_slug", ends).select(F.concat("base_slug", "end").alias("slug"))
+    return slugs.assign_slugs(new, existing).select("seq", "slug")
+
+
 # Line items as duplicates of their order: the first offers a description and a venue, each an end.
 _DUPS_SQL = (
     "SELECT CAST(l_orderkey AS VARCHAR) AS match, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS seq, "
@@ -938,7 +952,8 @@ def batch_patch(spark, sf_dir):
         "id", F.concat(F.lit("Free: "), "title").alias("title"), F.lit("online").alias("mode"),
         F.lit(None).cast("string").alias("venue_name"), F.lit("ignored").alias("slug"),
     )
-    return lifecycle.edit_events(events, patches, NOW).select("id", "title", "venue_name", "mode", "updated_at", "slug")
+    # Every patch comes twice; the same edit counts once.
+    return lifecycle.edit_events(events, patches.unionByName(patches), NOW).select("id", "title", "venue_name", "mode", "updated_at", "slug")
 
 
 @query(
@@ -1098,7 +1113,7 @@ _STATIC_SQL = (
     "SELECT o_orderkey, n_nationkey, n_name, c_mktsegment || ' ' || o_orderpriority AS title, CASE WHEN o_orderstatus <> 'P' THEN o_orderdate END AS start_at, "
     "CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'offline' WHEN '2' THEN 'offline' WHEN '3' THEN 'online' WHEN '4' THEN 'hybrid' END AS mode, "
     "CASE WHEN o_totalprice >= 100000 THEN 'Order of ' || c_name END AS description, CASE WHEN c_acctbal > 2000 THEN 'Lucknow' END AS city, "
-    "round(0.5 + n_nationkey * 0.02, 2) AS trust FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"
+    "round(0.5 + n_nationkey * 0.02, 2) AS trust, o_orderstatus, o_orderdate FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"
 )
 _SCORED_SQL = (
     f"WITH s AS ({_STATIC_SQL}), p AS (SELECT *, (2 + (start_at IS NOT NULL)::INT + (mode IS NOT NULL)::INT * 0.5 + (description IS NOT NULL)::INT * 0.5) / 5.0 AS first FROM s), "
@@ -1108,45 +1123,61 @@ _SCORED_SQL = (
     "trust * 0.25 + confidence * 0.2 + rel * 0.2 + 0.15 + rel * 0.15 + 0.05 AS score FROM q), "
     "t AS (SELECT *, CASE WHEN early IS NULL THEN coalesce(start_at, TIMESTAMP '1999-01-01') END AS final_start, early IS NULL AND start_at IS NULL AS date_tba, "
     "round(score, 9) >= CASE WHEN trust >= 0.85 THEN 0.6 WHEN trust >= 0.7 THEN 0.68 ELSE 0.75 END AS publishable FROM r), "
-    "k AS (SELECT title, final_start, min(o_orderkey) AS keeper FROM t WHERE early IS NULL AND publishable GROUP BY 1, 2), "
-    "f AS (SELECT t.*, keeper, CASE WHEN early IS NOT NULL THEN early WHEN keeper < o_orderkey THEN 'duplicate' WHEN publishable THEN 'published' ELSE 'moderation' END AS route "
-    "FROM t LEFT JOIN k ON t.title = k.title AND t.final_start = k.final_start) "
+    # Finished orders are in the catalogue already: they match by URL, others by title on the same day, else inside the batch.
+    "c AS (SELECT title, o_orderdate AS day, min(CAST(o_orderkey AS VARCHAR)) AS cid FROM s WHERE o_orderstatus = 'F' GROUP BY 1, 2), "
+    "u AS (SELECT t.*, CASE WHEN early IS NOT NULL THEN NULL WHEN o_orderstatus = 'F' THEN CAST(o_orderkey AS VARCHAR) ELSE cid END AS in_catalogue "
+    "FROM t LEFT JOIN c ON t.title = c.title AND t.final_start = c.day), "
+    "k AS (SELECT title, final_start, min(o_orderkey) AS keeper FROM u WHERE early IS NULL AND in_catalogue IS NULL AND publishable GROUP BY 1, 2), "
+    "f AS (SELECT u.*, keeper, CASE WHEN early IS NOT NULL THEN early WHEN in_catalogue IS NOT NULL OR keeper < o_orderkey THEN 'duplicate' WHEN publishable THEN 'published' ELSE 'moderation' END AS route, "
+    "CASE WHEN early IS NULL THEN coalesce(in_catalogue, CASE WHEN keeper < o_orderkey THEN CAST(keeper AS VARCHAR) END) END AS match "
+    "FROM u LEFT JOIN k ON u.title = k.title AND u.final_start = k.final_start) "
 )
 
 
+def _known(spark, sf_dir):
+    """The catalogue before the run: events of finished orders."""
+    events = adapt.catalogue(spark, sf_dir).filter("end_at IS NOT NULL")
+    return events.withColumn("created_at", F.col("created_at").cast("timestamp"))
+
+
 def _routed(spark, sf_dir):
-    events = adapt.catalogue(spark, sf_dir).limit(0).withColumn("created_at", F.col("created_at").cast("timestamp"))
-    return ing.routed_rows(adapt.listing_pages(spark, sf_dir), adapt.nation_sources(spark, sf_dir), events, NOW)
+    return ing.routed_rows(adapt.listing_pages(spark, sf_dir), adapt.nation_sources(spark, sf_dir), _known(spark, sf_dir), NOW)
 
 
 @query(
     _SCORED_SQL + "SELECT CAST(o_orderkey AS VARCHAR) AS external_id, route, CASE WHEN method = 'ai' THEN 'junk_title' WHEN early = 'moderation' THEN 'missing_start_at' "
     "WHEN route = 'moderation' THEN 'low_confidence' END AS reason, method, CAST(round(confidence, 6) AS DOUBLE) AS confidence, CAST(CASE WHEN method <> 'ai' THEN rel END AS DOUBLE) AS relevance, "
-    "CAST(CASE WHEN early IS NULL THEN round(score, 6) END AS DOUBLE) AS publish_score, final_start AS start_at, date_tba FROM f"
+    "CAST(CASE WHEN early IS NULL THEN round(score, 6) END AS DOUBLE) AS publish_score, final_start AS start_at, date_tba, match FROM f"
 )
 def ingest_routes(spark, sf_dir):
-    """The whole ingestion flow over one JSON page per order."""
-    out = _routed(spark, sf_dir)
+    """The whole ingestion flow over one JSON page per order, against a catalogue that holds part of them."""
+    out = cut(_routed(spark, sf_dir))
+    # Events made in this run are named by the item they come from.
+    owners = out.filter("event_id IS NOT NULL").select(F.col("event_id").alias("match"), F.col("external_id").alias("_owner"))
+    out = out.join(owners, "match", "left").withColumn("match", F.coalesce("_owner", "match"))
     hybrid = F.col("extraction_method") != "ai"
     undated = F.col("route").isin("rejected") | (F.col("reason") == "missing_start_at")
     return out.select(
         "external_id", "route", "reason", F.col("extraction_method").alias("method"), F.round("confidence", 6).alias("confidence"),
         F.when(hybrid, F.col("relevance")).alias("relevance"), F.round("publish_score", 6).alias("publish_score"),
-        F.when(~F.coalesce(undated, F.lit(False)), F.col("start_at")).alias("start_at"), "date_tba",
+        F.when(~F.coalesce(undated, F.lit(False)), F.col("start_at")).alias("start_at"), "date_tba", "match",
     )
 
 
 @query(
-    _SCORED_SQL + ", pub AS (SELECT *, row_number() OVER (PARTITION BY title ORDER BY o_orderkey) AS k FROM f WHERE route = 'published') "
-    "SELECT 'https://events.example.org/e/' || CAST(o_orderkey AS VARCHAR) AS canonical_url, regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g') || CASE WHEN k = 1 THEN '' ELSE '-' || CAST(k - 1 AS VARCHAR) END AS slug, "
-    f"description, final_start AS start_at, CASE WHEN date_tba THEN {NOW_SQL} + INTERVAL 30 DAY END AS expires_at, coalesce(city, 'Lucknow') AS city, n_name AS locality, 'meetup' AS event_type, 'developers' AS audience FROM pub"
+    _SCORED_SQL + ", pub AS (SELECT *, regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g') AS base, row_number() OVER (PARTITION BY title ORDER BY o_orderkey) AS k FROM f WHERE route = 'published'), "
+    # Catalogue slugs end in the order's number, which is then no free number of its base.
+    "free AS (SELECT base, n, row_number() OVER (PARTITION BY base ORDER BY n) AS k FROM (SELECT DISTINCT base FROM pub), range((SELECT max(k) + (SELECT count(*) FROM s) FROM pub)) r(n) "
+    "WHERE NOT EXISTS (SELECT 1 FROM s WHERE o_orderstatus = 'F' AND n > 0 AND n = o_orderkey AND base = regexp_replace(lower(s.title), '[^a-z0-9]+', '-', 'g'))) "
+    "SELECT 'https://events.example.org/e/' || CAST(o_orderkey AS VARCHAR) AS canonical_url, base || CASE WHEN n = 0 THEN '' ELSE '-' || CAST(n AS VARCHAR) END AS slug, "
+    f"description, final_start AS start_at, CASE WHEN date_tba THEN {NOW_SQL} + INTERVAL 30 DAY END AS expires_at, coalesce(city, 'Lucknow') AS city, n_name AS locality, 'meetup' AS event_type, 'developers' AS audience, "
+    "description AS short_description FROM pub JOIN free USING (base, k)"
 )
 def published_catalogue(spark, sf_dir):
-    """Catalogue rows the flow publishes, with unique slugs."""
-    events = adapt.catalogue(spark, sf_dir).limit(0)
-    rows = ing.new_events(_routed(spark, sf_dir), events, NOW)
+    """Catalogue rows the flow publishes, with slugs unique among themselves and the catalogue."""
+    rows = ing.new_events(_routed(spark, sf_dir), _known(spark, sf_dir), NOW)
     return rows.select(
-        "canonical_url", "slug", "description", "start_at", "expires_at", "city", "locality", "event_type", F.array_join("audience", "|").alias("audience")
+        "canonical_url", "slug", "description", "start_at", "expires_at", "city", "locality", "event_type", F.array_join("audience", "|").alias("audience"), "short_description"
     )
 
 
@@ -1187,6 +1218,83 @@ def ingest_pages(spark, sf_dir):
     return scored.join(ids, "page_url").select("page_id", "route", "reason", "canonical_url")
 
 
+@query(
+    _SCORED_SQL + "SELECT CAST(o_orderkey AS VARCHAR) AS external_id, 'raw_event' AS entity_type, 'low' AS severity, 'pending' AS status, "
+    "CASE WHEN early = 'moderation' THEN 'missing_start_at' ELSE 'low_confidence' END AS reason FROM f WHERE route = 'moderation'"
+)
+def moderation_queue(spark, sf_dir):
+    """Rows the flow puts into the moderation queue, traced back to their raw events."""
+    routed = cut(_routed(spark, sf_dir))
+    queued = moderation.queue_rows(routed.filter("route = 'moderation'"), F.col("reason"), NOW)
+    return queued.join(routed.select(F.col("id").alias("entity_id"), "external_id"), "entity_id").select("external_id", "entity_type", "severity", "status", "reason")
+
+
+@query(
+    _SCORED_SQL + "SELECT CAST(o_orderkey AS VARCHAR) AS external_id, title, 'published' AS pipeline_status FROM f WHERE route = 'published'"
+)
+def event_provenance(spark, sf_dir):
+    """New events with the raw events they were made from."""
+    routed = cut(_routed(spark, sf_dir))
+    events = ing.new_events(routed, _known(spark, sf_dir), NOW).select("title", F.col("raw_event_id").alias("id"))
+    return events.join(ing.raw_event_rows(routed, NOW).select("id", "external_id", "pipeline_status"), "id").drop("id")
+
+
+@query(
+    f"SELECT page_id, 'snapshots/' || regexp_extract(lower(url), '^[a-z]+://([^/?#]*)', 1) || '/{C.SNAPSHOT_VERSION}:' || sha256(url) || '.raw' AS snapshot_key, "
+    "sha256(html) AS page_hash, length(html) AS body_chars FROM pages"
+)
+def snapshot_bodies(spark, sf_dir):
+    """Snapshot rows of all pages with their key and body."""
+    pages = adapt.pages(spark, sf_dir)
+    stored = pg.with_bodies(pg.snapshot_rows(pg.fingerprints(pages)), pages)
+    ids = adapt.read(spark, sf_dir, "pages").select("page_id", T.content_hash(F.col("url")).alias("url_hash"))
+    key = T.snapshot_key(F.col("source_id"), F.col("url_hash")).alias("snapshot_key")
+    return stored.join(ids, "url_hash").select("page_id", key, "page_hash", F.length("body").cast("bigint").alias("body_chars"))
+
+
+@query(
+    "WITH n AS (SELECT DISTINCT lower(c_mktsegment || ' ' || o_orderpriority) AS title FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P'), "
+    + WITH_CAT.removeprefix("WITH ") + "SELECT n.title, arg_min(id, (created_at, id)) AS match FROM n JOIN cat ON lower(cat.title) = n.title GROUP BY 1"
+)
+def dedup_whole_title(spark, sf_dir):
+    """Events without a start match a catalogue event by their whole title."""
+    undated = adapt.candidates_of_orders(spark, sf_dir).filter("us IS NULL")
+    return dedup.match_whole_title(undated, adapt.catalogue(spark, sf_dir))
+
+
+@query(
+    f"SELECT page_id, substr(CASE WHEN page_id % 3 = 0 THEN v ELSE '{{\"page_url\": ' || to_json(url) || ', \"metadata\": {{' || CASE WHEN page_id % 3 = 1 THEN '\"meta_description\": ' || to_json(substr(v, 1, 300)) || ', ' ELSE '' END "
+    f"|| '\"poster_url\": ' || to_json(url || '/a.png') || '}}}}' || chr(10) || chr(10) || v END, 1, 8000) AS text FROM (SELECT page_id, url, {_CLEAN_SQL} AS v FROM pages)"
+)
+def extraction_text(spark, sf_dir):
+    """Text handed to extraction: a metadata object, where there is any, above the visible text."""
+    visible, kind = T.clean_text(F.col("html"), C.MAX_EXTRACTION_CHARS), F.col("page_id") % 3
+    rows = adapt.read(spark, sf_dir, "pages").select("page_id", "url", kind.alias("kind"), visible.alias("v"))
+    meta = F.when(F.col("kind") == 1, F.left("v", F.lit(300)))
+    poster = F.when(F.col("kind") != 0, F.concat("url", F.lit("/a.png")))
+    return rows.select("page_id", H.extraction_text(F.col("url"), meta, poster, F.lit(None).cast("string"), F.col("v")).alias("text"))
+
+
+@query(
+    "SELECT o_orderkey, o_orderdate + INTERVAL 18 HOUR - INTERVAL 330 MINUTE AS at, CASE WHEN o_orderkey % 13 = 12 THEN NULL ELSE o_orderkey % 13 END AS form FROM orders WHERE o_orderkey % 13 <> 12 "
+    "UNION ALL SELECT o_orderkey, NULL, NULL FROM orders WHERE o_orderkey % 13 = 12"
+)
+def written_dates(spark, sf_dir):
+    """Order dates at six in the evening, written in a dozen ways and read back; one way is no date."""
+    forms = (
+        "EEE d MMM yyyy 'WHEN'", "d MMMM yyyy 'at' 'WHEN'", "MMM d, yyyy, 'WHEN'", "EEEE, MMMM d yyyy 'WHEN'", "MM/dd/yyyy 'WHEN'", "yyyy-MM-dd 18:00", "yyyy/MM/dd 'WHEN'", "'WHEN' d MMM yyyy",
+        "MM-dd-yyyy 18:00", "d-MMM-yyyy 18:00:00", "yyyy.MM.dd 'WHEN'", "MMMM d yyyy 'on' 'WHEN'", "'some time in' MMMM",
+    )
+    orders, form = adapt.read(spark, sf_dir, "orders"), (F.col("o_orderkey") % len(forms)).cast("int")
+    whens = F.array(*[F.lit(w) for w in ("6pm", "6 pm", "6:00 PM", "18:00", "6 p.m.")])
+    written = F.lit(None).cast("string")
+    for i, pattern in enumerate(forms):
+        written = F.when(form == i, F.date_format("o_orderdate", pattern)).otherwise(written)
+    when = F.get(whens, (F.col("o_orderkey") % 5).cast("int"))
+    read = D.parse_datetime(F.replace(written, F.lit("WHEN"), when), now=NOW).cast("timestamp_ntz")
+    return orders.select("o_orderkey", read.alias("at"), F.when(read.isNotNull(), (F.col("o_orderkey") % len(forms))).alias("form"))
+
+
 # --- Search ---------------------------------------------------------------------------------
 _WORDS_SQL = "regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')"
 
