@@ -1400,15 +1400,24 @@ def _run_folder(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark).rstrip('/')}/evcat-{name}-{stamp}"
 
 
-def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    schema = adapt.read(spark, sf_dir, table).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+_BATCHES = 3
+
+
+def _stream(spark: SparkSession, sf_dir: str, table: str, at: str) -> DataFrame:
+    """The whole table arriving as files in the order of ``at``, one file set per micro-batch."""
+    rows, folder = adapt.read(spark, sf_dir, table), _run_folder(spark, f"arriving-{table}")
+    number = F.unix_micros(F.col(at).cast("timestamp")) if dict(rows.dtypes)[at].startswith("timestamp") else F.col(at)
+    low, high = rows.agg(F.min(number), F.max(number)).first()
+    step = (high - low) // _BATCHES + 1
+    for n in range(_BATCHES):
+        rows.filter((number >= low + n * step) & (number < low + (n + 1) * step)).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 @query("SELECT date_trunc('day', ts) AS day, event_type AS name, count(*) AS count FROM events GROUP BY 1, 2")
 def stream_daily_counts(spark, sf_dir):
     root = _run_folder(spark, "counts")
-    events = _stream(spark, sf_dir, "events")
+    events = _stream(spark, sf_dir, "events", "ts")
     streams.daily_counts(events, "ts", F.col("event_type"), f"{root}/out", f"{root}/checkpoint").awaitTermination()
     return streams.read_daily_counts(spark, f"{root}/out").select(F.col("day").cast("timestamp_ntz").alias("day"), "name", "count")
 
@@ -1418,7 +1427,7 @@ def stream_daily_counts(spark, sf_dir):
 )
 def stream_dedup(spark, sf_dir):
     root = _run_folder(spark, "dedup")
-    events = _stream(spark, sf_dir, "events").select(
+    events = _stream(spark, sf_dir, "events", "ts").select(
         F.col("event_type").alias("title"), F.col("ts").alias("start_at"), F.col("ts").alias("seen_at"),
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("organizer_name"),
     )
@@ -1433,7 +1442,7 @@ def stream_dedup(spark, sf_dir):
 def stream_ingest(spark, sf_dir):
     """Pages arriving as a stream: raw events and snapshots after one run, joined."""
     root = _run_folder(spark, "ingest")
-    arriving = adapt.pages_of(_stream(spark, sf_dir, "pages"))
+    arriving = adapt.pages_of(_stream(spark, sf_dir, "pages", "page_id"))
     store = streams.Store(spark, f"{root}/tables")
     streams.ingest_pages(arriving, adapt.page_sources(spark, sf_dir), store, f"{root}/checkpoint", lambda n: NOW).awaitTermination()
     raw = store.current("raw_events").select(
@@ -1442,6 +1451,16 @@ def stream_ingest(spark, sf_dir):
     return raw.join(store.current("snapshots").select("source_id", "url_hash"), ["source_id", "url_hash"])
 
 
+@query(WITH_CAT + f", o AS ({_OPEN_SQL}) SELECT id, CASE WHEN {_PASS_SQL} IS NOT NULL THEN {_EXPIRY} ELSE expires_at END AS expires_at FROM o WHERE NOT {_JUNK_SQL}")
+def stream_expire(spark, sf_dir):
+    """The catalogue store after events arrived and the recurring expiry ran: changes and deletes are log entries."""
+    store = streams.Store(spark, f"{_run_folder(spark, 'expire')}/tables")
+    events, kinds = _open_events(spark, sf_dir), dict(store.current("events").dtypes)
+    store.add("events", events.select(*[F.col(c).cast(kinds[c]).alias(c) for c in events.columns if c in kinds]), 0)
+    streams.expire_events(store, 1, _EXPIRY_NOW)
+    return store.current("events").select("id", "expires_at")
+
+
 @query(WITH_CAT + "SELECT count(*) AS events, strftime(start_at, '%Y-%m') AS start_month FROM cat GROUP BY 2")
 def catalogue_files(spark, sf_dir):
     """Catalogue written by start month and read back."""

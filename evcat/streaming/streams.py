@@ -83,7 +83,7 @@ TABLES = {
 
 
 class Store:
-    """Catalogue tables as logs: each batch adds a folder, the last row per key is current."""
+    """Catalogue tables as logs: each batch adds a folder, the last row per key is current, unless it says ``deleted``."""
 
     KEYS = {
         "events": (["id"], ["batch"]),
@@ -97,22 +97,27 @@ class Store:
         self.spark, self.root, self.schemas = spark, root, schemas
         for name, schema in schemas.items():
             # An empty first folder, so a table can be read before its first batch.
-            spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{self.path(name)}/batch=-1")
+            spark.createDataFrame([], schema + ", deleted BOOLEAN").write.mode("ignore").parquet(f"{self.path(name)}/batch=-1")
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def add(self, name: str, rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path(name)}/batch={batch}")
+    def add(self, name: str, rows: DataFrame, batch: int, gone: DataFrame | None = None) -> None:
+        """Add the rows of a batch; ``gone`` has the keys of rows to delete."""
+        logged = rows.withColumn("deleted", F.lit(False))
+        if gone is not None:
+            keys = gone.select(*self.KEYS[name][0]).withColumn("deleted", F.lit(True))
+            logged = logged.unionByName(keys, allowMissingColumns=True)
+        logged.write.mode("overwrite").parquet(f"{self.path(name)}/batch={batch}")
 
     def current(self, name: str, before: int | None = None) -> DataFrame:
         """Current rows, as of the batches before ``before``."""
         schema = self.schemas[name]
-        rows = self.spark.read.schema(schema + ", batch BIGINT").parquet(self.path(name))
+        rows = self.spark.read.schema(schema + ", deleted BOOLEAN, batch BIGINT").parquet(self.path(name))
         if before is not None:
             rows = rows.filter(F.col("batch") < before)
         keys, order = self.KEYS[name]
-        return tables.latest_per_key(rows, keys, order).drop("batch")
+        return tables.latest_per_key(rows, keys, order).filter("NOT deleted").drop("batch", "deleted")
 
 
 def ingest_pages(
@@ -143,8 +148,16 @@ def ingest_pages(
     return _start(pages, checkpoint, "append", one)
 
 
-def expire_each_batch(store: Store, batch: int, now: datetime) -> DataFrame:
-    """Expiry on the current catalogue, as rows to add: the recurring job inside a stream."""
+def expire_events(store: Store, batch: int, now: datetime) -> None:
+    """The recurring expiry job on the store: expired events as new rows, events with placeholder dates as deletes."""
     events = store.current("events", before=batch)
+    junk = lifecycle.junk_pass(now)
     hit = lifecycle.expiry_pass(now).isNotNull()
-    return lifecycle.expire(events.filter(hit), now)
+    store.add("events", lifecycle.expire(events.filter(hit & ~junk), now), batch, gone=events.filter(junk))
+
+
+def watched_pages(pages: DataFrame, sources: DataFrame, events: DataFrame, now: datetime) -> tuple[DataFrame, DataFrame]:
+    """The watchlist job: sources with their flags edited, and the pages of the sources it wants read now."""
+    refreshed = lifecycle.refresh_watchlist(sources, events, now)
+    due = refreshed.filter("due").select(F.col("id").alias("source_id"))
+    return refreshed.drop("due"), pages.join(due, "source_id", "left_semi")
