@@ -58,11 +58,15 @@ def identify(raw: DataFrame) -> DataFrame:
     )
 
 
-def parse(raw: DataFrame, region: C.Region = C.Region(), extractions: DataFrame | None = None) -> DataFrame:
+def parse(
+    raw: DataFrame, region: C.Region = C.Region(), extractions: DataFrame | None = None, classifications: DataFrame | None = None
+) -> DataFrame:
     """Deterministic parse, then extraction or classification where the rules ask for it.
 
     ``raw`` has ``RAW_COLUMNS``, id, platform and base_url. ``extractions`` holds precomputed model
-    results per raw event, of several the most confident; rows without one use the heuristic reader.
+    results per raw event, of several the most confident; rows without one use the heuristic reader. ``classifications`` holds
+    (raw_event_id, event_type, topics, audience, is_student_friendly) for rows that ask for classification; rows without one use
+    the word rules.
     """
     fields = R.parse_payload(F.col("payload"))
     out = raw.withColumns({f"p_{k}": v for k, v in fields.items()})
@@ -85,10 +89,12 @@ def parse(raw: DataFrame, region: C.Region = C.Region(), extractions: DataFrame
     page = F.coalesce(F.col("p_canonical_url"), F.col("page_url"))
     heuristic = R.heuristic_extraction(F.col("_text"), page, region)
     out = out.withColumn("heuristic", F.when(F.col("_text").isNotNull(), heuristic))
-    return merge_extraction(out, extractions, region)
+    return merge_extraction(out, extractions, region, classifications)
 
 
-def merge_extraction(parsed: DataFrame, extractions: DataFrame | None, region: C.Region) -> DataFrame:
+def merge_extraction(
+    parsed: DataFrame, extractions: DataFrame | None, region: C.Region, classifications: DataFrame | None = None
+) -> DataFrame:
     """Lay extraction results over the parsed fields.
 
     A result that is no event keeps the parsed fields with confidence 0. Otherwise each non-null
@@ -139,17 +145,26 @@ def merge_extraction(parsed: DataFrame, extractions: DataFrame | None, region: C
     )
     hybrid = F.col("extraction_method") == "hybrid"
     verdict = R.classification(F.col("title"), F.col("description"), F.col("organizer_name"), F.col("community_name"), region)
-    merged = merged.withColumn("_class", F.when(hybrid, verdict))
+    if classifications is None:
+        merged = merged.withColumn("_class", F.when(hybrid, verdict))
+    else:
+        given = classifications.select(F.col("raw_event_id").alias("id"), "event_type", "topics", "audience", "is_student_friendly")
+        given = tables.last_per_key(given, "id").select("id", F.struct("event_type", "topics", "audience", "is_student_friendly").alias("_given"))
+        merged = merged.join(given, "id", "left")
+        own = F.struct(*[verdict[f].alias(f) for f in ("event_type", "topics", "audience", "is_student_friendly")])
+        merged = merged.withColumn("_class", F.when(hybrid, F.coalesce("_given", own)))
+        student = F.when(F.col("_given").isNotNull(), F.col("_class.is_student_friendly"))
+        merged = merged.withColumn("is_student_friendly", F.coalesce(student, "is_student_friendly"))
     return merged.withColumns(
         {
-            "event_type": F.coalesce("_class.event_type", "event_type"),
+            "event_type": F.coalesce(T.blank_to_null(F.col("_class.event_type")), "event_type"),
             "topics": F.when(F.size("_class.topics") > 0, F.col("_class.topics")).otherwise(F.col("topics")),
             "audience": F.when(F.size("_class.audience") > 0, F.col("_class.audience")).otherwise(F.col("audience")),
             "short_description": F.col("p_short_description"),
             "poster_url": F.col("p_poster_url"),
             "canonical_url": F.col("p_canonical_url"),
         }
-    ).drop("_class")
+    ).drop("_class", "_given")
 
 
 def normalise(parsed: DataFrame, now: datetime, region: C.Region = C.Region()) -> DataFrame:
@@ -169,7 +184,29 @@ def normalise(parsed: DataFrame, now: datetime, region: C.Region = C.Region()) -
     return out.withColumn("registration_url", T.absolute_url(register, F.col("base_url")))
 
 
-def score(normalised: DataFrame, now: datetime, region: C.Region = C.Region()) -> DataFrame:
+def with_found_dates(scored: DataFrame, lookups: DataFrame) -> DataFrame:
+    """Dates found by a look-up (raw_event_id, start_at, end_at) for rows without one that passed the checks so far.
+
+    Rows below the look-up confidence take none; a found start lifts the confidence. Of several results the earliest start counts.
+    """
+    found = lookups.filter("start_at IS NOT NULL").groupBy(F.col("raw_event_id").alias("id")).agg(
+        F.min(F.struct("start_at", "end_at")).alias("_found")
+    )
+    takes = F.col("start_at").isNull() & (F.col("confidence") >= C.LOOKUP_MIN_CONFIDENCE) & F.col("_found").isNotNull()
+    out = scored.join(found, "id", "left").withColumn("_takes", takes)
+    kind = scored.schema["start_at"].dataType
+    return out.withColumns(
+        {
+            "end_at": F.when(F.col("_takes"), F.coalesce(F.col("_found.end_at").cast(kind), "end_at")).otherwise(F.col("end_at")),
+            "confidence": F.when(F.col("_takes"), F.greatest("confidence", F.lit(C.LOOKUP_CONFIDENCE))).otherwise(F.col("confidence")),
+            "start_at": F.when(F.col("_takes"), F.col("_found.start_at").cast(kind)).otherwise(F.col("start_at")),
+        }
+    ).drop("_found", "_takes")
+
+
+def score(
+    normalised: DataFrame, now: datetime, region: C.Region = C.Region(), date_lookups: DataFrame | None = None
+) -> DataFrame:
     """Relevance, date-to-be-announced, completeness, publish score, and the route so far.
 
     ``route`` is null for rows that go on to the duplicate check. Checks are ordered: page kind,
@@ -180,6 +217,14 @@ def score(normalised: DataFrame, now: datetime, region: C.Region = C.Region()) -
         "relevance",
         R.relevance(*[F.col(c) for c in ("mode", "city", "address", "venue_name", "organizer_name", "community_name")], region),
     )
+    if date_lookups is not None:
+        turned_down = (F.col("kind") != "detail") | ~H.valid_title(F.col("title")) | (
+            (F.col("relevance") < C.MIN_RELEVANCE) & (F.coalesce("platform", F.lit("")) != "static")
+        )
+        asked = out.withColumn("_asks", ~turned_down).withColumn("_id", F.col("id"))
+        # Rows that are turned down anyway look nothing up.
+        out = with_found_dates(asked.withColumn("id", F.when(F.col("_asks"), F.col("_id"))), date_lookups).withColumn("id", F.col("_id"))
+        out = out.drop("_asks", "_id")
     dateless = F.col("start_at").isNull()
     eligible = (F.col("confidence") >= C.TBA_MIN_CONFIDENCE) & (F.col("relevance") >= C.TBA_MIN_RELEVANCE)
     route = (
@@ -351,9 +396,11 @@ def routed_rows(
     region: C.Region = C.Region(),
     extractions: DataFrame | None = None,
     only: DataFrame | None = None,
+    classifications: DataFrame | None = None,
+    date_lookups: DataFrame | None = None,
 ) -> DataFrame:
     """Pages to routed raw events, without change detection."""
-    return route(scored_rows(pages, sources, now, region, extractions, only), events)
+    return route(scored_rows(pages, sources, now, region, extractions, only, classifications, date_lookups), events)
 
 
 def scored_rows(
@@ -363,6 +410,8 @@ def scored_rows(
     region: C.Region = C.Region(),
     extractions: DataFrame | None = None,
     only: DataFrame | None = None,
+    classifications: DataFrame | None = None,
+    date_lookups: DataFrame | None = None,
 ) -> DataFrame:
     """Pages to scored raw events; ``only`` restricts them to (source_id, url, fetched_at) keys.
 
@@ -378,7 +427,7 @@ def scored_rows(
     if late:
         raw = raw.join(only.withColumnRenamed("url", "page_url"), ["source_id", "page_url", "fetched_at"], "left_semi")
     raw = raw.join(about, "source_id")
-    scored = score(normalise(parse(raw, region, extractions), now, region), now, region)
+    scored = score(normalise(parse(raw, region, extractions, classifications), now, region), now, region, date_lookups)
     used_up = [c for c in scored.columns if c.startswith(("p_", "m_", "_"))]
     return cut(scored.drop("payload", "heuristic", "cleaned_text", "json_ld", *used_up))
 
@@ -392,12 +441,17 @@ def ingest(
     now: datetime,
     region: C.Region = C.Region(),
     extractions: DataFrame | None = None,
+    classifications: DataFrame | None = None,
+    date_lookups: DataFrame | None = None,
 ) -> IngestResult:
-    """One ingestion run. Inputs are tables, outputs the rows to append and the new versions."""
+    """One ingestion run. Inputs are tables, outputs the rows to append and the new versions.
+
+    Model results come as optional tables: extractions, classifications and date look-ups per raw event.
+    """
     # Bodies are read once for their hashes; everything after works on the written hashes.
     prints = cut(P.changed_prints(cut(P.fingerprints(pages)), snapshots, sources))
     keys = prints.select("source_id", "url", "fetched_at").distinct()
-    routed = cut(routed_rows(pages, sources, events, now, region, extractions, keys))
+    routed = cut(routed_rows(pages, sources, events, now, region, extractions, keys, classifications, date_lookups))
     fresh = cut(new_events(routed, events, now, region))
     dups = routed.filter("route = 'duplicate'").select(
         "match", "seq", "start_at", "end_at", *refresh.FILL_FIELDS

@@ -1218,6 +1218,40 @@ def ingest_pages(spark, sf_dir):
     return scored.join(ids, "page_url").select("page_id", "route", "reason", "canonical_url")
 
 
+@query(
+    f"WITH s AS ({_STATIC_SQL}), p AS (SELECT *, (2 + (start_at IS NOT NULL)::INT + (mode IS NOT NULL)::INT * 0.5 + (description IS NOT NULL)::INT * 0.5) / 5.0 AS first FROM s), "
+    "m AS (SELECT *, first < 0.6 AND o_orderkey % 10 <> 0 AS model, first >= 0.6 AND o_orderkey % 3 = 0 AS classed FROM p WHERE first >= 0.6 OR o_orderkey % 10 <> 0), "
+    "x AS (SELECT *, CASE WHEN model THEN 'Model ' || title ELSE title END AS new_title, CASE WHEN model THEN 0.8 ELSE first END AS conf, "
+    "CASE WHEN mode IN ('online', 'hybrid') THEN 0.5 WHEN city IS NOT NULL THEN 1.0 ELSE 0.1 END AS rel FROM m) "
+    "SELECT CAST(o_orderkey AS VARCHAR) AS external_id, new_title AS title, CASE WHEN model THEN 'Text of ' || title ELSE description END AS description, CAST(round(greatest(conf, CASE WHEN start_at IS NULL AND o_orderkey % 5 = 0 THEN 0.65 ELSE 0 END), 6) AS DOUBLE) AS confidence, "
+    "CASE WHEN classed THEN 'talk' WHEN model THEN 'workshop' ELSE 'meetup' END AS event_type, classed OR model AS is_student_friendly, "
+    "coalesce(start_at, CASE WHEN o_orderkey % 5 = 0 THEN o_orderdate + INTERVAL 1 DAY END) AS start_at FROM x"
+)
+def ingest_models(spark, sf_dir):
+    """Extractions, classifications and found dates of models, laid over the parsed items of a static source."""
+    sentence = "Join the developers of the city for an evening of talks and a workshop on open source. "
+    member = F.replace("html_or_json", F.lit('{"_id"'), F.lit('{"_cleaned_text":"' + sentence * 4 + '","_id"'))
+    pages, sources = adapt.listing_pages(spark, sf_dir).withColumn("html_or_json", member), adapt.nation_sources(spark, sf_dir)
+    orders = adapt.read(spark, sf_dir, "orders").join(adapt.read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    orders = orders.join(adapt.read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    key, title = F.col("o_orderkey"), F.concat("c_mktsegment", F.lit(" "), "o_orderpriority")
+    named = F.sha2(F.concat_ws("|", "n_name", key.cast("string")), 256).alias("raw_event_id")
+    text, null = F.lit, F.lit(None).cast("string")
+    found = {"title": F.concat(text("Model "), title), "description": F.concat(text("Text of "), title), "event_type": text("workshop")}
+    columns = [found.get(c, null).alias(c) for c in (*ing._TEXT_FIELDS, "address", "price_type")]
+    lists = [F.array(text(c)).alias(c) for c in ("topics", "audience")]
+    flags = [text(True).alias("is_free"), text(True).alias("is_student_friendly"), (key % 10 == 0).alias("not_an_event")]
+    extractions = orders.select(named, *columns, *lists, *flags, text(0.8).alias("confidence"))
+    # A second, less confident result of every event is not used.
+    extractions = extractions.unionByName(extractions.withColumns({"confidence": text(0.1), "title": text("weak result")}))
+    classified = orders.filter(key % 3 == 0).select(named, text("talk").alias("event_type"), *lists, text(True).alias("is_student_friendly"))
+    dates = orders.filter(key % 5 == 0).select(named, (F.col("o_orderdate") + F.expr("INTERVAL 1 DAY")).alias("start_at"), F.lit(None).cast("timestamp_ntz").alias("end_at"))
+    out = ing.scored_rows(pages, sources, NOW, extractions=extractions, classifications=classified, date_lookups=dates)
+    kept = out.filter((F.col("extraction_method") != "ai") | (F.col("external_id").cast("bigint") % 10 != 0))
+    start = F.when(~F.col("date_tba"), F.col("start_at")).alias("start_at")
+    return kept.select("external_id", "title", "description", F.round("confidence", 6).alias("confidence"), "event_type", "is_student_friendly", start)
+
+
 @query(
     _SCORED_SQL + "SELECT CAST(o_orderkey AS VARCHAR) AS external_id, 'raw_event' AS entity_type, 'low' AS severity, 'pending' AS status, "
     "CASE WHEN early = 'moderation' THEN 'missing_start_at' ELSE 'low_confidence' END AS reason FROM f WHERE route = 'moderation'"
