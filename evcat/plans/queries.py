@@ -780,9 +780,17 @@ def dedup_url(spark, sf_dir):
     return pages.join(dedup.match_by_url(pages, existing), "url").select("page_id", "match")
 
 
-@query()
+@query(
+    f"WITH RECURSIVE c AS MATERIALIZED ({_CAND_SQL}), t AS (SELECT DISTINCT title FROM c), "
+    "p AS MATERIALIZED (SELECT a.title AS part, b.title AS whole FROM t a JOIN t b ON contains(b.title, a.title)), "
+    "e AS MATERIALIZED (SELECT x.id, y.id AS earlier FROM c x JOIN p ON p.part = x.title JOIN c y ON y.title = p.whole AND y.id < x.id AND abs(epoch_us(y.start_at) - epoch_us(x.start_at)) <= 43200000000), "
+    # A row is settled once all earlier rows that could make it a duplicate are.
+    "s(id, dup_of) USING KEY (id) AS (SELECT id, CAST(NULL AS BIGINT) FROM c WHERE id NOT IN (SELECT id FROM e) UNION "
+    "SELECT id, owner FROM (SELECT e.id, min(e.earlier) FILTER (k.id IS NOT NULL AND k.dup_of IS NULL) AS owner, count(*) FILTER (k.id IS NULL) AS waiting "
+    "FROM e LEFT JOIN recurring.s k ON k.id = e.earlier WHERE e.id NOT IN (SELECT id FROM recurring.s) GROUP BY e.id) WHERE waiting = 0) SELECT id, dup_of FROM s"
+)
 def dedup_greedy(spark, sf_dir):
-    """Sequential rule over all user events: verified in the tests against a sequential model."""
+    """The sequential rule over all user events."""
     rows = _candidate_rows(spark, sf_dir).select("title", "us", "url", F.col("id").alias("seq"), F.lit(True).alias("publishable"))
     return dedup.batch_duplicates(rows).select(F.col("seq").alias("id"), "dup_of")
 
