@@ -1,24 +1,15 @@
-"""Each query gives the rows of its SQL, on the smallest tables.
-
-The slowest flows run only with EVCAT_ALL=1; ``check_oracles.py`` runs everything at any scale.
-"""
-import os
-
+"""Each query gives the rows of its SQL, on the smallest tables; ``check_oracles.py`` does the same at any scale."""
 import pytest
 
 from check_oracles import compare, connect
 from evcat.plans.queries import QUERIES, SQL
 
-SLOW = {"ingest_routes", "published_catalogue", "crawl_counters", "stream_ingest", "dedup_greedy", "page_metadata", "ingest_pages"}
-NAMES = [n for n in QUERIES if n not in SLOW or os.environ.get("EVCAT_ALL")]
-
-
 @pytest.fixture(scope="module")
 def con(sf_dir):
     return connect(sf_dir)
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, con, sf_dir, name):
     assert compare(spark, con, name, QUERIES[name], SQL.get(name), sf_dir).startswith(("ok", "rows only"))
 
