@@ -74,7 +74,6 @@ def ics_event(site: C.Site = _SITE) -> Column:
 
 def ics_feed(events: DataFrame, now: datetime, site: C.Site = _SITE) -> DataFrame:
     """(part, start_at, id, value): header, live events by start, footer, in file order."""
-    kind = events.schema["start_at"].dataType
     spark = events.sparkSession
     edge = spark.createDataFrame(
         [
@@ -82,9 +81,11 @@ def ics_feed(events: DataFrame, now: datetime, site: C.Site = _SITE) -> DataFram
             (2, "END:VCALENDAR"),
         ],
         "part int, value string",
-    ).select("part", F.lit(None).cast(kind).alias("start_at"), F.lit(None).cast("string").alias("id"), "value")
-    body = events.filter(live(now)).select(F.lit(1).alias("part"), "start_at", "id", ics_event(site).alias("value"))
-    return body.unionByName(edge).orderBy("part", F.col("start_at").asc_nulls_last(), "id")
+    )
+    rows = events.filter(live(now)).withColumns({"part": F.lit(1), "value": F.lit(None).cast("string")})
+    ordered = rows.unionByName(edge, allowMissingColumns=True).orderBy("part", F.col("start_at").asc_nulls_last(), "id")
+    # The text is built after the sort, whose sampling would build it a second time.
+    return ordered.select("part", "start_at", "id", F.coalesce("value", ics_event(site)).alias("value"))
 
 
 # --- Sitemap --------------------------------------------------------------------------------
