@@ -7,7 +7,6 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -84,7 +83,7 @@ def quality(
     """
 
     def judged(texts: pa.Array) -> pa.Array:
-        hashes = W.worker_object(("word_hash",), lambda: W.WordCache(xxhash.xxh3_64_intdigest))
+        hashes = W.word_hashes()
         compressor = zstandard.ZstdCompressor(level=level, write_content_size=False, write_checksum=False)
         out: dict[str, list] = {name: [] for name in FIELDS}
         for text in W.utf8(texts):

@@ -130,7 +130,7 @@ def _settle(docs: DataFrame, span: int, node: int) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.slices(batch, 1, 2 << 20):
+            for part in W.slices(batch, 1):
                 out: list[tuple] = []
                 ids, found = part.column(0).to_pylist(), part.column(2)
                 for i, zipped in enumerate(part.column(1).to_pylist()):

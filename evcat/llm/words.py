@@ -79,7 +79,7 @@ def struct_array(fields: dict[str, tuple[list, pa.DataType]]) -> pa.StructArray:
     return pa.StructArray.from_arrays(arrays, names=list(fields))
 
 
-def slices(batch: pa.RecordBatch, column: int, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about ``max_bytes`` of one text column, so that arrays over all words of a piece stay small."""
     start = held = 0
     sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
@@ -93,9 +93,14 @@ def slices(batch: pa.RecordBatch, column: int, max_bytes: int = 4 << 20) -> Iter
         yield batch.slice(start)
 
 
+def word_hashes() -> WordCache:
+    """Hash of each word. Hashing is cheap, so a small cache of the common words is enough."""
+    return worker_object(("word_hash",), lambda: WordCache(xxhash.xxh3_64_intdigest, 50_000))
+
+
 def hashed(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of all texts, and where each text starts (one more entry for the end)."""
-    cache = worker_object(("word_hash",), lambda: WordCache(xxhash.xxh3_64_intdigest))
+    cache = word_hashes()
     bounds = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
     return np.fromiter((cache[w] for x in texts for w in x), np.uint64, int(bounds[-1])), bounds
 
