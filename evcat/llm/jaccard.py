@@ -15,6 +15,8 @@ documents an n-gram has is counted over all documents, in packed key ranges.
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -29,7 +31,9 @@ from evcat.session import cut
 
 SIZE, NUMERATOR, DENOMINATOR = 5, 75, 100
 LONG_LIST = 33  # documents from which a list counts as long
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+LABEL_STEPS = 2
+BLOCK_BYTES = 8 << 20  # a block's sets take a multiple of its text
 
 
 def shingle_sets(texts: list[list[bytes]], size: int) -> list[np.ndarray]:
@@ -77,17 +81,27 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((large[at] == small).sum())
 
 
-def _texts(column: pa.ChunkedArray | pa.Array) -> list[list[bytes]]:
-    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
-    return [W.lower_blank_words(t) for chunk in chunks for t in W.utf8(chunk)]
+_PIECE = 1 << 20  # bytes of text whose words are held as objects at one time
+
+
+def _sets_of(column: pa.ChunkedArray, size: int) -> Iterator[np.ndarray]:
+    """N-gram set of each text of a block."""
+    texts, held = [], 0
+    for text in (t for chunk in column.chunks for t in W.utf8(chunk)):
+        texts.append(W.lower_blank_words(text))
+        held += len(text or b"")
+        if held >= _PIECE:
+            yield from shingle_sets(texts, size)
+            texts, held = [], 0
+    yield from shingle_sets(texts, size)
 
 
 def _requests(source: DataFrame, size: int, bits: int, ranges: int) -> DataFrame:
     """Per block and key range the packed cells (leading hash bits) of all its sets."""
 
     def block_cells(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        sets = shingle_sets(_texts(table.column("text")), size)
-        cells = np.sort(np.concatenate([np.zeros(0, np.uint64), *sets]) >> np.uint64(64 - bits))
+        cells = [members >> np.uint64(64 - bits) for members in _sets_of(table.column("text"), size)]
+        cells = np.sort(np.concatenate([np.zeros(0, np.uint64), *cells]))
         at = B.cut_at(cells, bits, ranges)
         full = [r for r in range(ranges) if at[r] < at[r + 1]]
         packed = [B.pack_sorted(cells[at[r] : at[r + 1]]) for r in full]
@@ -133,7 +147,7 @@ def _ordered_sets(source: DataFrame, answers: DataFrame, size: int, bits: int) -
         cells, long = np.concatenate(cells), np.concatenate(long)
         rows = []
         seen = set()
-        for members in shingle_sets(_texts(docs.column("text")), size):
+        for members in _sets_of(docs.column("text"), size):
             n = len(members)
             sid = xxhash.xxh3_64_intdigest(members.tobytes()) - (1 << 63)
             if not n or sid in seen:
@@ -167,8 +181,12 @@ def _similar(a: Column, b: Column, common: Column) -> Column:
     return DENOMINATOR * common >= NUMERATOR * (a + b - common)
 
 
-def _alike_in_size(a: Column, b: Column) -> Column:
-    return DENOMINATOR * F.least(a, b) >= NUMERATOR * F.greatest(a, b)
+def _reachable() -> Column:
+    """Pairs that could be similar if the n-gram they met at (``rank`` in either order) and all after it were common.
+
+    That holds for every similar pair at its first common n-gram, so each list may drop the others.
+    """
+    return _similar(F.col("n_a"), F.col("n_b"), F.least(F.col("n_a") - F.col("rank_a"), F.col("n_b") - F.col("rank_b")))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -188,9 +206,10 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _short_links(sets: DataFrame) -> DataFrame:
     """Links whose first common n-gram has a short list."""
     prefix = F.expr(f"slice(members, cast(n_single + 1 AS int), cast(least(n_short, {_prefix_sql()} - n_single) AS int))")
-    postings = sets.filter("n_short > 0").select("sid", "n", F.explode(prefix).alias("gram"))
-    left, right = postings.toDF("a", "n_a", "gram"), postings.toDF("b", "n_b", "gram")
-    pairs = left.join(right, "gram").filter(F.col("a") < F.col("b")).filter(_alike_in_size(F.col("n_a"), F.col("n_b")))
+    postings = sets.filter("n_short > 0").select("sid", "n", "n_single", F.posexplode(prefix).alias("at", "gram"))
+    postings = postings.select("sid", "n", (F.col("n_single") + F.col("at")).alias("rank"), "gram")
+    left, right = postings.toDF("a", "n_a", "rank_a", "gram"), postings.toDF("b", "n_b", "rank_b", "gram")
+    pairs = left.join(right, "gram").filter(F.col("a") < F.col("b")).filter(_reachable())
     return _verified(written(pairs.select("a", "b").distinct(), "short-pairs"), sets.withColumn("h", F.col("n")))
 
 
@@ -202,7 +221,7 @@ def _long_links(sets: DataFrame) -> DataFrame:
     """Links that long lists alone decide, up to links that follow from others.
 
     Sets with the same long members and the same size are one class: whatever is linked to one of them by long members is linked to
-    all. Classes are probed against the first class of each of their lists; the next rounds leave that class and lists that hold one
+    all. Classes are probed against the first class of each of their lists; the next rounds leave out that class and lists that hold one
     component only. What is left after the rounds is paired within its lists.
     """
     heavy = sets.filter(f"n_single + n_short < {_prefix_sql()}").withColumn(
@@ -212,20 +231,23 @@ def _long_links(sets: DataFrame) -> DataFrame:
     bitmap = F.arrow_udf(lambda a: pa.array([parity_bitmap(x.values.to_numpy(zero_copy_only=False).view(np.uint64)) for x in a], pa.binary()), "binary")
     one = of_class.groupBy("cid").agg(F.first("n").alias("n"), F.first("long").alias("members"), F.min("sid").alias("first"), F.count(F.lit(1)).alias("sids"))
     classes = written(one.select(F.col("cid").alias("sid"), "n", "members", "first", "sids", F.size("members").cast("bigint").alias("h"), bitmap("members").alias("bitmap")), "class-sets")
-    within = F.expr(f"slice(members, 1, cast({_prefix_sql()} - (n - h) AS int))")
-    active = classes.select(F.col("sid").alias("cid"), "n", F.col("sid").alias("comp"), F.explode(within).alias("gram"))
+    prefix = F.expr(f"slice(members, 1, cast({_prefix_sql()} - (n - h) AS int))")
+    active = classes.select(F.col("sid").alias("cid"), "n", "h", F.col("sid").alias("comp"), F.posexplode(prefix).alias("at", "gram"))
+    active = active.select("cid", "n", (F.col("n") - F.col("h") + F.col("at")).alias("rank"), "comp", "gram")
+    fields = ("cid", "n", "rank", "comp")
     links, tested = [], None
     for turn in range(STAR_ROUNDS + 1):
-        lists = active.groupBy("gram").agg(F.min(F.struct("cid", "n", "comp")).alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
+        lists = active.groupBy("gram").agg(F.min(F.struct(*fields)).alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
         active = written(active.join(lists, "gram"), "active")
         if active.isEmpty():
             break
         if turn < STAR_ROUNDS:
-            met = active.select(F.col("c.cid").alias("a"), F.col("c.n").alias("n_a"), F.col("c.comp").alias("comp_a"), F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
+            met = active.select(*[F.col(f"c.{f}").alias(f"{f}_a") for f in fields], *[F.col(f).alias(f"{f}_b") for f in fields])
         else:
-            x = active.select(F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"), "gram")
-            met = x.join(x.toDF("b", "n_b", "comp_b", "gram"), "gram").filter("a < b")
-        pairs = met.filter("comp_a <> comp_b").filter(_alike_in_size(F.col("n_a"), F.col("n_b"))).select("a", "b").distinct()
+            side = lambda s: active.select("gram", *[F.col(f).alias(f"{f}_{s}") for f in fields])
+            met = side("a").join(side("b"), "gram").filter("cid_a < cid_b")
+        met = met.filter(F.col("comp_a") != F.col("comp_b")).filter(_reachable())
+        pairs = met.select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).distinct()
         pairs = written(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs, "long-pairs")
         tested = pairs if tested is None else tested.union(pairs)
         links.append(_verified(pairs, classes))
@@ -234,9 +256,13 @@ def _long_links(sets: DataFrame) -> DataFrame:
         joined = links[0]
         for more in links[1:]:
             joined = joined.union(more)
-        label = components(joined).withColumnRenamed("node", "cid")
-        left = active.filter("cid <> c.cid").select("cid", "n", "gram")
-        active = left.join(label, "cid", "left").select("cid", "n", F.coalesce("root", "cid").alias("comp"), "gram")
+        # Classes that lead to the same class are connected; a few steps find nearly all, and a pair missed here is only probed.
+        label = written(joined.groupBy(F.col("b").alias("cid")).agg(F.min("a").alias("root")), "labels")
+        for _ in range(LABEL_STEPS):
+            onward = label.select(F.col("cid").alias("root"), F.col("root").alias("next"))
+            label = written(label.join(onward, "root", "left").select("cid", F.coalesce("next", "root").alias("root")), "labels")
+        left = active.filter("cid <> c.cid").drop("comp")
+        active = left.join(label, "cid", "left").select("cid", "n", "rank", F.coalesce("root", "cid").alias("comp"), "gram")
     own = classes.filter(_similar(F.col("n"), F.col("n"), F.col("h")) & (F.col("sids") > 1)).select(F.col("sid").alias("cid"))
     firsts = classes.select(F.col("sid").alias("cid"), "first")
     touched, across = own, None
@@ -254,7 +280,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
     """Rows (doc_id, key, n, root) of all documents; root names the group, null for an empty set."""
     text = F.col(f"`{text_col}`")
     total = B.text_bytes(docs, text_col)
-    ranges, bits = B.block_count(total), max(16, total.bit_length() + 3)
+    ranges, bits = B.block_count(total, BLOCK_BYTES), max(16, total.bit_length() + 3)
     keyed = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
     source = keyed.withColumn("block", B.block_of([F.col("doc_id"), F.col("key")], ranges))
     answers = _answers(_requests(source, size, bits, ranges))
