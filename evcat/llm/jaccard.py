@@ -233,8 +233,8 @@ def _long_links(sets: DataFrame) -> DataFrame:
     classes = written(one.select(F.col("cid").alias("sid"), "n", "members", "first", "sids", F.size("members").cast("bigint").alias("h"), bitmap("members").alias("bitmap")), "class-sets")
     prefix = F.expr(f"slice(members, 1, cast({_prefix_sql()} - (n - h) AS int))")
     active = classes.select(F.col("sid").alias("cid"), "n", "h", F.col("sid").alias("comp"), F.posexplode(prefix).alias("at", "gram"))
-    active = active.select("cid", "n", (F.col("n") - F.col("h") + F.col("at")).alias("rank"), "comp", "gram")
-    fields = ("cid", "n", "rank", "comp")
+    active = active.select("cid", "n", "h", (F.col("n") - F.col("h") + F.col("at")).alias("rank"), "comp", "gram")
+    fields = ("cid", "n", "h", "rank", "comp")
     links, tested = [], None
     for turn in range(STAR_ROUNDS + 1):
         lists = active.groupBy("gram").agg(F.min(F.struct(*fields)).alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
@@ -243,10 +243,12 @@ def _long_links(sets: DataFrame) -> DataFrame:
             break
         if turn < STAR_ROUNDS:
             met = active.select(*[F.col(f"c.{f}").alias(f"{f}_a") for f in fields], *[F.col(f).alias(f"{f}_b") for f in fields])
+            # Any list may link to its first class, so that most are linked before pairs are formed.
+            met = met.filter(_similar(F.col("n_a"), F.col("n_b"), F.least("h_a", "h_b")))
         else:
             side = lambda s: active.select("gram", *[F.col(f).alias(f"{f}_{s}") for f in fields])
-            met = side("a").join(side("b"), "gram").filter("cid_a < cid_b")
-        met = met.filter(F.col("comp_a") != F.col("comp_b")).filter(_reachable())
+            met = side("a").join(side("b"), "gram").filter("cid_a < cid_b").filter(_reachable())
+        met = met.filter(F.col("comp_a") != F.col("comp_b"))
         pairs = met.select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).distinct()
         pairs = written(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs, "long-pairs")
         tested = pairs if tested is None else tested.union(pairs)
@@ -262,7 +264,7 @@ def _long_links(sets: DataFrame) -> DataFrame:
             onward = label.select(F.col("cid").alias("root"), F.col("root").alias("next"))
             label = written(label.join(onward, "root", "left").select("cid", F.coalesce("next", "root").alias("root")), "labels")
         left = active.filter("cid <> c.cid").drop("comp")
-        active = left.join(label, "cid", "left").select("cid", "n", "rank", F.coalesce("root", "cid").alias("comp"), "gram")
+        active = left.join(label, "cid", "left").select("cid", "n", "h", "rank", F.coalesce("root", "cid").alias("comp"), "gram")
     own = classes.filter(_similar(F.col("n"), F.col("n"), F.col("h")) & (F.col("sids") > 1)).select(F.col("sid").alias("cid"))
     firsts = classes.select(F.col("sid").alias("cid"), "first")
     touched, across = own, None
