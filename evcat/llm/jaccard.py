@@ -221,7 +221,7 @@ def _long_links(sets: DataFrame) -> DataFrame:
     """Links that long lists alone decide, up to links that follow from others.
 
     Sets with the same long members and the same size are one class: whatever is linked to one of them by long members is linked to
-    all. Classes are probed against the first class of each of their lists; the next rounds leave out that class and lists that hold one
+    all. Classes are probed against the class of each of their lists with the most long members; the next rounds leave out that class and lists that hold one
     component only. What is left after the rounds is paired within its lists.
     """
     heavy = sets.filter(f"n_single + n_short < {_prefix_sql()}").withColumn(
@@ -237,7 +237,9 @@ def _long_links(sets: DataFrame) -> DataFrame:
     fields = ("cid", "n", "h", "rank", "comp")
     links, tested = [], None
     for turn in range(STAR_ROUNDS + 1):
-        lists = active.groupBy("gram").agg(F.min(F.struct(*fields)).alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
+        # The class with the most long members is the least edited one, and links to most of its kind.
+        center = F.min(F.struct((-F.col("h")).alias("fewer"), *fields)).alias("c")
+        lists = active.groupBy("gram").agg(center, F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
         active = written(active.join(lists, "gram"), "active")
         if active.isEmpty():
             break
