@@ -57,13 +57,23 @@ def repeated_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-def bad_chunks(text: bytes, compressor: zstandard.ZstdCompressor, size: int, band: Band) -> float:
-    """Share of the whole fixed-size chunks whose ratio is outside the band; 0 without such a chunk."""
-    starts = range(0, len(text) - size + 1, size)
-    if not starts:
+def bad_chunks(text: bytes, compressor: zstandard.ZstdCompressor, size: int, band: Band, bands: Sequence[Band] = WHOLE_BANDS) -> float:
+    """Share of the chunks whose ratio is outside their band; 0 for a text below the chunk size, which is judged as a whole.
+
+    Chunks cover every byte: the last partial one is judged by the band of its own length, and one too short for any band is
+    part of the chunk before it.
+    """
+    if len(text) < size:
         return 0.0
-    ratios = [len(compressor.compress(text[k : k + size])) / size for k in starts]
-    return sum(not band.low <= r <= band.high for r in ratios) / len(ratios)
+    starts = list(range(0, len(text) - size + 1, size))
+    tail = starts[-1] + size
+    if band_of(len(text) - tail, bands):
+        starts.append(tail)
+    bad = 0
+    for start, end in zip(starts, [*starts[1:], len(text)]):
+        limits = band if end - start >= size else band_of(end - start, bands)
+        bad += not limits.low <= len(compressor.compress(text[start:end])) / (end - start) <= limits.high
+    return bad / len(starts)
 
 
 def band_of(n_bytes: int, bands: Sequence[Band]) -> Band | None:
@@ -79,7 +89,8 @@ def quality(
 
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed (under 20 words, or over 30 % of the words
     repeated), ratio (null for an empty text), bad_chunk_share, kept. ``kept`` needs the base rules, the whole text's ratio in
-    the band of its length, and at most ``max_bad_chunks`` of its fixed chunks outside theirs. A null text has no words and fails.
+    the band of its length, and at most ``max_bad_chunks`` of its chunks, the last partial one counted, outside theirs. A null text
+    has no words and fails.
     """
 
     def judged(texts: pa.Array) -> pa.Array:
@@ -93,7 +104,7 @@ def quality(
             repeat = repeated_words(np.fromiter(map(hashes.__getitem__, words), np.uint64, n))
             failed = n < 20 or 100 * repeat > 30 * n
             ratio = len(compressor.compress(text)) / len(text) if text else None
-            share = bad_chunks(text, compressor, chunk_bytes, chunk_band)
+            share = bad_chunks(text, compressor, chunk_bytes, chunk_band, bands)
             band = band_of(len(text), bands)
             inside = band is None or band.low <= ratio <= band.high
             values = (

@@ -52,6 +52,24 @@ def test_chunks_catch_what_the_whole_hides():
     assert Q.bad_chunks(b"short", compressor, Q.CHUNK_BYTES, Q.CHUNK_BAND) == 0
 
 
+def test_junk_tail_shorter_than_a_chunk(spark):
+    rng = random.Random(7)
+    names = ["".join(rng.choices(string.ascii_lowercase, k=rng.randrange(2, 9))) for _ in range(800)]
+    prose = " ".join(rng.choices(names, k=4000)).encode()[: 2 * Q.CHUNK_BYTES]
+    junk = b" ".join(base64.b64encode(rng.randbytes(45)) for _ in range(80))
+    compressor = Q.zstandard.ZstdCompressor(level=3)
+    share = lambda text: Q.bad_chunks(text, compressor, Q.CHUNK_BYTES, Q.CHUNK_BAND)
+    one = prose[: Q.CHUNK_BYTES]
+    assert share(one) == share(prose) == share(prose[:-1]) == share(one + prose[:1000]) == 0
+    assert share(one + junk[: Q.CHUNK_BYTES - 1]) == 0.5 and share(one + junk[:2000]) == 0.5
+    assert share(prose + junk[:2000]) == 1 / 3
+    # Too short for a band of its own, and then part of the chunk before.
+    assert share(one + b"\0" * 199) == 0 and share(b" " * Q.CHUNK_BYTES + junk[:199]) == 1
+    texts = [(1, prose[:-1].decode()), (2, (one + junk[: Q.CHUNK_BYTES - 1]).decode()), (3, (junk[: Q.CHUNK_BYTES - 1] + b" " + one).decode())]
+    rows = judge(spark.createDataFrame(texts, "doc_id bigint, text string"))
+    assert {r["doc_id"]: (r["kept"], r["base_failed"]) for r in rows} == {1: (True, False), 2: (False, False), 3: (False, False)}
+
+
 def test_bands_by_length():
     assert Q.band_of(10, Q.WHOLE_BANDS) is None
     assert Q.band_of(200, Q.WHOLE_BANDS).low == 0.40
