@@ -26,17 +26,22 @@ _WRITTEN = (
 # Month names and day names as written, and words between the parts of a date.
 _MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 _MONTH = r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
-_DAY_NAME = r"\b(?:mon|tues?|wed(?:nes)?|thu(?:rs?)?|fri|sat(?:ur)?|sun)(?:day)?\b"
+_DAYS = ("mon", "tue", "wed", "thu", "fri", "sat", "sun")
+_DAY_NAME = r"\b(mon|tues?|wed(?:nes)?|thu(?:rs?)?|fri|sat(?:ur)?|sun)(?:day)?\b"
 _FILLERS = r"\b(?:at|on|of|and)\b"
 _CLOCK = r"\b(\d{1,2}):(\d{2})(?::(\d{2}))?(?:\.\d{1,6})? ?(am|pm)?\b ?(z\b|utc\b|gmt\b|[+-]\d{2}:?\d{2}\b)?"
+# Capitals after a clock that are no other part of a date: a zone name without a known offset.
+_ZONE_NAME = rf"^(.*?(?:\d:\d{{2}}|\d ?(?i:[ap]\.?m\b)).*?)\b(?!(?i:{_MONTH}\b|{_DAY_NAME}|(?:[ap]m|at|on|of|and|utc|gmt)\b))[A-Z]{{2,5}}\b(?! ?[+-]\d)"
+_COMPACT = r"(?<!\d)(\d{4})(\d{2})(\d{2})"
 
 
 def parse_datetime(c: Column, zone: str = C.DISPLAY_ZONE, now: datetime | None = None) -> Column:
     """Read a free-form date; no zone means ``zone``; unreadable means null. Result is UTC.
 
     ISO forms and common written forms come first. With ``now`` also looser ones are read: day names, hours without minutes, any
-    order of clock and date, numeric dates (month first where both readings are possible), and partial dates, whose missing
-    year, month or day is that of ``now`` (the last day of a shorter month).
+    order of clock and date, numeric dates (month first where both readings are possible), dates and clocks without separators, and
+    partial dates, whose missing year, month or day is that of ``now`` (the last day of a shorter month). A day name without a day
+    means the next such day from there. A zone name without a known offset is ignored.
     """
     tidy = F.regexp_replace(F.regexp_replace(F.trim(c), r"\s+", " "), r"(?i)\b(\d{1,2})(?:st|nd|rd|th)\b", "$1")
 
@@ -53,11 +58,13 @@ def parse_datetime(c: Column, zone: str = C.DISPLAY_ZONE, now: datetime | None =
 
 
 def _loose_text(text: Column) -> Column:
-    """Lower case, without day names, fillers and commas; every clock as h:mm."""
-    out = F.lower(text)
+    """Lower case, without unknown zone names, fillers and commas; every clock as h:mm, no date in one number."""
+    out = F.lower(F.regexp_replace(text, _ZONE_NAME, "$1"))
     for pattern, by in (
+        (_COMPACT + r"[t ]?(\d{2})(\d{2})(\d{2})(?:\.\d{1,6})?(?!\d)", "$1-$2-$3 $4:$5:$6 "), (_COMPACT + r"[t ]?(\d{2})(\d{2})(?!\d)", "$1-$2-$3 $4:$5 "),
+        (_COMPACT + r"t(\d{2})(?![\d:])", "$1-$2-$3 $4:00 "), (_COMPACT + r"(?:t(?=\d)|(?!\d))", "$1-$2-$3 "),
         (r"\b([ap])\.m\.?", "$1m"), (r"\b(\d{1,2}) ?(am|pm)\b", "$1:00 $2"), (r":(\d{2}):00 (am|pm)", ":$1 $2"), (r"(\d{4}-\d{1,2}-\d{1,2})t(?=\d)", "$1 "),
-        (_DAY_NAME, " "), (_FILLERS, " "), (r"\bist\b", " "), (r",|(?<=[a-z])\.|[()]", " "), (r"\s+", " "),
+        (_FILLERS, " "), (r"\bist\b", " "), (r",|(?<=[a-z])\.|[()]", " "), (r"\s+", " "),
     ):
         out = F.regexp_replace(out, pattern, by)
     return F.trim(out)
@@ -71,7 +78,8 @@ def _number(text: Column, pattern: str, group: int) -> Column:
 
 def _loose_date(text: Column, zone: str, now: datetime) -> Column:
     """Date from lower-case text of one date in any of the forms, and at most one clock."""
-    day_text = F.trim(F.regexp_replace(F.regexp_replace(text, _CLOCK, " "), r"\s+", " "))
+    day_text = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, _CLOCK, " "), _DAY_NAME, " "), r"\s+", " "))
+    day_name = F.regexp_extract(text, "^.*" + _DAY_NAME, 1)
     clock = F.regexp_extract(text, _CLOCK, 0)
     half, offset = F.regexp_extract(text, _CLOCK, 4), F.regexp_extract(text, _CLOCK, 5)
     raw_hour = _number(text, _CLOCK, 1)
@@ -91,11 +99,13 @@ def _loose_date(text: Column, zone: str, now: datetime) -> Column:
 
     iso, day_first = r"^(\d{4})[-/. ](\d{1,2})[-/. ](\d{1,2})$", rf"^(\d{{1,2}})[- ]?{_MONTH}(?:[- ]?'?(\d{{4}}|\d{{2}}))?$"
     month_first, numeric = rf"^{_MONTH} ?(\d{{1,2}})(?: (\d{{4}}))?$", r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})$"
-    month_year, year_only = rf"^{_MONTH}(?:[- ](\d{{4}}))?$", r"^(\d{4})$"
+    month_year, year_only, day_only = rf"^{_MONTH}(?:[- ](\d{{4}}))?$", r"^(\d{4})$", r"^(\d{1,2})$"
+    two_numbers, last_day = r"^(\d{4}|\d{1,2})[-/](\d{4}|\d{1,2})$", 31
 
     def parts(t: Column) -> Column:
         a, b = _number(t, numeric, 1), _number(t, numeric, 2)
         american = a <= 12
+        first, second = _number(t, two_numbers, 1), _number(t, two_numbers, 2)
         this = lambda n: F.lit(n).cast("int")
         part = lambda y, m, d, exact: F.struct(y.alias("y"), m.alias("m"), d.alias("d"), F.lit(exact).alias("exact"))
         return (
@@ -105,7 +115,12 @@ def _loose_date(text: Column, zone: str, now: datetime) -> Column:
             .when(t.rlike(month_first), part(F.coalesce(_number(t, month_first, 3), this(now.year)), month(t, month_first, 1), _number(t, month_first, 2), True))
             .when(t.rlike(month_year), part(F.coalesce(_number(t, month_year, 2), this(now.year)), month(t, month_year, 1), this(now.day), False))
             .when(t.rlike(year_only), part(_number(t, year_only, 1), this(now.month), this(now.day), False))
-            .when((t == "") & (clock != ""), part(this(now.year), this(now.month), this(now.day), False))
+            .when(t.rlike(two_numbers) & (first > last_day), part(full_year(t, two_numbers, 1), second, this(now.day), False))
+            .when(t.rlike(two_numbers) & (second > last_day), part(full_year(t, two_numbers, 2), first, this(now.day), False))
+            .when(t.rlike(two_numbers), part(this(now.year), first, second, True))
+            .when(t.rlike(day_only) & (_number(t, day_only, 1) > last_day), part(full_year(t, day_only, 1), this(now.month), this(now.day), False))
+            .when(t.rlike(day_only), part(this(now.year), this(now.month), _number(t, day_only, 1), True))
+            .when((t == "") & ((clock != "") | (day_name != "")), part(this(now.year), this(now.month), this(now.day), False))
         )
 
     def moment(p: Column) -> Column:
@@ -115,6 +130,10 @@ def _loose_date(text: Column, zone: str, now: datetime) -> Column:
         local = F.try_make_timestamp(
             p["y"], p["m"], day, F.when(clock == "", F.lit(0)).otherwise(hour), F.coalesce(_number(text, _CLOCK, 2), F.lit(0)), second
         )
+        # From a date without a day on to the day named.
+        weekday = F.array_position(F.array(*[F.lit(d) for d in _DAYS]), F.left(day_name, F.lit(3))).cast("int") - 1
+        ahead = F.when(~p["exact"] & (day_name != ""), F.pmod(weekday - F.weekday(local), F.lit(7))).otherwise(0)
+        local = local + F.make_interval(days=ahead.cast("int"))
         minutes = F.when(
             offset.rlike(r"^[+-]"),
             F.concat(F.left(offset, F.lit(1)), F.lit("1")).cast("int") * (F.substring(offset, 2, 2).cast("int") * 60 + F.right(offset, F.lit(2)).cast("int")),

@@ -92,6 +92,33 @@ def test_loose_dates_agree_with_a_reader_of_its_own(spark):
         assert found == read, form
 
 
+PARTIAL_FORMS = [
+    "Friday", "Friday 6pm", "fri 18:00", "6pm friday", "Saturday", "Sat, 6pm", "Mon", "wednesday", "Friday, 6:30 PM EST", "Friday at 6pm IST", "Friday May", "Friday 2026", "Friday 15 May", "Fri 15", "15",
+    "Friday and Saturday 6pm", "20260515", "20260515T183000", "20260515T1830", "20260515T18", "20260515 18:30", "20260515T18:30", "20260515T183000Z", "20260515T183000+0530", "202605151830", "20260515183000", "20261315",
+    "20260230", "20260515 6pm", "2026-05", "2026-5", "2026/05", "05/2026", "12-2026", "2026-05 6pm", "2026-13", "13/2026", "5/15", "5-15", "1/2", "5/15 6pm", "15/5", "2/31", "5/0", "31/31", "5/32", "99-05", "99",
+    "May 15 2026 6pm EST", "6pm EST May 15 2026", "MAY 15 2026 6PM EST", "18:00 15 MAY 2026 EST", "6pm FRI", "6PM MAY 15 2026", "May 15 2026 18:00 PST", "2026-05-15 18:00 CEST", "2026-05-15T18:00 EST", "18:30 EST", "10am GMT",
+    "May 15 2026 6 p.m. ET", "Friday EST", "May 15 2026 EST", "May 15 2026 6pm est", "EST 15 May 2026", "15 May 2026 18:00 hello", "May 15 2026 6pm EST PST", "2026-06-06 18:00:30 -0300 (BRST)",
+]
+
+
+def test_partial_and_compact_dates_agree_with_a_reader_of_its_own(spark):
+    from datetime import timedelta
+
+    from dateutil import parser, tz
+
+    for now in (datetime(2026, 1, 31), datetime(2024, 2, 29)):
+        got = values(spark, PARTIAL_FORMS, lambda c: D.parse_datetime(c, now=now).cast("timestamp_ntz"))
+        for form, found in zip(PARTIAL_FORMS, got):
+            try:
+                # Names of zones are no offsets here, whatever the zone of the machine.
+                read = parser.parse(form.replace(" IST", ""), default=now, tzinfos=lambda name, offset: tz.tzoffset(None, offset) if offset is not None else None)
+            except (ValueError, OverflowError):
+                read = None
+            if read is not None:
+                read = (read.astimezone(tz.UTC) if read.tzinfo else read - timedelta(hours=5, minutes=30)).replace(tzinfo=None)
+            assert found == read, form
+
+
 
 def test_date_forms(spark):
     def at(build):
