@@ -1226,17 +1226,8 @@ def ingest_pages(spark, sf_dir):
     return scored.join(ids, "page_url").select("page_id", "route", "reason", "canonical_url")
 
 
-@query(
-    f"WITH s AS ({_STATIC_SQL}), p AS (SELECT *, (2 + (start_at IS NOT NULL)::INT + (mode IS NOT NULL)::INT * 0.5 + (description IS NOT NULL)::INT * 0.5) / 5.0 AS first FROM s), "
-    "m AS (SELECT *, first < 0.6 AND o_orderkey % 10 <> 0 AS model, first >= 0.6 AND o_orderkey % 3 = 0 AS classed FROM p WHERE first >= 0.6 OR o_orderkey % 10 <> 0), "
-    "x AS (SELECT *, CASE WHEN model THEN 'Model ' || title ELSE title END AS new_title, CASE WHEN model THEN 0.8 ELSE first END AS conf, "
-    "CASE WHEN mode IN ('online', 'hybrid') THEN 0.5 WHEN city IS NOT NULL THEN 1.0 ELSE 0.1 END AS rel FROM m) "
-    "SELECT CAST(o_orderkey AS VARCHAR) AS external_id, new_title AS title, CASE WHEN model THEN 'Text of ' || title ELSE description END AS description, CAST(round(greatest(conf, CASE WHEN start_at IS NULL AND o_orderkey % 5 = 0 THEN 0.65 ELSE 0 END), 6) AS DOUBLE) AS confidence, "
-    "CASE WHEN classed THEN 'talk' WHEN model THEN 'workshop' ELSE 'meetup' END AS event_type, classed OR model AS is_student_friendly, "
-    "coalesce(start_at, CASE WHEN o_orderkey % 5 = 0 THEN o_orderdate + INTERVAL 1 DAY END) AS start_at FROM x"
-)
-def ingest_models(spark, sf_dir):
-    """Extractions, classifications and found dates of models, laid over the parsed items of a static source."""
+def _model_items(spark, sf_dir):
+    """Parsed items of a static source with extractions, classifications and found dates of models laid over them."""
     sentence = "Join the developers of the city for an evening of talks and a workshop on open source. "
     member = F.replace("html_or_json", F.lit('{"_id"'), F.lit('{"_cleaned_text":"' + sentence * 4 + '","_id"'))
     pages, sources = adapt.listing_pages(spark, sf_dir).withColumn("html_or_json", member), adapt.nation_sources(spark, sf_dir)
@@ -1255,9 +1246,38 @@ def ingest_models(spark, sf_dir):
     classified = orders.filter(key % 3 == 0).select(named, text("talk").alias("event_type"), *lists, text(True).alias("is_student_friendly"))
     dates = orders.filter(key % 5 == 0).select(named, (F.col("o_orderdate") + F.expr("INTERVAL 1 DAY")).alias("start_at"), F.lit(None).cast("timestamp_ntz").alias("end_at"))
     out = ing.scored_rows(pages, sources, NOW, extractions=extractions, classifications=classified, date_lookups=dates)
-    kept = out.filter((F.col("extraction_method") != "ai") | (F.col("external_id").cast("bigint") % 10 != 0))
     start = F.when(~F.col("date_tba"), F.col("start_at")).alias("start_at")
-    return kept.select("external_id", "title", "description", F.round("confidence", 6).alias("confidence"), "event_type", "is_student_friendly", start)
+    return out.select("external_id", "title", "description", F.round("confidence", 6).alias("confidence"), "event_type", "is_student_friendly", start, "extraction_method")
+
+
+@query(
+    f"WITH s AS ({_STATIC_SQL}), p AS (SELECT *, (2 + (start_at IS NOT NULL)::INT + (mode IS NOT NULL)::INT * 0.5 + (description IS NOT NULL)::INT * 0.5) / 5.0 AS first FROM s), "
+    "m AS (SELECT *, first < 0.6 AND o_orderkey % 10 <> 0 AS model, first >= 0.6 AND o_orderkey % 3 = 0 AS classed FROM p WHERE first >= 0.6 OR o_orderkey % 10 <> 0), "
+    "x AS (SELECT *, CASE WHEN model THEN 'Model ' || title ELSE title END AS new_title, CASE WHEN model THEN 0.8 ELSE first END AS conf, "
+    "CASE WHEN mode IN ('online', 'hybrid') THEN 0.5 WHEN city IS NOT NULL THEN 1.0 ELSE 0.1 END AS rel FROM m) "
+    "SELECT CAST(o_orderkey AS VARCHAR) AS external_id, new_title AS title, CASE WHEN model THEN 'Text of ' || title ELSE description END AS description, CAST(round(greatest(conf, CASE WHEN start_at IS NULL AND o_orderkey % 5 = 0 THEN 0.65 ELSE 0 END), 6) AS DOUBLE) AS confidence, "
+    "CASE WHEN classed THEN 'talk' WHEN model THEN 'workshop' ELSE 'meetup' END AS event_type, classed OR model AS is_student_friendly, "
+    "coalesce(start_at, CASE WHEN o_orderkey % 5 = 0 THEN o_orderdate + INTERVAL 1 DAY END) AS start_at FROM x"
+)
+def ingest_models(spark, sf_dir):
+    """Items with model results, without those a model calls no event; ``ingest_models_all`` has every item."""
+    out = _model_items(spark, sf_dir)
+    return out.filter((F.col("extraction_method") != "ai") | (F.col("external_id").cast("bigint") % 10 != 0)).drop("extraction_method")
+
+
+@query(
+    f"WITH s AS ({_STATIC_SQL}), p AS (SELECT *, (2 + (start_at IS NOT NULL)::INT + (mode IS NOT NULL)::INT * 0.5 + (description IS NOT NULL)::INT * 0.5) / 5.0 AS first FROM s), "
+    "m AS (SELECT *, first < 0.6 AND o_orderkey % 10 <> 0 AS model, first < 0.6 AND o_orderkey % 10 = 0 AS refused, first >= 0.6 AND o_orderkey % 3 = 0 AS classed, "
+    "start_at IS NULL AND o_orderkey % 5 = 0 AND NOT (first < 0.6 AND o_orderkey % 10 = 0) AS looked_up FROM p) "
+    # What a model calls no event keeps its parsed fields, without a class, and has confidence 0, too little for a date look-up.
+    "SELECT CAST(o_orderkey AS VARCHAR) AS external_id, CASE WHEN model THEN 'Model ' || title ELSE title END AS title, CASE WHEN model THEN 'Text of ' || title ELSE description END AS description, "
+    "CAST(round(greatest(CASE WHEN model THEN 0.8 WHEN refused THEN 0 ELSE first END, CASE WHEN looked_up THEN 0.65 ELSE 0 END), 6) AS DOUBLE) AS confidence, "
+    "CASE WHEN classed THEN 'talk' WHEN model THEN 'workshop' WHEN NOT refused THEN 'meetup' END AS event_type, classed OR model AS is_student_friendly, "
+    "coalesce(start_at, CASE WHEN looked_up THEN o_orderdate + INTERVAL 1 DAY END) AS start_at FROM m"
+)
+def ingest_models_all(spark, sf_dir):
+    """All items with model results laid over them; those a model calls no event keep their parsed fields."""
+    return _model_items(spark, sf_dir).drop("extraction_method")
 
 
 @query(
