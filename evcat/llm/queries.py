@@ -7,8 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evcat.llm import jaccard, language, licenses, mixing, ppm, quality, repeats, token_counts, token_ids, winnow
-from evcat.llm.folders import new_folder, read
+from evcat.llm import conversations, jaccard, language, licenses, mixing, ppm, quality, ranking, repeats, token_counts, token_ids, toxicity, winnow
+from evcat.llm.folders import new_folder, read, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -137,3 +137,54 @@ def op3_lm_scores(spark, sf_dir):
 def op9_licenses(spark, sf_dir):
     found = read(spark, sf_dir).select("doc_id", licenses.scan(F.col("text")).alias("l"))
     return found.select("doc_id", *[F.col(f"l.{c}") for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")])
+
+
+TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+
+
+@query(
+    f"""WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all({_LOWERED}, '{TERM}') AS w FROM documents),
+    q AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all({_LOWERED}, '{TERM}')) AS t FROM benchmark) GROUP BY ALL),
+    s AS (SELECT count(*) AS nd, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+    f AS MATERIALIZED (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+    k AS (SELECT t, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM f, s GROUP BY t, nd),
+    v AS (SELECT doc_id, t, weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * nd) // l))) AS v FROM f JOIN k USING (t), s),
+    r AS (SELECT item_id, doc_id, sum(times * v)::BIGINT AS score FROM q JOIN v USING (t) GROUP BY ALL HAVING sum(times * v) > 0)
+    SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r) WHERE rank <= 10"""
+)
+def op12_ranked(spark, sf_dir):
+    return ranking.ranked_search(read(spark, sf_dir).select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with faults put in by a hash of id and turn: rows left out, emptied, without stops, repeated, or given to the user."""
+    space = F.lit(" ")
+    named = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn")])
+    fault = F.crc32(named.cast("binary")) % 20
+    text, role = F.coalesce("text", space), F.coalesce("role", space)
+    text = F.when(fault == 1, "").when(fault == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    given = rows.filter(fault != 0).select("conv_id", "turn", F.when(fault == 4, "user").otherwise(role).alias("role"), text.alias("text"), fault.alias("fault"))
+    times = F.when(F.col("fault") == 3, 2).otherwise(1)
+    return given.withColumn("copy", F.explode(F.sequence(F.lit(1), times))).drop("fault", "copy")
+
+
+@query()
+def op13_repair(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    faulty = damaged(rows)
+    reports = written(conversations.repair_reports(faulty), "reports")
+    hashed = conversations.repaired_digests(faulty, reports).withColumnRenamed("conv", "_conv")
+    ids = rows.select("conv_id").distinct()
+    found = reports.join(hashed, F.col("conv").eqNullSafe(F.col("_conv"))).drop("_conv")
+    whole = ids.join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return whole.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+@query()
+def op11_toxicity(spark, sf_dir):
+    docs, labels = read(spark, sf_dir).select("doc_id", "text"), read(spark, sf_dir, "labels").select("doc_id", "toxic")
+    held_out = F.coalesce(remainder(5) == 0, F.lit(False))
+    model = toxicity.learn(docs, labels.filter(~held_out))
+    scored = docs.select("doc_id", held_out.alias("held_out"), toxicity.toxicity(F.col("text"), model).alias("t"))
+    return scored.select("doc_id", "held_out", "t.score", "t.predicted", F.size("t.spans").cast("bigint").alias("n_spans"))
