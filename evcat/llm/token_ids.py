@@ -33,6 +33,7 @@ from evcat.llm import words as W
 
 MAGIC = b"EVIDS01\n"
 SELECT_STEP = 256
+RANGE_KEY_CHARS = 32
 
 
 class EliasFano:
@@ -100,15 +101,26 @@ class Shard:
             raise ValueError("not a token-id shard")
         self.n_null, self.n_docs, self.n_ids, self.width, first, size = struct.unpack_from("<4QqQ", view, 8)
         at = 8 + 48
-        self.doc_ids = [None] * self.n_null + [first + int(v) for v in EliasFano.from_bytes(view[at : at + size]).decode()]
+        self.first, self.known = first, EliasFano.from_bytes(view[at : at + size])
         at += size
         (size,) = struct.unpack_from("<Q", view, at)
         self.bounds = EliasFano.from_bytes(view[at + 8 : at + 8 + size])
         self.flat = np.frombuffer(view, f"<u{self.width}", self.n_ids, at + 8 + size)
 
+    def doc_id(self, i: int) -> int | None:
+        return None if i < self.n_null else self.first + self.known.select(i - self.n_null)
+
     def ids(self, i: int) -> np.ndarray:
         return self.flat[self.bounds.select(i) : self.bounds.select(i + 1)]
 
+    def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
+        """Id, offset in the shard and ids of each document, one after the other."""
+        start = 0
+        for i in range(self.n_docs):
+            end = self.bounds.select(i + 1)
+            yield self.doc_id(i), start, self.flat[start:end]
+            start = end
+
 
 def shard_bytes(doc_ids: list[int | None], sizes: list[int], ids: bytes, width: int) -> bytes:
     """File content for documents in ascending id order, null ids first."""
@@ -124,7 +136,8 @@ class WordEncoder:
     """Ids of a word as little-endian bytes.
 
     The tokenizer cuts at white space, and between an ASCII letter or digit and an ASCII sign, so words and
-    their trailing signs are encoded once and cached. Words that may hold a special token are encoded whole.
+    their trailing signs are encoded once and cached. After any other character (a control character is one piece
+    with the signs that follow) and where a special token may stand, words are encoded whole.
     """
 
     SIGNS = b"".join(bytes([b]) for b in range(33, 127) if not chr(b).isalnum())
@@ -148,7 +161,7 @@ class WordEncoder:
 
     def _word(self, word: bytes) -> bytes:
         core = word.rstrip(self.SIGNS)
-        if b"<|" in word or not core or core[-1] > 127:
+        if b"<|" in word or not core[-1:].isalnum():
             return self.parts[word]
         signs = word[len(core) :]
         return self.parts[core.lower()] + (self.parts[signs] if signs else b"")
@@ -184,9 +197,10 @@ def write_token_ids(
     order of their texts. ``shard_ids`` and ``shard_docs`` bound what a task holds before it writes (a longer document
     makes a longer shard). Other columns are ignored. ``folder/manifest`` gets one row per shard.
     """
+    # The bounds of the ranges are sampled at the driver, so their keys are short; the order inside a range is by the whole text.
     ordered = (
         docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-        .repartitionByRange("doc_id", "text")
+        .repartitionByRange("doc_id", F.left("text", F.lit(RANGE_KEY_CHARS)))
         .sortWithinPartitions("doc_id", "text")
     )
 
@@ -233,17 +247,14 @@ def read_token_ids(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 shard = Shard(content.as_py())
-                bounds = shard.bounds.decode().astype(np.int64)
-                flat = shard.flat.astype("<u4")
-                crcs = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:])]
+                ids, offsets, sizes, crcs = [], [], [], []
+                for doc_id, offset, own in shard.documents():
+                    ids.append(doc_id)
+                    offsets.append(offset)
+                    sizes.append(len(own))
+                    crcs.append(zlib.crc32(own.astype("<u4").tobytes()))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([name] * shard.n_docs),
-                        pa.array(shard.doc_ids, pa.int64()),
-                        pa.array(bounds[:-1]),
-                        pa.array(np.diff(bounds)),
-                        pa.array(crcs, pa.int64()),
-                    ],
+                    [pa.array([name] * shard.n_docs), *[pa.array(values, pa.int64()) for values in (ids, offsets, sizes, crcs)]],
                     names=["shard", "doc_id", "offset", "n_tokens", "ids_crc32"],
                 )
 

@@ -43,7 +43,8 @@ def test_shard_gives_each_document():
     docs = [[1, 2, 3], [], [70_000], [4] * 1000]
     flat = b"".join(np.array(d, "<u4").tobytes() for d in docs)
     shard = Shard(shard_bytes([None, -5, 3, 3], [len(d) for d in docs], flat, 4))
-    assert shard.doc_ids == [None, -5, 3, 3]
+    assert [shard.doc_id(i) for i in range(4)] == [None, -5, 3, 3]
+    assert [(d, at, ids.tolist()) for d, at, ids in shard.documents()] == [(None, 0, docs[0]), (-5, 3, docs[1]), (3, 3, docs[2]), (3, 4, docs[3])]
     assert [shard.ids(i).tolist() for i in range(4)] == docs
 
 
@@ -55,6 +56,20 @@ def test_word_encoder_equals_whole_text(awkward_rows):
         assert ids + [2] == whole_text_ids(text), text
 
 
+def test_every_byte_before_every_sign():
+    from tokenizers import Tokenizer
+
+    encoder, whole = WordEncoder(WORDS), Tokenizer.from_file(WORDS)
+    signs = [chr(b) for b in range(33, 127) if not chr(b).isalnum()]
+    texts = [f"{before}{chr(b)}{sign}{after}" for b in range(256) for sign in signs for before, after in (("a", ""), ("", " b"), ("a", ".x"))]
+    rng = random.Random(8)
+    letters = [chr(b) for b in range(256)] + list("aéÉßΣςİıﬁ\u0301\u200b\u2028") + signs
+    texts += ["".join(rng.choices(letters, k=rng.randrange(1, 30))) for _ in range(5_000)]
+    for text in texts:
+        ids = np.frombuffer(encoder.encode(text.encode()), f"<u{encoder.width}").tolist()
+        assert ids == whole.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def written_and_read(spark, docs, **options):
     folder = new_folder(spark, "test-ids")
     token_ids.write_token_ids(docs, folder, WORDS, 2, **options)
