@@ -63,9 +63,9 @@ def model():
 
 def test_spans_and_unseen_forms(model):
     tagger = T.Tagger(model)
-    texts = ["the cat saw a VILEST tree", "Vileness! vileling", "the man went to the river", "", "12 !?"]
+    texts = ["the cat saw a VILENESSES tree", "Vileness! vileling", "the man went to the river", "", "12 !?"]
     scores, spans = tagger.scored(texts)
-    assert scores[0] > 0.5 and [texts[0][a:b] for a, b, _ in spans[0]] == ["VILEST"]
+    assert scores[0] > 0.5 and [texts[0][a:b] for a, b, _ in spans[0]] == ["VILENESSES"]
     assert [texts[1][a:b] for a, b, _ in spans[1]] == ["Vileness! vileling"]
     assert scores[2] < 0.5 and not spans[2] and scores[3] == scores[4] < 0.5
 
@@ -74,7 +74,7 @@ def test_a_toxic_word_anywhere_in_a_long_text(model):
     tagger = T.Tagger(model)
     for at in (0, 63, 64, 5_000, 9_999):
         words = ["the river"] * 10_000
-        words[at] = "vileness"
+        words[at] = "saw a vileness boat"
         scores, spans = tagger.scored([" ".join(words)])
         assert scores[0] > 0.5 and len(spans[0]) == 1
 
@@ -103,4 +103,4 @@ def test_copies_count_as_one_kind():
     copied = ["one odd rare text that is copied and copied again".split()] * 5
     other = [f"a{i} b{i} vile c{i} d{i}".split() for i in range(5)]
     chosen = T.choose_traits(copied + other, [f"a{i} e{i}".split() for i in range(10)])
-    assert "=vile" in chosen and "=rare" not in chosen
+    assert chosen & set(T.traits("vile")) and not chosen & {t for w in copied[0] for t in T.traits(w)}
