@@ -122,9 +122,7 @@ def urls_in_text(c: Column) -> Column:
 
 
 def is_listing_url(c: Column) -> Column:
-    hosts = "|".join(C.LISTING_HOSTS)
-    paths = "|".join(C.LISTING_PATHS)
-    return F.coalesce(c.rlike(rf"(?i)^https?://(?:www\.)?(?:{hosts})/?$|{paths}"), F.lit(False))
+    return F.coalesce(c.rlike(C.LISTING_URL), F.lit(False))
 
 
 def is_event_url(c: Column) -> Column:

@@ -542,10 +542,7 @@ def _url_texts(spark, sf_dir):
 _URLS_SQL = (
     f"WITH t AS ({_URL_TEXT_SQL}), u AS (SELECT page_id, unnest(list_transform(regexp_extract_all(body, 'https?://[^\\s)\\],\"''<>]+'), lambda x: regexp_replace(x, '[.,;:/]+$', ''))) AS url FROM t) "
 )
-_LISTING_RE = "(?i)^https?://(?:www\\.)?(?:" + "|".join(C.LISTING_HOSTS) + ")/?$|" + "|".join(C.LISTING_PATHS)
-
-
-@query(_URLS_SQL + f"SELECT url, min(page_id) AS first_page, CASE WHEN regexp_matches(url, '{_LISTING_RE}') THEN 'listing' WHEN url IN (SELECT url FROM pages) THEN 'duplicate' ELSE 'new' END AS verdict FROM u GROUP BY url")
+@query(_URLS_SQL + f"SELECT url, min(page_id) AS first_page, CASE WHEN regexp_matches(url, '{C.LISTING_URL}') THEN 'listing' WHEN url IN (SELECT url FROM pages) THEN 'duplicate' ELSE 'new' END AS verdict FROM u GROUP BY url")
 def discovered_urls(spark, sf_dir):
     found = discovery.urls_of(_url_texts(spark, sf_dir), "body", "page_id")
     known = adapt.read(spark, sf_dir, "pages").select(F.col("url").alias("event_url"))
@@ -553,7 +550,7 @@ def discovered_urls(spark, sf_dir):
 
 
 @query(
-    _URLS_SQL + f", v AS (SELECT url, regexp_matches(url, '{_LISTING_RE}') AS listing FROM u GROUP BY url) "
+    _URLS_SQL + f", v AS (SELECT url, regexp_matches(url, '{C.LISTING_URL}') AS listing FROM u GROUP BY url) "
     "SELECT count(*) FILTER (NOT listing) AS total_found, count(*) FILTER (NOT listing AND url NOT IN (SELECT url FROM pages)) AS new, "
     "count(*) FILTER (NOT listing AND url IN (SELECT url FROM pages)) AS duplicate, count(*) FILTER (listing) AS listing_dropped FROM v"
 )
@@ -1250,21 +1247,6 @@ def _model_items(spark, sf_dir):
     return out.select("external_id", "title", "description", F.round("confidence", 6).alias("confidence"), "event_type", "is_student_friendly", start, "extraction_method")
 
 
-@query(
-    f"WITH s AS ({_STATIC_SQL}), p AS (SELECT *, (2 + (start_at IS NOT NULL)::INT + (mode IS NOT NULL)::INT * 0.5 + (description IS NOT NULL)::INT * 0.5) / 5.0 AS first FROM s), "
-    "m AS (SELECT *, first < 0.6 AND o_orderkey % 10 <> 0 AS model, first >= 0.6 AND o_orderkey % 3 = 0 AS classed FROM p WHERE first >= 0.6 OR o_orderkey % 10 <> 0), "
-    "x AS (SELECT *, CASE WHEN model THEN 'Model ' || title ELSE title END AS new_title, CASE WHEN model THEN 0.8 ELSE first END AS conf, "
-    "CASE WHEN mode IN ('online', 'hybrid') THEN 0.5 WHEN city IS NOT NULL THEN 1.0 ELSE 0.1 END AS rel FROM m) "
-    "SELECT CAST(o_orderkey AS VARCHAR) AS external_id, new_title AS title, CASE WHEN model THEN 'Text of ' || title ELSE description END AS description, CAST(round(greatest(conf, CASE WHEN start_at IS NULL AND o_orderkey % 5 = 0 THEN 0.65 ELSE 0 END), 6) AS DOUBLE) AS confidence, "
-    "CASE WHEN classed THEN 'talk' WHEN model THEN 'workshop' ELSE 'meetup' END AS event_type, classed OR model AS is_student_friendly, "
-    "coalesce(start_at, CASE WHEN o_orderkey % 5 = 0 THEN o_orderdate + INTERVAL 1 DAY END) AS start_at FROM x"
-)
-def ingest_models(spark, sf_dir):
-    """Items with model results, without those a model calls no event; ``ingest_models_all`` has every item."""
-    out = _model_items(spark, sf_dir)
-    return out.filter((F.col("extraction_method") != "ai") | (F.col("external_id").cast("bigint") % 10 != 0)).drop("extraction_method")
-
-
 @query(
     f"WITH s AS ({_STATIC_SQL}), p AS (SELECT *, (2 + (start_at IS NOT NULL)::INT + (mode IS NOT NULL)::INT * 0.5 + (description IS NOT NULL)::INT * 0.5) / 5.0 AS first FROM s), "
     "m AS (SELECT *, first < 0.6 AND o_orderkey % 10 <> 0 AS model, first < 0.6 AND o_orderkey % 10 = 0 AS refused, first >= 0.6 AND o_orderkey % 3 = 0 AS classed, "
