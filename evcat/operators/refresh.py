@@ -1,50 +1,22 @@
 """Refresh existing events from their duplicates, only where the new data is better."""
 from __future__ import annotations
 
-from collections.abc import Iterator
-from datetime import datetime, timezone
+from datetime import datetime
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evcat import config as C
-from evcat.operators.dedup import LOCAL_GROUP_ROWS
-from evcat.session import cut, instant
+from evcat.operators.startmaps import chained
+from evcat.session import instant
 
-_SECOND = 1_000_000
-# From this start on a date counts as a placeholder.
-_DEFAULTED_US = int(datetime(C.DEFAULTED_YEAR, 1, 1, tzinfo=timezone.utc).timestamp()) * _SECOND
 FILL_FIELDS = ("description", "short_description", "poster_url", "venue_name", "locality")
 
 
-def _fold_starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Apply offers to events in arrival order; rows come sorted by event and arrival.
-
-    Every accepted change is a row, the last one of an event counts.
-    """
-    current, start = None, 0
-    for batch in batches:
-        changes = []
-        for id_, seq, first, published, new in zip(
-            batch["id"], batch["seq"], batch["start_us"], batch["published_us"], batch["new_us"]
-        ):
-            if id_ != current:
-                current, start = id_, first
-            near = published == published and abs(start - published) < 120 * _SECOND
-            if new != start and (near or start >= _DEFAULTED_US or abs(start - new) >= 6 * 3600 * _SECOND):
-                start = new
-                changes.append((id_, start, seq))
-        yield pd.DataFrame(changes, columns=["id", "start_us", "seen"])
-
-
-def settle_starts(events: DataFrame, dups: DataFrame, local_rows: int = LOCAL_GROUP_ROWS) -> DataFrame:
+def settle_starts(events: DataFrame, dups: DataFrame, slices: int | None = None) -> DataFrame:
     """(id, start_at) for events whose start is replaced, applying duplicates in arrival order.
 
-    The rule is a chain: each accepted start decides what the next one is compared with. Events with
-    few offers are folded in one pass. For events with more offers than one task should hold,
-    every round finds the next offer that changes the current start (an aggregate with partial
-    results), until none does.
+    The rule is a chain: each accepted start decides what the next one is compared with. Offers compose to maps of the start
+    (``startmaps``), so an event with many offers is spread over slices like any other; nothing depends on its size.
     """
     offers = dups.filter("start_at IS NOT NULL").select(
         F.col("match").alias("id"), F.unix_micros(F.col("start_at").cast("timestamp")).alias("new_us"), "seq"
@@ -54,41 +26,9 @@ def settle_starts(events: DataFrame, dups: DataFrame, local_rows: int = LOCAL_GR
         F.unix_micros(F.col("start_at").cast("timestamp")).alias("start_us"),
         F.unix_micros(F.col("published_at").cast("timestamp")).alias("published_us"),
     )
-    offers = cut(offers.join(known, "id"))
-    sizes = offers.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    large = cut(sizes.filter(F.col("n") > local_rows).select("id"))
-    some_large = not large.isEmpty()
-    small = offers.join(large, "id", "left_anti") if some_large else offers
-    changes = (
-        small.repartition("id").sortWithinPartitions("id", "seq").mapInPandas(_fold_starts, "id string, start_us bigint, seen bigint")
-    )
-    if some_large:
-        changes = changes.unionByName(_chase_starts(offers.join(large, "id", "left_semi")))
-    moved = changes.groupBy("id").agg(F.max_by("start_us", "seen").alias("start_us"))
+    moved = chained(offers.join(known.filter("start_us IS NOT NULL"), "id"), slices).filter("moved_us <> start_us")
     kind = events.schema["start_at"].dataType
-    return moved.select("id", F.timestamp_micros("start_us").cast(kind).alias("start_at"))
-
-
-def _chase_starts(offers: DataFrame) -> DataFrame:
-    """All changes of busy events, one change of every event per round."""
-    current = cut(offers.select("id", "start_us", "published_us").distinct().withColumn("seen", F.lit(-1).cast("bigint")))
-    offers = offers.select("id", "new_us", "seq")
-    changed = current.limit(0).select("id", "start_us", "seen")
-    start, new = F.col("start_us"), F.col("new_us")
-    near = F.coalesce(F.abs(start - F.col("published_us")) < 120 * _SECOND, F.lit(False))
-    replaces = (new != start) & (near | (start >= _DEFAULTED_US) | (F.abs(start - new) >= 6 * 3600 * _SECOND))
-    while not current.isEmpty():
-        step = (
-            offers.join(current, "id")
-            .filter((F.col("seq") > F.col("seen")) & replaces)
-            .groupBy("id", "published_us")
-            .agg(F.min(F.struct("seq", "new_us")).alias("hit"))
-        )
-        current = cut(
-            step.select("id", F.col("hit.new_us").alias("start_us"), "published_us", F.col("hit.seq").alias("seen"))
-        )
-        changed = changed.unionByName(current.select("id", "start_us", "seen"))
-    return changed
+    return moved.select("id", F.timestamp_micros("moved_us").cast(kind).alias("start_at"))
 
 
 def refresh_touched(events: DataFrame, dups: DataFrame, now: datetime) -> DataFrame:

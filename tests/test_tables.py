@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evcat import schemas
-from evcat.operators import catalogue as cat
+from evcat.operators import catalogue as cat, startmaps
 from evcat.operators import discovery, facets, lifecycle, moderation, refresh, search, slugs, tables
 
 NOW = datetime(2026, 5, 1)
@@ -324,8 +324,8 @@ def fold(start, published, offers):
     return start
 
 
-@pytest.mark.parametrize("local_rows", [50_000, 0])
-def test_start_chain_equals_the_sequential_rule(spark, local_rows):
+@pytest.mark.parametrize("slices", [None, 1, 5, 40])
+def test_start_chain_equals_the_sequential_rule(spark, slices):
     rng = random.Random(7)
     evs, offers, want = [], [], {}
     for i in range(12):
@@ -337,10 +337,46 @@ def test_start_chain_equals_the_sequential_rule(spark, local_rows):
         want[str(i)] = fold(start, published, news)
     df = events(spark, evs)
     dups = spark.createDataFrame(offers, "match string, start_at timestamp, seq long")
-    moved = {r.id: r.start_at for r in refresh.settle_starts(df, dups, local_rows).collect()}
+    moved = {r.id: r.start_at for r in refresh.settle_starts(df, dups, slices).collect()}
     assert {e["id"]: moved.get(e["id"], e["start_at"]) for e in evs} == want
 
 
+HOUR_US = 3_600_000_000
+
+
+def start_after(start, published, offers):
+    for new in offers:
+        near = published is not None and abs(start - published) < HOUR_US // 30
+        if near or start >= startmaps._DEFAULTED_US or abs(start - new) >= 6 * HOUR_US:
+            start = new
+    return start
+
+
+def test_start_maps_equal_the_sequential_rule_for_every_start():
+    rng = random.Random(11)
+    grid = HOUR_US // 60
+    for _ in range(400):
+        published = rng.choice([None, rng.randrange(-900, 900) * grid])
+        offers = [rng.choice([rng.randrange(-1500, 1500) * grid, startmaps._DEFAULTED_US + rng.randrange(3)]) for _ in range(rng.randrange(0, 14))]
+        made, split = startmaps.StartMap(published), rng.randrange(0, 15)
+        first, second = startmaps.StartMap(published), startmaps.StartMap(published)
+        for k, new in enumerate(offers):
+            made.offer(new)
+            (first if k < split else second).offer(new)
+        probes = [n + d for n in [0, published or 0, startmaps._DEFAULTED_US, *offers] for d in (-6 * HOUR_US, -6 * HOUR_US + 1, -1, 0, 1, 6 * HOUR_US - 1, 6 * HOUR_US, 120_000_000, -119_999_999)]
+        for start in probes:
+            want = start_after(start, published, offers)
+            assert made(start) == want and second(first(start)) == want, (start, published, offers)
+
+
+def test_a_busy_event_over_many_slices(spark):
+    rng = random.Random(3)
+    rows = [("busy", k, rng.randrange(40) * HOUR_US) for k in range(6_000)] + [(f"e{k % 50}", k, rng.randrange(40) * HOUR_US) for k in range(500)]
+    offers = spark.createDataFrame([(i, k, 0, None, n) for i, k, n in rows], "id string, seq bigint, start_us bigint, published_us bigint, new_us bigint")
+    got = {r.id: r.moved_us for r in startmaps.chained(offers, 16).collect()}
+    assert got == {i: start_after(0, None, [n for j, _, n in rows if j == i]) for i in {r[0] for r in rows}}
+
+
 def test_refresh_fills_only_what_is_better(spark):
     df = events(spark, [dict(id="a", description="", venue_name="V", end_at=None, start_at=datetime(2026, 5, 3, 10)), dict(id="b")])
     t = datetime(2026, 5, 3, 13)
