@@ -9,19 +9,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evcat.functions.text import norm
 from evcat.operators.ordered import first_within, micros
-from evcat.operators.titles import contained_titles
-from evcat.session import cut
+from evcat.operators.titles import titles_in_reach
+from evcat.session import cut, run_folder
 
 REACH_SECONDS = 12 * 3600
 _REACH = REACH_SECONDS * 1_000_000
-# Most fronts of one run that one task may stream over: seconds of work on a spilling sort, with a
-# state of two entries per calendar day. Longer runs go through the set-based rounds.
-LOCAL_GROUP_ROWS = 2_000_000
+# Half days of a title that one task streams over: bounded by the calendar, whatever the title's history.
+BLOCK_HALVES = 16
 
 
 def _half_days(us: str) -> str:
@@ -42,21 +41,28 @@ def match_by_title(new: DataFrame, existing: DataFrame) -> DataFrame:
     ``new`` has the compared form of the title and the start in microseconds. Catalogue rows in
     half days no new row can reach are dropped before titles are compared.
     """
+    half = F.expr(_half_days("us"))
     probes = new.select("title", "us").filter("title <> '' AND us IS NOT NULL").distinct()
-    days = probes.select(F.explode(F.expr(f"sequence({_half_days('us')} - 1, {_half_days('us')} + 1)")).alias("half")).distinct()
+    days = probes.select(half.alias("half")).distinct().select(F.explode(F.expr("sequence(half - 1, half + 1)")).alias("half")).distinct()
     old = (
-        existing.select(F.lower("title").alias("old_title"), micros(F.col("start_at")).alias("us"), "created_at", "id")
-        .withColumn("half", F.expr(_half_days("us")))
+        existing.select(F.lower("title").alias("title"), micros(F.col("start_at")).alias("us"), "created_at", "id")
+        .withColumn("half", half)
         .join(days, "half", "left_semi")
-        .groupBy("old_title", "us")
+        .groupBy("title", "us", "half")
         .agg(F.min(F.struct("created_at", "id")).alias("value"))
     )
-    pairs = contained_titles(probes.select("title"), old.select(F.col("old_title").alias("title")))
-    points = old.join(pairs, old["old_title"] == pairs["outer"]).select(F.col("inner").alias("key"), "us", "value")
-    found = first_within(points, probes.withColumnRenamed("title", "key"), REACH_SECONDS)
+    pairs = titles_in_reach(probes.select("title", half.alias("half")), old)
+    found = first_within(_under_inner(old, pairs), probes.withColumnRenamed("title", "key"), REACH_SECONDS)
     return found.select(F.col("key").alias("title"), "us", F.col("value.id").alias("match"))
 
 
+def _under_inner(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows (title, us, half, value) under every title they contain, where their half day is in its reach."""
+    pairs = pairs.withColumnsRenamed({"half": "_half"})
+    met = rows.join(pairs, (rows["title"] == pairs["outer"]) & (rows["half"] == pairs["_half"]))
+    return met.select(F.col("inner").alias("key"), "us", "value")
+
+
 def match_whole_title(new: DataFrame, existing: DataFrame) -> DataFrame:
     """(title, match) for rows without a start: equal titles, ignoring case."""
     known = existing.select(F.lower("title").alias("title"), "created_at", "id").join(new.select("title").distinct(), "title", "left_semi")
@@ -86,23 +92,24 @@ _KEEP, _DROP, _WAIT = 1, 0, -1
 
 
 def _settle_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Settle each title's unbroken runs of half days in arrival order.
+    """Settle the blocks of half days of each title in arrival order.
 
-    Rows come sorted by title, run and arrival, so only the state of the current run is held: its
-    kept and its open starts per half day. Two starts in one half day always reach each other, so a
-    half day holds at most one kept row. Rows that wait for another title or URL stay open, and
-    so do rows that could follow them.
+    Rows come sorted by title, block and arrival, so only the state of the current block is held: its kept and its open
+    starts per half day. Two starts in one half day always reach each other, so a half day holds at most one kept row.
+    Rows that wait for another title or URL stay open, and so do rows that could follow them. Rows of the half days beside
+    the block are settled in their own block; here they only keep rows open that could follow them.
     """
     current, kept, open_low, open_high = None, {}, {}, {}
     for batch in batches:
         verdicts = []
-        for title, run, us, blocked in zip(batch["title"], batch["run"], batch["us"], batch["blocked"]):
-            if (title, run) != current:
-                current, kept, open_low, open_high = (title, run), {}, {}, {}
+        for title, block, us, blocked, beside in zip(batch["title"], batch["block"], batch["us"], batch["blocked"], batch["beside"]):
+            if (title, block) != current:
+                current, kept, open_low, open_high = (title, block), {}, {}, {}
             half = us // _REACH
             taken = any(h in kept and abs(kept[h] - us) <= _REACH for h in (half - 1, half, half + 1))
             unsure = (
                 blocked
+                or beside
                 or half in open_low
                 or open_high.get(half - 1, us - _REACH - 1) >= us - _REACH
                 or open_low.get(half + 1, us + _REACH + 1) <= us + _REACH
@@ -113,25 +120,27 @@ def _settle_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 open_high[half] = max(us, open_high.get(half, us))
             elif verdicts[-1] == _KEEP:
                 kept[half] = us
-        yield batch[["title", "us", "url", "seq"]].assign(verdict=verdicts)
-
-
-def _runs(fronts: DataFrame) -> DataFrame:
-    """Number the unbroken runs of occupied half days per title.
-
-    The window only sees distinct half days of a title, of which there are two per calendar day.
-    """
-    days = fronts.select("title", F.expr(_half_days("us")).alias("half")).distinct()
-    by_title = Window.partitionBy("title").orderBy("half")
-    gap = F.coalesce((F.col("half") - F.lag("half").over(by_title) > 1).cast("int"), F.lit(0))
-    numbered = days.withColumn("_gap", gap).withColumn("run", F.sum("_gap").over(by_title)).drop("_gap")
-    return fronts.withColumn("half", F.expr(_half_days("us"))).join(numbered, ["title", "half"]).drop("half")
+        out = batch[["title", "us", "url", "seq"]].assign(verdict=verdicts)
+        yield out[~batch["beside"]]
+
+
+def _in_blocks(fronts: DataFrame, halves: int) -> DataFrame:
+    """Fronts under their block of half days, and those of a block's first and last half day under the block beside it as well."""
+    half = F.expr(_half_days("us"))
+    here = F.pmod(half, F.lit(halves))
+    block = ((half - here) / halves).cast("bigint")
+    beside = [F.when(here == 0, block - 1), F.when(here == halves - 1, block + 1)]
+    places = F.array_append(
+        F.transform(F.array_compact(F.array(*beside)), lambda b: F.struct(b.alias("block"), F.lit(True).alias("beside"))),
+        F.struct(block.alias("block"), F.lit(False).alias("beside")),
+    )
+    return fronts.withColumn("place", F.explode(places)).select("*", "place.*").drop("place")
 
 
 def _reach_of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """Rows repeated under every title they can suppress, as points for ``first_within``."""
     grouped = rows.groupBy("title", "us").agg(F.min("seq").alias("value"))
-    return grouped.join(pairs, grouped["title"] == pairs["outer"]).select(F.col("inner").alias("key"), "us", "value")
+    return _under_inner(grouped.withColumn("half", F.expr(_half_days("us"))), pairs)
 
 
 def _earliest(rows: DataFrame, pairs: DataFrame, probes: DataFrame, name: str) -> DataFrame:
@@ -139,23 +148,22 @@ def _earliest(rows: DataFrame, pairs: DataFrame, probes: DataFrame, name: str) -
     return found.select(F.col("key").alias("title"), "us", F.col("value").alias(name))
 
 
-def greedy_keep(rows: DataFrame, pairs: DataFrame, local_rows: int = LOCAL_GROUP_ROWS) -> DataFrame:
+def greedy_keep(rows: DataFrame, pairs: DataFrame, halves: int = BLOCK_HALVES) -> DataFrame:
     """Rows (title, us, url, seq) that survive the sequential duplicate rule among themselves.
 
-    ``pairs`` lists every (inner, outer) title containment, equal titles included. Each round looks
+    ``pairs`` lists every title containment (inner, outer, half) within reach, equal titles included. Each round looks
     only at *fronts*, the first open row of a (title, start). A front is blocked while an earlier
-    open row has its URL or a longer title within reach. The unblocked part of a title is settled in
-    one pass per run of half days, or row by row with set operations where a run has too many
-    fronts for one task. If fronts had to wait, everything the kept rows suppress is dropped and the
-    next round starts. Rounds needed: about the depth of title containment.
+    open row has its URL or a longer title within reach. Every block of ``halves`` half days of a title is settled in
+    one pass; where it touches a block with open rows, the rows that depend on those wait for the next round. If fronts had to
+    wait, everything the kept rows suppress is dropped and the next round starts. The first open front never waits, and
+    rounds are as many as one row's verdict waits for another across blocks, titles or URLs.
     """
     longer = pairs.filter("inner <> outer")
     nested = not longer.isEmpty()
     open_rows = cut(rows.select("title", "us", "url", "seq"))
-    shared = open_rows.filter("url <> ''").groupBy("url").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared_urls = not shared.isEmpty()
-    kept = open_rows.limit(0)
-    while not open_rows.isEmpty():
+    shared_urls = not open_rows.filter("url <> ''").groupBy("url").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+    folder, schema, turn, waiting = run_folder(rows.sparkSession, "kept"), open_rows.schema, 0, True
+    while waiting:
         fronts = open_rows.groupBy("title", "us").agg(F.min_by("url", "seq").alias("url"), F.min("seq").alias("seq"))
         blocked = F.lit(False)
         if shared_urls:
@@ -165,30 +173,20 @@ def greedy_keep(rows: DataFrame, pairs: DataFrame, local_rows: int = LOCAL_GROUP
         if nested:
             fronts = fronts.join(_earliest(open_rows, longer, fronts, "_title_first"), ["title", "us"], "left")
             blocked = blocked | F.coalesce(F.col("_title_first") < F.col("seq"), F.lit(False))
-        fronts = cut(_runs(fronts.withColumn("blocked", blocked).select("title", "us", "url", "seq", "blocked")))
-        sizes = fronts.groupBy("title", "run").agg(F.count(F.lit(1)).alias("n"))
-        large = cut(sizes.filter(F.col("n") > local_rows).select("title", "run"))
-        some_large = not large.isEmpty()
-        small = fronts.join(large, ["title", "run"], "left_anti") if some_large else fronts
-        settled = (
-            small.repartition("title", "run")
-            .sortWithinPartitions("title", "run", "seq")
+        blocks = _in_blocks(fronts.withColumn("blocked", blocked).select("title", "us", "url", "seq", "blocked"), halves)
+        settled = cut(
+            blocks.repartition("title", "block")
+            .sortWithinPartitions("title", "block", "seq")
             .mapInPandas(_settle_in_order, "title string, us bigint, url string, seq bigint, verdict int")
         )
-        if some_large:
-            big = fronts.join(large, ["title", "run"], "left_semi")
-            same = big.select(F.col("title").alias("inner"), F.col("title").alias("outer")).distinct()
-            first = big.join(_earliest(big, same, big, "_first"), ["title", "us"])
-            verdict = F.when((F.col("_first") == F.col("seq")) & ~F.col("blocked"), _KEEP).otherwise(_WAIT)
-            settled = settled.unionByName(first.select("title", "us", "url", "seq", verdict.alias("verdict")))
-        settled = cut(settled)
         newly = settled.filter(F.col("verdict") == _KEEP).drop("verdict")
-        kept = kept.unionByName(newly)
-        if settled.filter(F.col("verdict") == _WAIT).isEmpty():
-            # Rows behind a settled front share its title and start, hence its fate.
-            break
-        open_rows = cut(drop_followers(open_rows, newly, pairs))
-    return kept
+        newly.write.mode("overwrite").parquet(f"{folder}/turn={turn}")
+        turn += 1
+        # Rows behind a settled front share its title and start, hence its fate.
+        waiting = not settled.filter(F.col("verdict") == _WAIT).isEmpty()
+        if waiting:
+            open_rows = cut(drop_followers(open_rows, newly, pairs))
+    return rows.sparkSession.read.schema(schema).parquet(*[f"{folder}/turn={n}" for n in range(turn)])
 
 
 def followers(rows: DataFrame, kept: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -206,15 +204,15 @@ def drop_followers(open_rows: DataFrame, newly: DataFrame, pairs: DataFrame) ->
     return marked.join(done, "seq", "left_anti")
 
 
-def batch_duplicates(rows: DataFrame, local_rows: int = LOCAL_GROUP_ROWS) -> DataFrame:
+def batch_duplicates(rows: DataFrame, halves: int = BLOCK_HALVES) -> DataFrame:
     """Add ``dup_of`` to a batch with (title, us, url, seq, publishable); title and us are given.
 
     Only publishable rows can be kept and so suppress others; any row can be a duplicate. A row
     that is neither becomes a candidate for moderation.
     """
-    titles = rows.select("title").distinct()
-    pairs = cut(contained_titles(titles, titles))
-    kept = cut(greedy_keep(rows.filter("publishable"), pairs, local_rows))
+    titles = rows.select("title", F.expr(_half_days("us")).alias("half")).distinct()
+    pairs = cut(titles_in_reach(titles, titles))
+    kept = greedy_keep(rows.filter("publishable"), pairs, halves)
     return followers(rows, kept, pairs)
 
 

@@ -257,7 +257,7 @@ def score(
     return out.withColumn("publishable", F.coalesce(F.col("publish_score") >= R.publish_threshold(trust), F.lit(False)))
 
 
-def route(scored: DataFrame, events: DataFrame, local_rows: int = dedup.LOCAL_GROUP_ROWS) -> DataFrame:
+def route(scored: DataFrame, events: DataFrame) -> DataFrame:
     """Final route of every row; duplicates carry ``match``, the id of the event they belong to.
 
     The check runs on a few narrow columns; the wide rows are joined once, at the end.
@@ -275,7 +275,7 @@ def route(scored: DataFrame, events: DataFrame, local_rows: int = dedup.LOCAL_GR
     )
     narrow = add_row_number(narrow, [], ["fetched_at", "row_key"], "seq").drop("fetched_at")
     matched = cut(dedup.match_catalogue(narrow, events))
-    fresh = dedup.batch_duplicates(matched.filter("match IS NULL"), local_rows)
+    fresh = dedup.batch_duplicates(matched.filter("match IS NULL"))
     owners = fresh.filter("dup_of IS NULL").select(F.col("seq").alias("dup_of"), F.col("event_id").alias("_owner"))
     inside = fresh.join(owners, "dup_of", "left").select("row_key", "event_id", "seq", F.col("_owner").alias("match"))
     # The URL comes first over catalogue and batch: a title match in the catalogue yields to a row kept before with the same URL.

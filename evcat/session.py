@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from datetime import datetime, timezone
 
 from pyspark import cloudpickle
@@ -60,6 +61,11 @@ def work_dir(spark: SparkSession) -> str:
     return root
 
 
+def run_folder(spark: SparkSession, name: str) -> str:
+    """An unused folder below the shared work folder."""
+    return f"{work_dir(spark).rstrip('/')}/evcat-{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise a frame in the shared folder; later reads do not recompute it."""
     work_dir(df.sparkSession)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from evcat.operators import dedup
 from evcat.operators.ordered import add_previous, add_row_number, first_within
-from evcat.operators.titles import contained_titles
+from evcat.operators.titles import contained_titles, titles_in_reach
 
 HOUR = 3600 * 1_000_000
 REACH = 12 * HOUR
@@ -70,8 +70,8 @@ def sequential(rows):
     return out
 
 
-@pytest.mark.parametrize("seed,local_rows", [(1, 50_000), (2, 3), (3, 0), (4, 50_000)])
-def test_batch_duplicates_equals_the_sequential_rule(spark, seed, local_rows):
+@pytest.mark.parametrize("seed,halves", [(1, 16), (2, 1), (3, 2), (4, 3)])
+def test_batch_duplicates_equals_the_sequential_rule(spark, seed, halves):
     rng = random.Random(seed)
     titles = ["meetup", "meetup one", "big meetup one", "talk", "talk night", "x" * 40, "solo"]
     rows = []
@@ -83,7 +83,7 @@ def test_batch_duplicates_equals_the_sequential_rule(spark, seed, local_rows):
         url = rng.choice(["", f"u{rng.randrange(20)}", f"only{seq}"])
         rows.append((title, us, url, seq, rng.random() < 0.8))
     df = spark.createDataFrame(rows, "title string, us long, url string, seq long, publishable boolean")
-    got = {r.seq: r.dup_of for r in dedup.batch_duplicates(df, local_rows).collect()}
+    got = {r.seq: r.dup_of for r in dedup.batch_duplicates(df, halves).collect()}
     assert got == sequential(rows)
 
 
@@ -92,3 +92,39 @@ def test_ten_hour_steps_keep_first_and_third(spark):
     df = spark.createDataFrame(rows, "title string, us long, url string, seq long, publishable boolean")
     got = {r.seq: r.dup_of for r in dedup.batch_duplicates(df).collect()}
     assert got == {0: None, 1: 0, 2: None}
+
+
+def kept_one_by_one(rows):
+    """The rule row by row: (seq, title, us) kept, in order of seq."""
+    kept = []
+    for seq, title, us in rows:
+        if not any(title in t and abs(us - u) <= REACH for _, t, u in kept):
+            kept.append((seq, title, us))
+    return {seq for seq, _, _ in kept}
+
+
+@pytest.mark.parametrize("halves", [1, 4, dedup.BLOCK_HALVES])
+def test_a_hot_title_over_many_blocks(spark, halves):
+    rng = random.Random(6)
+    rows = [(n, rng.choice(["hot talk"] * 8 + ["hot", "talk", "a hot talk in town"]), rng.randrange(0, 60 * 24) * HOUR) for n in range(900)]
+    df = spark.createDataFrame([(n, t, u, "", True) for n, t, u in rows], "seq long, title string, us long, url string, publishable boolean")
+    got = dedup.batch_duplicates(df, halves).filter("dup_of IS NULL").collect()
+    assert {r.seq for r in got} == kept_one_by_one(rows)
+
+
+def test_titles_meet_only_within_reach(spark):
+    history = [("rust meetup lucknow", h) for h in range(2_000)] + [("rust meetup", h) for h in range(5_000, 5_400)]
+    outer = spark.createDataFrame(history, "title string, half long")
+    inner = spark.createDataFrame([("rust meetup", 1_000), ("meetup", 1_001), ("go meetup", 1_000), ("rust meetup", 9_000), ("", 1_000)], "title string, half long")
+    got = {tuple(r) for r in titles_in_reach(inner, outer).collect()}
+    assert got == {("rust meetup", "rust meetup lucknow", h) for h in (999, 1_000, 1_001)} | {("meetup", "rust meetup lucknow", h) for h in (1_000, 1_001, 1_002)}
+    assert titles_in_reach(inner.limit(0), outer).count() == 0
+
+
+def test_titles_in_reach_equals_brute_force(spark):
+    rng = random.Random(12)
+    draw = lambda n: {("".join(rng.choice("ab ") for _ in range(rng.randrange(1, 40))).strip(), rng.randrange(-4, 5)) for _ in range(n)}
+    ins, outs = draw(150), draw(250)
+    outs |= {(t[:20] + i + t[20:], h) for (t, h), (i, _) in zip(list(outs), list(ins))}
+    got = {tuple(r) for r in titles_in_reach(*[spark.createDataFrame(sorted(x), "title string, half long") for x in (ins, outs)]).collect()}
+    assert got == {(i, o, h) for i, g in ins for o, h in outs if i and o and i in o and abs(g - h) <= 1}
