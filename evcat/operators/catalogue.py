@@ -12,6 +12,7 @@ from evcat import config as C
 from evcat.functions import text as T
 from evcat.functions.stem import query_terms
 from evcat.operators.search import matches_all
+from evcat.operators.segments import SearchIndex
 from evcat.session import instant
 
 LISTING_COLUMNS = (
@@ -90,8 +91,11 @@ def keyword(q: str, stemmed: bool = True) -> Column:
     return hit
 
 
-def search(events: DataFrame, query: CatalogueQuery, now: datetime, stemmed: bool = True) -> DataFrame:
-    """Live events that satisfy the query, unordered; count it for the page total."""
+def search(events: DataFrame, query: CatalogueQuery, now: datetime, stemmed: bool = True, index: SearchIndex | None = None) -> DataFrame:
+    """Live events that satisfy the query, unordered; count it for the page total.
+
+    With an ``index`` a keyword is looked up there, and only the events it names are checked.
+    """
     wanted = [live(now), *date_range(query.start_date, query.end_date)]
     if query.mode:
         wanted.append(F.col("mode") == query.mode)
@@ -110,6 +114,9 @@ def search(events: DataFrame, query: CatalogueQuery, now: datetime, stemmed: boo
     if query.q:
         wanted.append(keyword(query.q, stemmed))
     out = events
+    named = index.candidates(query.q, stemmed) if index and query.q else None
+    if named is not None:
+        out = out.join(named, "id", "left_semi")
     for condition in wanted:
         out = out.filter(condition)
     return out

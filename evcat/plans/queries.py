@@ -16,6 +16,7 @@ from evcat.functions import stem
 from evcat.functions import text as T
 from evcat.operators import catalogue as cat
 from evcat.operators import dedup, discovery, facets, feeds, lifecycle, moderation, ordered, refresh, search, slugs, tables
+from evcat.operators.segments import SearchIndex
 from evcat.operators.titles import contained_titles
 from evcat.plans import adapt
 from evcat.plans import ingest as ing
@@ -92,6 +93,36 @@ def listing_phrase(spark, sf_dir):
     return _short(found)
 
 
+_KEYWORD_SQL = (
+    "(list_contains(regexp_split_to_array(lower(title || ' ' || organizer_name || ' ' || locality), '[^a-z0-9]+'), 'nation') "
+    "AND list_contains(regexp_split_to_array(lower(title || ' ' || organizer_name || ' ' || locality), '[^a-z0-9]+'), 'urgent') "
+    "OR title ILIKE '%nation urgent%' OR coalesce(short_description ILIKE '%nation urgent%', false) OR community_name ILIKE '%nation urgent%')"
+)
+_BIG_SQL = "(title ILIKE '%big m%' OR coalesce(short_description ILIKE '%big m%', false) OR community_name ILIKE '%big m%')"
+
+
+@query(
+    WITH_CAT + f"SELECT q, state, {SHORT} FROM cat, (VALUES ('updated'), ('merged')) s(state), (VALUES ('nation urgent'), ('big m')) k(q) "
+    f"WHERE {LIVE_SQL} AND CASE q WHEN 'big m' THEN {_BIG_SQL} ELSE {_KEYWORD_SQL} END"
+)
+def keyword_index(spark, sf_dir):
+    """Keyword and phrase search through the written index: drafts of all events, then two updates that replace them; read as segments and merged."""
+    events = adapt.catalogue(spark, sf_dir)
+    index = SearchIndex(spark, _run_folder(spark, "index"))
+    index.add(events.withColumns({"title": F.lit("big market draft"), "search_tokens": F.array(F.lit("nation"), F.lit("urgent"))}))
+    early = F.col("start_at") < F.lit("1995-06-01").cast("timestamp_ntz")
+    index.add(events.filter(early))
+    index.add(events.filter(~early | early.isNull()))
+    out = None
+    for state in ("updated", "merged"):
+        if state == "merged":
+            index.merge()
+        for q in ("nation urgent", "big m"):
+            found = _short(cat.search(events, cat.CatalogueQuery(q=q), NOW, stemmed=False, index=index)).select(F.lit(q).alias("q"), F.lit(state).alias("state"), "*")
+            out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query(
     WITH_CAT + f"SELECT {SHORT} FROM cat WHERE {LIVE_SQL} AND (date_tba > false OR (date_tba = false AND "
     "(start_at > TIMESTAMP '1999-03-01' OR (start_at = TIMESTAMP '1999-03-01' AND id > '1000')))) "
