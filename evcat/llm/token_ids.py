@@ -80,6 +80,20 @@ class EliasFano:
         one = at // 8 * 8 + int(np.flatnonzero(bits[at % 8 :])[rank]) + at % 8
         return (one - i) << self.low_bits | int(self._low(i, i + 1)[0])
 
+    def stretch(self, block: int) -> np.ndarray:
+        """The up to SELECT_STEP values from one entry of the directory on, read from their stretch of the high part."""
+        first = block * SELECT_STEP
+        count = min(SELECT_STEP, self.n - first)
+        at = int(self.samples[block])
+        stop = int(self.samples[block + 1]) if block + 1 < len(self.samples) else len(self.high) * 8
+        bits = np.unpackbits(self.high[at // 8 : stop // 8 + 1], bitorder="little")
+        ones = np.flatnonzero(bits[at % 8 :])[:count] + at
+        return (ones.astype(np.uint64) - np.arange(first, first + count, dtype=np.uint64)) << np.uint64(self.low_bits) | self._low(first, first + count)
+
+    def __iter__(self) -> Iterator[int]:
+        for block in range(len(self.samples)):
+            yield from self.stretch(block).tolist()
+
     def to_bytes(self) -> bytes:
         head = struct.pack("<4Q", self.n, self.low_bits, len(self.low), len(self.high))
         return head + self.low.tobytes() + self.high.tobytes() + self.samples.astype("<u8").tobytes()
@@ -115,10 +129,10 @@ class Shard:
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """Id, offset in the shard and ids of each document, one after the other."""
-        start = 0
-        for i in range(self.n_docs):
-            end = self.bounds.select(i + 1)
-            yield self.doc_id(i), start, self.flat[start:end]
+        bounds, known = iter(self.bounds), iter(self.known)
+        start = next(bounds)
+        for i, end in enumerate(bounds):
+            yield None if i < self.n_null else self.first + next(known), start, self.flat[start:end]
             start = end
 
 

@@ -25,6 +25,7 @@ def test_elias_fano_round_trip(values):
     coded = EliasFano.from_bytes(memoryview(EliasFano.encode(np.array(values, np.uint64)).to_bytes()))
     assert coded.decode().tolist() == values
     assert [coded.select(i) for i in range(len(values))] == values
+    assert list(coded) == values
 
 
 def test_elias_fano_random_and_small():
@@ -32,7 +33,7 @@ def test_elias_fano_random_and_small():
     values = np.cumsum([rng.choice([0, 1, 5, 900, 100_000]) for _ in range(5 * SELECT_STEP + 17)])
     coded = EliasFano.encode(values)
     assert coded.decode().tolist() == values.tolist()
-    assert all(coded.select(i) == values[i] for i in range(len(values)))
+    assert all(coded.select(i) == values[i] for i in range(len(values))) and list(coded) == values.tolist()
     n, top = len(values), int(values[-1])
     assert len(coded.low) + len(coded.high) <= n * (2 + np.log2(top / n) + 1) / 8 + 16
     with pytest.raises(IndexError):
