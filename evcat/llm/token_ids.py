@@ -33,6 +33,7 @@ from evcat.llm import words as W
 
 MAGIC = b"EVIDS01\n"
 SELECT_STEP = 256
+CACHED_WORDS = 150_000  # of each generation of a cache; workers of earlier stages hold caches of their own
 RANGE_KEY_CHARS = 32
 
 
@@ -163,8 +164,8 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.parts = W.WordCache(self._encode)
-        self.words = W.WordCache(self._word)
+        self.parts = W.WordCache(self._encode, CACHED_WORDS)
+        self.words = W.WordCache(self._word, CACHED_WORDS)
 
     def _encode(self, word: bytes) -> bytes:
         if word.isalpha() and word.islower():  # one piece for the merges: nothing to normalise or to cut
