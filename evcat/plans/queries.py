@@ -3,12 +3,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evcat import config as C
+from evcat import schemas
 from evcat.functions import dates as D
 from evcat.functions import html as H
 from evcat.functions import rules as R
@@ -20,10 +21,10 @@ from evcat.operators.segments import SearchIndex
 from evcat.operators.titles import contained_titles
 from evcat.plans import adapt
 from evcat.plans import ingest as ing
-from evcat.session import cut, work_dir, zoneless
+from evcat.session import cut, instant, work_dir, zoneless
 from evcat.sources import files
 from evcat.sources import pages as pg
-from evcat.streaming import streams
+from evcat.streaming import changes, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1478,15 +1479,25 @@ def _run_folder(spark: SparkSession, name: str) -> str:
 _BATCHES = 3
 
 
-def _stream(spark: SparkSession, sf_dir: str, table: str, at: str) -> DataFrame:
-    """The whole table arriving as files in the order of ``at``, one file set per micro-batch."""
-    rows, folder = adapt.read(spark, sf_dir, table), _run_folder(spark, f"arriving-{table}")
-    number = F.unix_micros(F.col(at).cast("timestamp")) if dict(rows.dtypes)[at].startswith("timestamp") else F.col(at)
-    low, high = rows.agg(F.min(number), F.max(number)).first()
-    step = (high - low) // _BATCHES + 1
-    for n in range(_BATCHES):
-        rows.filter((number >= low + n * step) & (number < low + (n + 1) * step)).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+def _arriving(spark: SparkSession, name: str, slices: list[DataFrame]) -> DataFrame:
+    """Frames of one schema arriving one after the other as files, about one micro-batch each."""
+    folder = _run_folder(spark, f"arriving-{name}")
+    for rows in slices:
+        rows.write.mode("append").parquet(folder)
+    files_each = -(-len(spark.read.schema(slices[0].schema).parquet(folder).inputFiles()) // len(slices))
+    return spark.readStream.schema(slices[0].schema).option("maxFilesPerTrigger", max(1, files_each)).parquet(folder)
+
+
+def _stream(spark: SparkSession, sf_dir: str, table: str, at: str, delay: Column | None = None) -> DataFrame:
+    """The whole table arriving in slices of like size by the order of ``at`` (plus ``delay``); nulls come last."""
+    rows = adapt.read(spark, sf_dir, table)
+    order = F.col(at) if delay is None else F.col(at) + delay
+    number = F.unix_micros(order.cast("timestamp")) if dict(rows.dtypes)[at].startswith("timestamp") else order
+    bounds = rows.agg(F.percentile_approx(number, [n / _BATCHES for n in range(1, _BATCHES)])).first()[0] or []
+    place = F.lit(len(bounds))
+    for n, bound in reversed(list(enumerate(bounds))):
+        place = F.when(number <= bound, n).otherwise(place)
+    return _arriving(spark, table, [rows.filter(place == n) for n in range(len(bounds) + 1)])
 
 
 @query("SELECT date_trunc('day', ts) AS day, event_type AS name, count(*) AS count FROM events GROUP BY 1, 2")
@@ -1497,13 +1508,22 @@ def stream_daily_counts(spark, sf_dir):
     return streams.read_daily_counts(spark, f"{root}/out").select(F.col("day").cast("timestamp_ntz").alias("day"), "name", "count")
 
 
+@query("SELECT date_trunc('day', ts) AS day, event_type AS name, count(*) AS count FROM events GROUP BY 1, 2")
+def stream_late_counts(spark, sf_dir):
+    """Purchases arrive 60 days late, behind all that the counts wait for; the side table brings them in."""
+    root = _run_folder(spark, "late")
+    events = _stream(spark, sf_dir, "events", "ts", F.when(F.col("event_type") == "purchase", F.expr("INTERVAL 60 DAYS")).otherwise(F.expr("INTERVAL 0 DAYS")))
+    streams.daily_counts(events, "ts", F.col("event_type"), f"{root}/out", f"{root}/checkpoint", late="5 days").awaitTermination()
+    return streams.read_daily_counts(spark, f"{root}/out").select(F.col("day").cast("timestamp_ntz").alias("day"), "name", "count")
+
+
 @query(
     "SELECT DISTINCT sha256(event_type || '|' || strftime(ts, '%Y-%m-%d') || CASE WHEN hour(ts) >= 12 THEN '-12' ELSE '-00' END || '|u' || CAST(user_id AS VARCHAR)) AS dedupe_key FROM events"
 )
 def stream_dedup(spark, sf_dir):
     root = _run_folder(spark, "dedup")
     events = _stream(spark, sf_dir, "events", "ts").select(
-        F.col("event_type").alias("title"), F.col("ts").alias("start_at"), F.col("ts").alias("seen_at"),
+        F.col("event_type").alias("title"), F.col("ts").alias("start_at"),
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("organizer_name"),
     )
     streams.drop_repeats(events, f"{root}/out", f"{root}/checkpoint").awaitTermination()
@@ -1536,6 +1556,80 @@ def stream_expire(spark, sf_dir):
     return store.current("events").select("id", "expires_at")
 
 
+# Each page comes three times: a third changes with its second visit, another with its third; pages of even length were stored before.
+_VISITS_SQL = (
+    "SELECT url, 1 AS visit, html AS body FROM pages UNION ALL SELECT url, 2, CASE WHEN length(html) % 3 = 0 THEN html || '<p>2</p>' ELSE html END FROM pages "
+    "UNION ALL SELECT url, 3, CASE WHEN length(html) % 3 = 0 THEN html || '<p>2</p>' WHEN length(html) % 3 = 1 THEN html || '<p>3</p>' ELSE html END FROM pages"
+)
+
+
+@query(
+    f"WITH v AS ({_VISITS_SQL}), h AS (SELECT url, visit, sha256(body) AS page_hash, lag(sha256(body)) OVER (PARTITION BY url ORDER BY visit) AS prev FROM v), "
+    "s AS (SELECT url, sha256(html) AS stored FROM pages WHERE length(html) % 2 = 0) "
+    "SELECT h.url, CAST(visit AS INT) AS visit, page_hash FROM h LEFT JOIN s ON s.url = h.url WHERE page_hash IS DISTINCT FROM CASE WHEN visit = 1 THEN stored ELSE prev END"
+)
+def stream_unchanged(spark, sf_dir):
+    """Pages arriving three times over stored first versions: what passes the change detection kept in the state of the stream."""
+    root = _run_folder(spark, "unchanged")
+    table, size = adapt.read(spark, sf_dir, "pages"), F.length("html")
+    second = F.when(size % 3 == 0, F.concat("html", F.lit("<p>2</p>")))
+    third = F.coalesce(second, F.when(size % 3 == 1, F.concat("html", F.lit("<p>3</p>"))))
+    visits = [
+        adapt.pages_of(table.withColumn("html", F.coalesce(new, "html"))).withColumn("fetched_at", F.timestamp_seconds(F.lit(883612800 + 86400 * n)))
+        for n, new in enumerate((F.col("html"), second, third))
+    ]
+    stored = pg.snapshot_rows(pg.fingerprints(adapt.pages_of(table.filter(size % 2 == 0))))
+    arriving = _arriving(spark, "visits", visits)
+    changes.unchanged_skipped(arriving, stored, adapt.page_sources(spark, sf_dir), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    day = ((F.unix_seconds("fetched_at") - 883612800) / 86400 + 1).cast("int")
+    return spark.read.parquet(f"{root}/out").select("url", day.alias("visit"), "page_hash")
+
+
+@query(
+    WITH_CAT + "SELECT id, CASE WHEN is_free AND mode = 'online' THEN 'again ' || title WHEN is_free THEN 'free ' || title ELSE title END AS title FROM cat "
+    "WHERE mode IS DISTINCT FROM 'online' OR is_free"
+)
+def stream_compaction(spark, sf_dir):
+    """A store after four batches (new, changed, deleted and returned events), its runs merged on the way, read by the keys of the live ones."""
+    store = streams.Store(spark, f"{_run_folder(spark, 'compaction')}/tables", fan=2)
+    kinds = dict(store.current("events").dtypes)
+    events = adapt.catalogue(spark, sf_dir)
+    events = cut(events.select(*[F.col(c).cast(kinds[c]).alias(c) for c in events.columns if c in kinds]))
+    free, online = F.col("is_free"), F.col("mode") == "online"
+    store.add("events", events, 0)
+    store.add("events", events.filter(free).withColumn("title", F.concat(F.lit("free "), "title")), 1)
+    store.add("events", events.limit(0), 2, gone=events.filter(online))
+    store.add("events", events.filter(free & online).withColumn("title", F.concat(F.lit("again "), "title")), 3)
+    return store.current("events", keys=events.select("id")).select("id", "title")
+
+
+@query(
+    "WITH p AS (SELECT regexp_extract(lower(url), '^[a-z]+://([^/?#]*)', 1) AS source_id, url FROM pages), s AS (SELECT source_id, min(url) AS first FROM p GROUP BY 1) "
+    "SELECT source_id, sha256(url) AS url_hash FROM p JOIN s USING (source_id) WHERE length(first) % 2 = 0"
+)
+def stream_watchlist(spark, sf_dir):
+    """The watchlist job, then the ingestion of the pages of the sources it wants read: what the run stored."""
+    pages = adapt.pages(spark, sf_dir)
+    firsts = pages.groupBy("source_id").agg(F.min("url").alias("first"))
+    sources = adapt.page_sources(spark, sf_dir).drop("config_json", "base_url").join(firsts.toDF("id", "base_url"), "id").withColumns(
+        {"config_json": F.lit('{"watchlist":true}'), "created_at": F.lit(None).cast("timestamp")}
+    )
+    # An event at the first page of every source: soon for those of even length, over for the others.
+    start = F.when(F.length("first") % 2 == 0, instant(NOW)).otherwise(instant(NOW - timedelta(days=9)))
+    none = spark.createDataFrame([], schemas.EVENTS)
+    kind = none.schema["start_at"].dataType
+    events = none.unionByName(
+        firsts.select(
+            F.col("source_id").alias("id"), F.col("first").alias("canonical_url"), start.cast(kind).alias("start_at"),
+            (start - F.expr("INTERVAL 9 DAYS")).cast(kind).alias("published_at"),
+        ),
+        allowMissingColumns=True,
+    )
+    marked, wanted = streams.watched_pages(pages, sources, events, NOW)
+    raw, snapshots = spark.createDataFrame([], schemas.RAW_EVENTS), spark.createDataFrame([], schemas.SNAPSHOTS)
+    return ing.ingest(wanted, marked, events, raw, snapshots, NOW).snapshots.select("source_id", "url_hash")
+
+
 @query(WITH_CAT + "SELECT count(*) AS events, strftime(start_at, '%Y-%m') AS start_month FROM cat GROUP BY 2")
 def catalogue_files(spark, sf_dir):
     """Catalogue written by start month and read back."""
