@@ -16,12 +16,12 @@ from evcat.functions import rules as R
 from evcat.functions import stem
 from evcat.functions import text as T
 from evcat.operators import catalogue as cat
-from evcat.operators import dedup, discovery, facets, feeds, lifecycle, moderation, ordered, refresh, search, slugs, tables
+from evcat.operators import dedup, discovery, facets, feeds, lifecycle, moderation, ordered, paging, refresh, search, slugs, tables
 from evcat.operators.segments import SearchIndex
 from evcat.operators.titles import contained_titles
 from evcat.plans import adapt
 from evcat.plans import ingest as ing
-from evcat.session import cut, instant, work_dir, zoneless
+from evcat.session import cut, instant, run_folder, work_dir, zoneless
 from evcat.sources import files
 from evcat.sources import pages as pg
 from evcat.streaming import changes, streams
@@ -203,6 +203,19 @@ def admin_listing(spark, sf_dir):
     return cat.admin_view(cat.admin_listing(adapt.catalogue(spark, sf_dir), "urgent", page_no=2)).select("id", "title", "start_at")
 
 
+@query(WITH_CAT + f"SELECT {SHORT} FROM cat WHERE {LIVE_SQL} ORDER BY date_tba, start_at, id LIMIT 20 OFFSET 300")
+def listing_deep_page(spark, sf_dir):
+    """A page by its number over the catalogue sorted once: row counts lead to its rows."""
+    table = paging.SortedTable.write(adapt.catalogue(spark, sf_dir), run_folder(spark, "listing"), paging.listing_order(), slice_rows=4096, block_rows=256)
+    return _short(table.page(16, 20, lambda rows: cat.search(rows, cat.CatalogueQuery(), NOW)))
+
+
+@query(WITH_CAT + "SELECT id, title, start_at FROM cat ORDER BY start_at DESC NULLS FIRST, id LIMIT 100 OFFSET 1100")
+def admin_deep_page(spark, sf_dir):
+    table = paging.SortedTable.write(adapt.catalogue(spark, sf_dir), run_folder(spark, "admin"), paging.admin_order(), slice_rows=4096)
+    return table.page(12, 100).select("id", "title", "start_at")
+
+
 # Placeholder dates: free events stand 60 years later.
 _SHIFTED = "SELECT * REPLACE (CASE WHEN is_free THEN start_at + INTERVAL 60 YEAR ELSE start_at END AS start_at) FROM cat"
 
