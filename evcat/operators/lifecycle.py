@@ -127,6 +127,9 @@ def recent_runs(runs: DataFrame, limit: int = 50) -> DataFrame:
     return runs.select(*columns).orderBy(F.col("started_at").desc_nulls_first(), "id").limit(limit)
 
 
+HEALTH_COLUMNS = ("last_crawled_at", "last_success_at", "last_failure_at", "consecutive_failures")
+
+
 def source_health(sources: DataFrame, runs: DataFrame) -> DataFrame:
     """Sources after their runs: success resets failures, each failure since then adds one.
 
@@ -228,14 +231,20 @@ def set_json_flags(config: Column, flags: dict[str, Column]) -> Column:
 
 # --- Re-extraction --------------------------------------------------------------------------
 def rescrape(
-    events: DataFrame, extractions: DataFrame, now: datetime, region: C.Region = C.Region(), order: tuple[str, ...] = ()
+    events: DataFrame,
+    extractions: DataFrame,
+    now: datetime,
+    region: C.Region = C.Region(),
+    order: tuple[str, ...] = (),
+    classifications: DataFrame | None = None,
 ) -> DataFrame:
     """Merge fresh extraction results (``id`` + extraction fields) into events; adds ``rescraped``.
 
     Of several results for one event the last by ``order`` (columns of ``extractions``) counts. Dates are read as in ingestion.
 
     Results that are no event or below 0.3 confidence change nothing. A found start counts only
-    before 2050, a title only when longer than five characters; the event is classified anew.
+    before 2050, a title only when longer than five characters; the event is classified anew, by its row in ``classifications`` (id, event_type,
+    topics; of several the last by ``order`` where it has these columns) or else by the word rules. An empty type or topic list changes nothing.
     """
     fields = ("title", "description", "start_at", "end_at", "venue_name", "locality", "registration_url", "mode")
     fresh = tables.last_per_key(extractions, "id", order).select(
@@ -260,10 +269,15 @@ def rescrape(
         {f: F.when(F.col("rescraped") & v.isNotNull(), v).otherwise(F.col(f)) for f, v in new.items()}
     )
     again = R.classification(F.col("title"), F.col("description"), F.col("organizer_name"), F.col("community_name"), region)
+    if classifications is not None:
+        given = tables.last_per_key(classifications, "id", tuple(c for c in order if c in classifications.columns))
+        given = given.select("id", F.struct("event_type", "topics").alias("_given"))
+        merged = merged.join(given, "id", "left")
+        again = F.coalesce("_given", F.struct(again["event_type"].alias("event_type"), again["topics"].alias("topics")))
     merged = merged.withColumn("_class", F.when(F.col("rescraped"), again))
     merged = merged.withColumns(
         {
-            "event_type": F.coalesce("_class.event_type", "event_type"),
+            "event_type": F.coalesce(T.blank_to_null(F.col("_class.event_type")), "event_type"),
             "topics": F.when(F.size("_class.topics") > 0, F.col("_class.topics")).otherwise(F.col("topics")),
             "updated_at": F.when(F.col("rescraped"), instant(now)).otherwise(F.col("updated_at")).cast(events.schema["updated_at"].dataType),
         }
@@ -272,7 +286,12 @@ def rescrape(
 
 
 def repair_bad_dates(
-    events: DataFrame, extractions: DataFrame, now: datetime, region: C.Region = C.Region(), order: tuple[str, ...] = ()
+    events: DataFrame,
+    extractions: DataFrame,
+    now: datetime,
+    region: C.Region = C.Region(),
+    order: tuple[str, ...] = (),
+    classifications: DataFrame | None = None,
 ) -> DataFrame:
     """Events with placeholder dates after re-extraction, each with its ``verdict``.
 
@@ -280,7 +299,7 @@ def repair_bad_dates(
     nothing usable. Drop the deleted ones from the catalogue with ``tables.delete``.
     """
     bad = events.filter(F.col("start_at") > instant(_JUNK))
-    done = rescrape(bad, extractions, now, region, order)
+    done = rescrape(bad, extractions, now, region, order, classifications)
     verdict = (
         F.when(~F.col("fields_found"), "skipped").when(F.year("start_at") < C.JUNK_YEAR, "fixed").otherwise("deleted")
     )

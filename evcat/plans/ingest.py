@@ -17,6 +17,7 @@ from evcat.functions import html as H
 from evcat.functions import rules as R
 from evcat.functions import text as T
 from evcat.operators import dedup, moderation, refresh, search, slugs, tables
+from evcat.operators.lifecycle import HEALTH_COLUMNS, source_health
 from evcat.operators.ordered import add_row_number
 from evcat.session import broadcast_if_small, cut, instant, is_small
 from evcat.sources import pages as P
@@ -32,7 +33,8 @@ class IngestResult:
     """New versions of the tables, and the rows to add where tables are kept as logs.
 
     ``raw_events`` and ``events`` are whole new versions; ``raw_updates`` and ``event_updates`` are
-    the rows that differ from before (new events and refreshed ones).
+    the rows that differ from before (new events and refreshed ones). ``failures`` has one row per page that could not be fetched or read
+    (source_id, url, fetched_at, error), ``sources`` the sources after the run.
     """
 
     routed: DataFrame
@@ -43,6 +45,8 @@ class IngestResult:
     moderation: DataFrame
     runs: DataFrame
     snapshots: DataFrame
+    failures: DataFrame
+    sources: DataFrame
 
 
 def identify(raw: DataFrame) -> DataFrame:
@@ -362,8 +366,12 @@ def raw_event_rows(routed: DataFrame, now: datetime) -> DataFrame:
     return tables.latest_per_key(rows, ["id"], OCCURRENCE).drop(*OCCURRENCE)
 
 
-def crawl_counters(routed: DataFrame, page_counts: DataFrame, now: datetime) -> DataFrame:
-    """One crawl-run row per source: pages, found, new, published, queued."""
+def crawl_counters(routed: DataFrame, page_counts: DataFrame, now: datetime, failures: DataFrame | None = None) -> DataFrame:
+    """One crawl-run row per source: pages, found, new, published, queued.
+
+    A source with ``failures`` (source_id, url, fetched_at, error) has a failed run: its counters stay 0 and the first error, by fetch time and
+    URL, is its summary. What its other pages gave is kept.
+    """
     seen = F.col("route").isin("published", "moderation")
     at = instant(now).cast("timestamp")
     counts = routed.groupBy("source_id").agg(
@@ -373,6 +381,12 @@ def crawl_counters(routed: DataFrame, page_counts: DataFrame, now: datetime) ->
         F.count_if(F.col("route") == "moderation").cast("int").alias("events_queued"),
     )
     joined = page_counts.join(counts, "source_id", "left")
+    if failures is None:
+        joined = joined.withColumn("_error", F.lit(None).cast("string"))
+    else:
+        first = failures.groupBy("source_id").agg(F.min(F.struct("fetched_at", "url", "error")).getField("error").alias("_error"))
+        joined = joined.join(first, "source_id", "full").withColumn("pages_fetched", F.coalesce("pages_fetched", F.lit(0)))
+    bad = F.col("_error").isNotNull()
     numbers = ["events_found", "events_new", "events_published", "events_queued"]
     return joined.select(
         F.sha2(F.concat_ws("|", "source_id", at.cast("string")), 256).alias("id"),
@@ -380,10 +394,10 @@ def crawl_counters(routed: DataFrame, page_counts: DataFrame, now: datetime) ->
         F.lit(None).cast("string").alias("celery_task_id"),
         at.alias("started_at"),
         at.alias("finished_at"),
-        F.lit("success").alias("status"),
+        F.when(bad, "failed").otherwise("success").alias("status"),
         "pages_fetched",
-        *[F.coalesce(n, F.lit(0)).alias(n) for n in numbers],
-        F.left(F.lit(None).cast("string"), F.lit(500)).alias("error_summary"),
+        *[F.when(bad, 0).otherwise(F.coalesce(n, F.lit(0))).alias(n) for n in numbers],
+        F.left("_error", F.lit(500)).alias("error_summary"),
         at.alias("created_at"),
     )
 
@@ -446,10 +460,16 @@ def ingest(
 ) -> IngestResult:
     """One ingestion run. Inputs are tables, outputs the rows to append and the new versions.
 
-    Model results come as optional tables: extractions, classifications and date look-ups per raw event.
+    Model results come as optional tables: extractions, classifications and date look-ups per raw event. A page that fails does not
+    stop the others; one that could not be fetched leaves no snapshot, so it counts as new next time.
     """
-    # Bodies are read once for their hashes; everything after works on the written hashes.
-    prints = cut(P.changed_prints(cut(P.fingerprints(pages)), snapshots, sources))
+    # Bodies are read once for their hashes and errors; everything after works on the written hashes.
+    fetched = cut(P.with_errors(pages, sources))
+    changed = cut(P.changed_prints(fetched.filter("fetch_error IS NULL"), snapshots, sources))
+    lost = fetched.filter("fetch_error IS NOT NULL").withColumn("error", F.col("fetch_error"))
+    unread = changed.filter("read_error IS NOT NULL").withColumn("error", F.col("read_error"))
+    failures = lost.unionByName(unread).select("source_id", "url", "fetched_at", "error")
+    prints = changed.drop("fetch_error", "read_error")
     keys = prints.select("source_id", "url", "fetched_at").distinct()
     routed = cut(routed_rows(pages, sources, events, now, region, extractions, keys, classifications, date_lookups))
     fresh = cut(new_events(routed, events, now, region))
@@ -463,6 +483,7 @@ def ingest(
     page_counts = prints.groupBy("source_id").agg(F.count(F.lit(1)).cast("int").alias("pages_fetched"))
     queued = routed.filter("route = 'moderation'")
     updates = raw_event_rows(routed, now)
+    runs = crawl_counters(routed, page_counts, now, failures)
     return IngestResult(
         routed=routed,
         raw_events=tables.upsert(raw_events, updates, ["source_id", "external_id"], ["seen_at", "id"], keep=["id"]),
@@ -470,6 +491,8 @@ def ingest(
         events=tables.delete(events.select(*columns), changes).unionByName(changes),
         event_updates=changes,
         moderation=moderation.queue_rows(queued, F.col("reason"), now),
-        runs=crawl_counters(routed, page_counts, now),
+        runs=runs,
         snapshots=P.snapshot_rows(prints),
+        failures=failures,
+        sources=source_health(sources, runs) if set(HEALTH_COLUMNS) <= set(sources.columns) else sources,
     )

@@ -1095,6 +1095,23 @@ def rescrape_merge(spark, sf_dir):
     return out.select("id", "title", "venue_name", "start_at", "event_type", F.array_join("topics", "|").alias("topics"), "rescraped")
 
 
+@query(
+    WITH_CAT + _RESCRAPE_SQL + ", g AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_totalprice > 250000 THEN '' ELSE 'seminar' END AS kind, o_totalprice < 150000 AS named FROM orders WHERE o_totalprice < 300000) "
+    "SELECT x.id, CASE WHEN used AND g.id IS NOT NULL THEN CASE WHEN kind = '' THEN s.event_type ELSE kind END ELSE x.event_type END AS event_type, "
+    "CASE WHEN used AND g.id IS NOT NULL THEN CASE WHEN named THEN 'Given|Topic' ELSE array_to_string(s.topics, '|') END ELSE x.topics END AS topics "
+    "FROM x JOIN s ON s.id = x.id LEFT JOIN g ON g.id = x.id"
+)
+def rescrape_classified(spark, sf_dir):
+    """Re-extraction with classifier results for the cheaper orders; some name no type, some no topics."""
+    price = F.col("o_totalprice")
+    named = F.when(price < 150000, F.array(F.lit("Given"), F.lit("Topic"))).otherwise(F.array().cast("array<string>"))
+    given = adapt.read(spark, sf_dir, "orders").filter(price < 300000).select(
+        F.col("o_orderkey").cast("string").alias("id"), F.when(price > 250000, "").otherwise("seminar").alias("event_type"), named.alias("topics")
+    )
+    out = lifecycle.rescrape(_shifted(spark, sf_dir), _fresh(spark, sf_dir), NOW, classifications=given)
+    return out.select("id", "event_type", F.array_join("topics", "|").alias("topics"))
+
+
 @query(
     WITH_CAT + _RESCRAPE_SQL + "SELECT id, start_at, CASE WHEN NOT found THEN 'skipped' WHEN year(start_at) < 2050 THEN 'fixed' ELSE 'deleted' END AS verdict "
     "FROM x WHERE old_start > TIMESTAMP '2050-01-01'"
@@ -1242,6 +1259,43 @@ def crawl_counters(spark, sf_dir):
     return runs.select("source_id", "pages_fetched", "events_found", "events_new", "events_published", "events_queued", "status")
 
 
+# Sources whose number leaves 1 have pages cut short when dear, those that leave 2 have pages not delivered when urgent.
+@query(
+    "WITH p AS (SELECT n_name AS source_id, o_orderkey AS k, CASE WHEN n_nationkey % 4 = 2 AND o_orderpriority = '1-URGENT' THEN 'status 503' "
+    "WHEN n_nationkey % 4 = 1 AND o_totalprice > 250000 THEN 'page is no JSON' END AS error, coalesce(n_nationkey % 4 = 2 AND o_orderpriority = '1-URGENT', false) AS lost "
+    "FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey), "
+    "r AS (SELECT source_id, min_by(error, k) FILTER (error IS NOT NULL) AS error_summary, count(*) FILTER (NOT lost) AS fetched, count(*) AS pages, count(error) AS failures FROM p GROUP BY 1) "
+    "SELECT source_id, CASE WHEN error_summary IS NULL THEN 'success' ELSE 'failed' END AS status, error_summary, CAST(fetched AS INTEGER) AS pages_fetched, "
+    "CAST(CASE WHEN error_summary IS NULL THEN pages ELSE 0 END AS INTEGER) AS events_found, failures, CAST(CASE WHEN error_summary IS NULL THEN 0 ELSE 3 END AS INTEGER) AS consecutive_failures, "
+    "error_summary IS NULL AS succeeded_now FROM r"
+)
+def crawl_failures(spark, sf_dir):
+    """A whole run with pages that were not delivered or are no JSON: run log, errors per page and the health of the sources after it."""
+    number = F.pmod(F.col("n_nationkey"), F.lit(4))
+    bad = adapt.read(spark, sf_dir, "orders").join(adapt.read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(
+        adapt.read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
+    ).select(
+        F.concat(F.lit("https://events.example.org/list/"), F.col("o_orderkey").cast("string")).alias("url"),
+        ((number == 2) & (F.col("o_orderpriority") == "1-URGENT")).alias("lost"), ((number == 1) & (F.col("o_totalprice") > 250000)).alias("short"),
+    )
+    pages = adapt.listing_pages(spark, sf_dir).join(bad, "url").withColumns(
+        {
+            "status_code": F.when(F.col("lost"), 503).otherwise(200),
+            "html_or_json": F.when(F.col("short"), F.left("html_or_json", F.lit(40))).otherwise(F.col("html_or_json")),
+        }
+    ).drop("lost", "short")
+    long_ago = F.timestamp_seconds(F.lit(0))
+    sources = adapt.nation_sources(spark, sf_dir).withColumns(
+        {"consecutive_failures": F.lit(2), "last_crawled_at": long_ago, "last_success_at": long_ago, "last_failure_at": long_ago}
+    )
+    events, raw, snapshots = (spark.createDataFrame([], s) for s in (schemas.EVENTS, schemas.RAW_EVENTS, schemas.SNAPSHOTS))
+    out = ing.ingest(cut(pages), sources, events, raw, snapshots, NOW)
+    failures = out.failures.groupBy("source_id").agg(F.count(F.lit(1)).alias("failures"))
+    health = out.sources.select(F.col("id").alias("source_id"), "consecutive_failures", (F.col("last_success_at") > long_ago).alias("succeeded_now"))
+    runs = out.runs.select("source_id", "status", "error_summary", "pages_fetched", "events_found")
+    return runs.join(failures, "source_id", "left").na.fill(0, ["failures"]).join(health, "source_id")
+
+
 @query(
     "SELECT CAST(o_orderkey AS VARCHAR) AS external_id, c_mktsegment || ' ' || o_orderpriority AS title, c_mktsegment || '|' || o_orderpriority AS topics, o_totalprice < 50000 AS is_free "
     "FROM orders JOIN customer ON o_custkey = c_custkey"

@@ -11,6 +11,7 @@ from evcat.functions import html as H
 from evcat.functions import rules as R
 from evcat.functions import text as T
 from evcat.operators.ordered import add_previous
+from evcat.session import broadcast_if_small
 
 RAW_COLUMNS = (
     "source_id", "page_url", "place", "external_id", "payload", "raw_payload_json", "cleaned_text", "json_ld", "fetched_at",
@@ -128,13 +129,33 @@ def raw_events_of(pages: DataFrame, names: list[str] | None = None) -> DataFrame
 # --- Change detection -----------------------------------------------------------------------
 def fingerprints(pages: DataFrame) -> DataFrame:
     """(source_id, url, fetched_at, url_hash, page_hash): all that change detection needs."""
-    return pages.select(
-        "source_id",
-        "url",
-        "fetched_at",
+    return pages.select(*_print_columns())
+
+
+def _print_columns() -> list[Column]:
+    return [
+        F.col("source_id"),
+        F.col("url"),
+        F.col("fetched_at"),
         T.content_hash(F.col("url")).alias("url_hash"),
         T.content_hash(F.col("html_or_json")).alias("page_hash"),
-    )
+    ]
+
+
+def with_errors(pages: DataFrame, sources: DataFrame) -> DataFrame:
+    """Fingerprints of all pages with two more columns: why the fetch failed, and why the page could not be read. One pass over the bodies.
+
+    A fetch failed when ``pages`` has an ``error`` text for it (optional column), a status of 400 and more, or no body. A page of a static source cannot
+    be read when it is no JSON; a page of an unknown source or platform is read by the generic adapter, which reads any text.
+    """
+    kinds = broadcast_if_small(sources.groupBy(F.col("id").alias("source_id")).agg(F.min(adapter_name(F.col("platform"))).alias("_adapter")))
+    given = F.col("error") if "error" in pages.columns else F.lit(None).cast("string")
+    status = F.when(F.col("status_code") >= 400, F.concat(F.lit("status "), F.col("status_code").cast("string"))) if "status_code" in pages.columns else F.lit(None)
+    body = F.col("html_or_json")
+    fetch = F.coalesce(T.blank_to_null(given), status, F.when(body.isNull(), "no body"))
+    unread = F.when((F.col("_adapter") == "static") & F.try_parse_json(body).isNull(), "page is no JSON")
+    hashed = pages.join(kinds, "source_id", "left").withColumns({"fetch_error": fetch, "read_error": F.when(fetch.isNull(), unread)})
+    return hashed.select(*_print_columns(), "fetch_error", "read_error")
 
 
 def latest_snapshots(snapshots: DataFrame, version: str = C.SNAPSHOT_VERSION) -> DataFrame:
