@@ -152,7 +152,7 @@ def with_errors(pages: DataFrame, sources: DataFrame) -> DataFrame:
     given = F.col("error") if "error" in pages.columns else F.lit(None).cast("string")
     status = F.when(F.col("status_code") >= 400, F.concat(F.lit("status "), F.col("status_code").cast("string"))) if "status_code" in pages.columns else F.lit(None)
     body = F.col("html_or_json")
-    fetch = F.coalesce(T.blank_to_null(given), status, F.when(body.isNull(), "no body"))
+    fetch = F.coalesce(F.when(F.trim(given) != "", given), status, F.when(body.isNull(), "no body"))
     unread = F.when((F.col("_adapter") == "static") & F.try_parse_json(body).isNull(), "page is no JSON")
     hashed = pages.join(kinds, "source_id", "left").withColumns({"fetch_error": fetch, "read_error": F.when(fetch.isNull(), unread)})
     return hashed.select(*_print_columns(), "fetch_error", "read_error")
