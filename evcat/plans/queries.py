@@ -24,6 +24,7 @@ from evcat.plans import ingest as ing
 from evcat.session import cut, instant, run_folder, work_dir, zoneless
 from evcat.sources import files
 from evcat.sources import pages as pg
+from evcat.sources.bodies import BodyStore
 from evcat.streaming import changes, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1387,12 +1388,13 @@ def event_provenance(spark, sf_dir):
     "sha256(html) AS page_hash, length(html) AS body_chars FROM pages"
 )
 def snapshot_bodies(spark, sf_dir):
-    """Snapshot rows of all pages with their key and body."""
-    pages = adapt.pages(spark, sf_dir)
-    stored = pg.with_bodies(pg.snapshot_rows(pg.fingerprints(pages)), pages)
+    """Snapshot rows of all pages with their key and the length of the stored body; every content is stored once."""
+    store = BodyStore(spark, run_folder(spark, "bodies"))
+    store.add(adapt.pages(spark, sf_dir), 0)
     ids = adapt.read(spark, sf_dir, "pages").select("page_id", T.content_hash(F.col("url")).alias("url_hash"))
+    sizes = store.bodies().select("page_hash", F.length("body").cast("bigint").alias("body_chars"))
     key = T.snapshot_key(F.col("source_id"), F.col("url_hash")).alias("snapshot_key")
-    return stored.join(ids, "url_hash").select("page_id", key, "page_hash", F.length("body").cast("bigint").alias("body_chars"))
+    return store.keys().join(ids, "url_hash").join(sizes, "page_hash", "left").select("page_id", key, "page_hash", "body_chars")
 
 
 @query(

@@ -129,10 +129,10 @@ def raw_events_of(pages: DataFrame, names: list[str] | None = None) -> DataFrame
 # --- Change detection -----------------------------------------------------------------------
 def fingerprints(pages: DataFrame) -> DataFrame:
     """(source_id, url, fetched_at, url_hash, page_hash): all that change detection needs."""
-    return pages.select(*_print_columns())
+    return pages.select(*print_columns())
 
 
-def _print_columns() -> list[Column]:
+def print_columns() -> list[Column]:
     return [
         F.col("source_id"),
         F.col("url"),
@@ -155,7 +155,7 @@ def with_errors(pages: DataFrame, sources: DataFrame) -> DataFrame:
     fetch = F.coalesce(F.when(F.trim(given) != "", given), status, F.when(body.isNull(), "no body"))
     unread = F.when((F.col("_adapter") == "static") & F.try_parse_json(body).isNull(), "page is no JSON")
     hashed = pages.join(kinds, "source_id", "left").withColumns({"fetch_error": fetch, "read_error": F.when(fetch.isNull(), unread)})
-    return hashed.select(*_print_columns(), "fetch_error", "read_error")
+    return hashed.select(*print_columns(), "fetch_error", "read_error")
 
 
 def latest_snapshots(snapshots: DataFrame, version: str = C.SNAPSHOT_VERSION) -> DataFrame:
