@@ -33,7 +33,7 @@ from evcat.llm import words as W
 
 MAGIC = b"EVIDS01\n"
 SELECT_STEP = 256
-CACHED_WORDS = 150_000  # of each generation of a cache; workers of earlier stages hold caches of their own
+CACHED_WORDS = 250_000  # of each generation of a cache; workers of earlier stages hold caches of their own
 RANGE_KEY_CHARS = 32
 
 
@@ -164,7 +164,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.parts = W.WordCache(self._encode, CACHED_WORDS)
+        self.layout = "H" if self.width == 2 else "I"
         self.words = W.WordCache(self._word, CACHED_WORDS)
 
     def _encode(self, word: bytes) -> bytes:
@@ -172,14 +172,17 @@ class WordEncoder:
             ids = [t.id for t in self.model.tokenize(word.decode())]
         else:
             ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        return np.array(ids, f"<u{self.width}").tobytes()
+        return struct.pack(f"<{len(ids)}{self.layout}", *ids)
 
     def _word(self, word: bytes) -> bytes:
         core = word.rstrip(self.SIGNS)
         if b"<|" in word or not core[-1:].isalnum():
-            return self.parts[word]
-        signs = word[len(core) :]
-        return self.parts[core.lower()] + (self.parts[signs] if signs else b"")
+            return self._encode(word)
+        plain, signs = core.lower(), word[len(core) :]
+        if plain == word:
+            return self._encode(word)
+        # Other forms of a word find its ids in the same cache.
+        return self.words[plain] + (self.words[signs] if signs else b"")
 
     def encode(self, text: bytes | None) -> bytes:
         return b"".join(map(self.words.__getitem__, W.blank_words(text)))
