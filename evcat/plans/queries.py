@@ -4,6 +4,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import date, datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -147,6 +148,68 @@ def listing_view(spark, sf_dir):
     )
 
 
+def _flat(df: DataFrame) -> DataFrame:
+    """Lists as text, so that both sides compare them alike."""
+    return df.select(*[F.array_join(f"`{n}`", "|").alias(n) if kind.startswith("array") else F.col(f"`{n}`") for n, kind in df.dtypes])
+
+
+# The columns of the catalogue view that are fixed values.
+_FIXED_SQL = (
+    f"'{C.DISPLAY_ZONE}' AS timezone, '{C.Region().city}' AS city, CAST(NULL AS VARCHAR) AS address, CAST(NULL AS DOUBLE) AS lat, CAST(NULL AS DOUBLE) AS lng, "
+    "'developers' AS audience, 'generic' AS source_platform, CAST(NULL AS VARCHAR) AS banner_color, 'unknown' AS price_type, false AS is_cancelled, "
+    "CAST(0.95 AS DOUBLE) AS relevance_score, CAST(0.8 AS DOUBLE) AS publish_score"
+)
+
+
+@query(
+    WITH_CAT + f"SELECT id, slug, title, description, short_description, start_at, end_at, locality, venue_name AS venue, mode, event_type, array_to_string(topics, '|') AS topics, "
+    "organizer_name, community_name, canonical_url, registration_url, poster_url, is_free, is_featured, is_student_friendly, date_tba, published_at, expires_at, updated_at, created_at, "
+    f"{_FIXED_SQL} FROM cat WHERE {LIVE_SQL}"
+)
+def listing_columns(spark, sf_dir):
+    """The listing projection with all of its columns."""
+    return _flat(cat.listing_view(adapt.catalogue(spark, sf_dir).filter(cat.live(NOW))))
+
+
+@query(
+    WITH_CAT + f", a AS (SELECT *, {_FIXED_SQL} FROM cat) SELECT id, slug, title, start_at, end_at, mode, event_type, city, locality, venue_name, community_name, canonical_url, "
+    "registration_url, poster_url, is_featured, is_cancelled, is_free, array_to_string(topics, '|') AS topics, published_at, expires_at, created_at, updated_at FROM a"
+)
+def admin_columns(spark, sf_dir):
+    """The admin projection with all of its columns, over all events."""
+    return _flat(cat.admin_view(adapt.catalogue(spark, sf_dir)))
+
+
+_PARAMS = (
+    {"mode": "offline", "topic": "", "is_free": "true", "is_student_friendly": "1", "page": "2"},
+    {"community": "furn", "locality": "", "is_free": "false", "page": "0"},
+    {"topic": "BUILDING", "locality": "NATION_3", "is_student_friendly": "TRUE", "page": "x"},
+)
+
+
+@query(
+    WITH_CAT + f", live AS (SELECT * FROM cat WHERE {LIVE_SQL}) "
+    "SELECT * FROM (SELECT 0 AS request, id, start_at FROM live WHERE mode = 'offline' AND is_free ORDER BY date_tba NULLS LAST, start_at NULLS LAST, id LIMIT 20 OFFSET 20) "
+    "UNION ALL SELECT * FROM (SELECT 1 AS request, id, start_at FROM live WHERE community_name ILIKE '%furn%' ORDER BY date_tba NULLS LAST, start_at NULLS LAST, id LIMIT 20) "
+    "UNION ALL SELECT * FROM (SELECT 2 AS request, id, start_at FROM live WHERE list_contains(topics, 'BUILDING') AND lower(locality) = 'nation_3' "
+    "ORDER BY date_tba NULLS LAST, start_at NULLS LAST, id LIMIT 20)"
+)
+def listing_params(spark, sf_dir):
+    """Pages asked for by query-string parameters: empty ones are no filter, flags count only when ``true``, a page below 1 or no number is the first."""
+    events = adapt.catalogue(spark, sf_dir)
+    asked = [cat.CatalogueQuery.from_params(p) for p in _PARAMS]
+    pages = [cat.page(cat.search(events, q, NOW), q).select(F.lit(k).alias("request"), "id", "start_at") for k, q in enumerate(asked)]
+    return reduce(DataFrame.unionByName, pages)
+
+
+@query(WITH_CAT + "SELECT least(count(*), 10) AS shown, least(count(*), 10) AS known FROM cat")
+def sample_peek(spark, sf_dir):
+    """A look at a few events: how many rows it shows, and how many of them the catalogue has."""
+    events = adapt.catalogue(spark, sf_dir).select("id")
+    known = cut(cat.peek(events)).join(events.withColumn("_known", F.lit(1)), "id", "left")
+    return known.agg(F.count(F.lit(1)).alias("shown"), F.count("_known").alias("known"))
+
+
 @query(WITH_CAT + f"SELECT {SHORT} FROM cat WHERE is_featured AND published_at IS NOT NULL ORDER BY start_at, id LIMIT 5")
 def featured(spark, sf_dir):
     return _short(cat.featured(adapt.catalogue(spark, sf_dir)))
