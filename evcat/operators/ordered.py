@@ -21,8 +21,12 @@ def _sliced(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     rows = cut(df)
     slices = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS_PER_SLICE))
     ranged = rows.repartitionByRange(slices, *keys, *order)
-    # The slice number is only stable once written down.
-    return cut(ranged.withColumn("_slice", F.spark_partition_id()))
+    if keys:
+        # The slice number is only stable once written down.
+        return cut(ranged.withColumn("_slice", F.spark_partition_id()))
+    # The number of a row counts the rows of its slice from 0, above the number of the slice.
+    placed = ranged.sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    return cut(placed).withColumns({"_slice": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND((1 << 33) - 1)}).drop("_id")
 
 
 def _join_carry(df: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
@@ -33,6 +37,8 @@ def _join_carry(df: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
 
 def add_row_number(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     """1-based position of each row among the rows with the same keys (all rows when no keys)."""
+    if not keys:
+        return _numbered(df, order, name)
     rows = _sliced(df, keys, order)
     local = rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(*order)))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -47,6 +53,14 @@ def add_row_number(df: DataFrame, keys: list[str], order: list[str], name: str)
     return out.withColumn(name, F.col(name) + F.coalesce(F.col("_carry"), F.lit(0))).drop("_slice", "_carry")
 
 
+def _numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Position among all rows: the place in the sorted slice plus the sizes of the slices before; no exchange after the ranging."""
+    rows = _sliced(df, [], order)
+    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # one row per slice
+    carry = rows.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n")).withColumn("_carry", F.sum("_n").over(before)).drop("_n")
+    return _join_carry(rows, carry, []).withColumn(name, F.col("_at") + F.coalesce(F.col("_carry"), F.lit(0)) + 1).drop("_slice", "_at", "_carry")
+
+
 def add_previous(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
     """Value of the row before, among the rows with the same keys; null on the first row."""
     rows = _sliced(df, keys, order)
