@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,7 +17,7 @@ from evcat import config as C
 from evcat import schemas
 from evcat.functions.dates import dedupe_key
 from evcat.functions.text import content_hash
-from evcat.operators import lifecycle, tables
+from evcat.operators import lifecycle
 from evcat.plans.ingest import ingest
 from evcat.session import cut
 
@@ -106,7 +106,7 @@ TABLES = {
 class Store:
     """Catalogue tables as runs of batches: the last row per key is current, unless it says ``deleted``.
 
-    A batch is a run of its own. Whenever ``fan`` runs of one length are complete, ``add`` merges them into one, so a table is read from a few runs and a row
+    A batch is a run of its own; the keys of a run are distinct. Whenever ``fan`` runs of one length are complete, ``add`` merges them into one, so a table is read from a few runs and a row
     is rewritten once per level. A run that begins with the first batch drops deleted rows for good. Rows lie in ``buckets`` folders by a hash of their key,
     and ``current(..., keys=...)`` opens only the buckets of those keys. A run counts from the moment its row stands in the list of runs; a
     repeated batch replaces its run and the merged runs that end with it. Batches are numbered from 0 and may be left out.
@@ -150,8 +150,14 @@ class Store:
         read = self.spark.read.schema(schema).option("basePath", self.path(name))
         return read.parquet(*[f"{self.path(name)}/run={a}-{b}" for a, b in runs]).drop("run")
 
-    def _put(self, name: str, rows: DataFrame, first: int, last: int) -> None:
-        rows.repartition(self.buckets, "bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{self.path(name)}/run={first}-{last}")
+    def _put(self, name: str, rows: DataFrame, first: int, last: int, forget: bool = False) -> None:
+        """Write a run: the last row of every key, without deleted ones if ``forget``. One exchange deals the rows by parts of buckets, so that neither the
+        choice of the last rows nor the files of a bucket need another, and a bucket is spread over several tasks."""
+        parts = max(1, 2 * int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.buckets)
+        part = F.pmod(F.hash(*self.KEYS[name]), F.lit(parts))
+        kept = self._latest(name, rows.withColumn("_part", part).repartition("bucket", "_part"), "bucket", "_part").drop("_part")
+        kept = kept.filter("NOT deleted") if forget else kept
+        kept.write.partitionBy("bucket").mode("overwrite").parquet(f"{self.path(name)}/run={first}-{last}")
         entry = self.spark.range(1).select(F.lit(first).cast("bigint").alias("first"), F.lit(last).cast("bigint").alias("last"))
         entry.coalesce(1).write.mode("overwrite").parquet(f"{self.path(name)}/listed/{first}-{last}")
 
@@ -167,21 +173,24 @@ class Store:
             first = batch + 1 - span
             # Only runs shorter than the one to be written, so that a repeated batch reads none of its own merges.
             parts = [r for k in range(self.fan) for r in self.runs(name, first + k * span // self.fan, first + (k + 1) * span // self.fan)]
-            merged = self._latest(name, self._rows(name, parts))
-            self._put(name, merged.filter("NOT deleted") if first == 0 else merged, first, batch)
+            self._put(name, self._rows(name, parts), first, batch, forget=first == 0)
             span *= self.fan
 
-    def _latest(self, name: str, rows: DataFrame) -> DataFrame:
-        return tables.latest_per_key(rows, self.KEYS[name], ["batch", "deleted"])
+    def _latest(self, name: str, rows: DataFrame, *dealt: str) -> DataFrame:
+        """The last row per key; a window, so columns that nobody asks for are not read. A key has a row per run at most, but in a batch being written."""
+        newest = Window.partitionBy(*dealt, *self.KEYS[name]).orderBy(F.desc("batch"), F.desc("deleted"))
+        return rows.withColumn("_place", F.row_number().over(newest)).filter("_place = 1").drop("_place")
 
     def current(self, name: str, before: int | None = None, keys: DataFrame | None = None) -> DataFrame:
         """Current rows, as of the batches before ``before``; with ``keys`` (the columns that choose the bucket) only rows of these keys."""
-        rows = self._rows(name, self.runs(name, 0, before if before is not None else 1 << 62))
+        runs = self.runs(name, 0, before if before is not None else 1 << 62)
+        rows = self._rows(name, runs)
         if keys is not None:
             by = self.BUCKET_BY.get(name, self.KEYS[name])
             touched = [r[0] for r in keys.select(self._bucket(name).alias("bucket")).distinct().collect()]  # at most one row per bucket
             rows = rows.filter(F.col("bucket").isin(touched)).join(keys.select(*by).distinct(), by, "left_semi")
-        return self._latest(name, rows).filter("NOT deleted").drop("batch", "deleted", "bucket")
+        # The keys of one run are distinct already.
+        return (self._latest(name, rows) if len(runs) > 1 else rows).filter("NOT deleted").drop("batch", "deleted", "bucket")
 
 
 def ingest_pages(

@@ -123,3 +123,18 @@ def test_tables_of_the_catalogue_have_keys_and_buckets(spark, tmp_path):
     for name in streams.TABLES:
         assert store.current(name).count() == 0
     assert set(store.KEYS) == set(streams.TABLES) and schemas.EVENTS
+
+
+def test_keys_of_a_run_are_distinct_and_unused_columns_are_not_read(spark, tmp_path):
+    store = streams.Store(spark, str(tmp_path / "s"), {"moderation": "id STRING, reason STRING, notes STRING"}, fan=9)
+    row = lambda *r: spark.createDataFrame(list(r), "id string, reason string, notes string")
+    store.add("moderation", row(("a", "x", "n"), ("a", "x", "n"), ("b", "x", "n"), (None, "x", "n"), (None, "x", "n")), 0, gone=row(("b", "", "")))
+    assert store._rows("moderation", [(0, 0)]).count() == 3
+    one = store.current("moderation")
+    assert sorted(r["id"] or "" for r in one.collect()) == ["", "a"]
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+    store.add("moderation", row(("a", "y", "m")), 1)
+    two = store.current("moderation").select("id", "reason")
+    assert {tuple(r) for r in two.collect()} == {("a", "y"), (None, "x")}
+    plan = two._jdf.queryExecution().executedPlan().toString()
+    assert not any("notes" in read for read in re.findall(r"ReadSchema: [^\n]*", plan))
