@@ -11,7 +11,9 @@ import re
 import uuid
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,24 +26,38 @@ PHRASE_FIELDS = ("title", "short_description", "community_name")
 _POSTINGS = "key string, first string, last string, size int, docs array<string>"
 
 
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted (key, doc) rows as blocks."""
-    key, docs = None, []
+def _sliced(keys: pa.Array, docs: pa.Array) -> pa.RecordBatch:
+    """Pairs of key and document as blocks, one key after the other; the documents of a key keep their order."""
+    coded = keys.dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(codes, kind="stable")
+    codes, members = codes[order], docs.take(pa.array(order))
+    new_key = np.diff(codes, prepend=-1) != 0
+    place = np.arange(len(codes))
+    within = place - np.maximum.accumulate(np.where(new_key, place, 0))
+    starts = np.flatnonzero(within % BLOCK == 0)
+    ends = np.append(starts[1:], len(codes))
+    columns = [
+        coded.dictionary.take(pa.array(codes[starts])), members.take(pa.array(starts)), members.take(pa.array(ends - 1)),
+        pa.array(ends - starts, pa.int32()), pa.ListArray.from_arrays(pa.array(np.append(starts, len(codes)), pa.int32()), members),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["key", "first", "last", "size", "docs"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with their lists of keys, sorted by document, as blocks per batch."""
+    for batch in batches:
+        keys = batch.column("keys")
+        if len(flat := pc.list_flatten(keys)):
+            yield _sliced(flat, batch.column("doc").take(pc.list_parent_indices(keys)))
 
-    def block() -> tuple:
-        return key, docs[0], docs[-1], len(docs), docs
 
+def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted blocks with neighbours of one key put together up to the size of a block."""
     for batch in batches:
-        out = []
-        for k, doc in zip(batch["key"], batch["doc"]):
-            if docs and (k != key or len(docs) == BLOCK):
-                out.append(block())
-                docs = []
-            key = k
-            docs.append(doc)
-        yield pd.DataFrame(out, columns=["key", "first", "last", "size", "docs"])
-    if docs:
-        yield pd.DataFrame([block()], columns=["key", "first", "last", "size", "docs"])
+        docs = batch.column("docs")
+        if len(flat := pc.list_flatten(docs)):
+            yield _sliced(batch.column("key").take(pc.list_parent_indices(docs)), flat)
 
 
 def _fragments(field: str) -> Column:
@@ -89,33 +105,38 @@ class SearchIndex:
     def _path(self, segment: str, part: str) -> str:
         return f"{self.root}/segments/{segment}/{part}"
 
-    def _write(self, postings: DataFrame, listed: DataFrame) -> str:
-        """A segment of (key, doc) rows, and of the ids it speaks for with ``gone`` for those deleted."""
+    def _write(self, keyed: DataFrame, listed: DataFrame) -> str:
+        """A segment of documents with their keys (doc, keys), and of the ids it speaks for with ``gone`` for those deleted.
+
+        Postings are never rows of their own: sorted documents become blocks where they lie, and only blocks are dealt by key.
+        """
         segment = uuid.uuid4().hex
-        # Cut first: ranging samples its input, which would be split into fragments twice.
-        ranged = cut(postings).repartitionByRange(self.files, "key", "doc").sortWithinPartitions("key", "doc")
-        ranged.mapInPandas(_blocks, _POSTINGS).write.parquet(self._path(segment, "postings"))
+        # Cut first: ranging samples its input, which would be computed twice.
+        ranged = cut(keyed).repartitionByRange(self.files, "doc").sortWithinPartitions("doc")
+        blocks = cut(ranged.mapInArrow(_blocks, _POSTINGS)).repartitionByRange(self.files, "key", "first").sortWithinPartitions("key", "first")
+        blocks.mapInArrow(_filled, _POSTINGS).write.parquet(self._path(segment, "postings"))
         listed.repartitionByRange(self.files, "doc").sortWithinPartitions("doc").write.parquet(self._path(segment, "listed"))
         return segment
 
     def add(self, changed: DataFrame, gone: DataFrame | None = None) -> None:
         """Index new and changed documents (id, search_tokens and the fields; one row per id), and drop those of ``gone`` (id)."""
         terms = F.transform(F.coalesce("search_tokens", F.array().cast("array<string>")), lambda t: F.concat(F.lit("="), t))
-        keys = F.array_distinct(F.concat(terms, *[_fragments(f) for f in self.fields]))
-        postings = changed.select(F.explode(keys).alias("key"), F.col("id").alias("doc"))
+        keys = F.array_compact(F.array_distinct(F.concat(terms, *[_fragments(f) for f in self.fields])))
+        keyed = changed.select(F.col("id").alias("doc"), keys.alias("keys"))
         listed = changed.select(F.col("id").alias("doc"), F.lit(False).alias("gone"))
         if gone is not None:
             listed = listed.unionByName(gone.select(F.col("id").alias("doc"), F.lit(True).alias("gone")))
-        self._publish([*self.live(), self._write(postings, listed)])
+        self._publish([*self.live(), self._write(keyed, listed)])
 
     def merge(self) -> None:
         """All live segments as one; void postings and deleted documents are left out."""
         segments = self.live()
         if len(segments) < 2:
             return
-        postings = self._valid(self._read(segments, None).select("place", "key", F.explode("docs").alias("doc")), segments).select("key", "doc")
+        postings = self._valid(self._read(segments, None).select("place", "key", F.explode("docs").alias("doc")), segments)
+        keyed = postings.groupBy("doc").agg(F.collect_list("key").alias("keys"))
         newest = self._listed(segments).groupBy("doc").agg(F.max_by("gone", "place").alias("gone")).filter("NOT gone")
-        self._publish([self._write(postings, newest)])
+        self._publish([self._write(keyed, newest)])
 
     # --- Look-ups ---------------------------------------------------------------------------
     def _read(self, segments: list[str], keys: Sequence[str] | None) -> DataFrame:

@@ -2,6 +2,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from evcat.functions import stem
 from evcat.operators import catalogue as cat
@@ -79,3 +80,17 @@ def test_patterns_that_fix_nothing_need_a_scan():
     assert phrase_keys("%") is None and phrase_keys("a\\%") is None and phrase_keys("") is None
     assert phrase_keys("ab%cdef") == ["ab", "cde", "def"]
     assert stem.query_terms("ab cd", stemmed=False) == ["ab", "cd"]
+
+
+def test_blocks_are_made_from_documents_not_from_rows_of_postings(spark, tmp_path, monkeypatch):
+    written = []
+    keep = segments.cut
+    monkeypatch.setattr(segments, "cut", lambda df: written.append(keep(df)) or written[-1])
+    monkeypatch.setattr(segments, "BLOCK", 4)
+    index = SearchIndex(spark, str(tmp_path / "i"), files=2)
+    index.add(spark.range(20).select(F.format_string("d%02d", "id").alias("id"), F.lit("same title").alias("title"), F.lit(None).cast("string").alias("short_description"),
+                                     F.lit("").alias("community_name"), F.array(F.lit("same")).alias("search_tokens")))
+    assert written[0].count() == 20  # one row per document, whatever the number of its keys
+    blocks = index._read(index.live(), ["=same"]).orderBy("first").collect()
+    assert [d for r in blocks for d in r["docs"]] == [f"d{n:02}" for n in range(20)]
+    assert all(r["size"] == len(r["docs"]) <= 4 and (r["first"], r["last"]) == (r["docs"][0], r["docs"][-1]) for r in blocks)
