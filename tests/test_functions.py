@@ -276,3 +276,16 @@ def test_search_terms(spark):
     assert values(spark, ["The Meetups: running, RUN and runs!"], stem.terms) == [["meetup", "run"]]
     assert stem.query_terms("the Meetup of runners") == ["meetup", "runner"]
     assert values(spark, ["Foo_bar foo"], lambda c: stem.terms(c, stemmed=False)) == [["foo", "bar"]]
+
+
+def test_words_are_stemmed_once_per_task_and_lists_keep_their_nulls(monkeypatch):
+    import pyarrow as pa
+
+    from evcat.functions import stem
+
+    asked, rule = [], stem.stem
+    monkeypatch.setattr(stem, "stem", lambda w: asked.append(w) or rule(w))
+    lists = [pa.array([["running", "news"], None, []]), pa.array([["x"], ["skies", "running"]]).slice(1), pa.array([], pa.list_(pa.string()))]
+    got = [out.to_pylist() for out in stem._stem_words.func(iter(lists))]
+    assert got == [[["run", "news"], None, []], [["sky", "run"]], []]
+    assert sorted(asked) == ["news", "running", "skies"]
