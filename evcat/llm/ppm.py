@@ -11,6 +11,8 @@ for. So no task holds more than a block, a shard, or a key range, and all texts
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -55,17 +57,34 @@ def _pieces(texts: list[bytes]) -> list[tuple[int, int]]:
     return list(zip(cuts[:-1], cuts[1:]))
 
 
+def _merged(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of all lists in ascending order, and the place of every listed key among them."""
+    at, met = pd.factorize(np.concatenate([np.zeros(0, np.uint64), *keys]))
+    turn = np.argsort(met)
+    rank = np.empty(len(turn), np.int64)
+    rank[turn] = np.arange(len(turn))
+    return met[turn], rank[at]
+
+
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in ascending order and their summed counts."""
-    if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return distinct, np.bincount(at, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
+    distinct, at = _merged(keys)
+    return distinct, np.bincount(at, weights=np.concatenate([np.zeros(0), *counts]), minlength=len(distinct)).astype(np.int64)
+
 
+def _runs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in ascending order and how often each occurs."""
+    codes = np.sort(codes)
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(codes)), bool), codes[1:] != codes[:-1]]))
+    return codes[first], np.diff(first, append=len(codes))
 
-def _counted(codes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at, distinct = pd.factorize(codes)
-    return distinct, np.bincount(at, weights=weights, minlength=len(distinct)).astype(np.int64)
+
+def _counted(codes: np.ndarray, teaches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in ascending order and how often each teaches."""
+    distinct, n = _runs(codes)
+    spared, m = _runs(codes[~teaches])
+    n[np.searchsorted(distinct, spared)] -= m
+    return distinct, n
 
 
 def gram_counts(texts: list[bytes], learns: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +92,7 @@ def gram_counts(texts: list[bytes], learns: np.ndarray, order: int) -> tuple[np.
     keys, counts = [], []
     for a, b in _pieces(texts):
         codes, starts = grams(texts[a:b], order)
-        distinct, n = _counted(codes, np.repeat(learns[a:b], np.diff(starts)).astype(np.float64))
+        distinct, n = _counted(codes, np.repeat(learns[a:b], np.diff(starts)))
         keys.append(distinct)
         counts.append(n)
     return _summed(keys, counts)
@@ -94,12 +113,25 @@ def word_counts(texts: list[bytes], learns: np.ndarray) -> tuple[np.ndarray, np.
     keys, counts = [], []
     for a, b in _pieces(texts):
         codes, starts = word_keys(texts[a:b])
-        distinct, n = _counted(codes, np.repeat(learns[a:b], np.diff(starts)).astype(np.float64))
+        distinct, n = _counted(codes, np.repeat(learns[a:b], np.diff(starts)))
         keys.append(distinct)
         counts.append(n)
     return _summed(keys, counts)
 
 
+def listed(texts: list[bytes], keys_of: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Distinct keys of the texts, ascending; per piece, the places of its own distinct keys among them, which of these each key is, and where each text starts."""
+    own, found = [], []
+    for a, b in _pieces(texts):
+        keys, starts = keys_of(texts[a:b])
+        at, met = pd.factorize(keys)
+        own.append(met)
+        found.append((at.astype(np.int32), starts))
+    distinct, places = _merged(own)
+    cuts = np.cumsum([0, *map(len, own)])
+    return distinct, [(places[i:j], at, starts) for i, j, (at, starts) in zip(cuts[:-1], cuts[1:], found)]
+
+
 def by_part(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of ascending keys by their part (a hash), and the part of each key."""
     part = (W.mixed(keys) % np.uint64(parts)).astype(np.int64)
@@ -253,23 +285,19 @@ def _scored(boxes: DataFrame, answers: DataFrame, parts: int, order: int, n_trai
     def score(docs: pa.Table, known: pa.Table) -> pa.Table:
         batches = B.unboxed(docs)
         texts, learns = _texts(batches)
-        nothing = np.zeros(len(texts), bool)
-        codes, _ = gram_counts(texts, nothing, order)
-        words, _ = word_counts(texts, nothing)
+        codes, in_codes = listed(texts, lambda piece: grams(piece, order))
+        words, in_words = listed(texts, word_keys)
         lengths, counts = np.zeros(len(codes)), np.zeros(len(words), np.int64)
         lengths[by_part(codes, parts)[0]] = of_kind(known, GRAM, lambda x: np.frombuffer(x, "<f4"))
         counts[by_part(words, parts)[0]] = of_kind(known, WORD, B.unpack)
-        place, word_place = pd.Index(codes), pd.Index(words)
         base = np.log10((counts + 1) / floor)
         columns: list[list] = [[] for _ in range(4)]
-        for a, b in _pieces(texts):
-            keys, starts = word_keys(texts[a:b])
-            at = word_place.get_indexer(keys)
+        for places, at, starts in in_words:
             columns[0].append(np.diff(starts))
-            columns[1].append(np.add.reduceat((counts[at] > 0).astype(np.int64), starts[:-1]))
-            columns[2].append(np.add.reduceat(base[at], starts[:-1]))
-            keys, starts = grams(texts[a:b], order)
-            columns[3].append(np.add.reduceat(lengths[place.get_indexer(keys)], starts[:-1]))
+            columns[1].append(np.add.reduceat((counts[places] > 0).astype(np.int64)[at], starts[:-1]))
+            columns[2].append(np.add.reduceat(base[places][at], starts[:-1]))
+        for places, at, starts in in_codes:
+            columns[3].append(np.add.reduceat(lengths[places][at], starts[:-1]))
         tokens, seen, base_score, score = (np.concatenate([np.zeros(0), *c]) for c in columns)
         ids = pa.chunked_array([x.column("doc_id") for x in batches], pa.int64()).combine_chunks()
         values = [ids, ~learns, tokens.astype(np.int64), seen.astype(np.int64), np.full(len(texts), n_train), base_score, score]

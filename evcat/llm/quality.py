@@ -94,14 +94,13 @@ def quality(
     """
 
     def judged(texts: pa.Array) -> pa.Array:
-        hashes = W.word_hashes()
         compressor = zstandard.ZstdCompressor(level=level, write_content_size=False, write_checksum=False)
         out: dict[str, list] = {name: [] for name in FIELDS}
         for text in W.utf8(texts):
             text = text or b""
             words = text.split()
             n = len(words)
-            repeat = repeated_words(np.fromiter(map(hashes.__getitem__, words), np.uint64, n))
+            repeat = repeated_words(W.hashed([words])[0])
             failed = n < 20 or 100 * repeat > 30 * n
             ratio = len(compressor.compress(text)) / len(text) if text else None
             share = bad_chunks(text, compressor, chunk_bytes, chunk_band, bands)

@@ -109,3 +109,24 @@ def test_packed_numbers():
         a = ppm.np.array(values, ppm.np.uint64)
         assert B.unpack(B.pack(a)).tolist() == values
         assert B.unpack_sorted(B.pack_sorted(a)).tolist() == values
+
+
+@pytest.mark.parametrize("keys_of", [lambda piece: ppm.grams(piece, 5), ppm.word_keys])
+def test_places_of_all_pieces_lead_back_to_the_keys(keys_of, monkeypatch):
+    monkeypatch.setattr(ppm, "_PIECE", 12)
+    texts = [b"a b a", b"", b"b c b  d", b"a", b"\xc3\xa9 a b a", b"d d d d d d d d d d"]
+    distinct, pieces = ppm.listed(texts, keys_of)
+    assert len(pieces) > 1
+    keys, starts = keys_of(texts)
+    assert distinct.tolist() == sorted(set(keys.tolist()))
+    assert ppm.np.concatenate([distinct[places][at] for places, at, _ in pieces]).tolist() == keys.tolist()
+    assert sum(int(s[-1]) for _, _, s in pieces) == starts[-1]
+
+
+def test_only_texts_that_teach_are_counted():
+    texts, learns = [b"ab ab", b"ab c", b""], ppm.np.array([True, False, True])
+    words, counts = ppm.word_counts(texts, learns)
+    assert words.tolist() == sorted(words.tolist())
+    named = {ppm.xxhash.xxh3_64_intdigest(w): w for w in (b"ab", b"c", b"")}
+    assert {named[k]: n for k, n in zip(words.tolist(), counts.tolist())} == {b"ab": 2, b"c": 0, b"": 2}
+    assert ppm.gram_counts([], ppm.np.zeros(0, bool), 5)[0].tolist() == []
