@@ -227,7 +227,7 @@ def scan(text: Column) -> Column:
     """
 
     def scanned(texts: pa.Array) -> pa.Array:
-        scanner = W.worker_object(("licences",), Scanner)
+        scanner = W.worker_object("licences", None, Scanner)
         out: dict[str, list] = {name: [] for name in [*_FIELDS, "spans"]}
         for text in W.utf8(texts):
             words = W.alnum_words(text)

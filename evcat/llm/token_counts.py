@@ -95,7 +95,7 @@ def count_tokens(text: Column, vocabulary_path: str) -> Column:
 
     def counted(texts: pa.Array) -> pa.Array:
         counts = W.worker_object(
-            ("token_counts", vocabulary_path),
+            "token_counts", vocabulary_path,
             lambda: (lambda automaton: W.WordCache(lambda w: automaton.count(b" " + w)))(LongestMatch(load_vocabulary(vocabulary_path))),
         )
         n_words, n_tokens = [], []

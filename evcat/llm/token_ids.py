@@ -33,7 +33,7 @@ from evcat.llm import words as W
 
 MAGIC = b"EVIDS01\n"
 SELECT_STEP = 256
-CACHED_WORDS = 250_000  # of each generation of a cache; workers of earlier stages hold caches of their own
+CACHED_WORDS = 250_000  # of each generation of the cache, which lasts for one task: a worker lives on beside those of later stages
 RANGE_KEY_CHARS = 32
 
 
@@ -189,7 +189,7 @@ class WordEncoder:
 
 
 def encoder(path: str) -> WordEncoder:
-    return W.worker_object(("word_encoder", path), lambda: WordEncoder(path))
+    return W.worker_object("word_encoder", path, lambda: WordEncoder(path))
 
 
 def _store(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -239,15 +239,18 @@ def write_token_ids(
             ids, doc_ids, held, number = [], [], 0, number + 1
             return row
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), W.utf8(batch.column(1))):
-                ids.append(enc.encode(text) + end)
-                doc_ids.append(doc_id)
-                held += len(ids[-1]) // enc.width
-                if held >= shard_ids or len(ids) >= shard_docs:
-                    yield flush()
-        if ids:
-            yield flush()
+        try:
+            for batch in batches:
+                for doc_id, text in zip(batch.column(0).to_pylist(), W.utf8(batch.column(1))):
+                    ids.append(enc.encode(text) + end)
+                    doc_ids.append(doc_id)
+                    held += len(ids[-1]) // enc.width
+                    if held >= shard_ids or len(ids) >= shard_docs:
+                        yield flush()
+            if ids:
+                yield flush()
+        finally:
+            enc.words.drop()
 
     ordered.mapInArrow(shards, "shard string, n_docs bigint, n_ids bigint").write.parquet(f"{folder}/manifest")
 

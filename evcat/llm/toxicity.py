@@ -358,10 +358,10 @@ def toxicity(text: Column, model: Model) -> Column:
     the stretches of words with a probability of one half or more, by character offsets from 0. Null is read as empty; a text without a word
     has the score of a document without any sign of toxicity.
     """
-    key = ("toxic", repr(model.score), model.bias, len(model.weights))
+    key = (repr(model.score), model.bias, len(model.weights))
 
     def scored(texts: pa.Array) -> pa.Array:
-        tagger = W.worker_object(key, lambda: Tagger(model))
+        tagger = W.worker_object("toxic", key, lambda: Tagger(model))
         scores, spans, held, size = [], [], [], 0
 
         def flush() -> None:

@@ -8,8 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from evcat.llm import token_counts, token_ids
+from evcat.llm import words as W
 from evcat.llm.folders import new_folder
 from evcat.llm.token_ids import SELECT_STEP, EliasFano, Shard, WordEncoder, shard_bytes
+from tests.llm.conftest import frame
 
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
@@ -127,3 +129,25 @@ def test_longest_match_on_small_vocabularies():
 def test_vocabulary_needs_all_bytes():
     with pytest.raises(ValueError):
         token_counts.LongestMatch([b"a", b"b"])
+
+
+def test_words_are_forgotten_when_a_task_ends(spark):
+    written_and_read(spark, frame(spark, [(i, f"alpha beta{i} gamma", None, None) for i in range(50)]))
+
+    def held(batches):
+        import gc
+
+        import pyarrow as pa
+
+        for _ in batches:
+            caches = [x for x in gc.get_objects() if type(x).__name__ == "WordCache" and x.limit == token_ids.CACHED_WORDS]
+            yield pa.RecordBatch.from_pydict({"n": pa.array([sum(len(x) + len(x.old) for x in caches)], pa.int64())})
+
+    assert {r["n"] for r in spark.range(0, 64, 1, 64).mapInArrow(held, "n bigint").collect()} == {0}
+
+
+def test_another_model_replaces_the_one_before():
+    made = [W.worker_object("test-model", key, lambda key=key: [key]) for key in (1, 1, 2)]
+    assert made == [[1], [1], [2]] and made[0] is made[1]
+    store = W.sys.modules["_evcat_worker"].__dict__
+    assert [v for k, v in store.items() if "test-model" in str(k)] == [(2, [2])]
