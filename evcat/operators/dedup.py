@@ -51,6 +51,7 @@ def match_by_title(new: DataFrame, existing: DataFrame) -> DataFrame:
         .groupBy("title", "us", "half")
         .agg(F.min(F.struct("created_at", "id")).alias("value"))
     )
+    old = cut(old)  # read for its titles, their half days and the rows under each title
     pairs = titles_in_reach(probes.select("title", half.alias("half")), old)
     found = first_within(_under_inner(old, pairs), probes.withColumnRenamed("title", "key"), REACH_SECONDS)
     return found.select(F.col("key").alias("title"), "us", F.col("value.id").alias("match"))

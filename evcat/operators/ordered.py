@@ -121,69 +121,66 @@ def micros(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
-def first_within(points: DataFrame, probes: DataFrame, radius_seconds: int) -> DataFrame:
+# Rows of one block of time of a key that one task may sort; a block with more is split by seconds.
+CROWDED_ROWS = 100_000
+
+
+def first_within(points: DataFrame, probes: DataFrame, radius_seconds: int, crowded_rows: int = CROWDED_ROWS) -> DataFrame:
     """Smallest point value within +-radius of each probe, per key.
 
     ``points`` has (key, us, value), ``probes`` has (key, us), times in microseconds. Returns
     (key, us, value) for the distinct probes that have a point in reach.
 
-    No pairs are formed. Time is cut into buckets one radius wide, so the reach of a probe at
-    offset o of bucket b is exactly: offsets >= o of b-1, all of b, offsets <= o of b+1. Those are
-    running minima. They run in two levels, over the seconds of a bucket and inside one second, so
-    a window never holds more than one bucket's seconds or one second's distinct times, however
-    many rows share the key.
+    No pairs are formed. Time is cut into blocks two radii wide, so the reach of a probe is the end of one block, from
+    us - radius on, and the start of the next, up to us + radius. Those are running minima. A block of a key with more than
+    ``crowded_rows`` rows takes them in two levels, over the seconds of a block and inside one second, so a window never holds
+    more than that, one block's seconds or one second's distinct times, however many rows share the key.
     """
     radius = radius_seconds * _SECOND
-    bucket = F.expr(f"(us - pmod(us, {radius})) div {radius}")
+    width = 2 * radius
+    block = F.expr(f"(at - pmod(at, {width})) div {width}").alias("b")
+    off = F.pmod("at", F.lit(width)).alias("off")
     pts = (
-        points.groupBy("key", "us")
+        points.filter("key IS NOT NULL AND us IS NOT NULL")
+        .groupBy("key", F.col("us").alias("at"))
         .agg(F.min("value").alias("value"))
-        .select("key", bucket.alias("b"), F.pmod("us", F.lit(radius)).alias("off"), "value")
-        .select("*", F.lit(None).cast("bigint").alias("probe"), F.lit(0).alias("reach"))
-    )
-    probe = probes.select("key", "us").distinct()
-    moved = probe.select(
-        "key",
-        F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("reach"),
-        F.col("us").alias("probe"),
-        bucket.alias("home"),
-        F.pmod("us", F.lit(radius)).alias("off"),
-    ).select(
-        "key",
-        (F.col("home") + F.col("reach")).alias("b"),
-        "off",
-        F.lit(None).cast(pts.schema["value"].dataType).alias("value"),
-        "probe",
-        "reach",
+        .select("key", block, off, "value", F.lit(None).cast("bigint").alias("probe"), F.lit(False).alias("onward"))
     )
-    # One exchange serves the running minima and the per-second summary below.
-    rows = pts.unionByName(moved).withColumn("sec", F.expr(f"off div {_SECOND}")).repartition("key", "b", "sec")
-
-    inside = Window.partitionBy("key", "b", "sec")
-    upto = inside.orderBy("off").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    onward = inside.orderBy(F.col("off").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    fine = rows.withColumn("_upto", F.min("value").over(upto)).withColumn("_onward", F.min("value").over(onward))
-    whole = Window.partitionBy("key", "b")
-    earlier = whole.orderBy("sec").rowsBetween(Window.unboundedPreceding, -1)
-    later = whole.orderBy(F.col("sec").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    coarse = (
-        rows.groupBy("key", "b", "sec")
-        .agg(F.min("value").alias("_sec"), F.count("probe").alias("_probes"))
-        .withColumn("_all", F.min("_sec").over(whole))
-        .withColumn("_earlier", F.min("_sec").over(earlier))
-        .withColumn("_later", F.min("_sec").over(later))
-        .filter((F.col("_probes") > 0) & F.col("_all").isNotNull())
-        .drop("_sec", "_probes")
-    )
-    answered = fine.filter(F.col("probe").isNotNull()).join(coarse, ["key", "b", "sec"])
-    best = (
-        F.when(F.col("reach") == 0, F.col("_all"))
-        .when(F.col("reach") == 1, F.least("_upto", "_earlier"))
-        .otherwise(F.least("_onward", "_later"))
-    )
-    return (
-        answered.select("key", F.col("probe").alias("us"), best.alias("value"))
-        .groupBy("key", "us")
-        .agg(F.min("value").alias("value"))
-        .filter(F.col("value").isNotNull())
+    ends = F.array(
+        F.struct((F.col("us") - radius).alias("at"), F.lit(True).alias("onward")), F.struct((F.col("us") + radius).alias("at"), F.lit(False).alias("onward"))
     )
+    probe = probes.filter("key IS NOT NULL AND us IS NOT NULL").select("key", "us").distinct()
+    ended = probe.select("key", F.col("us").alias("probe"), F.explode(ends).alias("end")).select("key", "probe", "end.*")
+    moved = ended.select("key", block, off, F.lit(None).cast(pts.schema["value"].dataType).alias("value"), "probe", "onward")
+    # Written down: the points come from joins, and the rows are read for their counts and for the minima.
+    rows = cut(pts.unionByName(moved))
+    crowds = rows.groupBy("key", "b").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > crowded_rows).drop("_n")
+    if crowds.isEmpty():
+        found = _block_minima(rows)
+    else:
+        crowds = cut(crowds)
+        found = _block_minima(rows.join(crowds, ["key", "b"], "left_anti")).unionByName(_crowded_minima(rows.join(crowds, ["key", "b"], "left_semi")))
+    return found.filter(F.col("value").isNotNull()).groupBy("key", "us").agg(F.min("value").alias("value"))
+
+
+def _running_minima(rows: DataFrame, keys: list[str], name: str, value: str, upto: str, onward: str, own: bool) -> DataFrame:
+    """Smallest value of the rows before and behind each row by ``name``, with rows beside it if ``own``."""
+    here = Window.partitionBy(*keys)
+    reach = (Window.unboundedPreceding, Window.currentRow if own else -1)
+    ahead, back = here.orderBy(name), here.orderBy(F.col(name).desc())
+    spans = [w.rangeBetween(*reach) if own else w.rowsBetween(*reach) for w in (ahead, back)]
+    return rows.withColumn(upto, F.min(value).over(spans[0])).withColumn(onward, F.min(value).over(spans[1]))
+
+
+def _block_minima(rows: DataFrame) -> DataFrame:
+    found = _running_minima(rows, ["key", "b"], "off", "value", "_upto", "_onward", True).filter(F.col("probe").isNotNull())
+    return found.select("key", F.col("probe").alias("us"), F.when(F.col("onward"), F.col("_onward")).otherwise(F.col("_upto")).alias("value"))
+
+
+def _crowded_minima(rows: DataFrame) -> DataFrame:
+    placed = rows.withColumn("sec", F.expr(f"off div {_SECOND}"))
+    fine = _running_minima(placed, ["key", "b", "sec"], "off", "value", "_upto", "_onward", True).filter(F.col("probe").isNotNull())
+    seconds = placed.groupBy("key", "b", "sec").agg(F.min("value").alias("_sec"))
+    coarse = _running_minima(seconds, ["key", "b"], "sec", "_sec", "_earlier", "_later", False).drop("_sec")
+    best = F.when(F.col("onward"), F.least("_onward", "_later")).otherwise(F.least("_upto", "_earlier"))
+    return fine.join(coarse, ["key", "b", "sec"]).select("key", F.col("probe").alias("us"), best.alias("value"))

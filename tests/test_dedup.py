@@ -49,6 +49,37 @@ def test_first_within_equals_brute_force(spark, grain):
     assert {(r.key, r.us): r.value for r in got} == want
 
 
+@pytest.mark.parametrize("crowded_rows", [0, 20])
+def test_crowded_blocks_are_split_by_seconds(spark, crowded_rows):
+    rng = random.Random(crowded_rows)
+    near = [(-1, 0, 1)[rng.randrange(3)] * REACH + rng.randrange(-3, 3) * 1_000_000 + rng.randrange(3) for _ in range(200)]
+    pts = [("a", us, v) for v, us in enumerate(near)] + [("b", 5, 7), (None, 5, 1), ("b", None, 1)]
+    probes = [("a", rng.choice(near) + rng.choice([-2 * REACH, -REACH, 0, REACH, 2 * REACH]) + rng.randrange(-2, 2)) for _ in range(200)]
+    probes += [("b", 5 - REACH), ("b", 5 + REACH), ("b", 6 + REACH), (None, 5), ("b", None)]
+    got = first_within(
+        spark.createDataFrame(pts, "key string, us long, value long"), spark.createDataFrame(probes, "key string, us long"), 12 * 3600, crowded_rows
+    ).collect()
+    want = {}
+    for k, us in set(probes):
+        hits = [v for pk, pu, v in pts if None not in (k, us, pu) and pk == k and abs(pu - us) <= REACH]
+        if hits:
+            want[k, us] = min(hits)
+    assert len(got) == len(want) and {(r.key, r.us): r.value for r in got} == want
+
+
+def test_first_within_computes_its_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(rows):
+        for batch in rows:
+            seen.add(batch.num_rows)
+            yield batch
+
+    pts = spark.range(50).selectExpr("'a' AS key", "id AS us", "id AS value").mapInArrow(counted, "key string, us long, value long")
+    assert first_within(pts, spark.createDataFrame([("a", 3)], "key string, us long"), 12 * 3600).first()["value"] == 0
+    assert seen.value == 50
+
+
 def test_contained_titles_equals_brute_force(spark):
     rng = random.Random(5)
     titles = {"".join(rng.choice("ab ") for _ in range(rng.randrange(1, 12))).strip() for _ in range(200)} - {""}
