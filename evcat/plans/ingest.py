@@ -279,7 +279,7 @@ def route(scored: DataFrame, events: DataFrame) -> DataFrame:
     )
     narrow = add_row_number(narrow, [], ["fetched_at", "row_key"], "seq").drop("fetched_at")
     matched = cut(dedup.match_catalogue(narrow, events))
-    fresh = dedup.batch_duplicates(matched.filter("match IS NULL"))
+    fresh = cut(dedup.batch_duplicates(matched.filter("match IS NULL")))
     owners = fresh.filter("dup_of IS NULL").select(F.col("seq").alias("dup_of"), F.col("event_id").alias("_owner"))
     inside = fresh.join(owners, "dup_of", "left").select("row_key", "event_id", "seq", F.col("_owner").alias("match"))
     # The URL comes first over catalogue and batch: a title match in the catalogue yields to a row kept before with the same URL.
