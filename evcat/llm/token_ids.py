@@ -17,6 +17,7 @@ directory (u64 position of every SELECT_STEP-th set bit of the high part).
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -34,6 +36,8 @@ from evcat.llm import words as W
 MAGIC = b"EVIDS01\n"
 SELECT_STEP = 256
 CACHED_WORDS = 250_000  # of each generation of the cache, which lasts for one task: a worker lives on beside those of later stages
+BLOCK_BYTES = 4 << 20  # of text, whose distinct words are looked up together
+JOINED_WORDS = 1 << 18  # of a long text at once
 RANGE_KEY_CHARS = 32
 
 
@@ -150,42 +154,69 @@ def shard_bytes(doc_ids: list[int | None], sizes: list[int], ids: bytes, width:
 class WordEncoder:
     """Ids of a word as little-endian bytes.
 
-    The tokenizer cuts at white space, and between an ASCII letter or digit and an ASCII sign, so words and
-    their trailing signs are encoded once and cached. After any other character (a control character is one piece
-    with the signs that follow) and where a special token may stand, words are encoded whole.
+    The tokenizer cuts at white space, and between a letter or digit and an ASCII sign, so words and their trailing
+    signs are encoded once and cached. After any other character (a control character is one piece with the signs that
+    follow) and where a special token may stand, words are encoded whole.
     """
 
     SIGNS = b"".join(bytes([b]) for b in range(33, 127) if not chr(b).isalnum())
+    # Letters of Latin-1 and Cyrillic (to U+045F), of which normalising changes nothing but the case, and signs: on bytes.
+    FORM = r"\A(?P<core>(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xd0[\x80-\xbf]|\xd1[\x80-\x9f])+)(?P<signs>[!-/:-@\[-`{-~]*)\z"
+    SMALL = "[a-z\u00df-\u00f6\u00f8-\u00ff\u0430-\u045f]+"  # one piece for the merges
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs one task per core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.layout = "H" if self.width == 2 else "I"
         self.words = W.WordCache(self._word, CACHED_WORDS)
+        self.small = re.compile(self.SMALL).fullmatch
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)  # the characters the model has for bytes
+        self.byte_level = {i: as_bytes.pre_tokenize_str(chr(i))[0][0] for i in range(128, 0x460) if self.small(chr(i))}
 
-    def _encode(self, word: bytes) -> bytes:
-        if word.isalpha() and word.islower():  # one piece for the merges: nothing to normalise or to cut
-            ids = [t.id for t in self.model.tokenize(word.decode())]
+    def _whole(self, word: bytes) -> list[int]:
+        return self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if self.small(text):
+            ids = [t.id for t in self.model.tokenize(text if word.isascii() else text.translate(self.byte_level))]
         else:
-            ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
+            core = word.rstrip(self.SIGNS)
+            plain, signs = core.lower() if core.isascii() else core, word[len(core) :]  # a mark may join the small letter and not the capital
+            if b"<|" not in word and core[-1:].isalnum() and plain != word:
+                # Other forms of a word find its ids in the same cache.
+                return self.words[plain] + (self.words[signs] if signs else b"")
+            ids = self._whole(word)
         return struct.pack(f"<{len(ids)}{self.layout}", *ids)
 
-    def _word(self, word: bytes) -> bytes:
-        core = word.rstrip(self.SIGNS)
-        if b"<|" in word or not core[-1:].isalnum():
-            return self._encode(word)
-        plain, signs = core.lower(), word[len(core) :]
-        if plain == word:
-            return self._encode(word)
-        # Other forms of a word find its ids in the same cache.
-        return self.words[plain] + (self.words[signs] if signs else b"")
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text; the distinct words of all are taken apart together. Null counts as empty."""
+        words, bounds = W.blank_word_array(texts)
+        coded = words.dictionary_encode()
+        form = pc.extract_regex(coded.dictionary, self.FORM)  # null for words of another form, which stay whole
+        core, signs = (pc.struct_field(form, name).cast(pa.string()) for name in ("core", "signs"))
+        core = pc.coalesce(pc.utf8_lower(core).cast(pa.binary()), coded.dictionary)
+        parts = pa.concat_arrays([core, pc.fill_null(signs, "").cast(pa.binary())]).dictionary_encode()
+        known = list(map(self.words.__getitem__, parts.dictionary.to_numpy(zero_copy_only=False)))
+        ids = np.frombuffer(b"".join(known), f"<u{self.width}")
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // self.width
+        first = np.cumsum(sizes) - sizes
+        codes, pairs = coded.indices.to_numpy(), parts.indices.to_numpy().reshape(2, -1).T
+
+        def joined(codes: np.ndarray) -> bytes:
+            part = pairs[codes].ravel()
+            n = sizes[part]
+            return ids[np.arange(n.sum()) + np.repeat(first[part] - (np.cumsum(n) - n), n)].tobytes()
+
+        for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            yield b"".join(joined(codes[i : min(i + JOINED_WORDS, end)]) for i in range(start, end, JOINED_WORDS))
 
     def encode(self, text: bytes | None) -> bytes:
-        return b"".join(map(self.words.__getitem__, W.blank_words(text)))
+        return next(self.encode_all(pa.array([text], pa.binary())))
 
 
 def encoder(path: str) -> WordEncoder:
@@ -241,12 +272,13 @@ def write_token_ids(
 
         try:
             for batch in batches:
-                for doc_id, text in zip(batch.column(0).to_pylist(), W.utf8(batch.column(1))):
-                    ids.append(enc.encode(text) + end)
-                    doc_ids.append(doc_id)
-                    held += len(ids[-1]) // enc.width
-                    if held >= shard_ids or len(ids) >= shard_docs:
-                        yield flush()
+                for block in W.slices(batch, 1, BLOCK_BYTES):
+                    for doc_id, own in zip(block.column(0).to_pylist(), enc.encode_all(block.column(1))):
+                        ids.append(own + end)
+                        doc_ids.append(doc_id)
+                        held += len(ids[-1]) // enc.width
+                        if held >= shard_ids or len(ids) >= shard_docs:
+                            yield flush()
             if ids:
                 yield flush()
         finally:

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +74,50 @@ def test_every_byte_before_every_sign():
         assert ids == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_capitals_before_marks_and_all_plain_letters():
+    from tokenizers import Tokenizer
+
+    encoder, whole = WordEncoder(WORDS), Tokenizer.from_file(WORDS)
+    letters = [chr(i) for i in range(0x41, 0x530) if chr(i).isalpha()]
+    texts = [f"{before}{c}{after}" for c in letters for before, after in (("", ""), ("x", ",."), ("", "y'"))]
+    texts += [f"{before}{c}{mark}{after}" for c in "THJWYAkiIß" for mark in "\u0300\u0307\u0308\u030a\u030c\u0331" for before, after in (("", "x"), ("a", "1,"), ("", ""))]
+    for text in texts:
+        ids = np.frombuffer(encoder.encode(text.encode()), f"<u{encoder.width}").tolist()
+        assert ids == whole.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_words_of_a_block_are_looked_up_once():
+    looked_up = []
+
+    class Counted(W.WordCache):
+        def __getitem__(self, word):
+            looked_up.append(word)
+            return super().__getitem__(word)
+
+    encoder = WordEncoder(WORDS)
+    encoder.words = Counted(encoder._word, 100)
+    texts = ["Été word Word, (word) x1", None, "", "word. WORD été! x1 word " * 1000]
+    got = [np.frombuffer(ids, f"<u{encoder.width}").tolist() + [2] for ids in encoder.encode_all(pa.array(["left out", *texts]).slice(1))]
+    assert got == [whole_text_ids(t) for t in texts]
+    assert sorted(looked_up) == sorted([b"", b"!", b",", b".", b"(word)", b"(word", b")", b"word", b"x1", "été".encode()])
+
+
+def test_long_texts_are_joined_in_pieces(monkeypatch):
+    monkeypatch.setattr(token_ids, "JOINED_WORDS", 3)
+    text = "one Two, three. 4 five\tsix! Seven"
+    assert np.frombuffer(WordEncoder(WORDS).encode(text.encode()), "<u2").tolist() + [2] == whole_text_ids(text)
+
+
+def test_word_array_cuts_at_blanks_and_texts():
+    rng = random.Random(4)
+    for n in range(60):
+        texts = [None if rng.random() < 0.2 else bytes(rng.choices(b"ab\xc3 \t\n\x0b\x0c\r\x1c\x00", k=rng.randrange(0, 9))) for _ in range(n)]
+        for kind in (pa.binary(), pa.large_binary()):
+            words, bounds = W.blank_word_array(pa.array([b"x", *texts, b"y z"], kind).slice(1, n))
+            words = words.to_pylist()
+            assert [words[a:b] for a, b in zip(bounds[:-1], bounds[1:])] == [W.blank_words(t) for t in texts] and bounds[-1] == len(words)
+
+
 def written_and_read(spark, docs, **options):
     folder = new_folder(spark, "test-ids")
     token_ids.write_token_ids(docs, folder, WORDS, 2, **options)
