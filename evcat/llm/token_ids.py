@@ -36,7 +36,6 @@ from evcat.llm import words as W
 MAGIC = b"EVIDS01\n"
 SELECT_STEP = 256
 CACHED_WORDS = 250_000  # of each generation of the cache, which lasts for one task: a worker lives on beside those of later stages
-BLOCK_BYTES = 4 << 20  # of text, whose distinct words are looked up together
 JOINED_WORDS = 1 << 18  # of a long text at once
 RANGE_KEY_CHARS = 32
 
@@ -272,7 +271,7 @@ def write_token_ids(
 
         try:
             for batch in batches:
-                for block in W.slices(batch, 1, BLOCK_BYTES):
+                for block in W.slices(batch, 1):
                     for doc_id, own in zip(block.column(0).to_pylist(), enc.encode_all(block.column(1))):
                         ids.append(own + end)
                         doc_ids.append(doc_id)
