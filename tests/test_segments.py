@@ -1,6 +1,8 @@
 """The written search index against a scan, over updates, deletes and merges."""
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +96,44 @@ def test_blocks_are_made_from_documents_not_from_rows_of_postings(spark, tmp_pat
     blocks = index._read(index.live(), ["=same"]).orderBy("first").collect()
     assert [d for r in blocks for d in r["docs"]] == [f"d{n:02}" for n in range(20)]
     assert all(r["size"] == len(r["docs"]) <= 4 and (r["first"], r["last"]) == (r["docs"][0], r["docs"][-1]) for r in blocks)
+
+
+def test_merge_and_additions_read_documents_and_never_postings(spark, tmp_path, monkeypatch):
+    index = SearchIndex(spark, str(tmp_path / "i"), files=2)
+    ids = ["a%0Ab", "a\nb", "%25", "", "é", None]
+    index.add(spark.createDataFrame([(i, "Old title", None, "x", ["old", None]) for i in ids], SCHEMA))
+    index.add(spark.createDataFrame([("%25", "new", None, None, None)], SCHEMA), spark.createDataFrame([("é",)], "id string"))
+    with monkeypatch.context() as m:
+        m.setattr(index, "_read", lambda *a: pytest.fail("postings are read"))
+        index.merge()
+    found = {key: {r["id"] for r in index.with_all([key]).collect()} for key in ("=old", "title:new", "title:old", "title:d t", "community_name:x")}
+    left = {"a%0Ab", "a\nb", ""}
+    assert found == {"=old": left, "title:new": {"%25"}, "title:old": left, "title:d t": left, "community_name:x": left}
+    assert all(r["size"] == len(r["docs"]) and (r["first"], r["last"]) == (r["docs"][0], r["docs"][-1]) for r in index._read(index.live(), None).collect())
+
+
+@pytest.mark.parametrize("piece", [1, 2000, 1 << 24])
+def test_blocks_hold_every_key_of_every_document(monkeypatch, piece):
+    monkeypatch.setattr(segments, "_PIECE", piece)
+    monkeypatch.setattr(segments, "BLOCK", 3)
+    rng = random.Random(piece)
+    wide = "".join(map(chr, range(0x4E00, 0x5200)))
+    fields = ["title", "note"]
+    texts = ["", None, "ab", "abab", "é𝔘x", *["".join(rng.choices("ab é𝔘\0", k=rng.randrange(9))) for _ in range(20)], wide]
+    rows = [(f"d{n:02}", [{"field": f, "text": rng.choice(texts) if n else wide} for f in fields], rng.choices(["t", "u", None], k=2)) for n in range(30)]
+    docs, given, terms = (pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.string(), pa.list_(pa.struct({"field": pa.string(), "text": pa.string()})), pa.list_(pa.string()))))
+    batch = pa.RecordBatch.from_arrays([docs, terms, given], ["doc", "terms", "texts"])
+    want = set()
+    for doc, some, words in rows:
+        want |= {(f"={w}", doc) for w in words if w}
+        want |= {(f"{t['field']}:{t['text'][i : i + k]}", doc) for t in some if t["text"] for k in (1, 2, 3) for i in range(len(t["text"]) - k + 1)}
+    for found in (list(segments._blocks([batch.slice(0, 11), batch.slice(11)])), list(segments._filled(segments._blocks([batch])))):
+        got = [(r["key"], doc) for b in found for r in b.to_pylist() for doc in r["docs"].split("\n")]
+        assert len(got) == len(want) and set(got) == want
+        assert all(r["size"] <= 3 and r["docs"].split("\n")[0] == r["first"] <= r["last"] for b in found for r in b.to_pylist())
+
+
+def test_numbers_of_keys_too_large_to_stand_beside_documents():
+    docs = pa.array(["a", "b", "c"])
+    (found,) = [segments._sliced(np.array([1 << 61, 5, 1 << 61, 1 << 61]), np.array([2, 1, 0, 0]), lambda n: pa.array(map(str, n.tolist())), docs)]
+    assert [(r["key"], r["docs"]) for r in found.to_pylist()] == [("5", "b"), (str(1 << 61), "a\nc")]
