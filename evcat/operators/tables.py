@@ -7,10 +7,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def last_row(columns: Sequence[str], order: Sequence[str]) -> Column:
+    """Aggregate: the row with ``columns`` that comes last by ``order``; a row that is all order is held once."""
+    return F.max(F.struct(*order)) if set(columns) <= set(order) else F.max_by(F.struct(*columns), F.struct(*order))
+
+
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key, the last by ``order``; an aggregate, so copies shrink before the shuffle."""
-    rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+    picked = df.groupBy(*keys).agg(last_row([c for c in df.columns if c not in keys], order).alias("_row"))
     return picked.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
 
 
@@ -20,7 +24,12 @@ def last_per_key(df: DataFrame, key: str, order: Sequence[str] = ()) -> DataFram
     rest = [c for c in df.columns if c != key]
     if not rest:
         return df.distinct()
-    return latest_per_key(df, [key], [*order, *[c for c in rest if c not in order and sortable(df, c)]] or rest)
+    return latest_per_key(df, [key], by_values(df, rest, order))
+
+
+def by_values(df: DataFrame, columns: Sequence[str], order: Sequence[str] = ()) -> list[str]:
+    """``order``, then the other columns that can be compared."""
+    return [*order, *[c for c in columns if c not in order and sortable(df, c)]] or list(columns)
 
 
 def sortable(df: DataFrame, name: str) -> bool:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evcat import config as C
@@ -62,15 +62,42 @@ def identify(raw: DataFrame) -> DataFrame:
     )
 
 
-def parse(
-    raw: DataFrame, region: C.Region = C.Region(), extractions: DataFrame | None = None, classifications: DataFrame | None = None
+def with_results(
+    raw: DataFrame, extractions: DataFrame | None = None, classifications: DataFrame | None = None, date_lookups: DataFrame | None = None
 ) -> DataFrame:
+    """Add the results of models per raw event (raw_event_id), null where there is none.
+
+    ``_extraction`` is the most confident of ``extractions``, ``_given`` one of ``classifications`` (event_type, topics, audience,
+    is_student_friendly), ``_found`` the earliest start of ``date_lookups`` (start_at, end_at). Rows meet their results before they are
+    parsed, because raw rows are the narrowest, packed ones above all; all results and the rows are dealt by the same key, so rows move once.
+    """
+    results = []
+    if extractions is not None:
+        columns = [c for c in extractions.columns if c != "raw_event_id"]
+        results.append((extractions, tables.last_row(columns, tables.by_values(extractions, columns, ("confidence",))), "_extraction"))
+    if classifications is not None:
+        columns = ["event_type", "topics", "audience", "is_student_friendly"]
+        results.append((classifications.select("raw_event_id", *columns), tables.last_row(columns, tables.by_values(classifications, columns)), "_given"))
+    if date_lookups is not None:
+        results.append((date_lookups.filter("start_at IS NOT NULL"), F.min(F.struct("start_at", "end_at")), "_found"))
+    out = identify(raw).withColumn("_key", _packed(F.col("id"))).drop("id", "row_key")
+    for table, row, name in results:
+        # Dealt first: an event has few results, so sorting them before they are dealt would save nothing.
+        keyed = table.withColumn("_key", _packed(F.col("raw_event_id"))).drop("raw_event_id").filter("_key IS NOT NULL").repartition("_key")
+        out = out.join(keyed.groupBy("_key").agg(row.alias(name)), "_key", "left")
+    return out.drop("_key")
+
+
+def _packed(key: Column) -> Column:
+    """A key in half the bytes when it is a SHA-256 hash in hex; other keys are longer than a hash, so that none equals one."""
+    return F.when(key.rlike("^[0-9a-f]{64}$"), F.unhex(key)).otherwise(F.concat(F.lit(bytes(33)), key.cast("binary")))
+
+
+def parse(raw: DataFrame, region: C.Region = C.Region()) -> DataFrame:
     """Deterministic parse, then extraction or classification where the rules ask for it.
 
-    ``raw`` has ``RAW_COLUMNS``, id, platform and base_url. ``extractions`` holds precomputed model
-    results per raw event, of several the most confident; rows without one use the heuristic reader. ``classifications`` holds
-    (raw_event_id, event_type, topics, audience, is_student_friendly) for rows that ask for classification; rows without one use
-    the word rules.
+    ``raw`` has ``RAW_COLUMNS``, id, platform and base_url, and results of models where ``with_results`` was given some. Rows without an
+    extraction use the heuristic reader, rows without a classification the word rules.
     """
     fields = R.parse_payload(F.col("payload"))
     out = raw.withColumns({f"p_{k}": v for k, v in fields.items()})
@@ -93,35 +120,28 @@ def parse(
     page = F.coalesce(F.col("p_canonical_url"), F.col("page_url"))
     heuristic = R.heuristic_extraction(F.col("_text"), page, region)
     out = out.withColumn("heuristic", F.when(F.col("_text").isNotNull(), heuristic))
-    return merge_extraction(out, extractions, region, classifications)
+    return merge_extraction(out, region)
 
 
-def merge_extraction(
-    parsed: DataFrame, extractions: DataFrame | None, region: C.Region, classifications: DataFrame | None = None
-) -> DataFrame:
+def merge_extraction(parsed: DataFrame, region: C.Region) -> DataFrame:
     """Lay extraction results over the parsed fields.
 
     A result that is no event keeps the parsed fields with confidence 0. Otherwise each non-null
     result wins, and so do the result type's non-null defaults (free, not for students, no topics).
     """
     h = F.col("heuristic")
-    if extractions is None:
-        joined = parsed
+    if "_extraction" not in parsed.columns:
         model = {f: F.lit(None).cast("string") for f in (*_TEXT_FIELDS, "address", "price_type")}
         has_model, m_not, m_conf = F.lit(False), F.lit(None).cast("boolean"), F.lit(None).cast("double")
         m_topics = m_audience = F.lit(None).cast("array<string>")
         m_free = m_student = F.lit(None).cast("boolean")
     else:
-        renamed = tables.last_per_key(extractions, "raw_event_id", ("confidence",)).select(
-            F.col("raw_event_id").alias("id"), F.lit(True).alias("_has"),
-            *[F.col(c).alias(f"m_{c}") for c in extractions.columns if c != "raw_event_id"],
-        )
-        joined = parsed.join(renamed, "id", "left")
-        model = {f: F.col(f"m_{f}") for f in (*_TEXT_FIELDS, "address", "price_type")}
-        has_model = F.coalesce("_has", F.lit(False))
-        m_not, m_conf = F.coalesce("m_not_an_event", F.lit(False)), F.coalesce("m_confidence", F.lit(0.0))
-        m_topics, m_audience = F.col("m_topics"), F.col("m_audience")
-        m_free, m_student = F.col("m_is_free"), F.col("m_is_student_friendly")
+        result = F.col("_extraction")
+        model = {f: result[f] for f in (*_TEXT_FIELDS, "address", "price_type")}
+        has_model = result.isNotNull()
+        m_not, m_conf = F.coalesce(result["not_an_event"], F.lit(False)), F.coalesce(result["confidence"], F.lit(0.0))
+        m_topics, m_audience = result["topics"], result["audience"]
+        m_free, m_student = result["is_free"], result["is_student_friendly"]
 
     no_topics = F.array().cast("array<string>")
     asked = F.col("extraction_method") == "ai"
@@ -134,7 +154,7 @@ def merge_extraction(
         result = F.when(has_model, model[name]).otherwise(heuristic.get(name, F.lit(None).cast("string")))
         return F.when(use, F.coalesce(result, F.col(f"p_{name}"))).otherwise(F.col(f"p_{name}"))
 
-    merged = joined.withColumns({f: laid(f) for f in _TEXT_FIELDS})
+    merged = parsed.withColumns({f: laid(f) for f in _TEXT_FIELDS})
     conf = F.when(asked, F.when(not_event, 0.0).otherwise(F.when(has_model, m_conf).otherwise(h["confidence"])))
     merged = merged.withColumns(
         {
@@ -149,12 +169,9 @@ def merge_extraction(
     )
     hybrid = F.col("extraction_method") == "hybrid"
     verdict = R.classification(F.col("title"), F.col("description"), F.col("organizer_name"), F.col("community_name"), region)
-    if classifications is None:
+    if "_given" not in parsed.columns:
         merged = merged.withColumn("_class", F.when(hybrid, verdict))
     else:
-        given = classifications.select(F.col("raw_event_id").alias("id"), "event_type", "topics", "audience", "is_student_friendly")
-        given = tables.last_per_key(given, "id").select("id", F.struct("event_type", "topics", "audience", "is_student_friendly").alias("_given"))
-        merged = merged.join(given, "id", "left")
         own = F.struct(*[verdict[f].alias(f) for f in ("event_type", "topics", "audience", "is_student_friendly")])
         merged = merged.withColumn("_class", F.when(hybrid, F.coalesce("_given", own)))
         student = F.when(F.col("_given").isNotNull(), F.col("_class.is_student_friendly"))
@@ -188,16 +205,13 @@ def normalise(parsed: DataFrame, now: datetime, region: C.Region = C.Region()) -
     return out.withColumn("registration_url", T.absolute_url(register, F.col("base_url")))
 
 
-def with_found_dates(scored: DataFrame, lookups: DataFrame) -> DataFrame:
-    """Dates found by a look-up (raw_event_id, start_at, end_at) for rows without one that passed the checks so far.
+def with_found_dates(scored: DataFrame, asked: Column) -> DataFrame:
+    """Dates found by a look-up (``_found``) for rows without one that passed the checks so far (``asked``).
 
-    Rows below the look-up confidence take none; a found start lifts the confidence. Of several results the earliest start counts.
+    Rows below the look-up confidence take none; a found start lifts the confidence.
     """
-    found = lookups.filter("start_at IS NOT NULL").groupBy(F.col("raw_event_id").alias("id")).agg(
-        F.min(F.struct("start_at", "end_at")).alias("_found")
-    )
-    takes = F.col("start_at").isNull() & (F.col("confidence") >= C.LOOKUP_MIN_CONFIDENCE) & F.col("_found").isNotNull()
-    out = scored.join(found, "id", "left").withColumn("_takes", takes)
+    takes = asked & F.col("start_at").isNull() & (F.col("confidence") >= C.LOOKUP_MIN_CONFIDENCE) & F.col("_found").isNotNull()
+    out = scored.withColumn("_takes", takes)
     kind = scored.schema["start_at"].dataType
     return out.withColumns(
         {
@@ -208,9 +222,7 @@ def with_found_dates(scored: DataFrame, lookups: DataFrame) -> DataFrame:
     ).drop("_found", "_takes")
 
 
-def score(
-    normalised: DataFrame, now: datetime, region: C.Region = C.Region(), date_lookups: DataFrame | None = None
-) -> DataFrame:
+def score(normalised: DataFrame, now: datetime, region: C.Region = C.Region()) -> DataFrame:
     """Relevance, date-to-be-announced, completeness, publish score, and the route so far.
 
     ``route`` is null for rows that go on to the duplicate check. Checks are ordered: page kind,
@@ -221,14 +233,12 @@ def score(
         "relevance",
         R.relevance(*[F.col(c) for c in ("mode", "city", "address", "venue_name", "organizer_name", "community_name")], region),
     )
-    if date_lookups is not None:
+    if "_found" in normalised.columns:
         turned_down = (F.col("kind") != "detail") | ~H.valid_title(F.col("title")) | (
             (F.col("relevance") < C.MIN_RELEVANCE) & (F.coalesce("platform", F.lit("")) != "static")
         )
-        asked = out.withColumn("_asks", ~turned_down).withColumn("_id", F.col("id"))
-        # Rows that are turned down anyway look nothing up.
-        out = with_found_dates(asked.withColumn("id", F.when(F.col("_asks"), F.col("_id"))), date_lookups).withColumn("id", F.col("_id"))
-        out = out.drop("_asks", "_id")
+        # Rows that are turned down anyway take no date.
+        out = with_found_dates(out, ~turned_down)
     dateless = F.col("start_at").isNull()
     eligible = (F.col("confidence") >= C.TBA_MIN_CONFIDENCE) & (F.col("relevance") >= C.TBA_MIN_RELEVANCE)
     route = (
@@ -437,11 +447,14 @@ def scored_rows(
     late = only is not None and not is_small(only)
     if only is not None and not late:
         pages = pages.join(F.broadcast(only), ["source_id", "url", "fetched_at"], "left_semi")
-    raw = identify(P.raw_events_of(pages.join(about, "source_id"), P.adapters_in_use(sources)))
+    packed = any(r is not None for r in (extractions, classifications, date_lookups))
+    raw = P.raw_events_of(pages.join(about, "source_id"), P.adapters_in_use(sources), packed)
     if late:
         raw = raw.join(only.withColumnRenamed("url", "page_url"), ["source_id", "page_url", "fetched_at"], "left_semi")
-    raw = raw.join(about, "source_id")
-    scored = score(normalise(parse(raw, region, extractions, classifications), now, region), now, region, date_lookups)
+    if packed:
+        raw = P.unpacked(with_results(raw, extractions, classifications, date_lookups))
+    raw = identify(raw).join(about, "source_id")
+    scored = score(normalise(parse(raw, region), now, region), now, region)
     used_up = [c for c in scored.columns if c.startswith(("p_", "m_", "_"))]
     return cut(scored.drop("payload", "heuristic", "cleaned_text", "json_ld", *used_up))
 

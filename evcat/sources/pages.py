@@ -74,12 +74,7 @@ def static_adapter(pages: DataFrame) -> DataFrame:
         ).alias("place", "_item"),
     )
     objects = items.filter(F.schema_of_variant("_item").startswith("OBJECT")).withColumn("raw_payload_json", F.to_json("_item"))
-    parsed = objects.withColumn("payload", F.from_json("raw_payload_json", R.PAYLOAD_SCHEMA))
-    # An explicit null is a value of its own here; the schema reader cannot tell it from an absent member.
-    nulled = F.col("payload.is_free").isNull() & F.array_contains(F.json_object_keys("raw_payload_json"), "is_free")
-    parsed = parsed.withColumn("payload", F.col("payload").withField("is_free", F.when(nulled, "null").otherwise(F.col("payload.is_free"))))
-    # Payload values that are JSON lists or objects stay JSON text in their column.
-    return parsed.select(
+    return _with_payload(objects, "raw_payload_json", "payload").select(
         "source_id",
         "page_url",
         "place",
@@ -92,6 +87,14 @@ def static_adapter(pages: DataFrame) -> DataFrame:
     )
 
 
+def _with_payload(items: DataFrame, text: str, name: str) -> DataFrame:
+    """Add the payload of JSON objects. Payload values that are JSON lists or objects stay JSON text in their column."""
+    parsed = items.withColumn(name, F.from_json(text, R.PAYLOAD_SCHEMA))
+    # An explicit null is a value of its own here; the schema reader cannot tell it from an absent member.
+    nulled = F.col(f"{name}.is_free").isNull() & F.array_contains(F.json_object_keys(text), "is_free")
+    return parsed.withColumn(name, F.col(name).withField("is_free", F.when(nulled, "null").otherwise(F.col(f"{name}.is_free"))))
+
+
 ADAPTERS: dict[str, Adapter] = {"generic": generic_adapter, "static": static_adapter}
 
 
@@ -110,22 +113,36 @@ def adapters_in_use(sources: DataFrame) -> list[str]:
     return [r[0] for r in sources.select(adapter_name(F.col("platform"))).distinct().collect()]
 
 
-def raw_events_of(pages: DataFrame, names: list[str] | None = None) -> DataFrame:
+def raw_events_of(pages: DataFrame, names: list[str] | None = None, packed: bool = False) -> DataFrame:
     """Read each page with the adapter of its ``platform``.
 
     ``names`` lists the adapters in use: every adapter reads the pages once, so one that no source
-    needs costs nothing.
+    needs costs nothing. ``packed`` rows are to be moved: they leave out what ``unpacked`` reads from their JSON again.
     """
-    parts = [
-        ADAPTERS[name](pages.filter(adapter_name(F.col("platform")) == name)).select(*RAW_COLUMNS)
-        for name in (names or list(ADAPTERS))
-    ]
+    parts = []
+    for name in names or list(ADAPTERS):
+        part = ADAPTERS[name](pages.filter(adapter_name(F.col("platform")) == name)).select(*RAW_COLUMNS)
+        again = ADAPTERS[name] is static_adapter
+        if packed and again:
+            part = part.withColumns({c: F.lit(None).cast(part.schema[c].dataType) for c in _READ_AGAIN})
+        parts.append(part.withColumn("_again", F.lit(again)) if packed else part)
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
+# What a static item's columns take from its payload, each with the member it comes from.
+_READ_AGAIN = {"payload": None, "cleaned_text": "_cleaned_text", "json_ld": "_json_ld"}
+
+
+def unpacked(raw: DataFrame) -> DataFrame:
+    """``packed`` rows with all ``RAW_COLUMNS``."""
+    read = _with_payload(raw.withColumn("_text", F.when(F.col("_again"), F.col("raw_payload_json"))), "_text", "_payload")
+    found = {c: F.col("_payload") if member is None else F.col("_payload")[member] for c, member in _READ_AGAIN.items()}
+    return read.withColumns({c: F.when(F.col("_again"), v).otherwise(F.col(c)) for c, v in found.items()}).drop("_again", "_text", "_payload")
+
+
 # --- Change detection -----------------------------------------------------------------------
 def fingerprints(pages: DataFrame) -> DataFrame:
     """(source_id, url, fetched_at, url_hash, page_hash): all that change detection needs."""
