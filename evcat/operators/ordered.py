@@ -7,8 +7,13 @@ before, so the correction table has at most one row per slice.
 """
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from evcat.session import cut
 
@@ -16,11 +21,15 @@ from evcat.session import cut
 ROWS_PER_SLICE = 1_000_000
 
 
-def _sliced(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def _ranged(df: DataFrame, columns: list[str], written: bool) -> DataFrame:
     # Written down first: ranging samples its input, which would otherwise be computed twice.
-    rows = cut(df)
+    rows = df if written else cut(df)
     slices = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS_PER_SLICE))
-    ranged = rows.repartitionByRange(slices, *keys, *order)
+    return rows.repartitionByRange(slices, *columns)
+
+
+def _sliced(df: DataFrame, keys: list[str], order: list[str], written: bool = False) -> DataFrame:
+    ranged = _ranged(df, [*keys, *order], written)
     if keys:
         # The slice number is only stable once written down.
         return cut(ranged.withColumn("_slice", F.spark_partition_id()))
@@ -35,11 +44,14 @@ def _join_carry(df: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
     return joined.select(df["*"], carry["_carry"])
 
 
-def add_row_number(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
-    """1-based position of each row among the rows with the same keys (all rows when no keys)."""
+def add_row_number(df: DataFrame, keys: list[str], order: list[str], name: str, written: bool = False) -> DataFrame:
+    """1-based position of each row among the rows with the same keys (all rows when no keys).
+
+    ``written`` says that the rows come from files with projections and filters only, so that they need not be written down first.
+    """
     if not keys:
-        return _numbered(df, order, name)
-    rows = _sliced(df, keys, order)
+        return _numbered(df, order, name, written)
+    rows = _sliced(df, keys, order, written)
     local = rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(*order)))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carry = (
@@ -53,30 +65,50 @@ def add_row_number(df: DataFrame, keys: list[str], order: list[str], name: str)
     return out.withColumn(name, F.col(name) + F.coalesce(F.col("_carry"), F.lit(0))).drop("_slice", "_carry")
 
 
-def _numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+def _numbered(df: DataFrame, order: list[str], name: str, written: bool = False) -> DataFrame:
     """Position among all rows: the place in the sorted slice plus the sizes of the slices before; no exchange after the ranging."""
-    rows = _sliced(df, [], order)
+    rows = _sliced(df, [], order, written)
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # one row per slice
     carry = rows.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n")).withColumn("_carry", F.sum("_n").over(before)).drop("_n")
     return _join_carry(rows, carry, []).withColumn(name, F.col("_at") + F.coalesce(F.col("_carry"), F.lit(0)) + 1).drop("_slice", "_at", "_carry")
 
 
-def add_previous(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
-    """Value of the row before, among the rows with the same keys; null on the first row."""
-    rows = _sliced(df, keys, order)
-    here = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    local = rows.withColumn(name, F.lag(value).over(here)).withColumn("_first", F.row_number().over(here) == 1)
-    last = F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order))
-    carry = (
-        rows.groupBy(*keys, "_slice")
-        .agg(last.alias("_last"))
-        .withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_slice")))
-        .filter(F.col("_carry").isNotNull())
-        .drop("_last")
-    )
-    out = _join_carry(local, carry, keys)
-    carried = F.when(F.col("_first"), F.col("_carry.v")).otherwise(F.col(name))
-    return out.withColumn(name, carried).drop("_slice", "_carry", "_first")
+def _behind(keys: list[str], value: str, name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sorted rows with the value of the row before of the same keys, and whether a row is the first of its keys here."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before: dict[str, pa.Array] = {}
+        for batch in batches:
+            if not len(batch):
+                continue
+            columns = {c: batch.column(c) for c in (*keys, value)}
+            shifted = {c: pa.concat_arrays([before.get(c, pa.nulls(1, a.type)), a.slice(0, len(a) - 1)]) for c, a in columns.items()}
+            same = pa.array([bool(before), *[True] * (len(batch) - 1)])
+            for k in keys:
+                equal = pc.fill_null(pc.equal(columns[k], shifted[k]), False)
+                same = pc.and_(same, pc.or_(equal, pc.and_(columns[k].is_null(), shifted[k].is_null())))
+            before = {c: a.slice(len(a) - 1) for c, a in columns.items()}
+            found = pc.if_else(same, shifted[value], pa.scalar(None, columns[value].type))
+            yield pa.RecordBatch.from_arrays([*batch.columns, found, pc.invert(same)], [*batch.schema.names, name, "_first"])
+
+    return run
+
+
+def add_previous(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, written: bool = False) -> DataFrame:
+    """Value of the row before, among the rows with the same keys; null on the first row. ``written`` as for ``add_row_number``."""
+    ranged = _ranged(df, [*keys, *order], written).sortWithinPartitions(*keys, *order)
+    placed = ranged.withColumn("_slice", F.spark_partition_id())
+    schema = StructType([*placed.schema.fields, StructField(name, placed.schema[value].dataType), StructField("_first", BooleanType())])
+    rows = cut(placed.mapInArrow(_behind(keys, value, name), schema))
+    # The first keys of a slice may go on from the last row of the slice before: one row per slice.
+    last = F.max_by(F.struct(*keys, F.col(value).alias("_value")), F.struct(*keys, *order))
+    ends = rows.groupBy("_slice").agg(last.alias("_last"))
+    carry = ends.select("_slice", F.lag("_last").over(Window.orderBy("_slice")).alias("_carry"))
+    joined = rows.join(F.broadcast(carry), "_slice", "left")
+    goes_on = F.col("_first") & F.col("_carry").isNotNull()
+    for k in keys:
+        goes_on = goes_on & F.col(k).eqNullSafe(F.col("_carry")[k])
+    return joined.withColumn(name, F.when(goes_on, F.col("_carry._value")).otherwise(F.col(name))).drop("_slice", "_carry", "_first")
 
 
 def add_running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:

@@ -11,7 +11,7 @@ from evcat.functions import html as H
 from evcat.functions import rules as R
 from evcat.functions import text as T
 from evcat.operators.ordered import add_previous
-from evcat.session import broadcast_if_small
+from evcat.session import broadcast_if_small, cut, is_small
 
 RAW_COLUMNS = (
     "source_id", "page_url", "place", "external_id", "payload", "raw_payload_json", "cleaned_text", "json_ld", "fetched_at",
@@ -159,6 +159,13 @@ def print_columns() -> list[Column]:
     ]
 
 
+def fetch_error(pages: DataFrame) -> Column:
+    """Why the fetch of a page failed; null when it did not."""
+    given = F.col("error") if "error" in pages.columns else F.lit(None).cast("string")
+    status = F.when(F.col("status_code") >= 400, F.concat(F.lit("status "), F.col("status_code").cast("string"))) if "status_code" in pages.columns else F.lit(None)
+    return F.coalesce(F.when(F.trim(given) != "", given), status, F.when(F.col("html_or_json").isNull(), "no body"))
+
+
 def with_errors(pages: DataFrame, sources: DataFrame) -> DataFrame:
     """Fingerprints of all pages with two more columns: why the fetch failed, and why the page could not be read. One pass over the bodies.
 
@@ -166,10 +173,8 @@ def with_errors(pages: DataFrame, sources: DataFrame) -> DataFrame:
     be read when it is no JSON; a page of an unknown source or platform is read by the generic adapter, which reads any text.
     """
     kinds = broadcast_if_small(sources.groupBy(F.col("id").alias("source_id")).agg(F.min(adapter_name(F.col("platform"))).alias("_adapter")))
-    given = F.col("error") if "error" in pages.columns else F.lit(None).cast("string")
-    status = F.when(F.col("status_code") >= 400, F.concat(F.lit("status "), F.col("status_code").cast("string"))) if "status_code" in pages.columns else F.lit(None)
+    fetch = fetch_error(pages)
     body = F.col("html_or_json")
-    fetch = F.coalesce(F.when(F.trim(given) != "", given), status, F.when(body.isNull(), "no body"))
     unread = F.when((F.col("_adapter") == "static") & F.try_parse_json(body).isNull(), "page is no JSON")
     hashed = pages.join(kinds, "source_id", "left").withColumns({"fetch_error": fetch, "read_error": F.when(fetch.isNull(), unread)})
     return hashed.select(*print_columns(), "fetch_error", "read_error")
@@ -184,14 +189,14 @@ def latest_snapshots(snapshots: DataFrame, version: str = C.SNAPSHOT_VERSION) ->
     )
 
 
-def changed_prints(
-    prints: DataFrame, snapshots: DataFrame, sources: DataFrame, version: str = C.SNAPSHOT_VERSION, once: bool = False
+def judged_prints(
+    prints: DataFrame, snapshots: DataFrame, sources: DataFrame, version: str = C.SNAPSHOT_VERSION, once: bool = False, written: bool = False
 ) -> DataFrame:
-    """Fingerprints of pages whose content differs from the one before.
+    """Fingerprints with ``changed``: whether the content differs from the one before.
 
-    Bodies are not shuffled: only hashes are compared. The one before is the previous fetch of the
+    Bodies are not shuffled: only hashes are compared, in half the bytes of their text, and the hash of a URL is made again from it. The one before is the previous fetch of the
     same URL in this batch, else the stored snapshot; ``once`` says that a batch holds every URL at
-    most once and saves the ordering step. Sources with ``always_refresh`` pass in any case.
+    most once and saves the ordering step, ``written`` that prints come from files. Sources with ``always_refresh`` pass in any case.
     """
     always = sources.select(
         F.col("id").alias("source_id"),
@@ -200,13 +205,42 @@ def changed_prints(
     if once:
         ordered = prints.withColumn("_prev", F.lit(None).cast("string"))
     else:
-        ordered = add_previous(prints, ["source_id", "url_hash"], ["fetched_at", "page_hash"], "page_hash", "_prev")
+        packed = prints.withColumn("page_hash", F.unhex("page_hash")).drop("url_hash")
+        ordered = add_previous(packed, ["source_id", "url"], ["fetched_at", "page_hash"], "page_hash", "_prev", written)
+        ordered = ordered.withColumns({c: F.lower(F.hex(c)) for c in ("page_hash", "_prev")}).withColumn("url_hash", T.content_hash(F.col("url")))
     joined = ordered.join(latest_snapshots(snapshots, version), ["source_id", "url_hash"], "left").join(
         always, "source_id", "left"
     )
     before = F.coalesce("_prev", "stored_hash")
     keep = F.coalesce("always", F.lit(False)) | before.isNull() | (before != F.col("page_hash"))
-    return joined.filter(keep).select(*prints.columns)
+    return joined.select(*prints.columns, F.coalesce(keep, F.lit(False)).alias("changed"))
+
+
+def changed_prints(
+    prints: DataFrame, snapshots: DataFrame, sources: DataFrame, version: str = C.SNAPSHOT_VERSION, once: bool = False
+) -> DataFrame:
+    """Fingerprints of pages whose content differs from the one before."""
+    return judged_prints(prints, snapshots, sources, version, once).filter("changed").drop("changed")
+
+
+PAGE_KEY = ("source_id", "url", "fetched_at")
+
+
+def changed_pages(pages: DataFrame, judged: DataFrame, lost: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Pages to read, and the keys to read only, where pages could not be chosen yet.
+
+    A page is read when its key is one of a changed page. That is nearly the same as not being lost: the keys where it is not, of unchanged pages and of
+    pages lost and changed under one key, are broadcast when there are few, as on a first run, and the changed keys need not be joined.
+    """
+    flags = judged.select(*PAGE_KEY, "changed", F.lit(False).alias("lost")).unionByName(lost.select(*PAGE_KEY, F.lit(False).alias("changed"), F.lit(True).alias("lost")))
+    known = [F.col(c).isNotNull() for c in PAGE_KEY]
+    per_key = flags.filter(known[0] & known[1] & known[2]).groupBy(*PAGE_KEY).agg(F.max("changed").alias("_changed"), F.max("lost").alias("_lost"), F.min("lost").alias("_gone"))
+    per_key = cut(per_key)
+    other = per_key.filter("(_changed AND _lost) OR NOT (_changed OR _gone)").select(*PAGE_KEY, "_changed")
+    if not is_small(other):
+        return pages, per_key.filter("_changed").select(*PAGE_KEY)
+    chosen = pages.filter(known[0] & known[1] & known[2]).join(F.broadcast(other), list(PAGE_KEY), "left")
+    return chosen.filter(F.coalesce("_changed", fetch_error(pages).isNull())).select(*pages.columns), None
 
 
 def snapshot_rows(prints: DataFrame, version: str = C.SNAPSHOT_VERSION) -> DataFrame:
